@@ -377,7 +377,7 @@ def _correlation(min_n: int) -> str:
              round(median_unpaid, 1) AS median_claims_unpaid,
              round((claims_paid::DOUBLE / n_paid) / (claims_unpaid::DOUBLE / n_unpaid), 2)
                AS lift_ratio,
-             round(r, 3) AS pearson_correlation
+             round(r, 3) + 0.0::DOUBLE AS pearson_correlation
       FROM (SELECT specialty, company_name,
                    count(*) FILTER (paid) AS n_paid, count(*) FILTER (NOT paid) AS n_unpaid,
                    sum(claims) FILTER (paid) AS claims_paid,
@@ -425,7 +425,7 @@ def _pearson(specialty: str | None = None) -> str:
       SELECT count(*) AS n_points,
              CASE WHEN count(*) >= 10 AND min(total_payment_usd) < max(total_payment_usd)
                        AND min(company_claim_count) < max(company_claim_count)
-                  THEN round(corr(total_payment_usd::DOUBLE, company_claim_count), 3)
+                  THEN round(corr(total_payment_usd::DOUBLE, company_claim_count), 3) + 0.0::DOUBLE
              END AS pearson
       FROM ({_points(specialty)})"""
 

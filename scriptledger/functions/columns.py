@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,6 +35,18 @@ def banded(value: Column, bands: Iterable[tuple[float, str]], lowest: str) -> Co
     return first_match(lambda bound: value >= F.lit(bound), ordered, F.lit(lowest))
 
 
+def matches(text: Column) -> Callable[[str], Column]:
+    """A ``LIKE`` test for ``first_match``. A pattern with an inner wildcard
+    needs a regular expression, so plain searches for its pieces go first."""
+
+    def test(pattern: str) -> Column:
+        pieces = [text.contains(piece) for piece in pattern.split("%") if piece]
+        whole = text.like(pattern)
+        return reduce(and_, [*pieces, whole]) if len(pieces) > 1 else whole
+
+    return test
+
+
 # --- text -----------------------------------------------------------------
 
 
@@ -49,16 +61,17 @@ def key_text(value: Column) -> Column:
 
 def canonical_company(cleaned: Column) -> Column:
     """Parent company of a name that ``key_text`` has already cleaned."""
-    return first_match(cleaned.like, rules.COMPANY_RULES, cleaned)
+    return first_match(matches(cleaned), rules.COMPANY_RULES, cleaned)
 
 
 def payment_category(nature: Column) -> Column:
-    return first_match(nature.ilike, rules.CATEGORY_RULES, F.lit(rules.OTHER_CATEGORY))
+    other = F.lit(rules.OTHER_CATEGORY)
+    return first_match(matches(F.lower(nature)), rules.CATEGORY_RULES, other)
 
 
 def canonical_specialty(specialty: Column) -> Column:
     fallback = F.coalesce(F.trim(specialty), F.lit(rules.UNKNOWN_SPECIALTY))
-    return first_match(specialty.ilike, rules.SPECIALTY_RULES, fallback)
+    return first_match(matches(F.lower(specialty)), rules.SPECIALTY_RULES, fallback)
 
 
 def initcap_words(value: Column) -> Column:

@@ -52,7 +52,7 @@ COMPANY_DISPLAY_NAMES = {
     "MODERNA": "Moderna",
 }
 
-# Case-insensitive nature-of-payment pattern -> category. The
+# Case-insensitive nature-of-payment pattern (in lower case) -> category. The
 # speaking patterns come before consulting because one long nature text
 # mentions both.
 CATEGORY_RULES = [
@@ -102,7 +102,7 @@ SPEND_COLUMNS = {
     ],
 }
 
-# Case-insensitive specialty pattern -> canonical specialty.
+# Case-insensitive specialty pattern (in lower case) -> canonical specialty.
 SPECIALTY_RULES = [
     ("Cardiology", ["%cardiolog%"]),
     ("Oncology", ["%oncolog%"]),

@@ -18,7 +18,8 @@ def share_of_total(
     below ``label_from_pct``."""
     total = rows.agg(F.sum(value).cast("double")).scalar()
     share = F.try_divide(F.col(value).cast("double"), total) * 100
-    shown = F.concat(F.col(name), F.format_string("<br>%.1f%%", F.col("share_pct")))
+    written = F.format_number("share_pct", 1)
+    shown = F.concat(F.col(name), F.lit("<br>"), written, F.lit("%"))
     return rows.select(name, value, share.alias("share_pct")).withColumn(
         "label", F.when(F.col("share_pct") >= label_from_pct, shown).otherwise("")
     )

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from scriptledger.functions import columns as C
 from scriptledger.functions import rules
-from scriptledger.functions.ratios import double_ratio, pearson, percentage, ratio
+from scriptledger.functions.ratios import double_ratio, money_sum, pearson, percentage, ratio
+from scriptledger.operators.lookup import hinted
 from scriptledger.operators.percentiles import percentile_of_ranked, ranked_histogram
 from scriptledger.operators.ranking import top_per_group
 from scriptledger.plans.warehouse import Warehouse
@@ -21,53 +22,62 @@ def kol_identification(
     There are few classes and one may hold much of the data, so no window
     spans a class. The top rows come from a top-k per group; what they need to
     know of the rest of their class (its size, its volume, how many sit below
-    them) comes from a frequency table of claim counts.
+    them) comes from a frequency table of claim counts. Ranking shuffles keys
+    and claims only; the other columns are looked up for the few rows left.
     """
-    volume = warehouse.fact_prescriptions.groupBy("physician_npi", "therapeutic_class").agg(
-        F.sum("total_claim_count").alias("class_claim_count"),
-        F.sum("total_drug_cost_usd").alias("class_drug_cost_usd"),
-    )
-    who = warehouse.dim_physician.select(
-        "physician_npi", "physician_display_id", "specialty", "state"
-    )
-    ranked = volume.join(who, "physician_npi")
+    pair = ["physician_npi", "therapeutic_class"]
+    same_value = ["therapeutic_class", "class_claim_count"]
     claims = F.col("class_claim_count")
-
-    frequencies = ranked.groupBy("therapeutic_class", "class_claim_count").agg(
-        F.count(F.lit(1)).alias("ties")
+    prescriptions, physicians = warehouse.fact_prescriptions, warehouse.dim_physician
+    volume = (
+        prescriptions.groupBy(*pair)
+        .agg(F.sum("total_claim_count").alias("class_claim_count"))
+        .join(physicians.select("physician_npi"), "physician_npi")
     )
+    frequencies = volume.groupBy(*same_value).agg(F.count(F.lit(1)).alias("ties"))
     classes = frequencies.groupBy("therapeutic_class").agg(
         F.sum("ties").alias("physicians"),
         F.sum(F.when(claims.isNotNull(), F.col("ties"))).alias("with_volume"),
         F.sum(claims * F.col("ties")).alias("class_volume"),
     )
     leaders = top_per_group(
-        ranked,
+        volume,
         ["therapeutic_class"],
         [claims.desc_nulls_last(), F.col("physician_npi").asc()],
         top,
         "rank_in_class",
     )
+    # At most ``top`` rows per class, and no more classes than lookup rows.
+    few = hinted(leaders.select(*pair), warehouse.lookup_is_small)
+    cost = (
+        prescriptions.join(few, pair, "left_semi")
+        .groupBy(*pair)
+        .agg(money_sum(F.col("total_drug_cost_usd")).alias("class_drug_cost_usd"))
+    )
+    who = physicians.select(
+        "physician_npi", "physician_display_id", "specialty", "state"
+    ).join(few.select("physician_npi"), "physician_npi", "left_semi")
+
     so_far = (
         Window.partitionBy("therapeutic_class")
         .orderBy("rank_in_class")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    equals = Window.partitionBy("therapeutic_class", "class_claim_count")
-    leaders = leaders.withColumn("running_volume", F.sum(claims).over(so_far)).withColumn(
-        "ahead", F.min("rank_in_class").over(equals) - 1
-    )
-
-    same_value = ["therapeutic_class", "class_claim_count"]
-    with_class = leaders.join(frequencies, same_value, "left").join(
-        classes, "therapeutic_class"
+    equals = Window.partitionBy(*same_value)
+    described = (
+        leaders.withColumn("running_volume", F.sum(claims).over(so_far))
+        .withColumn("ahead", F.min("rank_in_class").over(equals) - 1)
+        .join(frequencies, same_value, "left")
+        .join(classes, "therapeutic_class")
+        .join(cost, pair)
+        .join(who, "physician_npi")
     )
     # A physician without volume ranks after all that have some.
     below = F.when(
         claims.isNotNull(), F.col("with_volume") - F.col("ahead") - F.col("ties")
     ).otherwise(F.coalesce("with_volume", F.lit(0)))
     percentile = F.coalesce(double_ratio(below, F.col("physicians") - 1), F.lit(0.0))
-    return with_class.select(
+    return described.select(
         "therapeutic_class",
         C.kol_tier(percentile).alias("kol_tier"),
         "rank_in_class",
@@ -200,7 +210,7 @@ def payments_by_state(payments: DataFrame) -> DataFrame:
         payments.where(C.valid_state(F.col("recipient_state")))
         .groupBy(F.col("recipient_state").alias("state"))
         .agg(
-            F.sum("payment_amount_usd").alias("state_payment_usd"),
+            money_sum(F.col("payment_amount_usd")).alias("state_payment_usd"),
             F.countDistinct("physician_npi").alias("paid_physicians"),
         )
     )
@@ -214,7 +224,7 @@ def prescribing_by_state(prescriptions: DataFrame, physicians: DataFrame) -> Dat
     """
     per_physician = prescriptions.groupBy("physician_npi").agg(
         F.sum("total_claim_count").alias("claims"),
-        F.sum("total_drug_cost_usd").alias("cost"),
+        money_sum(F.col("total_drug_cost_usd")).alias("cost"),
     )
     located = physicians.where(C.valid_state(F.col("state"))).select("physician_npi", "state")
     return (
@@ -229,23 +239,31 @@ def prescribing_by_state(prescriptions: DataFrame, physicians: DataFrame) -> Dat
 
 
 def state_balance(paid: DataFrame, prescribed: DataFrame) -> DataFrame:
-    """Both sides by state with shares of the national totals and the exact
-    ``raw_ratio`` of the two shares."""
-    us_payment = paid.agg(F.sum("state_payment_usd")).scalar()
-    us_claims = prescribed.agg(F.sum("state_claim_count")).scalar()
+    """Both sides by state with shares of the national totals and the unrounded
+    ``raw_ratio`` of the two shares.
+
+    The totals are a window over the joined rows, at most one per two-letter
+    code by then: reading the facts again for them would double the work.
+    """
     measures = [name for name in [*paid.columns, *prescribed.columns] if name != "state"]
     joined = paid.join(prescribed, "state", "full_outer").select(
         "state", *[F.coalesce(F.col(name), F.lit(0)).alias(name) for name in measures]
     )
-    payment = F.col("state_payment_usd").cast("double")
-    claims = F.col("state_claim_count").cast("double")
-    return joined.select(
-        "*",
-        percentage(F.col("state_payment_usd"), us_payment, 3).alias("payment_share_pct"),
-        percentage(F.col("state_claim_count"), us_claims, 3).alias("prescribing_share_pct"),
-        double_ratio(payment * us_claims.cast("double"), claims * us_payment.cast("double")).alias(
-            "raw_ratio"
-        ),
+    nation = Window.partitionBy(F.lit(1))
+    pay, claims = F.col("state_payment_usd"), F.col("state_claim_count")
+    us_pay, us_claims = F.sum(pay).over(nation), F.sum(claims).over(nation)
+    return (
+        joined.withColumns({"us_pay": us_pay, "us_claims": us_claims})
+        .select(
+            "state",
+            *measures,
+            percentage(pay, F.col("us_pay"), 3).alias("payment_share_pct"),
+            percentage(claims, F.col("us_claims"), 3).alias("prescribing_share_pct"),
+            double_ratio(
+                pay.cast("double") * F.col("us_claims").cast("double"),
+                claims.cast("double") * F.col("us_pay").cast("double"),
+            ).alias("raw_ratio"),
+        )
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptledger.functions import columns as C
 from scriptledger.functions import rules
+from scriptledger.functions.ratios import money_sum
 
 PAIR = ["physician_npi", "company_name"]
 
@@ -26,11 +27,11 @@ def int_physician_payments_agg(payments: DataFrame) -> DataFrame:
     payment is NULL, not 0."""
     amount, category = F.col("payment_amount_usd"), F.col("payment_category")
     spend = [
-        F.sum(F.when(category.isin(names), amount)).alias(column)
+        money_sum(F.when(category.isin(names), amount)).alias(column)
         for column, names in rules.SPEND_COLUMNS.items()
     ]
     return payments.groupBy(*PAIR).agg(
-        F.sum(amount).alias("total_payment_usd"),
+        money_sum(amount).alias("total_payment_usd"),
         F.count(F.lit(1)).alias("payment_count"),
         *spend,
         F.max(amount).alias("max_single_payment_usd"),
@@ -48,7 +49,7 @@ def int_physician_drug_prescribing(attributed: DataFrame) -> DataFrame:
     """
     per_pair = attributed.groupBy(*PAIR).agg(
         F.sum("total_claim_count").alias("company_claim_count"),
-        F.sum("total_drug_cost_usd").alias("company_drug_cost_usd"),
+        money_sum(F.col("total_drug_cost_usd")).alias("company_drug_cost_usd"),
         F.collect_set("drug_brand_name").alias("_brands"),
     )
     return per_pair.select(

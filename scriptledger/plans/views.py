@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from scriptledger.functions import columns as C
 from scriptledger.functions import rules
-from scriptledger.functions.ratios import pearson, ratio, scaled
-from scriptledger.operators.lookup import hinted
+from scriptledger.functions.ratios import money_sum, pearson, ratio, scaled
+from scriptledger.operators.lookup import LOOKUP_ROW_LIMIT, hinted
 from scriptledger.operators.percentiles import percentile_of_ranked, ranked_histogram
 from scriptledger.operators.ranking import distinct_options, top_ranked
 from scriptledger.plans import analyses
@@ -42,7 +42,7 @@ def _display_names(warehouse: Warehouse, rows: DataFrame, alias: str) -> DataFra
 
 
 def _spend(rows: DataFrame, key: str) -> DataFrame:
-    return rows.groupBy(key).agg(F.sum("payment_amount_usd").alias("spend"))
+    return rows.groupBy(key).agg(money_sum(F.col("payment_amount_usd")).alias("spend"))
 
 
 def _spend_by_specialty(warehouse: Warehouse, payments: DataFrame) -> DataFrame:
@@ -63,9 +63,14 @@ def _of_company(warehouse: Warehouse, company: str) -> DataFrame:
 
 
 def dashboard_kpis(warehouse: Warehouse) -> DataFrame:
-    return warehouse.fact_payments.agg(
-        F.sum("payment_amount_usd").alias("total_payments"),
-        F.count(F.lit(1)).alias("payment_count"),
+    """One row of totals. Payments become one row per pair first, which the
+    two distinct counts then expand instead of every payment."""
+    pairs = warehouse.fact_payments.groupBy("physician_npi", "company_name").agg(
+        money_sum(F.col("payment_amount_usd")).alias("spend"), F.count(F.lit(1)).alias("n")
+    )
+    return pairs.agg(
+        F.sum("spend").alias("total_payments"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("payment_count"),
         F.countDistinct("company_name").alias("companies"),
         F.countDistinct("physician_npi").alias("paid_physicians"),
     )
@@ -142,27 +147,39 @@ def kol_finder(
     in_class = warehouse.fact_prescriptions.where(
         F.col("therapeutic_class") == F.lit(therapeutic_class)
     )
+    physicians = warehouse.dim_physician.where(C.specialist(F.col("specialty")))
+    if paid is not None:
+        physicians = physicians.where(F.col("received_pharma_payments") == F.lit(paid))
+    if states:
+        physicians = physicians.where(F.col("state").isin(list(states)))
     volume = in_class.groupBy("physician_npi").agg(
-        F.sum("total_claim_count").alias("class_claims"),
-        F.sum("total_drug_cost_usd").alias("class_drug_cost"),
+        F.sum("total_claim_count").alias("class_claims")
     )
-    # No more companies than lookup rows, which were counted.
-    companies = hinted(
-        in_class.select("company_name").distinct(), warehouse.lookup_is_small
+    order = [F.col("class_claims").desc_nulls_last(), F.col("physician_npi").asc()]
+    leaders = top_ranked(
+        volume.join(physicians.select("physician_npi"), "physician_npi"), order, n, "rank"
+    )
+    # From here on there are n physicians: each table is only searched for
+    # them, not shuffled. There are no more companies than lookup rows.
+    few = hinted(leaders.select("physician_npi"), n <= LOOKUP_ROW_LIMIT)
+    companies = hinted(in_class.select("company_name").distinct(), warehouse.lookup_is_small)
+    cost = (
+        in_class.join(few, "physician_npi", "left_semi")
+        .groupBy("physician_npi")
+        .agg(money_sum(F.col("total_drug_cost_usd")).alias("class_drug_cost"))
     )
     payments = (
-        warehouse.bridge_physician_company_payments.join(companies, "company_name", "left_semi")
+        warehouse.bridge_physician_company_payments.join(few, "physician_npi", "left_semi")
+        .join(companies, "company_name", "left_semi")
         .groupBy("physician_npi")
         .agg(F.sum("total_payment_usd").alias("paid_usd"))
     )
-    physicians = warehouse.dim_physician.where(C.specialist(F.col("specialty")))
-    if paid is not None:
-        physicians = physicians.where(F.col("received_pharma_payments") == F.lit(paid))
-    if states:
-        physicians = physicians.where(F.col("state").isin(list(states)))
-    found = volume.join(physicians, "physician_npi").join(payments, "physician_npi", "left")
-    order = [F.col("class_claims").desc_nulls_last(), F.col("physician_npi").asc()]
-    return top_ranked(found, order, n, "rank").select(
+    found = (
+        leaders.join(physicians.join(few, "physician_npi", "left_semi"), "physician_npi")
+        .join(cost, "physician_npi")
+        .join(payments, "physician_npi", "left")
+    )
+    return found.select(
         "rank",
         "physician_display_id",
         "specialty",
@@ -171,7 +188,7 @@ def kol_finder(
         "class_drug_cost",
         F.coalesce("paid_usd", F.lit(0)).alias("total_payments_usd"),
         C.paid_mark(F.col("received_pharma_payments")).alias("paid"),
-    )
+    ).orderBy("rank")
 
 
 def kol_points(kols: DataFrame) -> DataFrame:
@@ -217,7 +234,7 @@ def company_kpis(warehouse: Warehouse, company: str) -> DataFrame:
     return (
         _of_company(warehouse, company)
         .agg(
-            F.sum(amount).alias("total_spend"),
+            money_sum(amount).alias("total_spend"),
             F.count(F.lit(1)).alias("n_payments"),
             F.countDistinct("physician_npi").alias("physicians_paid"),
         )
@@ -267,7 +284,7 @@ def company_top_physicians(
         _of_company(warehouse, company)
         .groupBy("physician_npi")
         .agg(
-            F.sum(amount).alias("total_paid"),
+            money_sum(amount).alias("total_paid"),
             F.count(F.lit(1)).alias("payment_count"),
             F.max(amount).alias("largest_single"),
         )

@@ -66,7 +66,11 @@ def main() -> int:
 
     directory, *only = sys.argv[1:]
     spark = build_session(
-        "compare", "local[8]", spark__sql__shuffle__partitions=8, spark__ui__enabled="false"
+        "compare",
+        "local[8]",
+        spark__sql__shuffle__partitions=8,
+        spark__ui__enabled="false",
+        spark__ui__showConsoleProgress="false",
     )
     spark.sparkContext.setLogLevel("ERROR")
     connection = oracle_connection(directory)
