@@ -47,50 +47,54 @@ def kol_identification(
         top,
         "rank_in_class",
     )
-    # At most ``top`` rows per class, and no more classes than lookup rows.
-    few = hinted(leaders.select(*pair), warehouse.lookup_is_small)
-    cost = (
-        prescriptions.join(few, pair, "left_semi")
-        .groupBy(*pair)
-        .agg(money_sum(F.col("total_drug_cost_usd")).alias("class_drug_cost_usd"))
-    )
-    who = physicians.select(
-        "physician_npi", "physician_display_id", "specialty", "state"
-    ).join(few.select("physician_npi"), "physician_npi", "left_semi")
-
     so_far = (
         Window.partitionBy("therapeutic_class")
         .orderBy("rank_in_class")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     equals = Window.partitionBy(*same_value)
-    described = (
+    placed = (
         leaders.withColumn("running_volume", F.sum(claims).over(so_far))
         .withColumn("ahead", F.min("rank_in_class").over(equals) - 1)
         .join(frequencies, same_value, "left")
         .join(classes, "therapeutic_class")
-        .join(cost, pair)
-        .join(who, "physician_npi")
     )
     # A physician without volume ranks after all that have some.
     below = F.when(
         claims.isNotNull(), F.col("with_volume") - F.col("ahead") - F.col("ties")
     ).otherwise(F.coalesce("with_volume", F.lit(0)))
     percentile = F.coalesce(double_ratio(below, F.col("physicians") - 1), F.lit(0.0))
-    return described.select(
-        "therapeutic_class",
+    share = percentage(F.col("running_volume"), F.col("class_volume"), 2)
+    graded = placed.select(
+        *pair,
         C.kol_tier(percentile).alias("kol_tier"),
         "rank_in_class",
+        "class_claim_count",
+        share.alias("cumulative_share_pct"),
+    )
+    # At most ``top`` rows per class, and no more classes than lookup rows.
+    small = warehouse.lookup_is_small
+    named = physicians.select(
+        "physician_npi", "physician_display_id", "specialty", "state"
+    ).join(hinted(graded, small), "physician_npi")
+    shown = [
+        "therapeutic_class",
+        "kol_tier",
+        "rank_in_class",
         "physician_npi",
         "physician_display_id",
         "specialty",
         "state",
         "class_claim_count",
-        "class_drug_cost_usd",
-        percentage(F.col("running_volume"), F.col("class_volume"), 2).alias(
-            "cumulative_share_pct"
-        ),
-    ).orderBy("therapeutic_class", "rank_in_class")
+        "cumulative_share_pct",
+    ]
+    return (
+        prescriptions.select(*pair, "total_drug_cost_usd")
+        .join(hinted(named, small), pair)
+        .groupBy(*shown)
+        .agg(money_sum(F.col("total_drug_cost_usd")).alias("class_drug_cost_usd"))
+        .orderBy("therapeutic_class", "rank_in_class")
+    )
 
 
 def payment_prescribing_correlation(

@@ -161,34 +161,35 @@ def kol_finder(
     )
     # From here on there are n physicians: each table is only searched for
     # them, not shuffled. There are no more companies than lookup rows.
-    few = hinted(leaders.select("physician_npi"), n <= LOOKUP_ROW_LIMIT)
+    few = n <= LOOKUP_ROW_LIMIT
     companies = hinted(in_class.select("company_name").distinct(), warehouse.lookup_is_small)
-    cost = (
-        in_class.join(few, "physician_npi", "left_semi")
-        .groupBy("physician_npi")
-        .agg(money_sum(F.col("total_drug_cost_usd")).alias("class_drug_cost"))
-    )
     payments = (
-        warehouse.bridge_physician_company_payments.join(few, "physician_npi", "left_semi")
+        warehouse.bridge_physician_company_payments.join(
+            hinted(leaders.select("physician_npi"), few), "physician_npi", "left_semi"
+        )
         .join(companies, "company_name", "left_semi")
         .groupBy("physician_npi")
         .agg(F.sum("total_payment_usd").alias("paid_usd"))
     )
-    found = (
-        leaders.join(physicians.join(few, "physician_npi", "left_semi"), "physician_npi")
-        .join(cost, "physician_npi")
+    shown = ["rank", "physician_display_id", "specialty", "state", "class_claims"]
+    mark = C.paid_mark(F.col("received_pharma_payments")).alias("paid")
+    named = physicians.join(hinted(leaders, few), "physician_npi").select(
+        "physician_npi", *shown, mark
+    )
+    return (
+        in_class.select("physician_npi", "total_drug_cost_usd")
+        .join(hinted(named, few), "physician_npi")
+        .groupBy("physician_npi", *shown, "paid")
+        .agg(money_sum(F.col("total_drug_cost_usd")).alias("class_drug_cost"))
         .join(payments, "physician_npi", "left")
+        .select(
+            *shown,
+            "class_drug_cost",
+            F.coalesce("paid_usd", F.lit(0)).alias("total_payments_usd"),
+            "paid",
+        )
+        .orderBy("rank")
     )
-    return found.select(
-        "rank",
-        "physician_display_id",
-        "specialty",
-        "state",
-        "class_claims",
-        "class_drug_cost",
-        F.coalesce("paid_usd", F.lit(0)).alias("total_payments_usd"),
-        C.paid_mark(F.col("received_pharma_payments")).alias("paid"),
-    ).orderBy("rank")
 
 
 def kol_points(kols: DataFrame) -> DataFrame:

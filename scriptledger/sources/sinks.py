@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 def replace_parquet(
     frame: DataFrame, path: str, partition_by: Sequence[str] = ()
 ) -> DataFrame:
-    """Overwrite ``path`` and hand back a frame that reads it."""
-    writer = frame.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    """Overwrite ``path`` and hand back a frame that reads it.
+
+    With ``partition_by``, rows are rebalanced on it first: adaptive execution
+    then splits a hot value over several files and merges small ones, where
+    every task would otherwise write a file for each value.
+    """
+    rows = frame.hint("rebalance", *partition_by) if partition_by else frame
+    rows.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path).select(frame.columns)
 
 
