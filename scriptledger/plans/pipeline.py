@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.utils import AnalysisException
 
+from scriptledger import schemas
 from scriptledger.operators.lookup import fits_broadcast, hinted
 from scriptledger.plans.warehouse import MART, RAW, Warehouse
 from scriptledger.sources import files, load, sinks
@@ -123,7 +124,13 @@ def build_mart(
 
 def open_mart(spark: SparkSession, out: str, names: Collection[str] = MATERIALIZED) -> Warehouse:
     """A warehouse over tables written by ``build_mart`` as plain files."""
-    return Warehouse(sinks.read_parquet_tables(spark, f"{out}/mart", list(names)))
+    declared = {"fact_prescriptions": schemas.FACT_PRESCRIPTIONS}
+    return Warehouse(
+        {
+            name: sinks.read_parquet(spark, f"{out}/mart/{name}", declared.get(name))
+            for name in names
+        }
+    )
 
 
 def build(

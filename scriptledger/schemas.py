@@ -72,3 +72,13 @@ DRUG_SEED = _struct(
     manufacturer_canonical=_text,
     therapeutic_class=_text,
 )
+# A table written in class directories: the type of the class is declared, as
+# names of directories would otherwise be guessed at.
+FACT_PRESCRIPTIONS = _struct(
+    physician_npi=_text,
+    drug_brand_name=_text,
+    company_name=_text,
+    therapeutic_class=_text,
+    total_claim_count=_int,
+    total_drug_cost_usd=MONEY,
+)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def replace_parquet(
@@ -18,7 +19,17 @@ def replace_parquet(
     """
     rows = frame.hint("rebalance", *partition_by) if partition_by else frame
     rows.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path).select(frame.columns)
+    return read_parquet(frame.sparkSession, path, frame.schema)
+
+
+def read_parquet(
+    spark: SparkSession, path: str, schema: T.StructType | None = None
+) -> DataFrame:
+    """A written table; ``schema`` restores its column order if it was
+    partitioned, which moves those columns to the end."""
+    if schema is None:
+        return spark.read.parquet(path)
+    return spark.read.schema(schema).parquet(path).select(schema.names)
 
 
 def replace_bucketed(
@@ -41,9 +52,3 @@ def replace_bucketed(
         writer = writer.option("path", path)
     writer.saveAsTable(table)
     return frame.sparkSession.table(table)
-
-
-def read_parquet_tables(
-    spark: SparkSession, directory: str, names: Sequence[str]
-) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{directory}/{name}") for name in names}
