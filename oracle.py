@@ -9,6 +9,7 @@ integer arithmetic, so that a value on a boundary rounds away from zero.
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
 
 from scriptledger.functions import rules
 from scriptledger.registry import CLASS, COMPANY, SPECIALTY, STATES
@@ -890,18 +891,18 @@ _MONEY_COLUMNS: dict[str, list[str]] = {
 }
 
 
-def _with_ctes(body: str) -> str:
+def _with_ctes(body: str, given: Collection[str]) -> str:
     """The statement behind the CTEs it needs, and those they need."""
     heads = {head.split("(")[0]: head for head in _CTES}
     needed, queue = set(), [body]
     while queue:
         sql = queue.pop()
-        for name in set(heads) - needed:
+        for name in set(heads) - needed - set(given):
             if re.search(rf"\b{name}\b", sql):
                 needed.add(name)
                 queue.append(_CTES[heads[name]])
     parts = [f"{head} AS ({_CTES[head]})" for name, head in heads.items() if name in needed]
-    return f"WITH {', '.join(parts)} {body}"
+    return f"WITH {', '.join(parts)} {body}" if parts else body
 
 
 def _as_doubles(body: str, columns: list[str]) -> str:
@@ -911,8 +912,10 @@ def _as_doubles(body: str, columns: list[str]) -> str:
     return f"SELECT * REPLACE ({casts}) FROM ({body})"
 
 
-def statements() -> dict[str, str]:
+def statements(given: Collection[str] = ()) -> dict[str, str]:
+    """Every statement by query name. Tables named in ``given`` are taken from
+    the database instead of derived from the driver tables."""
     return {
-        name: _with_ctes(_as_doubles(body, _MONEY_COLUMNS.get(name, [])))
+        name: _with_ctes(_as_doubles(body, _MONEY_COLUMNS.get(name, [])), given)
         for name, body in _STATEMENTS.items()
     }

@@ -119,7 +119,7 @@ def _ends(w: Warehouse) -> DataFrame:
     )
 
 
-_BUILDERS: dict[str, Callable[[Warehouse], DataFrame]] = {
+BUILDERS: dict[str, Callable[[Warehouse], DataFrame]] = {
     # loads
     "load_open_payments": _load_payments,
     "load_part_d_prescribers": _load_prescribers,
@@ -212,4 +212,4 @@ def _query(builder: Callable[[Warehouse], DataFrame]) -> Query:
     return lambda spark, directory: plain_numbers(builder(warehouse_over(spark, directory)))
 
 
-QUERIES: dict[str, Query] = {name: _query(builder) for name, builder in _BUILDERS.items()}
+QUERIES: dict[str, Query] = {name: _query(builder) for name, builder in BUILDERS.items()}
