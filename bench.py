@@ -14,7 +14,7 @@ import time
 
 from scriptledger import registry
 from scriptledger.plans import analyses, pipeline, quality_suite, views
-from scriptledger.plans.warehouse import RAW
+from scriptledger.plans.warehouse import RAW, Warehouse
 from scriptledger.session import build_session
 from scriptledger.sources import sinks
 
@@ -67,9 +67,11 @@ def main() -> None:
 
     def load():
         lazy = registry.warehouse_over(spark, directory)
-        return registry.Warehouse(
-            {name: sinks.replace_parquet(lazy.table(name), f"{out}/raw/{name}") for name in RAW}
-        )
+        writes = {
+            name: lambda name=name: sinks.replace_parquet(lazy.table(name), f"{out}/raw/{name}")
+            for name in RAW
+        }
+        return Warehouse(pipeline.write_together(writes))
 
     raw = timed("load_raw", load)
     mart = timed("build_mart", lambda: pipeline.build_mart(raw, out)).warehouse

@@ -352,6 +352,12 @@ _CTES: dict[str, str] = {
     "company_categories": f"""
       SELECT payment_category, {_rounded(_cents("sum(payment_amount_usd)"), "100000", 1)} AS spend_k
       FROM fact_payments WHERE company_name = {_text(COMPANY)} GROUP BY 1""",
+    "company_leaders": f"""
+      SELECT physician_display_id, specialty, state, sum(payment_amount_usd) AS total_paid,
+             count(*) AS payment_count, max(payment_amount_usd) AS largest_single
+      FROM fact_payments JOIN dim_physician USING (physician_npi)
+      WHERE company_name = {_text(COMPANY)} GROUP BY 1, 2, 3
+      ORDER BY total_paid DESC, 1 NULLS FIRST, 2 NULLS FIRST, 3 NULLS FIRST LIMIT 25""",
     "kols": _kols(),
     "market": _market(),
     "company_market": _market(COMPANY),
@@ -690,12 +696,11 @@ _STATEMENTS: dict[str, str] = {
              count(DISTINCT physician_npi) AS physicians
       FROM fact_payments
       WHERE company_name = {_text(COMPANY)} AND length(recipient_state) = 2 GROUP BY 1""",
-    "company_top_physicians": f"""
-      SELECT physician_display_id, specialty, state, sum(payment_amount_usd) AS total_paid,
-             count(*) AS payment_count, max(payment_amount_usd) AS largest_single
-      FROM fact_payments JOIN dim_physician USING (physician_npi)
-      WHERE company_name = {_text(COMPANY)} GROUP BY 1, 2, 3
-      ORDER BY total_paid DESC, 1 NULLS FIRST, 2 NULLS FIRST, 3 NULLS FIRST LIMIT 25""",
+    "company_top_physicians": "SELECT * FROM company_leaders",
+    "company_display_table": """
+      SELECT * REPLACE ('$' || format('{:,.0f}', total_paid::DOUBLE) AS total_paid,
+                        '$' || format('{:,.0f}', largest_single::DOUBLE) AS largest_single)
+      FROM company_leaders""",
     "company_top_physicians_by_npi": f"""
       SELECT physician_npi, physician_display_id, specialty, state,
              sum(payment_amount_usd) AS total_paid,

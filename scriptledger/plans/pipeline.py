@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection
+import contextlib
+from collections.abc import Callable, Collection
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.utils import AnalysisException
 
 from scriptledger import schemas
 from scriptledger.operators.lookup import fits_broadcast, hinted
-from scriptledger.plans.warehouse import MART, RAW, Warehouse
+from scriptledger.plans.warehouse import MART, MART_WAVES, RAW, Warehouse
 from scriptledger.sources import files, load, sinks
 
 SKIPPED = -1
@@ -48,6 +50,14 @@ class SourceFiles:
     seed_csv: str
 
 
+def write_together(writes: dict[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
+    """Run independent writes side by side, so that one table's last tasks do
+    not leave the cluster idle. The first failure is raised."""
+    with ThreadPoolExecutor(max_workers=max(len(writes), 1)) as pool:
+        running = {name: pool.submit(write) for name, write in writes.items()}
+        return {name: job.result() for name, job in running.items()}
+
+
 def load_raw(
     spark: SparkSession, paths: SourceFiles, out: str, skip: Collection[str] = ()
 ) -> Built:
@@ -72,19 +82,18 @@ def load_raw(
             files.read_by_drug(spark, paths.by_drug_csv), small
         ),
     }
-    tables, counts = {"drug_company_seed": seed}, {}
-    for name, step in steps.items():
-        path = f"{out}/raw/{name}"
-        if name in skip:
-            counts[name] = SKIPPED
-            try:
-                tables[name] = spark.read.parquet(path)
-            except AnalysisException:
-                continue
-        else:
-            tables[name] = sinks.replace_parquet(step(), path)
-            counts[name] = tables[name].count()
-    return Built(Warehouse(tables), counts)
+    written = write_together(
+        {
+            name: lambda name=name: sinks.replace_parquet(steps[name](), f"{out}/raw/{name}")
+            for name in LOAD_STEPS
+            if name not in skip
+        }
+    )
+    counts = {name: written[name].count() if name in written else SKIPPED for name in LOAD_STEPS}
+    for name in skip:
+        with contextlib.suppress(AnalysisException):
+            written[name] = spark.read.parquet(f"{out}/raw/{name}")
+    return Built(Warehouse({"drug_company_seed": seed, **written}), counts)
 
 
 def build_mart(
@@ -94,31 +103,31 @@ def build_mart(
     bucket_schema: str | None = None,
     buckets: int = 0,
 ) -> Built:
-    """Write the chosen models under ``out``/mart, in dependency order, each
-    from what was written before it.
+    """Write the chosen models under ``out``/mart, each from what was written
+    before it.
 
     With ``bucket_schema`` and ``buckets``, the physician-keyed tables become
     bucketed catalog tables instead, which join without a shuffle.
     """
-    tables: dict[str, DataFrame] = {
-        name: raw.table(name) for name in RAW if name in raw.tables
-    }
+    tables = {name: raw.table(name) for name in RAW if name in raw.tables}
     counts = {}
-    for name in [model for model in MART if model in materialized]:
-        model = Warehouse(tables, raw.lookup_row_limit).table(name)
+
+    def write(name: str, model: DataFrame) -> DataFrame:
+        path = f"{out}/mart/{name}"
         if bucket_schema and name in BUCKETED:
-            tables[name] = sinks.replace_bucketed(
-                model,
-                f"{bucket_schema}.{name}",
-                BUCKETED[name],
-                buckets,
-                path=f"{out}/mart/{name}",
-            )
-        else:
-            tables[name] = sinks.replace_parquet(
-                model, f"{out}/mart/{name}", PARTITIONED.get(name, ())
-            )
-        counts[name] = tables[name].count()
+            table = f"{bucket_schema}.{name}"
+            return sinks.replace_bucketed(model, table, BUCKETED[name], buckets, path)
+        return sinks.replace_parquet(model, path, PARTITIONED.get(name, ()))
+
+    for wave in MART_WAVES:
+        models = Warehouse(tables, raw.lookup_row_limit)
+        # composed here, one after another; only the writing is concurrent
+        frames = {name: models.table(name) for name in wave if name in materialized}
+        written = write_together(
+            {name: lambda name=name: write(name, frames[name]) for name in frames}
+        )
+        tables.update(written)
+        counts.update({name: frame.count() for name, frame in written.items()})
     return Built(Warehouse(tables, raw.lookup_row_limit), counts)
 
 

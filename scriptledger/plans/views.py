@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptledger.functions import columns as C
@@ -197,20 +197,20 @@ def kol_points(kols: DataFrame) -> DataFrame:
     return kols.where(F.col("total_payments_usd") > 0)
 
 
-def kol_display_table(kols: DataFrame) -> DataFrame:
-    """The same rows with counts and dollars written out."""
+def _dollars(column: str) -> Column:
+    return F.concat(F.lit("$"), F.format_number(column, 0)).alias(column)
 
-    def dollars(column: str):
-        return F.concat(F.lit("$"), F.format_number(column, 0)).alias(column)
 
+def kol_display_table(kols: DataFrame) -> DataFrame:
+    """The same rows with counts and dollars written out."""
     return kols.select(
         "rank",
         "physician_display_id",
         "specialty",
         "state",
         F.format_number("class_claims", 0).alias("class_claims"),
-        dollars("class_drug_cost"),
-        dollars("total_payments_usd"),
+        _dollars("class_drug_cost"),
+        _dollars("total_payments_usd"),
         "paid",
     )
 
@@ -307,6 +307,18 @@ def company_top_physicians(
     )
 
 
+def company_display_table(top_physicians: DataFrame) -> DataFrame:
+    """The same rows with dollars written out."""
+    return top_physicians.select(
+        "physician_display_id",
+        "specialty",
+        "state",
+        _dollars("total_paid"),
+        "payment_count",
+        _dollars("largest_single"),
+    )
+
+
 # --- payment against prescribing ------------------------------------------
 
 

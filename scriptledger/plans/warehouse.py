@@ -17,16 +17,14 @@ INTERMEDIATE = [
     "int_physician_payments_agg",
     "int_physician_drug_prescribing",
 ]
-# In build order: each uses the ones before it.
-MART = [
-    "fact_payments",
-    "fact_prescriptions",
-    "dim_company",
-    "dim_drug",
-    "dim_physician",
-    "bridge_physician_company_payments",
-    "fact_payment_prescribing",
+# Written wave by wave: each wave uses the ones before it, and its own tables
+# are independent of each other.
+MART_WAVES = [
+    ["fact_payments", "fact_prescriptions", "dim_drug"],
+    ["dim_company", "dim_physician", "bridge_physician_company_payments"],
+    ["fact_payment_prescribing"],
 ]
+MART = [name for wave in MART_WAVES for name in wave]
 
 
 class Warehouse:

@@ -166,6 +166,9 @@ BUILDERS: dict[str, Callable[[Warehouse], DataFrame]] = {
     "company_top_physicians_by_npi": lambda w: views.company_top_physicians(
         w, COMPANY, by_npi=True
     ),
+    "company_display_table": lambda w: views.company_display_table(
+        views.company_top_physicians(w, COMPANY)
+    ),
     # payment against prescribing
     "paid_rx_company_options": views.paid_rx_company_options,
     "specialty_options": views.specialty_options,
