@@ -40,12 +40,22 @@ def int_physician_payments_agg(payments: DataFrame) -> DataFrame:
     )
 
 
+def prescribing_totals(attributed: DataFrame) -> DataFrame:
+    """Claims, cost and number of brands per pair, from prescribing rows that
+    already carry the maker of their brand."""
+    return attributed.groupBy(*PAIR).agg(
+        F.sum("total_claim_count").alias("company_claim_count"),
+        money_sum(F.col("total_drug_cost_usd")).alias("company_drug_cost_usd"),
+        F.countDistinct("drug_brand_name").alias("distinct_drugs_prescribed"),
+    )
+
+
 def int_physician_drug_prescribing(attributed: DataFrame) -> DataFrame:
-    """Claims and cost per pair, with the brands behind them, from prescribing
-    rows that already carry the maker of their brand.
+    """The same totals with the names of the brands.
 
     The set of brands of a pair is bounded by the lookup, and collecting it
-    once serves both the count and the list.
+    once serves both the count and the list. Where the list is not wanted,
+    ``prescribing_totals`` does with hash aggregates alone.
     """
     per_pair = attributed.groupBy(*PAIR).agg(
         F.sum("total_claim_count").alias("company_claim_count"),

@@ -122,7 +122,8 @@ def fact_prescriptions(prescribing: DataFrame, mapping: DataFrame) -> DataFrame:
 def fact_payment_prescribing(
     paid: DataFrame, prescribed: DataFrame, physicians: DataFrame
 ) -> DataFrame:
-    """Every pair that is paid, prescribing, or both.
+    """Every pair that is paid, prescribing, or both. ``prescribed`` has the
+    totals without the list of brands.
 
     Both inputs come out of an aggregate on the pair, so the outer join reuses
     their partitioning, and a hot physician or company has one row per pair.
@@ -134,16 +135,7 @@ def fact_payment_prescribing(
 
     pairs = (
         paid.select(*PAIR, "total_payment_usd", "payment_count", "max_single_payment_usd")
-        .join(
-            prescribed.select(
-                *PAIR,
-                "company_claim_count",
-                "company_drug_cost_usd",
-                "distinct_drugs_prescribed",
-            ),
-            PAIR,
-            "full_outer",
-        )
+        .join(prescribed, PAIR, "full_outer")
         .select(
             *PAIR,
             *or_zero(

@@ -116,6 +116,6 @@ class Warehouse:
     def _fact_payment_prescribing(self) -> DataFrame:
         return mart.fact_payment_prescribing(
             self.bridge_physician_company_payments,
-            self.int_physician_drug_prescribing,
+            intermediate.prescribing_totals(self.fact_prescriptions),
             self.dim_physician,
         )

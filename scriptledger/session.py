@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "scriptledger", master: str | None = None, **conf) -> SparkSession:
-    """A session with adaptive execution on and UTC dates.
+    """A session with adaptive execution on and dates in UTC.
 
     Shuffle width, memory and the checkpoint folder are left to the cluster:
     pass them as keyword arguments (dots written as double underscores) only
@@ -19,6 +19,8 @@ def build_session(app: str = "scriptledger", master: str | None = None, **conf)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Hash instead of sort where a shuffle turned out small enough per task.
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
         "spark.sql.session.timeZone": "UTC",
         **{key.replace("__", "."): str(value) for key, value in conf.items()},
     }

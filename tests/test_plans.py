@@ -9,6 +9,7 @@ from frames import rows, warehouse
 
 from scriptledger.operators.lookup import fits_broadcast
 from scriptledger.plans import analyses, pipeline, views
+from scriptledger.plans.intermediate import prescribing_totals
 from scriptledger.plans.warehouse import Warehouse
 
 
@@ -58,7 +59,7 @@ def test_a_large_lookup_is_not(spark, no_auto_broadcast):
 
 def test_the_outer_join_reuses_the_partitioning_of_its_inputs(small, no_auto_broadcast):
     paid = small.int_physician_payments_agg.select("physician_npi", "company_name", "payment_count")
-    prescribed = small.int_physician_drug_prescribing
+    prescribed = prescribing_totals(small.fact_prescriptions)
     separate = exchanges(physical(paid)) + exchanges(physical(prescribed))
     joined = paid.join(prescribed, ["physician_npi", "company_name"], "full_outer")
     assert exchanges(physical(joined)) == separate
