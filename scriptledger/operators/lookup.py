@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 LOOKUP_ROW_LIMIT = 50_000
 
 
+def rows_up_to(lookup: DataFrame, row_limit: int = LOOKUP_ROW_LIMIT) -> int:
+    """Number of rows, or ``row_limit + 1`` if there are more. Counting stops
+    there."""
+    return lookup.limit(row_limit + 1).count()
+
+
 def fits_broadcast(lookup: DataFrame, row_limit: int = LOOKUP_ROW_LIMIT) -> bool:
-    """Whether ``lookup`` has at most ``row_limit`` rows. Counting stops one
-    row past the limit."""
-    return lookup.limit(row_limit + 1).count() <= row_limit
+    """Whether ``lookup`` has at most ``row_limit`` rows."""
+    return rows_up_to(lookup, row_limit) <= row_limit
 
 
 def hinted(side: DataFrame, small: bool) -> DataFrame:

@@ -73,7 +73,7 @@ def kol_identification(
         share.alias("cumulative_share_pct"),
     )
     # At most ``top`` rows per class, and no more classes than lookup rows.
-    small = warehouse.lookup_is_small
+    small = warehouse.may_broadcast(top)
     named = physicians.select(
         "physician_npi", "physician_display_id", "specialty", "state"
     ).join(hinted(graded, small), "physician_npi")

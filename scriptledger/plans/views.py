@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from scriptledger.functions import columns as C
 from scriptledger.functions import rules
 from scriptledger.functions.ratios import money_sum, pearson, ratio, scaled
-from scriptledger.operators.lookup import LOOKUP_ROW_LIMIT, hinted
+from scriptledger.operators.lookup import hinted
 from scriptledger.operators.percentiles import percentile_of_ranked, ranked_histogram
 from scriptledger.operators.ranking import distinct_options, top_ranked
 from scriptledger.plans import analyses
@@ -161,7 +161,7 @@ def kol_finder(
     )
     # From here on there are n physicians: each table is only searched for
     # them, not shuffled. There are no more companies than lookup rows.
-    few = n <= LOOKUP_ROW_LIMIT
+    few = n <= warehouse.lookup_row_limit
     companies = hinted(in_class.select("company_name").distinct(), warehouse.lookup_is_small)
     payments = (
         warehouse.bridge_physician_company_payments.join(

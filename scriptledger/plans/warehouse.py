@@ -7,7 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
-from scriptledger.operators.lookup import LOOKUP_ROW_LIMIT, fits_broadcast, hinted
+from scriptledger.operators.lookup import LOOKUP_ROW_LIMIT, hinted, rows_up_to
 from scriptledger.plans import intermediate, mart, staging
 
 RAW = ["open_payments", "part_d_prescribers", "part_d_by_drug", "drug_company_seed"]
@@ -54,11 +54,22 @@ class Warehouse:
         raise AttributeError(name)
 
     @cached_property
-    def lookup_is_small(self) -> bool:
-        """Measured once: the lookup may be broadcast. It also bounds every
-        list of makers or classes drawn from attributed prescriptions."""
+    def lookup_rows(self) -> int:
+        """Size of the lookup, counted once and no further than the limit. It
+        bounds every list of makers or classes of attributed prescriptions."""
         lookup = self.tables.get("drug_company_seed", self.tables.get("dim_drug"))
-        return lookup is not None and fits_broadcast(lookup, self.lookup_row_limit)
+        if lookup is None:
+            return self.lookup_row_limit + 1
+        return rows_up_to(lookup, self.lookup_row_limit)
+
+    def may_broadcast(self, rows_per_lookup_row: int = 1) -> bool:
+        """Whether a frame with at most this many rows for each row of the
+        lookup is surely small."""
+        return self.lookup_rows * rows_per_lookup_row <= self.lookup_row_limit
+
+    @property
+    def lookup_is_small(self) -> bool:
+        return self.may_broadcast()
 
     def small_lookup(self) -> DataFrame:
         return hinted(self.int_drug_company_mapping, self.lookup_is_small)

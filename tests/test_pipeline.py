@@ -159,3 +159,11 @@ def test_views_take_sql_with_parameters(spark, small):
     assert found.first().n == expected > 0
     positional = spark.sql("SELECT count(*) AS n FROM dim_physician WHERE state = ?", args=["AS"])
     assert positional.first().n > 0
+
+
+def test_some_models_may_stay_lazy(spark, small, tmp_path):
+    built = pipeline.build_mart(small, str(tmp_path), materialized=["dim_physician"])
+    assert set(built.counts) == {"dim_physician"}
+    assert built.counts["dim_physician"] == small.dim_physician.count()
+    lazy = built.warehouse.fact_payment_prescribing
+    assert lazy.count() == small.fact_payment_prescribing.count()

@@ -57,6 +57,12 @@ def test_a_large_lookup_is_not(spark, no_auto_broadcast):
     assert fits_broadcast(large.drug_company_seed, 5)
 
 
+def test_leaders_are_broadcast_only_while_their_number_is_bounded(mart, no_auto_broadcast):
+    few = physical(analyses.kol_identification(mart, top=100))
+    many = physical(analyses.kol_identification(mart, top=1_000_000))
+    assert "BroadcastHashJoin" in few and "BroadcastHashJoin" not in many
+
+
 def test_the_outer_join_reuses_the_partitioning_of_its_inputs(small, no_auto_broadcast):
     paid = small.int_physician_payments_agg.select("physician_npi", "company_name", "payment_count")
     prescribed = prescribing_totals(small.fact_prescriptions)

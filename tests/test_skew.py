@@ -9,7 +9,7 @@ import pytest
 from comparing import difference, oracle_connection
 from conftest import SMALL
 
-import oracle
+import duckdb_statements
 from frames import prescribers, seed
 from scriptledger import registry, schemas
 from scriptledger.plans.warehouse import RAW, Warehouse
@@ -109,7 +109,7 @@ COMPARED = [
 def test_hot_keys(hot, name):
     warehouse, connection = hot
     frame = registry.plain_numbers(registry.BUILDERS[name](warehouse))
-    assert difference(frame, connection, oracle.statements(given=RAW)[name]) is None
+    assert difference(frame, connection, duckdb_statements.statements(given=RAW)[name]) is None
 
 
 @pytest.mark.parametrize(
@@ -120,7 +120,7 @@ def test_hot_keys_with_a_lookup_too_large_to_broadcast(hot, name):
     raw = {table: warehouse.table(table) for table in RAW}
     shuffled = Warehouse(raw, lookup_row_limit=3)
     frame = registry.plain_numbers(registry.BUILDERS[name](shuffled))
-    assert difference(frame, connection, oracle.statements(given=RAW)[name]) is None
+    assert difference(frame, connection, duckdb_statements.statements(given=RAW)[name]) is None
 
 
 def test_the_hot_keys_are_hot(hot):
