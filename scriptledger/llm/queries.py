@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from scriptledger.llm import op7_mixing, op10_sharding
+from scriptledger.llm import op7_mixing, op9_substrings, op10_sharding
 
 QUERIES = {
     "op7_entropy_balanced_mix": op7_mixing.query,
+    "op9_count_min_substrings": op9_substrings.query,
     "op10_hypergeometric_shards": op10_sharding.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_count_min_substrings": op9_substrings.SQL,
+}
