@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from scriptledger.llm import op5_topk, op7_mixing, op9_substrings, op10_sharding
+from scriptledger.llm import op5_topk, op6_jaccard, op7_mixing, op9_substrings, op10_sharding
 
 QUERIES = {
     "op5_norm_bucketed_topk": op5_topk.query,
+    "op6_parity_sketch_join": op6_jaccard.query,
     "op7_entropy_balanced_mix": op7_mixing.query,
     "op9_count_min_substrings": op9_substrings.query,
     "op10_hypergeometric_shards": op10_sharding.query,
