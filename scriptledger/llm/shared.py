@@ -94,7 +94,7 @@ def window_starts(offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(owner)) - first[owner] + offsets[:-1][owner], owner
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Batches joined up to ``limit`` bytes of text (a longer text stands alone),
     and larger ones cut: the memory of a task depends neither on the length of
     its partition nor on the session's batch size."""
