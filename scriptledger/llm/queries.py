@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from scriptledger.llm import op3_quality, op5_topk, op6_jaccard, op7_mixing, op9_substrings, op10_sharding
+from scriptledger.llm import op2_suffix_tree, op3_quality, op5_topk, op6_jaccard, op7_mixing, op9_substrings, op10_sharding
 
 QUERIES = {
+    "op2_probabilistic_suffix_tree": op2_suffix_tree.query,
     "op3_neighbour_vote_quality": op3_quality.query,
     "op5_norm_bucketed_topk": op5_topk.query,
     "op6_parity_sketch_join": op6_jaccard.query,
