@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scriptledger.llm import op2_suffix_tree, op3_quality, op5_topk, op6_jaccard, op7_mixing, op9_substrings, op10_sharding
+from scriptledger.llm import op2_suffix_tree, op3_quality, op5_topk, op6_jaccard, op7_mixing, op8_bpe, op9_substrings, op10_sharding
 
 QUERIES = {
     "op2_probabilistic_suffix_tree": op2_suffix_tree.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_norm_bucketed_topk": op5_topk.query,
     "op6_parity_sketch_join": op6_jaccard.query,
     "op7_entropy_balanced_mix": op7_mixing.query,
+    "op8_byte_level_bpe": op8_bpe.query,
     "op9_count_min_substrings": op9_substrings.query,
     "op10_hypergeometric_shards": op10_sharding.query,
 }
