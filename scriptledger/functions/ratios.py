@@ -11,12 +11,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-
 def money_sum(amount: Column) -> Column:
     """Sum of a decimal(14,2) as decimal(24,2).
 
     Adds whole cents as 64-bit integers, which is as exact as the decimal sum
-    (it raises rather than wraps) with a smaller and faster buffer.
+    (under ANSI arithmetic, which the session sets, it raises rather than wraps) with a smaller and faster buffer.
     """
     cents = F.sum((amount * F.lit(100)).cast("bigint"))
     return (cents.cast("decimal(22,0)") * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(24,2)")
@@ -44,22 +43,19 @@ def double_ratio(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))
 
 
-def pearson(
-    n: Column,
-    sum_x: Column,
-    sum_y: Column,
-    sum_xx: Column,
-    sum_yy: Column,
-    sum_xy: Column,
-    varies: Column,
-) -> Column:
-    """Correlation from sums; NULL unless both sides vary.
+def pearson(covariance: Column, spread_x: Column, spread_y: Column, varies: Column) -> Column:
+    """Correlation from centred moments (a covariance and two standard deviations,
+    all over the same count); NULL unless both sides vary.
 
-    ``varies`` has to say so exactly (smallest < largest on both sides):
-    rounding can leave the variance of equal values just above zero.
+    ``varies`` has to say so exactly (smallest < largest on both sides): rounding
+    can leave the spread of equal values just above zero. The bounds only take
+    off a last bit beyond 1.
     """
-    covariance = n * sum_xy - sum_x * sum_y
-    spread_x = F.greatest(n * sum_xx - sum_x * sum_x, F.lit(0.0))
-    spread_y = F.greatest(n * sum_yy - sum_y * sum_y, F.lit(0.0))
-    spread = F.sqrt(spread_x) * F.sqrt(spread_y)
-    return F.when(varies, F.try_divide(covariance, spread))
+    r = F.try_divide(covariance, spread_x * spread_y)
+    return F.when(varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+
+
+def pearson_of(x: Column, y: Column) -> Column:
+    """Aggregate: correlation of two double columns without NULLs."""
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return pearson(F.covar_pop(x, y), F.stddev_pop(x), F.stddev_pop(y), varies)

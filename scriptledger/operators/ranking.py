@@ -13,13 +13,33 @@ def top_per_group(
 ) -> DataFrame:
     """The first ``k`` rows of each group, numbered from 1.
 
-    With no other window beside it, the rank filter is applied in each task
-    before the shuffle too, so a hot group sends at most ``k`` rows per task.
+    Up to the planner's limit on k (1000 by default) the rank filter is applied
+    in each task before the shuffle too, if no other window stands beside it.
+    For a larger k, filter by ``rank_cut`` first.
     """
     numbered = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return rows.withColumn(rank, numbered).where(F.col(rank) <= k)
 
 
+def rank_cut(frequencies: DataFrame, keys: Sequence[str], value: str, frequency: str, k: int) -> DataFrame:
+    """Per group, the least value (NULL last) that the first ``k`` rows in falling
+    order of ``value`` reach, as ``_least``, and whether they reach its NULLs, as
+    ``_nulls``. The window has a row per distinct value."""
+    ahead = Window.partitionBy(*keys).orderBy(F.col(value).desc_nulls_last())
+    before = F.coalesce(F.sum(frequency).over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return (
+        frequencies.withColumn("_before", before)
+        .where(F.col("_before") < k)
+        .groupBy(*keys)
+        .agg(F.min(value).alias("_least"), F.bool_or(F.col(value).isNull()).alias("_nulls"))
+    )
+
+
+def may_rank(value: str) -> Column:
+    """Rows at or above the cut of ``rank_cut``."""
+    return F.col("_nulls") | (F.col(value) >= F.col("_least"))
+
+
 def top_ranked(
     rows: DataFrame, order: Sequence[Column], n: int, rank: str
 ) -> DataFrame:
@@ -29,12 +49,12 @@ def top_ranked(
     return rows.orderBy(*order).limit(n).withColumn(rank, numbered)
 
 
-def distinct_options(rows: DataFrame, column: str, limit: int = 200) -> DataFrame:
-    """Sorted distinct non-NULL values, as a filter list would offer them."""
-    return (
+def distinct_options(rows: DataFrame, column: str, limit: int | None = 200) -> DataFrame:
+    """Sorted distinct non-NULL values, as a filter list would offer them; ``None`` lists all."""
+    found = (
         rows.select(column)
         .where(F.col(column).isNotNull())
         .distinct()
         .orderBy(column)
-        .limit(limit)
     )
+    return found if limit is None else found.limit(limit)

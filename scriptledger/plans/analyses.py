@@ -10,7 +10,7 @@ from scriptledger.functions import rules
 from scriptledger.functions.ratios import double_ratio, money_sum, pearson, percentage, ratio
 from scriptledger.operators.lookup import hinted
 from scriptledger.operators.percentiles import percentile_of_ranked, ranked_histogram
-from scriptledger.operators.ranking import top_per_group
+from scriptledger.operators.ranking import may_rank, rank_cut, top_per_group
 from scriptledger.plans.warehouse import Warehouse
 
 
@@ -20,19 +20,27 @@ def kol_identification(
     """The ``top`` prescribers of each class with tier and cumulative share.
 
     There are few classes and one may hold much of the data, so no window
-    spans a class. The top rows come from a top-k per group; what they need to
-    know of the rest of their class (its size, its volume, how many sit below
-    them) comes from a frequency table of claim counts. Ranking shuffles keys
-    and claims only; the other columns are looked up for the few rows left.
+    spans a class. What the top rows need to know of the rest of their class
+    (its size, its volume, how many sit below them) comes from a frequency table
+    of claim counts. That table also says from which claim count on a row can be
+    among the first ``top``, so whatever ``top`` is, other rows are dropped where
+    they are and only these (and ties at the cut) meet in a class. Claims and
+    cost are summed once, before any join: a repeated physician is listed again
+    but multiplies no sum.
     """
     pair = ["physician_npi", "therapeutic_class"]
     same_value = ["therapeutic_class", "class_claim_count"]
     claims = F.col("class_claim_count")
-    prescriptions, physicians = warehouse.fact_prescriptions, warehouse.dim_physician
     volume = (
-        prescriptions.groupBy(*pair)
-        .agg(F.sum("total_claim_count").alias("class_claim_count"))
-        .join(physicians.select("physician_npi"), "physician_npi")
+        warehouse.fact_prescriptions.groupBy(*pair)
+        .agg(
+            F.sum("total_claim_count").alias("class_claim_count"),
+            money_sum(F.col("total_drug_cost_usd")).alias("class_drug_cost_usd"),
+        )
+        .join(
+            warehouse.dim_physician.select("physician_npi", "physician_display_id", "specialty", "state"),
+            "physician_npi",
+        )
     )
     frequencies = volume.groupBy(*same_value).agg(F.count(F.lit(1)).alias("ties"))
     classes = frequencies.groupBy("therapeutic_class").agg(
@@ -41,7 +49,10 @@ def kol_identification(
         F.sum(claims * F.col("ties")).alias("class_volume"),
     )
     leaders = top_per_group(
-        volume,
+        volume.join(
+            hinted(rank_cut(frequencies, ["therapeutic_class"], "class_claim_count", "ties", top), warehouse.lookup_is_small),
+            "therapeutic_class",
+        ).where(may_rank("class_claim_count")),
         ["therapeutic_class"],
         [claims.desc_nulls_last(), F.col("physician_npi").asc()],
         top,
@@ -65,36 +76,18 @@ def kol_identification(
     ).otherwise(F.coalesce("with_volume", F.lit(0)))
     percentile = F.coalesce(double_ratio(below, F.col("physicians") - 1), F.lit(0.0))
     share = percentage(F.col("running_volume"), F.col("class_volume"), 2)
-    graded = placed.select(
-        *pair,
-        C.kol_tier(percentile).alias("kol_tier"),
-        "rank_in_class",
-        "class_claim_count",
-        share.alias("cumulative_share_pct"),
-    )
-    # At most ``top`` rows per class, and no more classes than lookup rows.
-    small = warehouse.may_broadcast(top)
-    named = physicians.select(
-        "physician_npi", "physician_display_id", "specialty", "state"
-    ).join(hinted(graded, small), "physician_npi")
-    shown = [
+    return placed.select(
         "therapeutic_class",
-        "kol_tier",
+        C.kol_tier(percentile).alias("kol_tier"),
         "rank_in_class",
         "physician_npi",
         "physician_display_id",
         "specialty",
         "state",
         "class_claim_count",
-        "cumulative_share_pct",
-    ]
-    return (
-        prescriptions.select(*pair, "total_drug_cost_usd")
-        .join(hinted(named, small), pair)
-        .groupBy(*shown)
-        .agg(money_sum(F.col("total_drug_cost_usd")).alias("class_drug_cost_usd"))
-        .orderBy("therapeutic_class", "rank_in_class")
-    )
+        share.alias("cumulative_share_pct"),
+        "class_drug_cost_usd",
+    ).orderBy("therapeutic_class", "rank_in_class")
 
 
 def payment_prescribing_correlation(
@@ -102,9 +95,10 @@ def payment_prescribing_correlation(
 ) -> DataFrame:
     """Paid against unpaid prescribers of a company's drugs within a specialty.
 
-    Pairs collapse to one row per claim count first. Those rows carry the sums
-    that means and correlation need, and are the histogram the medians are
-    read from, so each pair is shuffled once at most.
+    Pairs collapse to one row per claim count first. Those rows carry payments'
+    mean and centred squares, and are the histogram the medians are read from,
+    so each pair is shuffled once at most. A cell is then one task's, with a row
+    per distinct claim count.
     """
     cell = ["specialty", "company_name"]
     payment, claims, n = F.col("payment"), F.col("company_claim_count"), F.col("n")
@@ -118,21 +112,24 @@ def payment_prescribing_correlation(
     )
     histogram = pairs.groupBy(*cell, "is_paid", "company_claim_count").agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(payment).alias("paid_sum"),
-        F.sum(payment * payment).alias("paid_squares"),
+        F.avg(payment).alias("paid_mean"),
+        (F.var_pop(payment) * F.count(F.lit(1))).alias("paid_squares"),
         F.min(payment).alias("paid_least"),
         F.max(payment).alias("paid_most"),
     )
-    ranked = ranked_histogram(
-        histogram.repartition(*cell), [*cell, "is_paid"], "company_claim_count", "n"
-    )
+    ranked = ranked_histogram(histogram, [*cell, "is_paid"], "company_claim_count", "n")
+    # Distances from the group's means, in the partitioning the ranks need anyway.
+    group = Window.partitionBy(*cell, "is_paid")
+    size = F.sum("n").over(group)
+    ranked = ranked.withColumn(
+        "dx", F.col("paid_mean") - F.sum(n * F.col("paid_mean")).over(group) / size
+    ).withColumn("dy", claims - F.sum(n * claims.cast("double")).over(group) / size)
     paid, unpaid = F.col("is_paid"), ~F.col("is_paid")
 
     def total(value: Column, where: Column) -> Column:
         return F.sum(F.when(where, value))
 
-    weight = n.cast("double")
-    volume = claims.cast("double")
+    dx, dy = F.col("dx"), F.col("dy")
     stats = ranked.groupBy(*cell).agg(
         F.coalesce(total(n, paid), F.lit(0)).alias("n_paid"),
         F.coalesce(total(n, unpaid), F.lit(0)).alias("n_unpaid"),
@@ -140,11 +137,9 @@ def payment_prescribing_correlation(
         total(n * claims, unpaid).alias("claims_unpaid"),
         percentile_of_ranked(0.5, "company_claim_count", "n", paid).alias("median_paid"),
         percentile_of_ranked(0.5, "company_claim_count", "n", unpaid).alias("median_unpaid"),
-        total(F.col("paid_sum"), paid).alias("x"),
-        total(F.col("paid_squares"), paid).alias("xx"),
-        total(weight * volume, paid).alias("y"),
-        total(weight * volume * volume, paid).alias("yy"),
-        total(F.col("paid_sum") * volume, paid).alias("xy"),
+        total(n * dx * dy, paid).alias("covariance"),
+        F.sqrt(total(F.col("paid_squares") + n * dx * dx, paid)).alias("spread_x"),
+        F.sqrt(total(n * dy * dy, paid)).alias("spread_y"),
         (
             (F.min(F.when(paid, F.col("paid_least"))) < F.max(F.when(paid, F.col("paid_most"))))
             & (F.min(F.when(paid, claims)) < F.max(F.when(paid, claims)))
@@ -155,9 +150,7 @@ def payment_prescribing_correlation(
         F.col("claims_paid").cast("double") * n_unpaid.cast("double"),
         F.col("claims_unpaid").cast("double") * n_paid.cast("double"),
     )
-    r = pearson(
-        n_paid.cast("double"), *[F.col(name) for name in ["x", "y", "xx", "yy", "xy", "varies"]]
-    )
+    r = pearson(*[F.col(name) for name in ["covariance", "spread_x", "spread_y", "varies"]])
     return (
         stats.where((n_paid >= min_n) & (n_unpaid >= min_n))
         .select(
@@ -176,11 +169,7 @@ def payment_prescribing_correlation(
 
 
 def company_spend_efficiency(warehouse: Warehouse) -> DataFrame:
-    """What a company spends against what paid physicians prescribe of it.
-
-    The fact has one row per physician and company, so paid rows are paid
-    physicians and need no distinct.
-    """
+    """What a company spends against what the physicians it paid prescribe of it."""
     pays = F.col("total_payment_usd") > 0
     free = F.col("total_payment_usd") == 0
     claims, cost = F.col("company_claim_count"), F.col("company_drug_cost_usd")
@@ -188,7 +177,7 @@ def company_spend_efficiency(warehouse: Warehouse) -> DataFrame:
         warehouse.fact_payment_prescribing.groupBy("company_name")
         .agg(
             F.sum("total_payment_usd").alias("total_spend_usd"),
-            F.count_if(pays).alias("physicians_paid"),
+            F.count_distinct(F.when(pays, F.col("physician_npi"))).alias("physicians_paid"),
             F.sum(F.when(pays, claims)).alias("claims_from_paid"),
             F.sum(F.when(pays, cost)).alias("drug_revenue_from_paid_usd"),
             F.sum(F.when(free, claims)).alias("claims_from_unpaid"),
@@ -326,7 +315,7 @@ def physician_loyalty_scoring(
     who = warehouse.dim_physician.select(
         "physician_npi", "physician_display_id", "specialty", "state"
     )
-    score = F.round(F.col("squares") * 10000 / (total * total), 0)
+    score = F.round(double_ratio(F.col("squares") * 10000, total * total), 0)
     return (
         scored.withColumn("hhi_score", score)
         .join(who, "physician_npi", "left")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from scriptledger.functions import columns as C
 from scriptledger.functions import rules
-from scriptledger.functions.ratios import money_sum, pearson, ratio, scaled
+from scriptledger.functions.ratios import money_sum, pearson_of, ratio, scaled
 from scriptledger.operators.lookup import hinted
 from scriptledger.operators.percentiles import percentile_of_ranked, ranked_histogram
 from scriptledger.operators.ranking import distinct_options, top_ranked
@@ -152,17 +152,22 @@ def kol_finder(
         physicians = physicians.where(F.col("received_pharma_payments") == F.lit(paid))
     if states:
         physicians = physicians.where(F.col("state").isin(list(states)))
-    volume = in_class.groupBy("physician_npi").agg(
-        F.sum("total_claim_count").alias("class_claims")
+    # Claims and cost are summed before any join, so that a repeated physician
+    # multiplies neither.
+    per_company = in_class.groupBy("physician_npi", "company_name").agg(
+        F.sum("total_claim_count").alias("claims"), money_sum(F.col("total_drug_cost_usd")).alias("cost")
     )
-    order = [F.col("class_claims").desc_nulls_last(), F.col("physician_npi").asc()]
-    leaders = top_ranked(
-        volume.join(physicians.select("physician_npi"), "physician_npi"), order, n, "rank"
+    volume = per_company.groupBy("physician_npi").agg(
+        F.sum("claims").alias("class_claims"), F.sum("cost").cast("decimal(24,2)").alias("class_drug_cost")
     )
-    # From here on there are n physicians: each table is only searched for
-    # them, not shuffled. There are no more companies than lookup rows.
+    order = [F.col("class_claims").desc_nulls_last(), F.col("physician_npi").asc()]
+    mark = C.paid_mark(F.col("received_pharma_payments")).alias("paid")
+    who = physicians.select("physician_npi", "physician_display_id", "specialty", "state", mark)
+    leaders = top_ranked(volume.join(who, "physician_npi"), order, n, "rank")
+    # From here on there are n rows: the bridge is only searched for their
+    # physicians, not shuffled. There are no more companies than lookup rows.
     few = n <= warehouse.lookup_row_limit
-    companies = hinted(in_class.select("company_name").distinct(), warehouse.lookup_is_small)
+    companies = hinted(per_company.select("company_name").distinct(), warehouse.lookup_is_small)
     payments = (
         warehouse.bridge_physician_company_payments.join(
             hinted(leaders.select("physician_npi"), few), "physician_npi", "left_semi"
@@ -171,19 +176,14 @@ def kol_finder(
         .groupBy("physician_npi")
         .agg(F.sum("total_payment_usd").alias("paid_usd"))
     )
-    shown = ["rank", "physician_display_id", "specialty", "state", "class_claims"]
-    mark = C.paid_mark(F.col("received_pharma_payments")).alias("paid")
-    named = physicians.join(hinted(leaders, few), "physician_npi").select(
-        "physician_npi", *shown, mark
-    )
     return (
-        in_class.select("physician_npi", "total_drug_cost_usd")
-        .join(hinted(named, few), "physician_npi")
-        .groupBy("physician_npi", *shown, "paid")
-        .agg(money_sum(F.col("total_drug_cost_usd")).alias("class_drug_cost"))
-        .join(payments, "physician_npi", "left")
+        leaders.join(payments, "physician_npi", "left")
         .select(
-            *shown,
+            "rank",
+            "physician_display_id",
+            "specialty",
+            "state",
+            "class_claims",
             "class_drug_cost",
             F.coalesce("paid_usd", F.lit(0)).alias("total_payments_usd"),
             "paid",
@@ -429,21 +429,10 @@ def payment_rx_pearson(
     """Correlation over the points; NULL below ``min_rows`` of them."""
     x = F.col("total_payment_usd").cast("double")
     y = F.col("company_claim_count").cast("double")
-    sums = payment_rx_points(warehouse, company, specialty).agg(
-        F.count(F.lit(1)).alias("n_points"),
-        F.sum(x).alias("x"),
-        F.sum(y).alias("y"),
-        F.sum(x * x).alias("xx"),
-        F.sum(y * y).alias("yy"),
-        F.sum(x * y).alias("xy"),
-        ((F.min(x) < F.max(x)) & (F.min(y) < F.max(y))).alias("varies"),
-    )
-    r = pearson(
-        F.col("n_points").cast("double"),
-        *[F.col(name) for name in ["x", "y", "xx", "yy", "xy", "varies"]],
-    )
-    return sums.select(
-        "n_points", F.round(F.when(F.col("n_points") >= min_rows, r), 3).alias("pearson")
+    return (
+        payment_rx_points(warehouse, company, specialty)
+        .agg(F.count(F.lit(1)).alias("n_points"), pearson_of(x, y).alias("r"))
+        .select("n_points", F.round(F.when(F.col("n_points") >= min_rows, F.col("r")), 3).alias("pearson"))
     )
 
 

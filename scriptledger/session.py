@@ -22,6 +22,8 @@ def build_session(app: str = "scriptledger", master: str | None = None, **conf)
         # Hash instead of sort where a shuffle turned out small enough per task.
         "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
         "spark.sql.session.timeZone": "UTC",
+        # Sums raise instead of wrapping.
+        "spark.sql.ansi.enabled": "true",
         **{key.replace("__", "."): str(value) for key, value in conf.items()},
     }
     for key, value in settings.items():

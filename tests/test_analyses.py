@@ -8,9 +8,12 @@ from decimal import Decimal
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from frames import rows
 
+from scriptledger.functions import rules
+from scriptledger.functions.ratios import pearson_of
 from scriptledger.plans import analyses, views
 from scriptledger.plans.warehouse import Warehouse
 
@@ -268,3 +271,64 @@ def test_states_on_one_side_only(spark):
     ]
     market = rows(views.market_map(w), "state", "market_classification")
     assert market == [("CA", "Balanced"), ("NY", "Over-invested"), ("TX", "Under-invested")]
+
+
+@pytest.mark.parametrize("base", [0, 100_000, 1_000_000])
+@pytest.mark.parametrize("slope", [1, -1])
+def test_correlation_of_a_line_is_exact_at_any_height(spark, base, slope):
+    """Payments that differ by cents: raw sums of squares would lose them."""
+    line = [(f"p{i}", "PFIZER", base + 1 + i / 100, 500 + slope * (i % 40), "a") for i in range(40)]
+    free = [(f"u{i}", "PFIZER", 0, 3, "a") for i in range(40)]
+    w = Warehouse({"fact_payment_prescribing": pairs(spark, *line, *free)})
+    assert analyses.payment_prescribing_correlation(w).first().pearson_correlation == slope
+    assert views.payment_rx_pearson(w, "PFIZER").first().pearson == slope
+
+
+def test_noisy_correlation_agrees_with_the_built_in(spark):
+    noisy = [(f"p{i}", "PFIZER", 100_000 + (i * 7919 % 1000) / 100, 1 + (i * 31 % 17) + i % 5, "a") for i in range(200)]
+    free = [(f"u{i}", "PFIZER", 0, 3, "a") for i in range(40)]
+    w = Warehouse({"fact_payment_prescribing": pairs(spark, *noisy, *free)})
+    x, y = F.col("total_payment_usd").cast("double"), F.col("company_claim_count").cast("double")
+    paid = w.fact_payment_prescribing.where("total_payment_usd > 0")
+    expected, own = paid.agg(F.corr(x, y), pearson_of(x, y)).first()
+    assert own == pytest.approx(expected, abs=1e-9)
+    assert analyses.payment_prescribing_correlation(w).first().pearson_correlation == round(expected, 3)
+
+
+def test_a_repeated_physician_multiplies_no_money(spark, small):
+    twice = Warehouse({**small.tables, "dim_physician": small.dim_physician.unionAll(small.dim_physician)})
+    once = small.fact_prescriptions.groupBy("therapeutic_class").agg(F.sum("total_drug_cost_usd").alias("cost"))
+    for query in (lambda w: analyses.kol_identification(w, 10_000), lambda w: views.kol_finder(w, rules.THERAPEUTIC_CLASSES[0], n=10_000)):
+        single, double = query(small), query(twice)
+        cost = "class_drug_cost_usd" if "class_drug_cost_usd" in single.columns else "class_drug_cost"
+        assert double.count() == 2 * single.count()
+        assert double.agg(F.sum(cost)).first()[0] == 2 * single.agg(F.sum(cost)).first()[0]
+    assert once.count() > 0
+
+
+def test_paid_physicians_are_distinct(spark, small):
+    pair = small.fact_payment_prescribing
+    twice = Warehouse({**small.tables, "fact_payment_prescribing": pair.unionAll(pair)})
+    shown = ["company_name", "physicians_paid"]
+    assert rows(analyses.company_spend_efficiency(twice), *shown) == rows(analyses.company_spend_efficiency(small), *shown)
+
+
+def test_loyalty_without_a_least_volume(spark, small):
+    assert analyses.physician_loyalty_scoring(small, min_claims=0).count() >= analyses.physician_loyalty_scoring(small).count()
+
+
+@pytest.mark.parametrize("top", [3, 2000])
+def test_leaders_of_any_number(spark, small, top):
+    """Ties at the cut go to the lower number, and rows below the cut are dropped before the class meets."""
+    found = rows(analyses.kol_identification(small, top), "therapeutic_class", "rank_in_class", "physician_npi")
+    volume = (
+        small.fact_prescriptions.groupBy("therapeutic_class", "physician_npi")
+        .agg(F.sum("total_claim_count").alias("n"))
+        .join(small.dim_physician.select("physician_npi"), "physician_npi")
+        .collect()
+    )
+    expected = []
+    for name in {r.therapeutic_class for r in volume}:
+        ordered = sorted((r for r in volume if r.therapeutic_class == name), key=lambda r: (r.n is None, -(r.n or 0), r.physician_npi))
+        expected += [(name, i, r.physician_npi) for i, r in enumerate(ordered[:top], 1)]
+    assert found == sorted(expected, key=repr)
