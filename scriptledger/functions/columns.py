@@ -100,11 +100,11 @@ def hashed_key(*parts: Column) -> Column:
 
 
 def starts_with_any(value: Column, prefixes: Iterable[str]) -> Column:
-    return reduce(or_, [value.startswith(prefix) for prefix in prefixes])
+    return reduce(or_, [value.startswith(prefix) for prefix in prefixes], F.lit(False))
 
 
 def contains_any(value: Column, fragments: Iterable[str]) -> Column:
-    return reduce(or_, [value.contains(fragment) for fragment in fragments])
+    return reduce(or_, [value.contains(fragment) for fragment in fragments], F.lit(False))
 
 
 # --- numbers that may be redacted or badly written ------------------------
@@ -134,10 +134,17 @@ def lenient_count(text: Column) -> Column:
     return F.when(number == F.floor(number), number.try_cast("int"))
 
 
+# Ways in which extracts write dates, with or without a time of day.
+DATE_FORMATS = ["M/d/yyyy", "yyyy-M-d", "yyyy/M/d"]
+TIMES = ["H:mm", "H:mm:ss", "h:mm:ss a"]
+
+
 def lenient_date(text: Column) -> Column:
-    return F.coalesce(
-        F.try_to_date(text, "MM/dd/yyyy"), F.try_to_date(text, "yyyy-MM-dd")
-    )
+    """Date written as text, NULL if it is none; a time of day is cut off."""
+    text = F.trim(text)
+    days = [F.try_to_date(text, day) for day in DATE_FORMATS]
+    moments = [F.try_to_timestamp(text, F.lit(f"{day} {time}")).cast("date") for day in DATE_FORMATS for time in TIMES]
+    return F.coalesce(*days, *moments, text.try_cast("date"))
 
 
 # --- labels ---------------------------------------------------------------

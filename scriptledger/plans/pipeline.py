@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import contextlib
-from collections.abc import Callable, Collection
+from collections.abc import Callable, Collection, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -11,6 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from scriptledger import schemas
+from scriptledger.functions import rules
 from scriptledger.operators.lookup import fits_broadcast, hinted
 from scriptledger.plans.warehouse import MART, MART_WAVES, RAW, Warehouse
 from scriptledger.sources import files, load, sinks
@@ -42,12 +43,26 @@ class Built:
 
 @dataclass(frozen=True)
 class SourceFiles:
-    """Where the extracts and the curated lookup are."""
+    """Where the extracts and the curated lookup are. An extract may be several
+    files; of a payments folder with several years, ``years`` says which to load.
+    ``multi_line=False`` lets files without quoted line breaks be split."""
 
     open_payments_dir: str
-    prescribers_csv: str
-    by_drug_csv: str
+    prescribers_csv: str | Sequence[str]
+    by_drug_csv: str | Sequence[str]
     seed_csv: str
+    years: Sequence[int] | None = None
+    multi_line: bool = True
+
+
+@dataclass(frozen=True)
+class LoadFilters:
+    """What the load keeps; ``None`` keeps all."""
+
+    min_payment: float | None = rules.MIN_PAYMENT_USD
+    prefixes: Sequence[str] | None = tuple(rules.LOAD_COMPANY_PREFIXES)
+    min_claims: int | None = rules.MIN_TOTAL_CLAIMS
+    fragments: Sequence[str] | None = tuple(rules.LOAD_SPECIALTY_FRAGMENTS)
 
 
 def write_together(writes: dict[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
@@ -59,7 +74,11 @@ def write_together(writes: dict[str, Callable[[], DataFrame]]) -> dict[str, Data
 
 
 def load_raw(
-    spark: SparkSession, paths: SourceFiles, out: str, skip: Collection[str] = ()
+    spark: SparkSession,
+    paths: SourceFiles,
+    out: str,
+    skip: Collection[str] = (),
+    keep: LoadFilters = LoadFilters(),
 ) -> Built:
     """Filter the extracts into raw tables under ``out``/raw.
 
@@ -73,13 +92,17 @@ def load_raw(
     small = hinted(seed, fits_broadcast(seed))
     steps = {
         "open_payments": lambda: load.load_open_payments(
-            files.read_open_payments(spark, paths.open_payments_dir)
+            files.read_open_payments(spark, paths.open_payments_dir, paths.years, paths.multi_line),
+            keep.min_payment,
+            keep.prefixes,
         ),
         "part_d_prescribers": lambda: load.load_part_d_prescribers(
-            files.read_prescribers(spark, paths.prescribers_csv)
+            files.read_prescribers(spark, paths.prescribers_csv, paths.multi_line),
+            keep.min_claims,
+            keep.fragments,
         ),
         "part_d_by_drug": lambda: load.load_part_d_by_drug(
-            files.read_by_drug(spark, paths.by_drug_csv), small
+            files.read_by_drug(spark, paths.by_drug_csv, paths.multi_line), small
         ),
     }
     written = write_together(
@@ -142,10 +165,23 @@ def open_mart(spark: SparkSession, out: str, names: Collection[str] = MATERIALIZ
     )
 
 
+def open_warehouse(spark: SparkSession, out: str, seed_csv: str | None = None) -> Warehouse:
+    """Raw tables and mart of an earlier ``build``, for checks in a new session.
+    ``seed_csv``: the curated lookup, which the build reads but does not copy."""
+    raw = {name: spark.read.parquet(f"{out}/raw/{name}") for name in LOAD_STEPS}
+    if seed_csv is not None:
+        raw["drug_company_seed"] = files.read_drug_seed(spark, seed_csv)
+    return Warehouse({**raw, **open_mart(spark, out).tables})
+
+
 def build(
-    spark: SparkSession, paths: SourceFiles, out: str, skip: Collection[str] = ()
+    spark: SparkSession,
+    paths: SourceFiles,
+    out: str,
+    skip: Collection[str] = (),
+    keep: LoadFilters = LoadFilters(),
 ) -> Built:
     """Extracts to mart in one call, with the counts of every step."""
-    loaded = load_raw(spark, paths, out, skip)
+    loaded = load_raw(spark, paths, out, skip, keep)
     mart = build_mart(loaded.warehouse, out)
     return Built(mart.warehouse, {**loaded.counts, **mart.counts})

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,68 +13,85 @@ from pyspark.sql import types as T
 
 from scriptledger import schemas
 
-# Fixed value: name pattern of the extracted payments file.
-OPEN_PAYMENTS_GLOB = "OP_DTL_GNRL_PGYR*.csv"
-
-_SURPLUS = "_surplus_field"
+# Fixed value: name pattern of the extracted payments file, for one year or any.
+OPEN_PAYMENTS_GLOB = "OP_DTL_GNRL_PGYR{year}*.csv"
 
 
-def pick_file(spark: SparkSession, directory: str, pattern: str) -> str:
-    """First file (by name) in ``directory`` that matches ``pattern``."""
+def list_files(spark: SparkSession, path: str, pattern: str = "*") -> list[str]:
+    """Files at ``path`` (a file, or the ones directly in a directory) whose name
+    matches ``pattern``, sorted, as plain paths."""
     try:
-        listing = spark.read.option("pathGlobFilter", pattern).text(directory)
-        matches = sorted(listing.inputFiles())
+        listing = spark.read.option("pathGlobFilter", pattern).text(path)
+        # The listing's URIs are encoded; a path is not.
+        return sorted(unquote(name) for name in listing.inputFiles())
     except AnalysisException as missing:
-        raise FileNotFoundError(f"no such directory: {directory}") from missing
+        raise FileNotFoundError(f"no such file or directory: {path}") from missing
+
+
+def pick_file(spark: SparkSession, directory: str, pattern: str) -> str:
+    """The one file in ``directory`` that matches ``pattern``. Several are an
+    error: which of them are meant has to be said."""
+    matches = list_files(spark, directory, pattern)
     if not matches:
         raise FileNotFoundError(f"no file matching {pattern} in {directory}")
+    if len(matches) > 1:
+        raise ValueError(f"{len(matches)} files match {pattern} in {directory}, name those to load: {matches}")
     return matches[0]
 
 
 def read_text_columns(
     spark: SparkSession,
-    path: str,
+    paths: str | Sequence[str],
     header: dict[str, str],
     encoding: str = "ISO-8859-1",
-    multi_line: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
     """The columns named in ``header``, renamed, as strings.
 
-    A line with more fields than the header is skipped and a shorter one is
-    padded with NULL. An extra declared column shows which lines are too long,
-    so the parser still reads only the columns asked for. ``multi_line`` is
-    needed only for quoted line breaks and makes each file one task.
+    ``paths``: a file, a directory, or several of them. Each file is read by its
+    own header, so their columns may stand in different orders. A line with more
+    fields than the header keeps the first ones and a shorter one is padded with
+    NULL; no line is dropped. Quoted fields may hold line breaks; since such a
+    file cannot be split, it is read by one task. Files known to have none may be
+    read with ``multi_line=False`` and are then split.
     """
-    reader = (
-        spark.read.option("header", True)
-        .option("encoding", encoding)
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-    )
-    found = reader.csv(path).columns
-    absent = [name for name in header if name not in found]
-    if absent:
-        raise ValueError(f"{path} lacks columns {absent}")
-    declared = T.StructType(
-        [T.StructField(name, T.StringType()) for name in [*found, _SURPLUS]]
-    )
-    lines = reader.schema(declared).csv(path)
-    return lines.where(F.col(_SURPLUS).isNull()).select(
-        [F.col(f"`{name}`").alias(column) for name, column in header.items()]
-    )
-
-
-def read_open_payments(spark: SparkSession, directory: str) -> DataFrame:
-    path = pick_file(spark, directory, OPEN_PAYMENTS_GLOB)
-    return read_text_columns(spark, path, schemas.OPEN_PAYMENTS_HEADER)
-
-
-def read_prescribers(spark: SparkSession, path: str) -> DataFrame:
-    return read_text_columns(spark, path, schemas.PRESCRIBERS_HEADER)
-
-
-def read_by_drug(spark: SparkSession, path: str) -> DataFrame:
-    return read_text_columns(spark, path, schemas.BY_DRUG_HEADER)
+    options = {"header": True, "encoding": encoding, "escape": '"', "multiLine": multi_line}
+
+    def one(path: str) -> DataFrame:
+        found = spark.read.options(**options).csv(path).columns
+        absent = [name for name in header if name not in found]
+        if absent:
+            raise ValueError(f"{path} lacks columns {absent}")
+        declared = T.StructType([T.StructField(name, T.StringType()) for name in found])
+        return (
+            spark.read.options(**options)
+            .schema(declared)
+            .csv(path)
+            .select([F.col(f"`{name}`").alias(column) for name, column in header.items()])
+        )
+
+    given = [paths] if isinstance(paths, str) else list(paths)
+    each = [file for path in given for file in list_files(spark, path)]
+    if not each:
+        raise FileNotFoundError(f"no file in {given}")
+    return reduce(DataFrame.unionByName, map(one, each))
+
+
+def read_open_payments(
+    spark: SparkSession, directory: str, years: Sequence[int] | None = None, multi_line: bool = True
+) -> DataFrame:
+    """The payments file in ``directory``, or one file for each of ``years``."""
+    wanted = ["*"] if years is None else [str(year) for year in years]
+    paths = [pick_file(spark, directory, OPEN_PAYMENTS_GLOB.format(year=year)) for year in wanted]
+    return read_text_columns(spark, paths, schemas.OPEN_PAYMENTS_HEADER, multi_line=multi_line)
+
+
+def read_prescribers(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = True) -> DataFrame:
+    return read_text_columns(spark, paths, schemas.PRESCRIBERS_HEADER, multi_line=multi_line)
+
+
+def read_by_drug(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = True) -> DataFrame:
+    return read_text_columns(spark, paths, schemas.BY_DRUG_HEADER, multi_line=multi_line)
 
 
 def read_drug_seed(spark: SparkSession, path: str) -> DataFrame:

@@ -15,20 +15,21 @@ _WHITE_SPACE = " \t\n\r\f\v"
 
 def load_open_payments(
     text: DataFrame,
-    min_payment: float = rules.MIN_PAYMENT_USD,
-    prefixes: Sequence[str] = rules.LOAD_COMPANY_PREFIXES,
+    min_payment: float | None = rules.MIN_PAYMENT_USD,
+    prefixes: Sequence[str] | None = rules.LOAD_COMPANY_PREFIXES,
 ) -> DataFrame:
-    """Payments by tracked companies of at least ``min_payment`` dollars.
+    """Payments by tracked companies of at least ``min_payment`` dollars; ``None``
+    keeps payments of any company, or any amount.
 
     Names are upper-cased but not trimmed here, unlike in staging.
     """
     company = F.upper(F.coalesce(F.col("company_name"), F.lit("")))
     amount = C.lenient_number(F.col("payment_amount_usd"))
     return (
-        text.where(C.starts_with_any(company, prefixes))
+        text.where(F.lit(True) if prefixes is None else C.starts_with_any(company, prefixes))
         .withColumn("payment_amount_usd", amount)
         .na.drop(subset=["physician_npi", "company_name", "payment_amount_usd"])
-        .where(F.col("payment_amount_usd") >= F.lit(min_payment))
+        .where(F.lit(True) if min_payment is None else F.col("payment_amount_usd") >= F.lit(min_payment))
         .select(
             "physician_npi",
             "company_name",
@@ -42,15 +43,16 @@ def load_open_payments(
 
 def load_part_d_prescribers(
     text: DataFrame,
-    min_claims: int = rules.MIN_TOTAL_CLAIMS,
-    fragments: Sequence[str] = rules.LOAD_SPECIALTY_FRAGMENTS,
+    min_claims: int | None = rules.MIN_TOTAL_CLAIMS,
+    fragments: Sequence[str] | None = rules.LOAD_SPECIALTY_FRAGMENTS,
 ) -> DataFrame:
-    """Prescribers in tracked specialties with at least ``min_claims`` claims."""
+    """Prescribers in tracked specialties with at least ``min_claims`` claims;
+    ``None`` keeps those of any specialty, or any number of claims."""
     return (
-        text.where(C.contains_any(F.lower(F.col("specialty")), fragments))
+        text.where(F.lit(True) if fragments is None else C.contains_any(F.lower(F.col("specialty")), fragments))
         .withColumn("total_claim_count", C.lenient_count(F.col("total_claim_count")))
         .na.drop(subset=["physician_npi", "total_claim_count"])
-        .where(F.col("total_claim_count") >= F.lit(min_claims))
+        .where(F.lit(True) if min_claims is None else F.col("total_claim_count") >= F.lit(min_claims))
         .select(
             "physician_npi",
             "provider_first_name",

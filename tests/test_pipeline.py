@@ -42,7 +42,7 @@ def paths(tmp_path):
             [7, "12345678", "Sanofi", "500", "01/31/2022", "Gift", "NY", 2022],
             [8, "12345678", "Merck", "1e3", "bad date", "Café, Gift", "NY", 2022],
             [9, "12345678", "BRISTOL LABS", "70", "01/31/2022", "Gift", "", 2022],
-            # one field too many: the line is skipped
+            # one field too many: the line is kept without it
             [10, "12345678", "Merck", "90", "01/31/2022", "Gift", "NY", 2022, "extra"],
         ],
         # too few fields: padded
@@ -85,13 +85,14 @@ def paths(tmp_path):
 
 def test_load_filters_and_coercion(spark, paths, tmp_path):
     loaded = pipeline.load_raw(spark, paths, str(tmp_path / "out"))
-    assert loaded.counts == {"open_payments": 5, "part_d_prescribers": 2, "part_d_by_drug": 2}
+    assert loaded.counts == {"open_payments": 6, "part_d_prescribers": 2, "part_d_by_drug": 2}
     day = date(2022, 1, 31)
     assert rows(loaded.warehouse.open_payments) == [
         ("0012345678", "Pfizer Inc, Ltd", Decimal("50.00"), day, "Consulting Fee", "NY"),
         ("12345678", "BRISTOL LABS", Decimal("70.00"), day, "Gift", None),
         ("12345678", 'Janssen "Bio"', Decimal("60.50"), date(2022, 2, 28), "Gift", "NY"),
         ("12345678", "Merck", Decimal("1000.00"), None, "Café, Gift", "NY"),
+        ("12345678", "Merck", Decimal("90.00"), day, "Gift", "NY"),
         ("12345678", "Merck", Decimal("91.00"), day, "Gift", None),
     ]
     assert rows(loaded.warehouse.part_d_prescribers, "physician_npi", "total_claim_count") == [
@@ -108,7 +109,7 @@ def test_skipped_steps(spark, paths, tmp_path):
     pipeline.load_raw(spark, paths, out)
     again = pipeline.load_raw(spark, paths, out, skip=["open_payments"])
     assert again.counts["open_payments"] == -1
-    assert again.warehouse.open_payments.count() == 5
+    assert again.warehouse.open_payments.count() == 6
     with pytest.raises(ValueError):
         pipeline.load_raw(spark, paths, out, skip=["nothing"])
     fresh = pipeline.load_raw(spark, paths, str(tmp_path / "fresh"), skip=["open_payments"])
@@ -140,6 +141,18 @@ def test_build_is_repeatable_and_reads_back(spark, paths, tmp_path):
     failed = rows(report.where("not passed"), "table_name", "column_name", "failures")
     # this tiny seed has every class; only that the suite runs on it matters
     assert failed == []
+    later = pipeline.open_warehouse(spark, out, paths.seed_csv)
+    assert rows(quality_suite.report(later)) == rows(report)
+
+
+def test_load_options(spark, paths, tmp_path):
+    every = pipeline.LoadFilters(None, None, None, None)
+    loaded = pipeline.load_raw(spark, paths, str(tmp_path / "all"), keep=every)
+    # all but the rows without a physician, a company or a number
+    assert loaded.counts == {"open_payments": 9, "part_d_prescribers": 4, "part_d_by_drug": 2}
+    nothing = pipeline.LoadFilters(prefixes=[], fragments=[])
+    none = pipeline.load_raw(spark, paths, str(tmp_path / "none"), keep=nothing)
+    assert none.counts["open_payments"] == none.counts["part_d_prescribers"] == 0
 
 
 def test_lazy_and_written_models_agree(spark, small, tmp_path):
