@@ -156,7 +156,8 @@ _CTES: dict[str, str] = {
     ),
     # raw tables
     "open_payments": f"""
-      SELECT o_custkey::VARCHAR AS physician_npi, payers.name AS company_name,
+      SELECT (o_custkey + CASE WHEN o_custkey % 10 = 0 THEN 9000000000 ELSE 0 END)::VARCHAR AS physician_npi,
+             payers.name AS company_name,
              CASE WHEN o_orderkey % 101 = 0 THEN o_totalprice::DECIMAL(14,2)
                   WHEN o_orderkey % 53 = 0 THEN 0.50::DECIMAL(14,2)
                   ELSE (round(o_totalprice)::BIGINT / 100::DOUBLE)::DECIMAL(14,2)
@@ -165,10 +166,10 @@ _CTES: dict[str, str] = {
              {_STATE} AS recipient_state
       FROM orders JOIN customer ON c_custkey = o_custkey
       JOIN payers ON payers.i = (o_orderkey * 7 + o_custkey) % 25
-      JOIN natures ON natures.i = o_orderkey % 18
-      WHERE o_custkey % 10 <> 0""",
+      JOIN natures ON natures.i = o_orderkey % 18""",
     "part_d_prescribers": f"""
-      SELECT c_custkey::VARCHAR AS physician_npi, 'F' || c_custkey AS provider_first_name,
+      SELECT (c_custkey + CASE WHEN c_custkey % 10 = 3 OR c_custkey % 20 = 0 THEN 8000000000 ELSE 0 END)::VARCHAR
+               AS physician_npi, 'F' || c_custkey AS provider_first_name,
              c_name AS provider_last_name, s.name AS specialty, {_STATE} AS state,
              CASE WHEN c_custkey % 13 = 0 THEN '*'
                   ELSE (5 + (c_custkey * 37) % 3000)::VARCHAR END AS total_claim_count,
@@ -178,10 +179,9 @@ _CTES: dict[str, str] = {
              END AS total_beneficiary_count
       FROM customer JOIN segments g ON g.name = c_mktsegment
       JOIN raw_specialties s
-        ON s.i = CASE WHEN c_custkey % 10 < 8 THEN g.i ELSE 5 + (c_custkey // 10) % 15 END
-      WHERE c_custkey % 10 <> 3 AND c_custkey % 20 <> 0""",
+        ON s.i = CASE WHEN c_custkey % 10 < 8 THEN g.i ELSE 5 + (c_custkey // 10) % 15 END""",
     "part_d_by_drug": """
-      SELECT o_custkey::VARCHAR AS physician_npi,
+      SELECT (o_custkey + CASE WHEN o_custkey % 7 = 0 THEN 7000000000 ELSE 0 END)::VARCHAR AS physician_npi,
              CASE WHEN d % 3 = 0 THEN 'DRUG ' || d || ' ' ELSE 'Drug ' || d END
                AS drug_brand_name,
              'generic ' || (d // 2) AS drug_generic_name,
@@ -189,7 +189,7 @@ _CTES: dict[str, str] = {
       FROM (SELECT o_custkey, l_partkey % 64 AS d, sum(l_quantity) AS q,
                    sum(l_extendedprice::DECIMAL(14,2)) AS c
             FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-            WHERE o_custkey % 7 <> 0 GROUP BY ALL)""",
+            GROUP BY ALL)""",
     "drug_company_seed": """
       SELECT 'Drug ' || d AS drug_brand_name, 'generic ' || (d // 2) AS drug_generic_name,
              coalesce(arg_min(r.label, r.place), upper(trim(p.name)))

@@ -113,6 +113,17 @@ def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def _physician(key: Column, apart: Column, offset: int) -> Column:
+    """The key as a physician number; where ``apart`` holds, of another physician,
+    who has a number above ``offset`` and stands in this raw table only."""
+    key = key.cast("bigint")
+    return F.when(apart, key + F.lit(offset)).otherwise(key).cast("string")
+
+
+# Offsets of the physicians that one raw table alone knows.
+PAID_ONLY, PRESCRIBER_ONLY, BY_DRUG_ONLY = 9_000_000_000, 8_000_000_000, 7_000_000_000
+
+
 def open_payments(spark: SparkSession, directory: str) -> DataFrame:
     orders = _table(spark, directory, "orders")
     customers = _table(spark, directory, "customer").select("c_custkey", "c_nationkey")
@@ -124,10 +135,9 @@ def open_payments(spark: SparkSession, directory: str) -> DataFrame:
         .otherwise((rounded / F.lit(100.0)).cast("decimal(14,2)"))
     )
     return (
-        orders.where(buyer % 10 != 0)
-        .join(customers, buyer == F.col("c_custkey"))
+        orders.join(customers, buyer == F.col("c_custkey"))
         .select(
-            buyer.cast("string").alias("physician_npi"),
+            _physician(buyer, buyer % 10 == 0, PAID_ONLY).alias("physician_npi"),
             _pick(PAYERS, (order * 7 + buyer) % len(PAYERS)).alias("company_name"),
             amount.alias("payment_amount_usd"),
             F.to_date("o_orderdate").alias("payment_date"),
@@ -144,9 +154,8 @@ def part_d_prescribers(spark: SparkSession, directory: str) -> DataFrame:
     rare = 5 + F.floor(key / 10) % 15
     return (
         _table(spark, directory, "customer")
-        .where((key % 10 != 3) & (key % 20 != 0))
         .select(
-            key.cast("string").alias("physician_npi"),
+            _physician(key, (key % 10 == 3) | (key % 20 == 0), PRESCRIBER_ONLY).alias("physician_npi"),
             F.concat(F.lit("F"), key.cast("string")).alias("provider_first_name"),
             F.col("c_name").alias("provider_last_name"),
             _pick(SPECIALTIES, F.when(key % 10 < 8, common).otherwise(rare)).alias(
@@ -171,7 +180,6 @@ def part_d_by_drug(spark: SparkSession, directory: str) -> DataFrame:
     sold = (
         _table(spark, directory, "lineitem")
         .join(buyers, F.col("l_orderkey") == F.col("o_orderkey"))
-        .where(F.col("o_custkey") % 7 != 0)
         .groupBy("o_custkey", (F.col("l_partkey") % BRANDS).alias("d"))
         .agg(
             F.sum("l_quantity").cast("int").alias("claims"),
@@ -182,7 +190,7 @@ def part_d_by_drug(spark: SparkSession, directory: str) -> DataFrame:
     )
     brand = F.concat(F.lit("Drug "), F.col("d").cast("string"))
     return sold.select(
-        F.col("o_custkey").cast("string").alias("physician_npi"),
+        _physician(F.col("o_custkey"), F.col("o_custkey") % 7 == 0, BY_DRUG_ONLY).alias("physician_npi"),
         F.when(F.col("d") % 3 == 0, F.concat(F.upper(brand), F.lit(" ")))
         .otherwise(brand)
         .alias("drug_brand_name"),
