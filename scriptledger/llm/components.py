@@ -31,4 +31,5 @@ def connected(links: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots)

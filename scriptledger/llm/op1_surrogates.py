@@ -46,6 +46,9 @@ FEMALE_NAMES = (
     "Мария Анна Елена Ольга Наталья Ελένη Μαρία"
 ).split()
 
+#: Columns beside the caller's while attempts are joined.
+ROW_KEY, ATTEMPTS = "__surrogate_row", "__surrogate_attempts"
+
 NAME_WORD = r"[^\W\d_a-zà-öø-ÿа-яёα-ωά-ώ][^\W\d_]*(?:[-'’][^\W\d_]+)?"
 PATTERNS = [
     ("email", re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])"), "@"),
@@ -283,7 +286,7 @@ def replaced(key: bytes, sent, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value if sent is not None else {}
         for batch in batches:
-            own = batch.column("attempts").to_pylist() if sent is None else [None] * batch.num_rows
+            own = batch.column(ATTEMPTS).to_pylist() if sent is None else [None] * batch.num_rows
             texts, found = [], []
             for text, mine in zip(batch.column("text").to_pylist(), own, strict=True):
                 entities = find_entities(text) if text else []
@@ -326,16 +329,16 @@ def replace_personal_data(docs: DataFrame, key: bytes, broadcast_values: int = B
     if count <= broadcast_values:
         known = {(r["kind"], r["value"]): r["attempt"] for r in later.collect()}
         return read.mapInArrow(replaced(key, spark.sparkContext.broadcast(known), columns), schema)
-    keyed = read.withColumn("key", F.xxhash64("text"))
+    keyed = read.withColumn(ROW_KEY, F.xxhash64("text"))
     attempts = (
-        keyed.select("key", "text")
+        keyed.select(F.col(ROW_KEY).alias("key"), "text")
         .mapInArrow(document_rows, "key long, kind string, value string")
         .distinct()
         .join(later, ["kind", "value"])
-        .groupBy("key")
-        .agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("attempts"))
+        .groupBy(F.col("key").alias(ROW_KEY))
+        .agg(F.collect_list(F.struct("kind", "value", "attempt")).alias(ATTEMPTS))
     )
-    return keyed.join(durable(attempts, "op1-attempts"), "key", "left").drop("key").mapInArrow(replaced(key, None, columns), schema)
+    return keyed.join(durable(attempts, "op1-attempts"), ROW_KEY, "left").drop(ROW_KEY).mapInArrow(replaced(key, None, columns), schema)
 
 
 #: Key of the registered query; a real run passes its own secret.

@@ -299,7 +299,7 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     heads = (
         read.select("order", "tie").mapInArrow(bucketed_ids(bounds), "bucket long, order long, tie long")
         .groupBy("bucket")
-        .agg(F.min(F.struct((-F.col("order") - 1).alias("down"), "tie", "order")).alias("head"))
+        .agg(F.min(F.struct(F.bitwise_not("order").alias("down"), "tie", "order")).alias("head"))
         .orderBy("bucket")
         .collect()
     )

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from scriptledger.llm import op2_suffix_tree, op3_quality, op5_topk, op6_jaccard, op7_mixing, op8_bpe, op9_substrings, op10_sharding
+from scriptledger.llm import op1_surrogates, op2_suffix_tree, op3_quality, op4_fingerprints, op5_topk, op6_jaccard, op7_mixing, op8_bpe, op9_substrings, op10_sharding
 
 QUERIES = {
+    "op1_keyed_surrogates": op1_surrogates.query,
     "op2_probabilistic_suffix_tree": op2_suffix_tree.query,
     "op3_neighbour_vote_quality": op3_quality.query,
+    "op4_improbable_feature_digest": op4_fingerprints.query,
     "op5_norm_bucketed_topk": op5_topk.query,
     "op6_parity_sketch_join": op6_jaccard.query,
     "op7_entropy_balanced_mix": op7_mixing.query,
