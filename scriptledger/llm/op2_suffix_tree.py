@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptledger.llm.shared import chunks, durable, encode, hash64, signed, words
+from scriptledger.llm.shared import Words, chunks, durable, signed
 
 #: Words with at least this share of the tokens have a number in the broadcast vocabulary.
 VOCABULARY_MIN = 2.0**-22
@@ -38,7 +38,7 @@ DISCOUNT = 0.5
 END = 0
 SHIFT = np.int64(1 << 23)
 #: Bytes of codes (four a word) that a task works on at a time.
-CODES_BYTES = 8 << 20
+CODES_BYTES = 4 << 20
 
 
 def is_training(doc_id: str = "doc_id"):
@@ -48,11 +48,8 @@ def is_training(doc_id: str = "doc_id"):
 def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, count) per chunk; words by 64-bit hash."""
     for batch in chunks(batches):
-        _, flat = words(batch.column("text"), lower=True)
-        codes, distinct = encode(flat)
-        yield pa.RecordBatch.from_arrays(
-            [signed(hash64(distinct)), pa.array(np.bincount(codes, minlength=len(distinct)))], ["word", "n"]
-        )
+        found, n = np.unique(Words(batch.column("text")).hashes(lower=True), return_counts=True)
+        yield pa.RecordBatch.from_arrays([signed(found), pa.array(n)], ["word", "n"])
 
 
 def coded_texts(vocabulary):
@@ -61,16 +58,17 @@ def coded_texts(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary.value
         for batch in chunks(batches):
-            offsets, flat = words(batch.column("text"), lower=True)
-            codes, distinct = encode(flat)
-            hashed = hash64(distinct).view(np.int64)
-            at = np.minimum(np.searchsorted(known[0], hashed), max(0, len(known[0]) - 1))
-            hit = known[0][at] == hashed if len(known[0]) else np.zeros(len(hashed), bool)
-            number = np.where(hit, known[1][at] if len(known[0]) else 0, -1).astype(np.int32)
-            all_codes = number[codes] if len(codes) else np.zeros(0, np.int32)
+            words = Words(batch.column("text"))
+            offsets = words.offsets
+            distinct, back = np.unique(words.hashes(lower=True), return_inverse=True)
+            distinct = distinct.view(np.int64)
+            at = lookup(known[0], distinct)
+            number = np.full(len(distinct), -1, np.int32)
+            number[at >= 0] = known[1][at[at >= 0]]
+            all_codes = number[back]
             rare = all_codes < 0
             before = np.concatenate([[0], np.cumsum(rare)]).astype(np.int32)
-            tail = pa.ListArray.from_arrays(pa.array(before[offsets]), signed(hashed[codes[rare]]))
+            tail = pa.ListArray.from_arrays(pa.array(before[offsets]), signed(distinct[back[rare]]))
             blobs = pa.Array.from_buffers(
                 pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(all_codes.astype("<i4").tobytes())]
             )
@@ -204,7 +202,7 @@ def grow(counts: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]], n_texts
         rest_suffix = np.clip(1 - np.bincount(context, suffixes, minlength=size), 1e-12, 1)
         with np.errstate(divide="ignore", invalid="ignore"):
             kl = np.bincount(context, plain * np.log(plain / suffixes), minlength=size)
-            kl += np.where(rest > 0, rest * np.log(rest / rest_suffix), 0)
+            kl = kl + np.where(rest > 0, rest * np.log(rest / rest_suffix), 0)
         followers = np.bincount(context, minlength=size)
         kept = (followers > 0) & (context_counts * kl > 0.5 * followers * np.log(np.maximum(context_counts, 2)))
         levels.append(keys)

@@ -10,16 +10,14 @@ in exact blocked products, and its nearest neighbours vote, weighted by cosine.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptledger.llm.shared import chunks, encode, hash64, mix, words
+from scriptledger.llm.shared import Words, chunks, mix
 
 FEATURES = 1 << 13
 DIMENSIONS = 48
@@ -30,34 +28,33 @@ THRESHOLD = 0.3
 #: Documents of a block of products.
 BLOCK = 512
 
-#: Runs of capitals, small letters, digits and marks; other bytes stay.
-SHAPES = [(re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z]+"), b"a"), (re.compile(rb"[0-9]+"), b"0"), (re.compile(rb"[\x80-\xff]+"), b"a"), (re.compile(rb"a+"), b"a")]
-
-
-def shape(word: bytes) -> bytes:
-    for pattern, by in SHAPES:
-        word = pattern.sub(by, word)
-    return word[:6]
-
-
-def feature_numbers(distinct: list[bytes], features: int) -> np.ndarray:
-    """Two features per distinct word, the word's and its shape's: columns of an array."""
-    lower = hash64(w.lower() for w in distinct)
-    known: dict[bytes, int] = {}
-    shapes = [known.setdefault(s, len(known)) for s in map(shape, distinct)]
-    looks = mix(hash64(known) + np.uint64(1))[shapes] if shapes else np.zeros(0, np.uint64)
-    return np.stack([lower % np.uint64(features // 2), looks % np.uint64(features // 2) + np.uint64(features // 2)], 1).astype(np.int64)
-
-
-def counted(texts: pa.Array, features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, feature, count), by text and feature, and repeats: words per distinct word of each text."""
-    offsets, flat = words(texts)
-    codes, distinct = encode(flat)
-    n = len(offsets) - 1
-    owner = np.repeat(np.arange(n), np.diff(offsets))
-    numbers = feature_numbers(distinct, features)
-    cell = np.concatenate([owner * features + numbers[codes, i] for i in range(2)]) if len(codes) else np.zeros(0, np.int64)
-    found, count = np.unique(cell, return_counts=True)
+#: Kinds of bytes: none, small letters and bytes of other scripts, capitals, digits, then each mark.
+KINDS = np.ones(256, np.int64)
+KINDS[33:127] = np.arange(4, 98)
+KINDS[97:123], KINDS[65:91], KINDS[48:58] = 1, 2, 3
+
+
+def shapes(words: Words) -> np.ndarray:
+    """Kinds of a word's first two and last three bytes, as one number."""
+    out = np.zeros(len(words), np.int64)
+    for at, inside in [(words.starts + i, words.starts + i < words.ends) for i in range(2)] + [
+        (words.ends - i, words.ends - i >= words.starts) for i in (3, 2, 1)
+    ]:
+        kind = KINDS[words.data[np.clip(at, 0, len(words.data) - 1)]] if len(words) else out
+        out = out * 98 + np.where(inside, kind, 0)
+    return out
+
+
+def counted(texts: pa.Array, features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(text, feature, count) by text and feature, and the number of texts. Each word
+    counts for two features, its own and its shape's."""
+    words = Words(texts)
+    n = len(words.offsets) - 1
+    owner = np.repeat(np.arange(n), np.diff(words.offsets)) * features
+    half = np.uint64(features // 2)
+    own = (words.hashes(lower=True) % half).astype(np.int64)
+    look = (mix(shapes(words).astype(np.uint64) + np.uint64(1)) % half).astype(np.int64) + features // 2
+    found, count = np.unique(np.concatenate([owner + own, owner + look]), return_counts=True)
     return found // features, found % features, count, n
 
 

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: ASCII white space separates words, here and in ``bytes.split``.
@@ -35,33 +34,68 @@ def durable(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array]:
-    """Word offsets per text (one more than texts) and the words. Null texts
-    have none; ``lower`` folds A-Z only."""
-    texts = pc.fill_null(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts, "")
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
-    offsets = lists.offsets.to_numpy().astype(np.int64)
-    flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
-    offsets -= offsets[0]
-    # Leading and trailing white space leave empty strings.
-    full = pc.greater(pc.binary_length(flat), 0)
-    kept = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
-    return kept[offsets].astype(np.int64), flat.filter(full)
-
-
-def encode(flat: pa.Array) -> tuple[np.ndarray, list[bytes]]:
-    """Codes of words within this batch, and the distinct words as UTF-8."""
-    encoded = flat.dictionary_encode()
-    return encoded.indices.to_numpy(), encoded.dictionary.cast(pa.binary()).to_pylist()
-
-
-def hash64(distinct: Iterable[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64)
-
-
-def hash128(distinct: list[bytes]) -> np.ndarray:
-    """Two columns of 64 bits each."""
-    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, distinct)), "<u8").reshape(-1, 2)
+class Words:
+    """The words of an Arrow column of texts, as places in its bytes: ``data``,
+    ``starts`` and ``ends`` of words, and ``offsets``, the first word of each text
+    (one more than texts). Null texts have none."""
+
+    def __init__(self, texts: pa.Array | pa.ChunkedArray):
+        texts = pc.fill_null(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts, "")
+        _, places, raw = texts.buffers()
+        bounds = np.frombuffer(places, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(raw or b"", np.uint8)[bounds[0] : bounds[-1]]
+        bounds -= bounds[0]
+        white = np.zeros(256, bool)
+        white[[0x20, *range(0x09, 0x0E)]] = True
+        inside = ~white[data]
+        # A word starts after white space or where a text does, and ends likewise.
+        cut = np.zeros(len(data) + 1, bool)
+        cut[bounds] = True
+        first, last = inside.copy(), inside.copy()
+        first[1:] &= ~inside[:-1] | cut[1:-1]
+        last[:-1] &= ~inside[1:] | cut[1:-1]
+        self.data, self.starts, self.ends = data, np.flatnonzero(first), np.flatnonzero(last) + 1
+        self.offsets = np.searchsorted(self.starts, bounds)
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def hashes(self, seed: int = 0, lower: bool = False) -> np.ndarray:
+        """64-bit hash of each word: the sum of a random number per byte value times a
+        power of an odd number per place, mixed with the length. ``lower`` folds A-Z only."""
+        draw = np.random.Generator(np.random.PCG64(1000 + seed))
+        table = draw.integers(0, 1 << 64, 256, np.uint64)
+        if lower:
+            table[65:91] = table[97:123]
+        base = int(draw.integers(0, 1 << 61, dtype=np.uint64)) * 8 + 5
+        out = np.empty(len(self), np.uint64)
+        power = inverse = np.ones(0, np.uint64)
+        a = 0
+        while a < len(out):
+            low = self.starts[a]
+            b = max(a + 1, int(np.searchsorted(self.ends, low + HASH_BLOCK, side="right")))
+            high = self.ends[b - 1]
+            if high - low > len(power):
+                power, inverse = (powers(x, max(HASH_BLOCK, high - low)) for x in (base, pow(base, -1, 1 << 64)))
+            sums = table[self.data[low:high]]
+            sums *= power[: high - low]
+            np.cumsum(sums, out=sums)
+            start = self.starts[a:b] - low
+            value = sums[self.ends[a:b] - low - 1]
+            value[1:] -= sums[start[1:] - 1]
+            out[a:b] = value * inverse[start]
+            a = b
+        return mix(out + (self.ends - self.starts).astype(np.uint64))
+
+
+#: Bytes whose hashes are summed at a time.
+HASH_BLOCK = 1 << 20
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out, out=out)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -74,15 +108,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two hashes in this order."""
+    x = a * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    x += b
+    x *= np.uint64(0xC2B2AE3D27D4EB4F)
+    x ^= x >> np.uint64(29)
+    return x
+
+
 def window_hashes(hashed: np.ndarray, k: int) -> np.ndarray:
-    """Order-sensitive hash of each run of ``k`` word hashes."""
+    """Order-sensitive hash of each run of ``k`` word hashes, put together from runs
+    of 1, 2, 4, ... words."""
     n = len(hashed) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.full(n, k, np.uint64)
-    for i in range(k):
-        out = (out ^ hashed[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
+    out, at, power, size, left = None, 0, hashed, 1, k
+    while left:
+        if left & 1:
+            piece = power[at : at + n]
+            out = piece if out is None else combine(out, piece)
+            at += size
+        left >>= 1
+        if left:
+            power = combine(power[:-size], power[size:])
+            size *= 2
     return mix(out)
 
 
@@ -94,7 +145,7 @@ def window_starts(offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(owner)) - first[owner] + offsets[:-1][owner], owner
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Batches joined up to ``limit`` bytes of text (a longer text stands alone),
     and larger ones cut: the memory of a task depends neither on the length of
     its partition nor on the session's batch size."""
