@@ -57,10 +57,18 @@ def test_a_large_lookup_is_not(spark, no_auto_broadcast):
     assert fits_broadcast(large.drug_company_seed, 5)
 
 
-def test_leaders_are_broadcast_only_while_their_number_is_bounded(mart, no_auto_broadcast):
-    few = physical(analyses.kol_identification(mart, top=100))
-    many = physical(analyses.kol_identification(mart, top=1_000_000))
-    assert "BroadcastHashJoin" in few and "BroadcastHashJoin" not in many
+def test_the_cut_of_a_class_is_broadcast_only_while_the_lookup_is_small(mart, no_auto_broadcast):
+    unbounded = Warehouse(mart.tables, lookup_row_limit=0)
+    for top in (100, 1_000_000):
+        assert "BroadcastHashJoin" in physical(analyses.kol_identification(mart, top=top))
+        assert "BroadcastHashJoin" not in physical(analyses.kol_identification(unbounded, top=top))
+
+
+def test_rows_below_the_cut_are_dropped_before_a_class_meets(mart):
+    """For a number of leaders that the planner itself would not cut."""
+    plan = physical(analyses.kol_identification(mart, top=2000))
+    last_window = plan.index("row_number()")
+    assert "_least" in plan[last_window:] and "_nulls" in plan[last_window:]
 
 
 def test_the_outer_join_reuses_the_partitioning_of_its_inputs(small, no_auto_broadcast):
