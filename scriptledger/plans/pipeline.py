@@ -26,6 +26,12 @@ MATERIALIZED = tuple(MART)
 # Directory layout that lets a class filter skip the other classes' files.
 PARTITIONED = {"fact_prescriptions": ["therapeutic_class"]}
 
+# Tables that pages filter by company; the physician splits a hot company.
+CLUSTERED = dict.fromkeys(
+    ["fact_payments", "bridge_physician_company_payments", "fact_payment_prescribing"],
+    ["company_name", "physician_npi"],
+)
+
 # Tables with few rows per physician, which may be bucketed on it. The event
 # tables are not: one physician's rows would all be one task's.
 BUCKETED = {
@@ -140,7 +146,7 @@ def build_mart(
         if bucket_schema and name in BUCKETED:
             table = f"{bucket_schema}.{name}"
             return sinks.replace_bucketed(model, table, BUCKETED[name], buckets, path)
-        return sinks.replace_parquet(model, path, PARTITIONED.get(name, ()))
+        return sinks.replace_parquet(model, path, PARTITIONED.get(name, ()), CLUSTERED.get(name, ()))
 
     for wave in MART_WAVES:
         models = Warehouse(tables, raw.lookup_row_limit)

@@ -45,10 +45,15 @@ def _spend(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(money_sum(F.col("payment_amount_usd")).alias("spend"))
 
 
-def _spend_by_specialty(warehouse: Warehouse, payments: DataFrame) -> DataFrame:
+def _paid(pairs: DataFrame, key: str) -> DataFrame:
+    """As ``_spend``, from the bridge: its rows are sums per physician and company."""
+    return pairs.groupBy(key).agg(F.sum("total_payment_usd").alias("spend"))
+
+
+def _spend_by_specialty(warehouse: Warehouse, pairs: DataFrame) -> DataFrame:
     known = warehouse.dim_physician.where(C.known_specialty(F.col("specialty")))
     return (
-        _spend(payments, "physician_npi")
+        _paid(pairs, "physician_npi")
         .join(known.select("physician_npi", "specialty"), "physician_npi")
         .groupBy("specialty")
         .agg(F.sum("spend").alias("spend"))
@@ -59,25 +64,26 @@ def _of_company(warehouse: Warehouse, company: str) -> DataFrame:
     return warehouse.fact_payments.where(F.col("company_name") == F.lit(company))
 
 
+def _pairs_of_company(warehouse: Warehouse, company: str) -> DataFrame:
+    return warehouse.bridge_physician_company_payments.where(F.col("company_name") == F.lit(company))
+
+
 # --- dashboard ------------------------------------------------------------
 
 
 def dashboard_kpis(warehouse: Warehouse) -> DataFrame:
-    """One row of totals. Payments become one row per pair first, which the
-    two distinct counts then expand instead of every payment."""
-    pairs = warehouse.fact_payments.groupBy("physician_npi", "company_name").agg(
-        money_sum(F.col("payment_amount_usd")).alias("spend"), F.count(F.lit(1)).alias("n")
-    )
-    return pairs.agg(
-        F.sum("spend").alias("total_payments"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("payment_count"),
+    """One row of totals, from the bridge: the two distinct counts expand its row
+    per pair instead of every payment."""
+    return warehouse.bridge_physician_company_payments.agg(
+        F.sum("total_payment_usd").alias("total_payments"),
+        F.coalesce(F.sum("payment_count"), F.lit(0)).alias("payment_count"),
         F.countDistinct("company_name").alias("companies"),
         F.countDistinct("physician_npi").alias("paid_physicians"),
     )
 
 
 def spend_by_company(warehouse: Warehouse) -> DataFrame:
-    per_company = _spend(warehouse.fact_payments, "company_name")
+    per_company = _paid(warehouse.bridge_physician_company_payments, "company_name")
     return (
         _display_names(warehouse, per_company, "company")
         .groupBy("company")
@@ -96,7 +102,7 @@ def spend_by_category(warehouse: Warehouse) -> DataFrame:
 
 def spend_by_specialty(warehouse: Warehouse, top: int = 12) -> DataFrame:
     return (
-        _spend_by_specialty(warehouse, warehouse.fact_payments)
+        _spend_by_specialty(warehouse, warehouse.bridge_physician_company_payments)
         .select("specialty", scaled(F.col("spend"), MILLION, 2).alias("spend_millions"))
         .orderBy(F.desc("spend_millions"), "specialty")
         .limit(top)
@@ -219,7 +225,7 @@ def kol_display_table(kols: DataFrame) -> DataFrame:
 
 
 def company_options(warehouse: Warehouse) -> DataFrame:
-    per_company = _spend(warehouse.fact_payments, "company_name").select(
+    per_company = _paid(warehouse.bridge_physician_company_payments, "company_name").select(
         "company_name", scaled(F.col("spend"), MILLION, 1).alias("total_m")
     )
     label = F.concat("display_name", F.lit(" ($"), F.col("total_m").cast("string"), F.lit("M)"))
@@ -231,12 +237,11 @@ def company_options(warehouse: Warehouse) -> DataFrame:
 
 
 def company_kpis(warehouse: Warehouse, company: str) -> DataFrame:
-    amount = F.col("payment_amount_usd")
     return (
-        _of_company(warehouse, company)
+        _pairs_of_company(warehouse, company)
         .agg(
-            money_sum(amount).alias("total_spend"),
-            F.count(F.lit(1)).alias("n_payments"),
+            F.sum("total_payment_usd").cast("decimal(24,2)").alias("total_spend"),
+            F.coalesce(F.sum("payment_count"), F.lit(0)).alias("n_payments"),
             F.countDistinct("physician_npi").alias("physicians_paid"),
         )
         .withColumn(
@@ -248,7 +253,7 @@ def company_kpis(warehouse: Warehouse, company: str) -> DataFrame:
 
 def company_specialty_mix(warehouse: Warehouse, company: str, top: int = 10) -> DataFrame:
     return (
-        _spend_by_specialty(warehouse, _of_company(warehouse, company))
+        _spend_by_specialty(warehouse, _pairs_of_company(warehouse, company))
         .select("specialty", scaled(F.col("spend"), THOUSAND, 1).alias("spend_k"))
         .orderBy(F.desc("spend_k"), "specialty")
         .limit(top)
@@ -280,15 +285,12 @@ def company_top_physicians(
 ) -> DataFrame:
     """Who a company paid most. Rows go by public label, specialty and state,
     which merges physicians who share all three; ``by_npi`` keeps them apart."""
-    amount = F.col("payment_amount_usd")
-    per_physician = (
-        _of_company(warehouse, company)
-        .groupBy("physician_npi")
-        .agg(
-            money_sum(amount).alias("total_paid"),
-            F.count(F.lit(1)).alias("payment_count"),
-            F.max(amount).alias("largest_single"),
-        )
+    # The bridge has one row for a physician and company.
+    per_physician = _pairs_of_company(warehouse, company).select(
+        "physician_npi",
+        F.col("total_payment_usd").alias("total_paid"),
+        "payment_count",
+        F.col("max_single_payment_usd").alias("largest_single"),
     )
     shown = ["physician_display_id", "specialty", "state"]
     who = warehouse.dim_physician.select("physician_npi", *shown)
@@ -440,7 +442,7 @@ def payment_rx_pearson(
 
 
 def market_company_options(warehouse: Warehouse) -> DataFrame:
-    companies = warehouse.fact_payments.select("company_name").distinct()
+    companies = warehouse.bridge_physician_company_payments.select("company_name").distinct()
     return _display_names(warehouse, companies, "display_name").orderBy(
         "display_name", "company_name"
     )

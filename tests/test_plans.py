@@ -71,6 +71,24 @@ def test_rows_below_the_cut_are_dropped_before_a_class_meets(mart):
     assert "_least" in plan[last_window:] and "_nulls" in plan[last_window:]
 
 
+@pytest.mark.parametrize(
+    "view",
+    [
+        views.dashboard_kpis,
+        views.spend_by_company,
+        views.spend_by_specialty,
+        views.company_options,
+        lambda w: views.company_kpis(w, "PFIZER"),
+        lambda w: views.company_specialty_mix(w, "PFIZER"),
+        lambda w: views.company_top_physicians(w, "PFIZER"),
+        views.market_company_options,
+    ],
+)
+def test_company_views_scan_the_bridge_and_no_payments(mart, view):
+    plan = physical(view(mart))
+    assert "bridge_physician_company_payments" in plan and "fact_payments" not in plan
+
+
 def test_the_outer_join_reuses_the_partitioning_of_its_inputs(small, no_auto_broadcast):
     paid = small.int_physician_payments_agg.select("physician_npi", "company_name", "payment_count")
     prescribed = prescribing_totals(small.fact_prescriptions)
@@ -156,6 +174,6 @@ def test_bucketed_tables_join_without_a_shuffle(spark, small, tmp_path, no_auto_
 
 def test_written_models_are_used_as_they_are(spark, small):
     w = Warehouse(small.tables)
-    marker = small.fact_payments.limit(0)
-    w.tables["fact_payments"] = marker
+    marker = small.bridge_physician_company_payments.limit(0)
+    w.tables["bridge_physician_company_payments"] = marker
     assert views.dashboard_kpis(w).first().payment_count == 0

@@ -2,11 +2,12 @@
 
 from datetime import date
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from scriptledger.functions import columns as C
-from scriptledger.sources import files
+from scriptledger.sources import files, sinks
 
 HEADER = {"NPI": "npi", "Name": "name"}
 
@@ -68,3 +69,23 @@ def test_folder_with_a_space_and_several_years(spark, tmp_path):
 )
 def test_lenient_dates(spark, text, expected):
     assert spark.createDataFrame([(text,)], "t string").select(C.lenient_date(F.col("t"))).first()[0] == expected
+
+
+def test_clustered_files_have_narrow_ranges(spark, tmp_path):
+    """A hot company spans files, the others lie in one or two; a filter on one skips files."""
+    rows = spark.range(4000).select(
+        F.when(F.col("id") % 2 == 0, "HOT").otherwise(F.concat(F.lit("C"), (F.col("id") % 40).cast("string"))).alias("company_name"),
+        F.col("id").cast("string").alias("physician_npi"),
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.replace_parquet(rows, str(tmp_path / "t"), cluster_by=["company_name", "physician_npi"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spans = []
+    for file in (tmp_path / "t").glob("*.parquet"):
+        group = pq.ParquetFile(file).metadata.row_group(0)
+        spans.append((group.column(0).statistics.min, group.column(0).statistics.max))
+    assert len(spans) > 2
+    assert sum(low <= "HOT" <= high for low, high in spans) > 1
+    assert all(sum(low <= f"C{i}" <= high for low, high in spans) <= 2 for i in range(1, 40, 2))
