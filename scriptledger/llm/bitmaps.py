@@ -10,6 +10,7 @@ def collect_bitmap(segments: DataFrame, count: int, size: int) -> np.ndarray:
     """Rows (segment, bits of ``size`` bytes) as one array of ``count * size`` bytes.
     The caller bounds ``count``; a segment without a row is zero."""
     found = np.zeros(count * size, np.uint8)
-    for segment, bits in segments.collect():
+    # A partition at a time, so that the JVM never holds all of them beside this array.
+    for segment, bits in segments.toLocalIterator():
         found[segment * size : (segment + 1) * size] = np.frombuffer(bits, np.uint8)
     return found

@@ -3,8 +3,8 @@
 Three passes over the texts. The first counts windows in count-min sketches, one
 per chunk of a partition; merged they never estimate too little, so a window
 estimated once is unique. The second groups exactly the windows estimated
-repeated, by 128-bit hash: first within the chunk, which settles most copies,
-then one row per window and chunk in a shuffle. The third removes the words of
+repeated, by 95 bits of hash: first within the chunk, which settles most copies,
+then the windows of the chunk's first document in a shuffle. The third removes the words of
 windows that start in a document with a smaller id.
 
 The merged sketch has ``CELLS_PER_WINDOW`` cells per window and row, up to
@@ -14,7 +14,7 @@ broadcast. Beyond that it lets more unique windows through; none is ever lost.
 
 from __future__ import annotations
 
-import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from scriptledger.llm.bitmaps import collect_bitmap
-from scriptledger.llm.shared import chunks, encode, hash128, mix, signed, window_hashes, window_starts, words
+from scriptledger.llm.shared import Words, chunks, mix, signed, window_hashes, window_starts
 
 WINDOW = 13
 ROWS = 2
@@ -33,20 +33,17 @@ CELLS_PER_WINDOW = 4
 MAX_CELLS = 1 << 30
 #: Cells of a segment, the unit in which sketches are merged.
 SEGMENT = 1 << 18
+#: Bytes of text of one chunk's sketch: the more, the closer its cells and the smaller their gaps.
+SKETCH_BYTES = 16 << 20
+#: Bytes of text in which copies are settled without a shuffle.
+LOCAL_BYTES = 8 << 20
 LAST_ID = (1 << 63) - 1
 
 
-def hashed_windows(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Two 64-bit hashes per window, its text's number and its first word's place there."""
-    offsets, flat = words(texts)
-    codes, distinct = encode(flat)
-    starts, owner = window_starts(offsets, k)
-    if not len(starts):
-        empty = np.zeros(0, np.uint64)
-        return empty, empty, owner, starts
-    both = hash128(distinct)
-    first, second = (window_hashes(both[codes, i], k)[starts] for i in (0, 1))
-    return first, second, owner, starts - offsets[:-1][owner]
+def first_hashes(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit hash per window, its first word's number and its text's number."""
+    starts, owner = window_starts(words.offsets, k)
+    return window_hashes(words.hashes(0), k)[starts], starts, owner
 
 
 def cells(first: np.ndarray, row: int, width: int) -> np.ndarray:
@@ -66,17 +63,16 @@ def ungaps(blob: bytes) -> np.ndarray:
 
 def sketch_chunks(k: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            first, *_ = hashed_windows(batch.column("text"), k)
+        for batch in chunks(batches, limit=SKETCH_BYTES):
+            first, *_ = first_hashes(Words(batch.column("text")), k)
             if not len(first):
                 continue
             segments, ones, twos = [], [], []
             for row in range(ROWS):
                 found = np.sort(cells(first, row, width)).astype(np.int64)
-                new = np.concatenate([[True], found[1:] != found[:-1]])
-                again = found[1:][~new[1:]]
+                new = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+                often = np.diff(new, append=len(found)) > 1
                 found = found[new]
-                often = np.isin(found, again, assume_unique=False) if len(again) else np.zeros(len(found), bool)
                 cuts = np.searchsorted(found, np.arange(0, width + SEGMENT, SEGMENT))
                 for s in range(len(cuts) - 1):
                     a, b = cuts[s], cuts[s + 1]
@@ -109,64 +105,71 @@ def merge_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def repeated_windows(k: int, width: int, sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, per_row = sketch.value, -(-width // SEGMENT) * SEGMENT
-        for batch in chunks(batches):
-            first, second, owner, place = hashed_windows(batch.column("text"), k)
+        bits, per_row = np.frombuffer(zlib.decompress(sketch.value), np.uint8), -(-width // SEGMENT) * SEGMENT
+        for batch in chunks(batches, limit=LOCAL_BYTES):
+            words = Words(batch.column("text"))
+            first, starts, owner = first_hashes(words, k)
             maybe = np.ones(len(first), bool)
             for row in range(ROWS):
-                at = cells(first, row, width).astype(np.int64) + row * per_row
+                at = cells(first, row, width).astype(np.int64)
+                at += row * per_row
                 maybe &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
-            first, second, owner, place = (x[maybe] for x in (first, second, owner, place))
+            first, starts, owner = first[maybe], starts[maybe], owner[maybe]
             if not len(first):
                 continue
+            # The other half of the hash, for what is left.
+            second = (window_hashes(words.hashes(1), k)[starts] >> np.uint64(33)).astype(np.int32)
+            place = starts - words.offsets[:-1][owner]
             ids = pc.fill_null(batch.column("doc_id"), LAST_ID).to_numpy()
-            crc = batch.column("crc").to_numpy().astype("<u4")
-            doc = ids[owner]
-            order = np.lexsort((place, owner, doc, second, first))
-            first, second, owner, doc, place = (x[order] for x in (first, second, owner, doc, place))
+            crc = batch.column("crc").to_numpy()
+            doc, spot = ids[owner], (crc[owner] << 32) | place
+            order = np.lexsort((spot, doc, second, first))
+            first, second, doc, spot = (x[order] for x in (first, second, doc, spot))
             new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
-            group = np.cumsum(new) - 1
-            early = doc == doc[new][group]  # in the chunk's first document with that window
-            # A row for each window and text of that document ...
-            mine = np.flatnonzero(early)
-            cut = np.flatnonzero(np.concatenate([[True], (group[mine][1:] != group[mine][:-1]) | (owner[mine][1:] != owner[mine][:-1])]))
-            yield rows(first[mine][cut], second[mine][cut], doc[mine][cut], owner[mine][cut], cut, place[mine], crc, False)
-            # ... and one for each text with windows that are already known to come later.
+            early = doc == doc[new][np.cumsum(new) - 1]  # in the chunk's first document with that window
+            yield pa.RecordBatch.from_arrays(
+                [signed(first[early]), pa.array(second[early]), pa.array(doc[early]), pa.array(spot[early]), pa.nulls(int(early.sum()), pa.binary())],
+                WINDOW_COLUMNS,
+            )
+            # The others are known to come later: a row per text, alone in its group.
             late = np.flatnonzero(~early)
-            late = late[np.argsort(owner[late], kind="stable")]
             if len(late):
-                cut = np.flatnonzero(np.concatenate([[True], owner[late][1:] != owner[late][:-1]]))
-                alone = mix(owner[late][cut].astype(np.uint64) + first[0])
-                yield rows(alone, ~alone, doc[late][cut], owner[late][cut], cut, place[late], crc, True)
+                late = late[np.lexsort((spot[late], doc[late]))]
+                own, text = doc[late], spot[late] >> 32
+                cut = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (text[1:] != text[:-1])]))
+                offsets = np.append(cut, len(late)).astype(np.int32) * 8
+                packed = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(offsets), pa.py_buffer(spot[late].tobytes())])
+                alone = mix(cut.astype(np.uint64) + first[0])
+                yield pa.RecordBatch.from_arrays(
+                    [signed(alone), pa.array(np.full(len(cut), -1, np.int32)), pa.array(doc[late][cut]), pa.nulls(len(cut), pa.int64()), packed],
+                    WINDOW_COLUMNS,
+                )
 
     return run
 
 
-def rows(first, second, doc, owner, cut, place, crc, later) -> pa.RecordBatch:
-    """``place`` from each cut to the next, behind the text's checksum."""
-    ends = np.append(cut[1:], len(place))
-    flat = np.insert(place.astype("<u4"), cut, crc[owner])
-    starts = (cut + np.arange(len(cut))) * 4
-    offsets = np.append(starts, (ends[-1] + len(cut)) * 4).astype(np.int32)
-    blobs = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(offsets), pa.py_buffer(flat.tobytes())])
-    return pa.RecordBatch.from_arrays(
-        [signed(first), signed(second), pa.array(doc), blobs, pa.array(np.full(len(cut), later))],
-        ["first", "second", "doc", "places", "later"],
-    )
+WINDOW_COLUMNS = ["first", "second", "doc", "spot", "spots"]
+
+
+def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts made smaller for their shuffle."""
+    for batch in batches:
+        small = [zlib.compress((text or "").encode(), 1) for text in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("crc"), pa.array(small, pa.binary())], ["doc_id", "crc", "zipped"])
 
 
 def keep_words(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, crc, blobs in zip(*(batch.column(c).to_pylist() for c in ("text", "crc", "places")), strict=True):
-                parts = (text or "").encode().split()
+            for small, crc, one, many in zip(*(batch.column(c).to_pylist() for c in ("zipped", "crc", "spot", "spots")), strict=True):
+                parts = zlib.decompress(small).split()
                 gone = np.zeros(len(parts) + 1, np.int64)
-                for blob in blobs or ():
-                    places = np.frombuffer(blob, "<u4")
-                    if places[0] == crc:
-                        np.add.at(gone, places[1:], 1)
-                        np.add.at(gone, places[1:] + k, -1)
+                for found in [np.array(one or [], np.int64), *(np.frombuffer(x, np.int64) for x in many or [])]:
+                    # Places in this text, not in another of the same doc_id.
+                    mine = found[(found >> 32) & 0xFFFFFFFF == crc] & 0xFFFFFFFF
+                    np.add.at(gone, mine, 1)
+                    np.add.at(gone, mine + k, -1)
                 removed = np.cumsum(gone)[:-1] > 0
                 kept = [w for w, r in zip(parts, removed, strict=True) if not r] if removed.any() else parts
                 out.append((len(parts), int(removed.sum()), b" ".join(kept).decode()))
@@ -199,19 +202,22 @@ def remove_repeated_windows(docs: DataFrame, k: int = WINDOW) -> DataFrame:
         .repartition("segment")
         .mapInArrow(merge_sketches, "segment int, bits binary")
     )
-    sketch = spark.sparkContext.broadcast(collect_bitmap(merged, ROWS * per_row, SEGMENT // 8))
+    # Few bits are set: compressed it is a fraction of its size on every machine.
+    whole = collect_bitmap(merged, ROWS * per_row, SEGMENT // 8)
+    sketch = spark.sparkContext.broadcast(zlib.compress(whole, 1))
     window = Window.partitionBy("first", "second")
     later = (
-        read.mapInArrow(repeated_windows(k, width, sketch), "first long, second long, doc long, places binary, later boolean")
+        read.mapInArrow(repeated_windows(k, width, sketch), "first long, second int, doc long, spot long, spots binary")
         .withColumn("least", F.min("doc").over(window))
-        .where(F.col("later") | (F.col("least") < F.col("doc")))
+        .where((F.col("second") == -1) | (F.col("least") < F.col("doc")))
         .groupBy("doc")
-        .agg(F.collect_list("places").alias("places"))
+        .agg(F.collect_list("spot").alias("spot"), F.collect_list("spots").alias("spots"))
     )
     return (
-        read.withColumn("doc", F.coalesce("doc_id", F.lit(LAST_ID)))
+        read.mapInArrow(zipped, "doc_id long, crc long, zipped binary")
+        .withColumn("doc", F.coalesce("doc_id", F.lit(LAST_ID)))
         .join(later, "doc", "left")
-        .select("doc_id", "text", "crc", "places")
+        .select("doc_id", "zipped", "crc", "spot", "spots")
         .mapInArrow(keep_words(k), "doc_id long, n_words long, n_removed long, kept string")
     )
 
