@@ -8,7 +8,7 @@ columns of ``documents``.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptledger.llm import op1_surrogates, op3_quality, op6_jaccard, op7_mixing, op8_bpe
@@ -26,12 +26,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id.
-    Texts without words are in no group and stay; rows that repeat a doc_id and text stay once."""
+    """One document of each group of near duplicates: the one with the smallest id, once.
+    Texts without words are in no group and stay. Rows without an id can't be told apart
+    by it and stay."""
     groups = op6_jaccard.jaccard_components(docs, k=SHINGLE_WORDS, percent=SIMILARITY)
-    kept = groups.where("component_id = doc_id").select("doc_id").distinct()
-    nameless = docs.where("doc_id IS NULL")
-    return docs.join(durable(kept, "pipeline-kept"), "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"]).unionByName(nameless.select(*COLUMNS))
+    kept = durable(groups.where("component_id = doc_id").select("doc_id").distinct(), "pipeline-kept")
+    # In the partitioning of the join: a repeated row stays once.
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
+    single = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").withColumn("_copy", F.row_number().over(same)).where("_copy = 1")
+    return single.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,6 +52,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, and a check that they decode to it."""
+    op8_bpe.smaller_batches(spark)
     ranks = op8_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     found = op8_bpe.encode_and_decode(docs, ranks, public_tokenizers.PATTERN)
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 #: Maps of the rank literal.
 BUCKETS = 1 << 14
 #: Pieces of a chunk, after which it ends.
-CHUNK_PIECES = 3 << 20
+CHUNK_PIECES = 3 << 19
 NONE = 2**31 - 1
 #: Stands at both ends of a piece; no byte is written so, hence no pair with it has a rank.
 EDGE = "Ā"
@@ -211,11 +211,18 @@ def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) ->
     return rows.mapInArrow(assembled(sent), "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
+def smaller_batches(spark) -> None:
+    """Hundreds of pieces stand in each row sent to Python; this setting of the session
+    keeps a batch of them to a few megabytes. Results do not depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     from scriptledger.llm.shared import documents
 
+    smaller_batches(spark)
     ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     found = encode_and_decode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
     return found.select(
