@@ -1,19 +1,24 @@
 """N-gram Jaccard join by parity sketches, and the components of its links.
 
-Texts with one shingle set form a class. A class's sketch has K words of 64 bits;
+Texts with one shingle set form a class. A class's sketch has K words of bits;
 each shingle's hash toggles one bit of one word, so the Hamming distance of two
 sketches never exceeds the symmetric difference of their sets. Sets of sizes a
 and b that reach similarity p/100 differ in at most (a+b)(100-p)/(100+p)
 shingles. Classes are split into size bands; in a band of K words, two linked
-classes whose partners' bounds are d agree in at least 1 + SPARE of their first
-d + 1 + SPARE words (pigeonhole), so joining on (band, place, word) finds every
-link. A word without bits is joined on only by classes with more than SPARE of
-them: the others share a word with bits as well.
+classes whose partners' bounds are d agree in at least 1 + e of their first
+d + 1 + e words (pigeonhole), so joining on (band, place, word) finds every link.
+Words of few bits are often equal by chance, or by one phrase that many texts
+share. A class leaves out its words of up to m bits, m the largest number up to
+WEAK for which these are at most e: of the 1 + e words two linked classes agree
+in, one has more bits than either leaves out.
 
 Candidates are verified with exact set sizes. Components need no pair inside one
-already linked group: rounds verify one link per class towards the first (then
-last, then some other) class of its buckets, and the last round verifies all
-pairs of a bucket that still lie in different components.
+already linked group: first each class is verified against one class, the first
+of its buckets; then the pairs of a bucket that still lie in different components
+are compared. Those are many where near copies stay just below the similarity,
+so they are compared in blocks of bounded size, by the Hamming distance of one
+more parity sketch of SKETCH_BITS bits, and only the pairs this cannot rule out
+become rows and are verified.
 """
 
 from __future__ import annotations
@@ -26,22 +31,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptledger.llm.components import connected
-from scriptledger.llm.shared import chunks, durable, encode, hash64, mix, signed, window_hashes, words
+from scriptledger.llm.shared import Words, chunks, durable, mix, signed, window_hashes
 
-#: Words beyond d + 1, which let classes leave out their empty words.
+#: Words beyond d + 1, which let classes leave out their weak words: at least so many,
+#: and a share of d that a similarity of at least so many hundredths pays for.
 SPARE = 2
+SPARE_SHARES = ((85, 0.3), (78, 0.15), (0, 0.03))
+#: Most set bits of a word that counts as weak.
+WEAK = 2
 #: Upper ends of size bands grow by this factor.
 BAND = 1.5
 GOLDEN = 0x9E3779B97F4A7C15
-STAR_ROUNDS = 3
+#: Bits of the sketch by which the classes of a bucket are compared.
+SKETCH_BITS = 1024
+#: Classes of a block of such comparisons.
+BLOCK = 1024
+#: Bits of a sketch's word: so many that two sets of a few shingles hardly meet by chance.
+WORD_BITS = 1 << 16
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     """The distinct shingle hashes of each text, ascending. Fewer than ``k`` words
     are one shingle; no words are none."""
-    offsets, flat = words(texts, lower=True)
-    codes, distinct = encode(flat)
-    hashed = hash64(distinct)[codes] if len(codes) else np.zeros(0, np.uint64)
+    words = Words(texts)
+    offsets, hashed = words.offsets, words.hashes(lower=True)
     every = window_hashes(hashed, k)
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         if b - a >= k:
@@ -76,33 +89,48 @@ def band_ends(size: int) -> list[int]:
     return ends
 
 
-def bands_of(size: int, percent: int) -> list[tuple[int, int]]:
-    """(band, K) for the band of a set and, where a partner may lie there, the next one."""
+def spare(d: int, percent: int) -> int:
+    return SPARE + int(d * next(share for least, share in SPARE_SHARES if percent >= least))
+
+
+def bands_of(size: int, percent: int) -> list[tuple[int, int, int]]:
+    """(band, K, e) for the band of a set and, where a partner may lie there, the next one."""
     ends = band_ends(100 * size // percent)
     own = int(np.searchsorted(ends, size, side="right"))
     last = int(np.searchsorted(ends, 100 * size // percent, side="right"))
-    return [(band, partner_bound(ends[band] - 1, percent) + 1 + SPARE) for band in range(own, last + 1)]
+    found = []
+    for band in range(own, last + 1):
+        d = partner_bound(ends[band] - 1, percent)
+        found.append((band, d + 1 + spare(d, percent), spare(d, percent)))
+    return found
 
 
-def sketch(found: np.ndarray, k: int) -> np.ndarray:
-    """``k`` words of 64 parity bits."""
+def sketch(found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The parity sketch's ``k`` words of WORD_BITS bits, each as the exclusive or of a
+    64-bit hash per bit that is set (0 without any), and how many are set."""
     spread = mix(found ^ np.uint64(GOLDEN))
-    bit = (((spread >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)) * np.uint64(64) + (spread & np.uint64(63))
-    odd = np.bincount(bit.astype(np.int64), minlength=64 * k).astype(np.uint8) & 1
-    return np.packbits(odd).view(">u8").astype(np.uint64)
+    place = ((spread >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
+    at, times = np.unique(place * np.uint64(WORD_BITS) + (spread & np.uint64(WORD_BITS - 1)), return_counts=True)
+    at = at[times % 2 == 1]
+    place = (at // np.uint64(WORD_BITS)).astype(np.int64)
+    word = np.zeros(k, np.uint64)
+    if len(at):
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        word[place[first]] = np.bitwise_xor.reduceat(mix(at + np.uint64(GOLDEN)), first)
+    return word, np.bincount(place, minlength=k)
 
 
 def join_keys(found: np.ndarray, percent: int) -> np.ndarray:
     """Keys under which a set meets every set it may link with."""
     keys = []
-    for band, k in bands_of(len(found), percent):
-        n = min(k, partner_bound(len(found), percent) + 1 + SPARE)
-        word = sketch(found, k)[:n]
+    for band, k, e in bands_of(len(found), percent):
+        n = min(k, partner_bound(len(found), percent) + 1 + e)
+        word, bits = sketch(found, k)
+        word, bits = word[:n], bits[:n]
+        weak = max((m for m in range(WEAK + 1) if (bits <= m).sum() <= e), default=-1)
         place = np.arange(n, dtype=np.uint64) | np.uint64(band << 40)
-        some = word != 0
-        if n - some.sum() <= SPARE:
-            word, place = word[some], place[some]
-        keys.append(mix(word ^ mix(place + np.uint64(GOLDEN))))
+        kept = bits > weak
+        keys.append(mix(word[kept] ^ mix(place[kept] + np.uint64(GOLDEN))))
     return np.concatenate(keys)
 
 
@@ -163,7 +191,7 @@ def packed_sets(k: int, wanted):
                 at = node_bit(node, len(bits))
                 if node != -1 and node not in seen and bits[at >> 3] >> (7 - (at & 7)) & 1:
                     seen.add(node)
-                    out.append((node, found.tobytes()))
+                    out.append((node, packed(found)))
             if out:
                 nodes, sets = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
@@ -171,9 +199,22 @@ def packed_sets(k: int, wanted):
     return run
 
 
-#: Bits of the filter that keeps sets of unlinked classes out of the shuffle (8 MB).
+#: Bits of the filter that keeps sets of unlinked classes out of tables and shuffles (8 MB).
 FILTER_BITS = 1 << 26
 FILTER_SEGMENT = 1 << 20
+#: Pairs up to which they are broadcast to the sets; more are joined by shuffle.
+BROADCAST_PAIRS = 1 << 21
+
+
+def packed(found: np.ndarray) -> bytes:
+    """A set's hashes cut to 48 bits: two hashes of one pair of sets fall together about once in 10^9 pairs."""
+    return found.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    wide = np.zeros((len(blob) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return np.sort(wide.view("<u8").ravel())
 
 
 def node_bit(node: int, size: int) -> int:
@@ -204,81 +245,157 @@ def filter_of(nodes: DataFrame) -> np.ndarray:
 def similar(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for a, b in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                good.append(100 * common >= percent * (len(a) + len(b) - common))
+            good, seen = [], {}
+            for b, left, right in zip(*(batch.column(c).to_pylist() for c in ("b", "left", "right")), strict=True):
+                if b not in seen:
+                    seen = {b: unpacked(right)}  # rows come by b
+                left, right = unpacked(left), seen[b]
+                common = len(np.intersect1d(left, right, assume_unique=True))
+                good.append(100 * common >= percent * (len(left) + len(right) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(good, pa.bool_())], ["a", "b", "linked"])
 
     return run
 
 
+def passing(bits, column: str):
+    """Rows whose node a bitmap lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = bits.value
+        for batch in batches:
+            at = batch.column(column).to_numpy() & (8 * len(held) - 1)
+            yield batch.filter(pa.array((held[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0))
+
+    return run
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked) by the sizes of whole sets."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(similar(percent), "a long, b long, linked boolean")
+    """(a, b, linked) by the sizes of whole sets. ``b`` is the side that few nodes are on."""
+    send = sets.sparkSession.sparkContext.broadcast
+    schema = "node long, shingles binary"
+    left, right = (
+        sets.mapInArrow(passing(send(filter_of(pairs.select(F.col(side).alias("node")))), "node"), schema) for side in "ab"
+    )
+    small = pairs.count() <= BROADCAST_PAIRS
+    left = left.join(F.broadcast(pairs) if small else pairs, left["node"] == pairs["a"]).select("a", "b", F.col("shingles").alias("left"))
+    right = right.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
+    return left.join(right, "b").mapInArrow(similar(percent), "a long, b long, linked boolean").distinct()
 
 
-def star_order(turn: int):
-    if turn == 0:
-        return F.col("node")
-    if turn == 1:
-        return -F.col("node")
-    return F.xxhash64("node", F.lit(turn))
+def sketches(bits):
+    """Parity sketch of each class a bitmap lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in passing(bits, "node")(batches):
+            found = []
+            for blob in batch.column("shingles").to_pylist():
+                at = (mix(unpacked(blob)) & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
+                found.append(np.packbits(np.bincount(at, minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "sketch"])
+
+    return run
+
+
+def block_pairs(percent: int):
+    """Pairs of a bucket's two blocks, of different components, that may be similar.
+    Rows come sorted by block pair, at most 2 x BLOCK or so of each."""
+
+    def compared(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        own, low, high, node, n, root, sketch = zip(*rows, strict=True)
+        own, node, n, root = (np.array(x, np.int64) for x in (own, node, n, root))
+        bits = np.frombuffer(b"".join(sketch), np.uint64).reshape(len(rows), -1)
+        left, right = np.flatnonzero(own == low[0]), np.flatnonzero(own == high[0])
+        for a in range(0, len(left), 128):
+            one = left[a : a + 128]
+            far = np.zeros((len(one), len(right)), np.int64)
+            for word in range(bits.shape[1]):
+                far += np.bitwise_count(bits[one, word][:, None] ^ bits[right, word][None, :])
+            size = n[one][:, None], n[right][None, :]
+            close = far <= (size[0] + size[1]) * (100 - percent) // (100 + percent)
+            close &= 100 * np.minimum(*size) >= percent * np.maximum(*size)
+            close &= root[one][:, None] != root[right][None, :]
+            i, j = np.nonzero(close)
+            x, y = node[one[i]], node[right[j]]
+            yield np.minimum(x, y), np.maximum(x, y)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        at = None
+        seen: set[tuple[int, int]] = set()
+
+        def flush():
+            out = []
+            for x, y in compared(held):
+                out += zip(x.tolist(), y.tolist(), strict=True)
+            fresh = {p for p in out if p not in seen and p[0] != p[1]}
+            if len(seen) > 1 << 17:
+                seen.clear()
+            seen.update(fresh)
+            if fresh:
+                x, y = zip(*sorted(fresh), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for key, low, high, own, node, n, root, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (key, low, high):
+                    if held:
+                        yield from flush()
+                    held, at = [], (key, low, high)
+                held.append((own, low, high, node, n, root, sketch))
+        if held:
+            yield from flush()
+
+    return run
 
 
 def class_links(texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, root) of every class linked with another."""
+    send = texts.sparkSession.sparkContext.broadcast
     key = Window.partitionBy("key")
     members = durable(
         texts.mapInArrow(keyed(k, percent), "key long, node long, n int")
         .withColumn("first", F.min("node").over(key))
         .withColumn("last", F.max("node").over(key))
-        .where(F.col("first") != F.col("last"))
+        .where("first <> last")
         .select("key", "node", "n")
         .distinct(),
         "op6-members",
     )
-    wanted = texts.sparkSession.sparkContext.broadcast(filter_of(members.select("node")))
-    sets = durable(
-        texts.mapInArrow(packed_sets(k, wanted), "node long, shingles binary")
-        .groupBy("node")
-        .agg(F.first("shingles").alias("shingles")),
-        "op6-sets",
+    wanted = send(filter_of(members.select("node")))
+    sets = durable(texts.mapInArrow(packed_sets(k, wanted), "node long, shingles binary"), "op6-sets")
+
+    # Each class against the first class of its buckets that is not itself.
+    first = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"))
+    stars = members.join(first, "key").where(F.col("node") != F.col("first.node"))
+    stars = near_in_size(stars, F.col("n"), F.col("first.n"), percent)
+    stars = durable(stars.groupBy("node").agg(F.min("first.node").alias("b")).select(F.col("node").alias("a"), "b"), "op6-stars")
+    checked = durable(verified(stars, sets, percent), "op6-checked")
+    links = checked.where("linked").select("a", "b")
+    roots = connected(links)
+
+    # Then what still lies in different components.
+    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
+    open_ = durable(
+        placed.join(mixed.where("low <> high").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key"), "op6-open"
     )
-    links = tried = None
-    roots = None
-    for turn in range(STAR_ROUNDS + 1):
-        placed = members.withColumn("root", F.col("node"))
-        if roots is not None:
-            placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = placed.groupBy("key").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(star_order(turn).alias("o"), "node", "root", "n")).alias("lead")
-        ).where(F.col("low") != F.col("high"))
-        at_hand = placed.join(mixed, "key")
-        if turn < STAR_ROUNDS:
-            pairs = near_in_size(at_hand.where(F.col("root") != F.col("lead.root")), F.col("n"), F.col("lead.n"), percent)
-            if tried is not None:
-                pairs = pairs.withColumn("a", F.least("node", "lead.node")).withColumn("b", F.greatest("node", "lead.node")).join(tried, ["a", "b"], "left_anti")
-            pairs = pairs.groupBy("node").agg(F.min("lead").alias("lead")).select(
-                F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")
-            ).distinct()
-        else:
-            one = at_hand.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a"))
-            two = at_hand.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r_b"))
-            pairs = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("r_a") != F.col("r_b")))
-            pairs = near_in_size(pairs, F.col("n_a"), F.col("n_b"), percent).select("a", "b").distinct()
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        checked = durable(verified(pairs, sets, percent), f"op6-checked-{turn}")
-        tried = checked.select("a", "b") if tried is None else tried.unionAll(checked.select("a", "b"))
-        good = checked.where("linked").select("a", "b")
-        links = good if links is None else links.unionAll(good)
-        if checked.isEmpty():
-            break
-        roots = connected(links)
-    return roots if roots is not None else texts.sparkSession.createDataFrame([], "node long, root long")
+    bits = send(filter_of(open_.select("node")))
+    shapes = sets.mapInArrow(sketches(bits), "node long, sketch binary").dropDuplicates(["node"])
+    dealt = (
+        open_.join(shapes, "node")
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "n", "root", "sketch")
+    )
+    pairs = (
+        dealt.repartition("key", "low", "high")
+        .sortWithinPartitions("key", "low", "high")
+        .mapInArrow(block_pairs(percent), "a long, b long")
+        .distinct()
+    )
+    pairs = durable(pairs, "op6-pairs")
+    more = durable(verified(pairs, sets, percent), "op6-checked")
+    return connected(links.unionAll(more.where("linked").select("a", "b")))
 
 
 def near_in_size(frame: DataFrame, a, b, percent: int) -> DataFrame:
