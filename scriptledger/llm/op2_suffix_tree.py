@@ -103,6 +103,13 @@ def lookup(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
+def pick(values: np.ndarray, at: np.ndarray, otherwise: float) -> np.ndarray:
+    """Values at the given places, ``otherwise`` where the place is -1."""
+    out = np.full(len(at), otherwise)
+    out[at >= 0] = values[at[at >= 0]]
+    return out
+
+
 def gram_numbers(codes: np.ndarray, place: np.ndarray, levels: list[np.ndarray]) -> list[np.ndarray]:
     """For n = 1, 2, ...: number among the frequent n-grams of the one that ends at each
     token, -1 where it is not one or would reach over the text's start."""
@@ -158,12 +165,11 @@ class Tree:
             context[place < d] = -1
             inside = context >= 0
             inside[inside] = self.states[d - 1][context[inside]]
-            share = np.where(inside, self.shares[d - 1][np.maximum(context, 0)], 1.0)
-            p = p * share
+            p = p * pick(self.shares[d - 1], np.where(inside, context, -1), 1.0)
             seen = np.full(len(codes), -1, np.int64)
             ok = inside & (codes >= 0)
             seen[ok] = lookup(keys, context[ok] * SHIFT + codes[ok])
-            p = p + np.where(seen >= 0, self.probabilities[d - 1][np.maximum(seen, 0)], 0.0)
+            p = p + pick(self.probabilities[d - 1], seen, 0.0)
         out = np.log10(p)
         out[place == 0] = 0
         return out
@@ -185,7 +191,7 @@ def grow(counts: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]], n_texts
         if depth == 0:
             return root[follower]
         seen = lookup(levels[depth - 1], context * SHIFT + follower)
-        own = np.where(seen >= 0, probabilities[depth - 1][np.maximum(seen, 0)], 0.0)
+        own = pick(probabilities[depth - 1], seen, 0.0)
         return own + shares[depth - 1][context] * suffix_probability(depth - 1, parents[depth - 1][context], follower)
 
     for depth, (keys, n) in enumerate(grams, 1):

@@ -430,3 +430,27 @@ def query(spark, sf_dir: str) -> DataFrame:
     from scriptledger.llm.shared import documents
 
     return jaccard_components(documents(spark, sf_dir).withColumn("doc_id", F.col("doc_id").cast("long")), k=4, percent=85)
+
+
+SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), placed AS (
+  SELECT doc_id, ws, unnest(range(greatest(len(ws) - 3, least(len(ws), 1)))) AS p FROM split
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[p + 1 : p + 4], ' ') AS g FROM placed
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM common JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)
+), reached(doc_id, r) AS (
+  SELECT doc_id, doc_id FROM split UNION SELECT reached.doc_id, y FROM reached JOIN links ON x = r
+)
+SELECT s.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, min(r) AS component_id
+FROM split s JOIN reached USING (doc_id) LEFT JOIN sizes z USING (doc_id) GROUP BY s.doc_id, z.n
+"""

@@ -19,5 +19,6 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op5_norm_bucketed_topk": op5_topk.SQL,
+    "op6_parity_sketch_join": op6_jaccard.SQL,
     "op9_count_min_substrings": op9_substrings.SQL,
 }

@@ -1,4 +1,4 @@
-"""Small frames for the corpus operators."""
+"""Small frames for the corpus operators, as fixtures to import."""
 
 import pytest
 
@@ -30,7 +30,3 @@ def none(spark):
 @pytest.fixture
 def small_documents(spark):
     return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-
-
-def texts_of(frame):
-    return {r.doc_id: r.text for r in frame.select("doc_id", "text").collect()}

@@ -4,14 +4,15 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+
+from corpus_frames import docs, none, small_documents  # noqa: F401  fixtures
 
 from scriptledger.llm import op4_fingerprints, op5_topk, op6_jaccard, op9_substrings
 from scriptledger.llm.components import connected
 from scriptledger.llm.shared import Words
-from pyspark.sql import functions as F
-
-import pyarrow as pa
 
 
 def test_words_split_and_hash_like_bytes():

@@ -11,6 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpus_frames import docs, none, small_documents  # noqa: F401  fixtures
+
 from scriptledger.llm import op1_surrogates, op2_suffix_tree, op3_quality, op7_mixing, op8_bpe, op10_sharding
 
 KEY = b"test key"
