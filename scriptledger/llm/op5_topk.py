@@ -144,15 +144,17 @@ class Best:
 
 
 def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Runs of vectors of one dimension in the order they come, longest first."""
+    """Vectors of one dimension, each bucket longest first. A batch may run from one file's
+    vectors into another's, so the order within it is made here."""
     for batch in batches:
         ids, dims, lengths = (batch.column(c).to_numpy() for c in ("id", "dim", "length"))
         blobs = batch.column("vector").to_pylist()
         cuts = [0, *(np.flatnonzero(dims[1:] != dims[:-1]) + 1), len(dims)]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            for i in range(a, b, BUCKET):
-                j = min(b, i + BUCKET)
-                yield int(dims[i]), ids[i:j], stacked(blobs[i:j], int(dims[i])), lengths[i:j]
+            order = a + np.argsort(-lengths[a:b], kind="stable")
+            for i in range(0, b - a, BUCKET):
+                mine = order[i : i + BUCKET]
+                yield int(dims[a]), ids[mine], stacked([blobs[x] for x in mine], int(dims[a])), lengths[mine]
 
 
 def search_block(queries, k: int):
@@ -191,8 +193,8 @@ def top_products(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024) -
         .sortWithinPartitions("dim", F.col("length").desc(), "id"),
         "op5-vectors",
     )
-    # Range partitions were written as sorted files; within a read batch order may break
-    # between files, which costs pruning and nothing else.
+    # Range partitions were written as sorted files; a read batch may hold parts of several
+    # in any order, so buckets() sorts what it has.
     asked = ready.where(is_query)
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     seeds = ready.orderBy(F.col("length").desc(), "id").limit(SEED_VECTORS).toArrow()

@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpus_frames import docs, none, small_documents  # noqa: F401  fixtures
@@ -188,6 +190,28 @@ def test_top_products_of_hot_and_no_vectors(spark):
     assert op5_topk.top_products(same.where("false"), F.col("id") == 100).count() == 0
 
 
+def test_top_products_of_files_in_reverse_order(spark, monkeypatch):
+    """One partition and one Arrow batch over several sorted files, those of the shorter vectors first."""
+
+    def reversed_files(frame, name):
+        written = op5_durable(frame, name)
+        rows = written.toPandas().sort_values(["length", "id"], ascending=[False, True])
+        pieces = [rows.iloc[i : i + 300] for i in range(0, len(rows), 300)]
+        files = [spark.createDataFrame(p, written.schema).coalesce(1) for p in reversed(pieces)]
+        return reduce(DataFrame.unionAll, files).coalesce(1)
+
+    op5_durable = op5_topk.durable
+    monkeypatch.setattr(op5_topk, "durable", reversed_files)
+    monkeypatch.setattr(op5_topk, "SEED_VECTORS", 16)
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=8) * np.exp(1.5 * rng.normal())).tolist()) for i in range(2500)]
+    found = {}
+    frame = spark.createDataFrame(rows, "id long, vector array<double>")
+    for r in op5_topk.top_products(frame, F.pmod(F.col("id"), F.lit(100)) == 0).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert {q: sorted(v) for q, v in found.items()} == brute_top(rows)
+
+
 def test_entropy_of_every_window():
     rng = np.random.default_rng(1)
     data = np.concatenate([rng.integers(97, 110, 300), np.full(90, 46), rng.integers(0, 256, 200)]).astype(np.uint8)
