@@ -1,44 +1,53 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-States are runs of words (contexts). A context is a candidate if its share of the
-training tokens is at least ``P_MIN``; it is kept if its followers diverge from
-those of its longest proper suffix by more than their description costs, or if a
-longer kept context ends in it, so that the states are closed under suffixes.
-A state's distribution discounts the counts of its frequent followers and gives
-the rest of its mass to its suffix's distribution; the root is the add-one
-distribution over all training words and one unknown word. A text is scored by
-the longest state that is a suffix of what came before each token; before the
-first word that is the end token.
-
-``P_MIN`` bounds the tree: at most 1 / P_MIN contexts and as many followers per
-depth, whatever the corpus, so the tree is broadcast. What it is drawn from is
-not bounded: words are counted in full, every pass counts the n-grams of all
-training texts, and words too rare for the broadcast vocabulary get their counts
-in a join.
+States are runs of words (contexts). A context, or a pair of context and follower,
+is a candidate if the training texts hold it ``LEAST`` times; a context is kept if
+its followers diverge from those of its longest proper suffix by more than their
+description costs, or if a longer kept context ends in it, so that the states are
+closed under suffixes. A state's distribution discounts the counts of its frequent
+followers and gives the rest of its mass to its suffix's distribution; the root is
+the add-one distribution over all training words and one unknown word. A text is
+scored by the longest state that is a suffix of what came before each token; before
+the first word that is the end token.
+
+The tree grows with the corpus, so it is never held in one place: grams and contexts
+are tables, told apart by 64-bit hashes, and the divergence test is a grouped sum. A
+token's log probability is a sum over tables, too: its root's, the share that each
+state before it leaves to its suffix, and for each of these states that has seen the
+token the gain over the suffix's part alone. So each gram has one value, and a text's
+score is the sum of the values of its grams: the most frequent grams' are broadcast
+(at most 1 / ``HEAD_MIN`` a length), the others are joined. Broadcast bitmaps leave
+out grams that cannot be in a table; one too many costs a row and nothing else.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptledger.llm.shared import Words, chunks, durable, signed
+from scriptledger.llm.bitmaps import collect_bitmap
+from scriptledger.llm.shared import Words, chunks, combine, durable, mix, signed
 
-#: Words with at least this share of the tokens have a number in the broadcast vocabulary.
-VOCABULARY_MIN = 2.0**-22
-#: Contexts, and pairs of context and follower, with at least this share can be in the tree.
-P_MIN = 2.0**-20
+#: Times that a context, or a pair of context and follower, must occur to be in the tree.
+LEAST = 2
+#: Grams with at least this share of the tokens have their values broadcast.
+HEAD_MIN = 2.0**-20
 DEPTH = 3
 DISCOUNT = 0.5
-#: Code of the end token; words follow by their counts. Code of words without number: -1.
+#: Bytes of text that a task works on at a time.
+TEXT_BYTES = 4 << 20
+#: Hashes of the token before a text and of the one after it.
+BEGIN, AFTER = np.uint64(0xB5E1A9C40D2F7731), np.uint64(0x5D1F03E86C9A42B7)
+#: Bits of a bitmap for each gram in it, of a bitmap at most, and of a segment.
+GRAM_BITS, MOST_BITS, SEGMENT_BITS = 8, 1 << 28, 1 << 20
+#: For the tree on one machine: code of the end token, and the factor of codes in a gram's number.
 END = 0
 SHIFT = np.int64(1 << 23)
-#: Bytes of codes (four a word) that a task works on at a time.
-CODES_BYTES = 4 << 20
 
 
 def is_training(doc_id: str = "doc_id"):
@@ -52,47 +61,83 @@ def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([signed(found), pa.array(n)], ["word", "n"])
 
 
-def coded_texts(vocabulary):
-    """Each text as codes of its words, and the hashes of its words without a code."""
+def gram_hashes(words: Words, longest: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Of the sequences begin, words..., after of a batch one after the other: hashes of
+    the grams of 1, 2, ... tokens that end at each token, each token's text number, and
+    its place in the sequence. A gram longer than its place + 1 reaches over the start."""
+    offsets = words.offsets
+    texts, sizes = np.arange(len(offsets) - 1), np.diff(offsets)
+    tokens = np.empty(len(words) + 2 * len(texts), np.uint64)
+    tokens[np.arange(len(words)) + 2 * np.repeat(texts, sizes) + 1] = words.hashes(lower=True)
+    tokens[offsets[:-1] + 2 * texts] = BEGIN
+    tokens[offsets[1:] + 2 * texts + 1] = AFTER
+    owner = np.repeat(texts, sizes + 2)
+    place = np.arange(len(tokens)) - (offsets[:-1] + 2 * texts)[owner]
+    grams = [tokens]
+    for _ in range(longest - 1):
+        last = grams[-1]
+        grams.append(np.concatenate([last[:1], joined_hash(last[:-1], last[1:])]))
+    return grams, owner, place
+
+
+def joined_hash(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Of the gram that is ``context`` without its last token and ``suffix`` without its first."""
+    return mix(combine(context, suffix))
+
+
+def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = (keys & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def segment_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        segments, places = (batch.column(c).to_numpy() for c in ("segment", "place"))
+        for segment in np.unique(segments):
+            held.setdefault(int(segment), np.zeros(SEGMENT_BITS, np.uint8))[places[segments == segment]] = 1
+    for segment, bits in held.items():
+        packed = np.packbits(bits, bitorder="little").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([packed], pa.binary())], ["segment", "bits"])
+
+
+def bitmap_of(keys: DataFrame):
+    """Broadcast bitmap of a table's hashes (one column)."""
+    key = keys.columns[0]
+    bits = SEGMENT_BITS
+    n = keys.count()
+    while bits < min(MOST_BITS, GRAM_BITS * n):
+        bits *= 2
+    at = F.col(key).bitwiseAND(F.lit(bits - 1))
+    segments = (
+        keys.select((at / SEGMENT_BITS).cast("int").alias("segment"), (at % SEGMENT_BITS).cast("int").alias("place"))
+        .repartition("segment")
+        .mapInArrow(segment_bits, "segment int, bits binary")
+    )
+    return keys.sparkSession.sparkContext.broadcast(collect_bitmap(segments, bits // SEGMENT_BITS, SEGMENT_BITS // 8))
+
+
+def counted_grams(length: int, sent):
+    """(context, suffix, count) per chunk of the grams whose parts may both be frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary.value
-        for batch in chunks(batches):
-            words = Words(batch.column("text"))
-            offsets = words.offsets
-            distinct, back = np.unique(words.hashes(lower=True), return_inverse=True)
-            distinct = distinct.view(np.int64)
-            at = lookup(known[0], distinct)
-            number = np.full(len(distinct), -1, np.int32)
-            number[at >= 0] = known[1][at[at >= 0]]
-            all_codes = number[back]
-            rare = all_codes < 0
-            before = np.concatenate([[0], np.cumsum(rare)]).astype(np.int32)
-            tail = pa.ListArray.from_arrays(pa.array(before[offsets]), signed(distinct[back[rare]]))
-            blobs = pa.Array.from_buffers(
-                pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(all_codes.astype("<i4").tobytes())]
-            )
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("training"), pa.array(np.diff(offsets) + 1), blobs, tail],
-                ["doc_id", "training", "n_tokens", "codes", "tail"],
-            )
+        bits = sent.value
+        for batch in chunks(batches, limit=TEXT_BYTES):
+            grams, _, place = gram_hashes(Words(batch.column("text")), length - 1)
+            parts = grams[-1]
+            maybe = in_bitmap(bits, parts)
+            at = np.flatnonzero((place[1:] >= length - 1) & maybe[1:] & maybe[:-1])
+            context, suffix = parts[at], parts[at + 1]
+            _, first, n = np.unique(joined_hash(context, suffix), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([signed(context[first]), signed(suffix[first]), pa.array(n)], ["context", "suffix", "n"])
 
     return run
 
 
-def token_rows(blobs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sequences end, words..., end of a batch one after the other, each token's text
-    number, and its place in the sequence (0 for the leading end)."""
-    parts, sizes = [], []
-    one = np.array([END], np.int32)
-    for blob in blobs.to_pylist():
-        codes = np.frombuffer(blob, "<i4")
-        parts += [one, codes, one]
-        sizes.append(len(codes) + 2)
-    sizes = np.array(sizes, np.int64)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return (np.concatenate(parts) if parts else np.zeros(0, np.int32)).astype(np.int64), owner, place
+def with_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        context, suffix = (batch.column(c).to_numpy().view(np.uint64) for c in ("context", "suffix"))
+        yield batch.append_column("gram", signed(joined_hash(context, suffix)))
 
 
 def lookup(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -124,25 +169,8 @@ def gram_numbers(codes: np.ndarray, place: np.ndarray, levels: list[np.ndarray])
     return found
 
 
-def gram_counts(sent):
-    """(gram, count) of the candidate n-grams one longer than those known, per batch:
-    both the gram without its last token and the one without its first are frequent."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = sent.value
-        for batch in chunks(batches, "codes", CODES_BYTES):
-            codes, _, place = token_rows(batch.column("codes"))
-            numbers = gram_numbers(codes, place, levels)[-1]
-            before = np.concatenate([[-1], numbers[:-1]])
-            ok = (before >= 0) & (numbers >= 0) & (place >= len(levels) + 1)
-            found, n = np.unique(before[ok] * SHIFT + codes[ok], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["gram", "n"])
-
-    return run
-
-
 class Tree:
-    """Arrays by depth. Depth d has frequent grams of d + 1 tokens in ascending order of
+    """The same tree on one machine, which the tables are tested against. Arrays by depth. Depth d has frequent grams of d + 1 tokens in ascending order of
     (number of the context, a d-gram) * SHIFT + follower, their final probabilities,
     and per context of d tokens: whether it is a state, and its share for the suffix."""
 
@@ -177,7 +205,7 @@ class Tree:
 
 def grow(counts: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]], n_texts: int, tokens: int, vocabulary: int) -> Tree:
     """The tree from the numbered words' counts (the end's first) and, for each depth, the
-    frequent grams with theirs. Everything here is bounded by P_MIN."""
+    frequent grams with theirs, on one machine."""
     root = (counts + 1) / (tokens + vocabulary + 1)
     # Words that precede something: all but the end, which as a context starts a text.
     context_counts = counts.astype(np.float64).copy()
@@ -230,104 +258,186 @@ def grow(counts: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]], n_texts
     return Tree(root, 1 / (tokens + vocabulary + 1), levels, states, shares, probabilities)
 
 
-def scored(sent, counts):
+def scored(longest: int, head, sent):
+    """Per row one with its head (what broadcast values add up to), and one per gram
+    whose value is in the table, with how often the text has it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = Tree(*sent.value)
-        known = counts.value
-        base_of = np.log10(tree.root)
-        for batch in chunks(batches, "codes", CODES_BYTES):
-            codes, owner, place = token_rows(batch.column("codes"))
-            n = batch.num_rows
-            each = tree.log10(codes, place)
-            numbered = (codes >= 0) & (place > 0)
-            base = np.where(numbered, base_of[np.maximum(codes, 0)], 0.0)
-            # The root's part of a word without number comes from the join.
-            score = np.where((codes < 0), each - np.log10(tree.rest), each)
-            seen = numbered & (known[np.maximum(codes, 0)] > 0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row"), batch.column("training"), batch.column("n_tokens")]
-                + [pa.array(np.bincount(owner, x, minlength=n)) for x in (seen, base, score)],
-                ["doc_id", "row", "training", "n_tokens", "head_known", "head_base", "head_score"],
+        keys, *values = head.value
+        bits = sent.value
+        for batch in chunks(batches, limit=TEXT_BYTES):
+            words, n = Words(batch.column("text")), batch.num_rows
+            grams, owner, place = gram_hashes(words, longest)
+            sums, rows, others = [np.zeros(n) for _ in values], [], []
+            for length, found in enumerate(grams, 1):
+                own, found = owner[place >= length - 1], found[place >= length - 1]
+                at = lookup(keys, found.view(np.int64))
+                for total, value in zip(sums, values, strict=True):
+                    total += np.bincount(own[at >= 0], value[at[at >= 0]], minlength=n)
+                rest = (at < 0) & in_bitmap(bits, found)
+                rows.append(own[rest])
+                others.append(found[rest])
+            row, other = np.concatenate(rows), np.concatenate(others)
+            order = np.lexsort((other, row))
+            row, other = row[order], other[order]
+            new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (other[1:] != other[:-1])])) if len(row) else np.zeros(0, int)
+            times = np.diff(new, append=len(row))
+            ids = batch.column("row").to_numpy()
+            yield from request_rows(ids[row[new]], other[new], times, None)
+            tops = pa.StructArray.from_arrays(
+                [batch.column("doc_id"), batch.column("training"), pa.array(np.diff(words.offsets) + 1), *(pa.array(x) for x in sums)],
+                ["doc_id", "training", "n_tokens", "base", "known", "extra"],
             )
+            # A key of its own, so that these rows are dealt evenly; times 0 whatever it meets.
+            yield from request_rows(ids, mix(ids.astype(np.uint64) + BEGIN), np.zeros(n, np.int64), tops)
 
     return run
 
 
-def score_texts(docs: DataFrame, training, depth: int = DEPTH, p_min: float = P_MIN) -> DataFrame:
+TOP = "struct<doc_id: long, training: boolean, n_tokens: long, base: double, known: double, extra: double>"
+
+
+def request_rows(ids, keys, times, tops) -> Iterator[pa.RecordBatch]:
+    none = pa.StructArray.from_arrays(
+        [pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.float64())],
+        ["doc_id", "training", "n_tokens", "base", "known", "extra"],
+    )
+    for a in range(0, len(ids), REQUEST_ROWS):
+        part = slice(a, a + REQUEST_ROWS)
+        top = tops[part] if tops is not None else pa.nulls(len(ids[part]), none.type)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[part]), signed(keys[part]), pa.array(times[part].astype(np.int32)), top], ["row", "key", "times", "top"])
+
+
+#: Rows of an Arrow batch that go back to the JVM at a time.
+REQUEST_ROWS = 1 << 16
+
+
+def tree_values(training: DataFrame, counted: DataFrame, n_texts: int, size: float, depth: int, least: float) -> DataFrame:
+    """(key, base, known, extra, n): what an occurrence of each word, context and gram adds
+    to a text's base score, known words and score, and its count."""
+    spark = training.sparkSession
+    ends = spark.createDataFrame(
+        [(int(np.array(x).view(np.int64)), n_texts) for x in (BEGIN, AFTER)] if n_texts else [], "word long, n long"
+    )
+    words = counted.select("word", "n").unionAll(ends)
+    start = int(np.array(BEGIN).view(np.int64))
+    # What a gram is as a context (count, and its own suffix), and as a suffix (probability of its last token).
+    contexts = words.select(F.col("word").alias("context"), F.col("n").alias("total"), F.lit(None).cast("long").alias("shorter"))
+    suffixes = words.select(F.col("word").alias("suffix"), ((F.col("n") + 1) / F.lit(size)).alias("below"))
+    frequent = words.where(F.col("n") >= least).select("word")
+    levels = []
+    for length in range(2, depth + 2):
+        grams = (
+            training.mapInArrow(counted_grams(length, bitmap_of(frequent)), "context long, suffix long, n long")
+            .groupBy("context", "suffix")
+            .agg(F.sum("n").alias("n"))
+            .where(F.col("n") >= least)
+            .mapInArrow(with_hash, "context long, suffix long, n long, gram long")
+        )
+        total = F.greatest("total", "n")
+        rows = durable(
+            grams.join(contexts, "context")
+            .join(suffixes, "suffix")
+            .select("context", "shorter", "suffix", "gram", "n", total.alias("total"), ((F.col("n") - DISCOUNT) / total).alias("own"), "below"),
+            f"op2-grams{length}",
+        )
+        # Divergence of what the counts say from the suffix's distribution, the other
+        # followers lumped into one, against half a logarithm of the count per follower.
+        plain = F.col("n") / F.col("total")
+        rest, rest_below = F.greatest(F.lit(0.0), 1 - F.col("plain")), F.least(F.lit(1.0), F.greatest(F.lit(1e-12), 1 - F.col("lower")))
+        kl = F.col("kl") + F.when(rest > 0, rest * F.log(rest / rest_below)).otherwise(0.0)
+        states = durable(
+            rows.groupBy("context")
+            .agg(
+                F.first("shorter").alias("shorter"),
+                F.max("total").alias("n"),
+                F.count("*").alias("followers"),
+                F.sum("own").alias("own"),
+                F.sum(plain).alias("plain"),
+                F.sum("below").alias("lower"),
+                F.sum(plain * F.log(plain / F.col("below"))).alias("kl"),
+            )
+            .select(
+                "context",
+                "shorter",
+                "n",
+                (1 - F.col("own")).alias("share"),
+                (F.col("n") * kl > 0.5 * F.col("followers") * F.log(F.greatest(F.col("n"), F.lit(2)))).alias("kept"),
+            ),
+            f"op2-contexts{length}",
+        )
+        levels.append((rows, states))
+        contexts = rows.select(F.col("gram").alias("context"), F.col("n").alias("total"), F.col("suffix").alias("shorter"))
+        below = (F.col("own") + F.col("share") * F.col("below")).alias("below")
+        suffixes = rows.join(states.select("context", "share"), "context").select(F.col("gram").alias("suffix"), below)
+        frequent = rows.select("gram")
+    values = [
+        counted.unionAll(ends.where(F.col("word") != start)).select(
+            F.col("word").alias("key"), F.log10(F.col("n") + 1.0).alias("base"), F.lit(1.0).alias("known"), F.lit(0.0).alias("extra"), "n"
+        )
+    ]
+    zero, longer = F.lit(0.0), None
+    for rows, states in reversed(levels):
+        # A kept context keeps its suffixes.
+        if longer is not None:
+            forced = longer.select(F.col("shorter").alias("context"), F.lit(True).alias("forced")).distinct()
+            states = states.join(forced, "context", "left").where(F.col("kept") | F.col("forced"))
+        else:
+            states = states.where("kept")
+        longer = states = durable(states.select("context", "shorter", "n", "share"), "op2-states")
+        values.append(states.select(F.col("context").alias("key"), zero, zero, F.log10("share"), "n"))
+        gain = F.log10(1 + F.col("own") / (F.col("share") * F.col("below")))
+        values.append(rows.join(states.select("context", "share"), "context").select(F.col("gram").alias("key"), zero, zero, gain, "n"))
+    return durable(
+        reduce(DataFrame.unionAll, values)
+        .groupBy("key")
+        .agg(F.sum("base").alias("base"), F.sum("known").alias("known"), F.sum("extra").alias("extra"), F.max("n").alias("n")),
+        "op2-values",
+    )
+
+
+def score_texts(docs: DataFrame, training, depth: int = DEPTH, p_min: float = 0.0) -> DataFrame:
     """doc_id, training, n_tokens, n_known, train_tokens, base_score, score per row of ``docs``.
 
     ``training``: a condition on ``docs``; other texts are only scored. Needs
     doc_id and text, other columns are ignored. A null or empty text is its end
     token alone. Repeated rows are scored, and learned from, each time. Without
     training texts every token has the same probability. An empty table gives an
-    empty result. Words are told apart by 64-bit hashes.
+    empty result. Words and grams are told apart by 64-bit hashes. ``p_min``: a
+    share of the tokens that grams must have as well, none unless asked for.
     """
     spark = docs.sparkSession
-    read = docs.select("doc_id", "text", training.alias("training"))
-    counted = durable(
-        read.where("training").select("text").mapInArrow(word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")),
-        "op2-words",
-    )
-    n_texts = read.where("training").count()
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", training.alias("training"))
+    learned = read.where("training").select("text")
+    counted = durable(learned.mapInArrow(word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "op2-words")
+    n_texts = learned.count()
     sums = counted.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens, vocabulary = (sums["n"] or 0) + n_texts, sums["v"] + (n_texts > 0)
-    # At most 1 / VOCABULARY_MIN words.
-    head = counted.where(F.col("n") >= VOCABULARY_MIN * tokens).toArrow()
-    word, n = head.column("word").to_numpy(), head.column("n").to_numpy()
-    order = np.lexsort((word, -n))
-    counts = np.concatenate([[n_texts], n[order]]).astype(np.int64)
-    by_hash = np.argsort(word[order])
-    numbers = spark.sparkContext.broadcast((word[order][by_hash], (by_hash + 1).astype(np.int32)))
-    coded = durable(
-        read.mapInArrow(coded_texts(numbers), "doc_id long, training boolean, n_tokens long, codes binary, tail array<long>")
-        # Numbers of rows hold from here on, as the table is written once.
-        .withColumn("row", F.monotonically_increasing_id()),
-        "op2-codes",
-    )
-    grams: list[tuple[np.ndarray, np.ndarray]] = []
-    least = max(2.0, p_min * tokens)
-    for _ in range(depth):
-        sent = spark.sparkContext.broadcast([keys for keys, _ in grams])
-        # At most 1 / P_MIN grams.
-        found = (
-            coded.where("training")
-            .select("codes")
-            .mapInArrow(gram_counts(sent), "gram long, n long")
-            .groupBy("gram")
-            .agg(F.sum("n").alias("n"))
-            .where(F.col("n") >= least)
-            .toArrow()
-        )
-        keys, n = found.column("gram").to_numpy(), found.column("n").to_numpy()
-        order = np.argsort(keys)
-        grams.append((keys[order], n[order]))
-    tree = grow(counts, grams, n_texts, tokens, vocabulary)
-    heads = coded.mapInArrow(
-        scored(spark.sparkContext.broadcast(tree.parts()), spark.sparkContext.broadcast(counts)),
-        "doc_id long, row long, training boolean, n_tokens long, head_known double, head_base double, head_score double",
-    )
     size = float(tokens + vocabulary + 1)
-    tails = (
-        coded.select("row", F.explode("tail").alias("word"))
-        .groupBy("row", "word")
-        .agg(F.count("*").alias("times"))
-        .join(counted, "word", "left")
+    values = tree_values(learned, counted, n_texts, size, depth, max(float(LEAST), p_min * tokens))
+    # At most 1 / HEAD_MIN of each length, and the marks around texts.
+    top = values.where(F.col("n") >= HEAD_MIN * tokens).drop("n").toArrow()
+    arrays = [top.column(c).to_numpy() for c in ("key", "base", "known", "extra")]
+    order = np.argsort(arrays[0])
+    head = spark.sparkContext.broadcast([x[order] for x in arrays])
+    others = values.where(F.col("n") < HEAD_MIN * tokens).select("key", "base", "known", "extra")
+    asked = read.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
+        scored(depth + 1, head, bitmap_of(others.select("key"))), f"row long, key long, times int, top {TOP}"
+    )
+    summed = (
+        asked.join(others, "key", "left")
         .groupBy("row")
-        .agg(
-            F.sum("times").alias("all"),
-            F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"),
-            F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(size))).alias("base"),
-        )
+        .agg(F.first("top", ignorenulls=True).alias("top"), *(F.sum(F.col("times") * F.coalesce(c, F.lit(0.0))).alias(c) for c in ("base", "known", "extra")))
     )
-    zero = F.lit(0.0)
-    return heads.join(tails, "row", "left").select(
-        "doc_id",
-        "training",
-        "n_tokens",
-        (F.col("head_known") + F.coalesce("known", zero)).cast("long").alias("n_known"),
+    base = F.col("top.base") + F.col("base") - F.col("top.n_tokens") * F.lit(float(np.log10(size)))
+    return summed.select(
+        F.col("top.doc_id").alias("doc_id"),
+        F.col("top.training").alias("training"),
+        F.col("top.n_tokens").alias("n_tokens"),
+        F.round(F.col("top.known") + F.col("known")).cast("long").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("head_base") + F.coalesce("base", zero)).alias("base_score"),
-        (F.col("head_score") + F.coalesce("base", zero)).alias("score"),
+        base.alias("base_score"),
+        (base + F.col("top.extra") + F.col("extra")).alias("score"),
     )
 
 

@@ -153,6 +153,53 @@ def test_tree_distributions_are_normalised():
         assert total == pytest.approx(1)
 
 
+def local_scores(texts, training, least, depth=3):
+    """score_texts() by grow() and Tree.log10() on counted grams, everything on one machine."""
+    words = [(t or "").lower().split() for t in texts]
+    counts = Counter(w for i in training for w in words[i])
+    code = {w: i for i, (w, _) in enumerate(counts.most_common(), 1)}
+    sequences = [np.array([0, *(code.get(w, -1) for w in ws), 0], np.int64) for ws in words]
+    grams, levels = [], []
+    for _ in range(depth):
+        found = Counter()
+        for i in training:
+            s, place = sequences[i], np.arange(len(sequences[i]))
+            numbers = op2_suffix_tree.gram_numbers(s, place, levels)[-1]
+            for at in range(len(levels) + 1, len(s)):
+                if numbers[at - 1] >= 0 and numbers[at] >= 0:
+                    found[int(numbers[at - 1]) * int(op2_suffix_tree.SHIFT) + int(s[at])] += 1
+        pairs = sorted((k, n) for k, n in found.items() if n >= least)
+        grams.append((np.array([k for k, _ in pairs], np.int64), np.array([n for _, n in pairs], np.int64)))
+        levels.append(grams[-1][0])
+    numbers = np.array([len(training), *(n for _, n in counts.most_common())], np.int64)
+    tree = op2_suffix_tree.grow(numbers, grams, len(training), int(numbers.sum()), len(numbers))
+    return [tree.log10(s, np.arange(len(s))).sum() for s in sequences]
+
+
+@pytest.mark.parametrize("head", [0.0, 2.0])  # all values broadcast, and all joined
+def test_scores_equal_those_of_the_whole_tree(spark, monkeypatch, head):
+    monkeypatch.setattr(op2_suffix_tree, "HEAD_MIN", head)
+    rng = np.random.default_rng(11)
+    passage = " ".join(f"p{i}" for i in range(12))
+    texts = [" ".join(f"w{x}" for x in np.minimum(rng.zipf(1.4, 60), 90)) + (f" {passage}" if i % 9 == 1 else "") for i in range(60)]
+    texts += [None, "", "w1", "never seen", passage, passage.upper()]
+    training = [i for i in range(len(texts)) if i % 3]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r.score for r in op2_suffix_tree.score_texts(frame, F.col("doc_id") % 3 != 0).collect()}
+    assert [found[i] for i in range(len(texts))] == pytest.approx(local_scores(texts, training, 2), rel=1e-9)
+
+
+def test_a_passage_seen_twice_is_kept_at_any_size(spark):
+    """In 4.2 million tokens, of which 2^-20 would be four occurrences."""
+    passage = " ".join(f"rare{i}" for i in range(10))
+    common = spark.range(1400).select("id", F.lit("a b c d e f " * 500).alias("text"))
+    rare = spark.createDataFrame([(5000, passage), (5001, passage), (6000, passage)], "id long, text string")
+    frame = common.unionAll(rare).withColumnRenamed("id", "doc_id")
+    found = {r.doc_id: r for r in op2_suffix_tree.score_texts(frame, F.col("doc_id") < 6000).where("doc_id >= 5000").collect()}
+    assert found[6000].score == pytest.approx(found[5000].score)
+    assert found[6000].score > found[6000].base_score + 30
+
+
 def test_language_model_edge_cases(docs, none):
     found = op2_suffix_tree.score_texts(docs.withColumn("row", F.lit(1)), F.lit(True)).collect()
     assert len(found) == 10 and all(r.score <= 0 for r in found)
