@@ -10,7 +10,8 @@ wherever it stands, in all texts and all runs with one key.
 Distinct values must get distinct surrogates, none of which is itself a detected
 value: the corpus's distinct values are checked in a distributed table; of those
 that collide one keeps its surrogate and the others take the next attempt, until
-none collides. Attempt 0 is recomputed where the texts are; only values with a
+none collides. From attempt ``LIKE`` on a surrogate is a little longer each time (an
+IPv4 address has parts beyond 255), so every shape has room. Attempt 0 is recomputed where the texts are; only values with a
 later attempt are passed to them.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,8 +30,10 @@ from scriptledger.llm.shared import durable
 
 #: Values on a later attempt, up to which they are broadcast; beyond they are joined.
 BROADCAST_VALUES = 100_000
-#: Rounds of collision checks, after which a kind's shape has no room for its values.
-ROUNDS = 64
+#: Attempts that keep a value's length.
+LIKE = 4
+#: Letters and digits of a secret that drawing by shape must change; with fewer, all characters are drawn.
+LEAST_DRAWN = 6
 
 # Titles and given names by gender, as written in texts.
 MALE_TITLES = ("Mr", "Mister", "Sir", "Herr", "Monsieur", "Señor", "Don", "Sr", "Г-н", "Господин", "Κύριος")
@@ -64,6 +68,8 @@ PATTERNS = [
     ("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{2,5}(?:[ .-]\d{2,5}){1,4}(?!\w|\.\d)"), None),
     ("phone", re.compile(r"(?<![\w.])\+\d{8,15}(?!\d)"), None),
 ]
+KEY_PARTS = re.compile(r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)(.*?)(-----END [A-Z ]*PRIVATE KEY-----)", re.S)
+KEY_BREAK = re.compile(r"(\\[nr]|\s+)")
 NUMERIC = re.compile(r"[0-9]")
 DATE = re.compile(r"(?:\d{4}[-. ]\d{1,2}[-. ]\d{1,2}|\d{1,2}[-. ]\d{1,2}[-. ]\d{4})$")
 TITLED = re.compile(rf"(?<!\w)({'|'.join(MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES)})\.? ({NAME_WORD})(?: ({NAME_WORD}))?")
@@ -153,6 +159,20 @@ class Source:
         return value * n >> 32
 
 
+LETTERS, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
+
+
+def drawn(characters: str, n: int, draw: Source) -> str:
+    return "".join(characters[draw.below(len(characters))] for _ in range(n))
+
+
+def secret_shape(value: str, draw: Source) -> str:
+    """By shape, but every character drawn where a shape would hardly change it."""
+    if sum(c.isdigit() or c.isalpha() for c in value) < LEAST_DRAWN:
+        return drawn(LETTERS + DIGITS, max(len(value), LEAST_DRAWN), draw)
+    return same_shape(value, draw)
+
+
 def same_shape(value: str, draw: Source, keep: int = 0) -> str:
     """Letters of the same case and digits for each, other characters as they are."""
     out = [value[:keep]]
@@ -178,43 +198,49 @@ SOUNDS = {
 def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     """Canonical surrogate of a canonical value."""
     draw = Source(key, kind, value, str(attempt))
+    more = max(0, attempt - LIKE + 1)
     if kind == "email":
         local, _, domain = value.partition("@")
         # One domain, one surrogate domain; its last label stays.
         labels = domain.split(".")
         host = Source(key, "domain", domain)
-        return f"{same_shape(local, draw)}@{'.'.join(same_shape(x, host) for x in labels[:-1])}.{labels[-1]}"
+        local = same_shape(local, draw) + drawn(LETTERS, more, draw)
+        return f"{local}@{'.'.join(same_shape(x, host) for x in labels[:-1])}.{labels[-1]}"
     if kind == "ip":
-        return ".".join(str(1 + draw.below(254)) for _ in range(4))
+        return ".".join(str(256 + draw.below(744) if more else 1 + draw.below(254)) for _ in range(4))
     if kind == "mac":
-        return "".join("0123456789abcdef"[draw.below(16)] for _ in value)
+        return drawn(HEX, len(value) + more, draw)
     if kind == "secret" and re.fullmatch("[0-9a-f]+|[0-9A-F]+", value):
-        digits = "0123456789abcdef" if value == value.lower() else "0123456789ABCDEF"
-        return "".join(digits[draw.below(16)] for _ in value)
+        return drawn(HEX if value == value.lower() else HEX.upper(), len(value) + more, draw)
     if kind == "secret":
         head = re.match(r"AKIA|gh[pousr]_|sk-|xox[abpr]-|eyJ|", value)[0]
-        return head + same_shape(value[len(head) :], draw, 0)
+        return head + secret_shape(value[len(head) :], draw) + drawn(LETTERS, more, draw)
     if kind == "private_key":
-        lines = value.split("\n")
-        return "\n".join(x if x.startswith("-----") else same_shape(x, draw) for x in lines)
+        first, body, last = KEY_PARTS.fullmatch(value).groups()
+        # Line breaks stay, also those written as escapes.
+        parts = KEY_BREAK.split(body)
+        if sum(c.isalnum() for x in parts[::2] for c in x) < LEAST_DRAWN:
+            parts = [*parts, drawn(LETTERS + DIGITS, 64, draw)]
+        new = "".join(x if i % 2 else same_shape(x, draw) for i, x in enumerate(parts))
+        return first + new + drawn(LETTERS, more, draw) + last
     if kind == "card":
         # First digit (the network) stays; valid numbers stay valid, others invalid.
-        body = value[0] + "".join(str(draw.below(10)) for _ in value[1:-1])
-        right = next(d for d in "0123456789" if luhn_sum(body + d) == 0)
+        body = value[0] + drawn(DIGITS, len(value) - 2 + more, draw)
+        right = next(d for d in DIGITS if luhn_sum(body + d) == 0)
         return body + (right if luhn_sum(value) == 0 else str((int(right) + 1 + draw.below(9)) % 10))
     if kind == "iban":
-        country, rest = value[:2], same_shape(value[4:], draw)
+        country, rest = value[:2], same_shape(value[4:], draw) + drawn(DIGITS, more, draw)
         return f"{country}{98 - iban_rest(country + '00' + rest):02d}{rest}"
     if kind == "phone":
         keep = 2 if value.startswith("+") else 0  # the plus and the first digit of the country's code
-        return value[:keep] + same_shape(value[keep:], draw)
+        return value[:keep] + same_shape(value[keep:], draw) + drawn(DIGITS, more, draw)
     if kind == "ssn":
-        return same_shape(value, draw)
+        return same_shape(value, draw) + drawn(DIGITS, more, draw)
     part, *_, script = kind.split("-")
     consonants, vowels, ends = SOUNDS[script]
     gender = kind.split("-")[1] if part == "given" else "n"
     # Later attempts have more syllables, hence more room.
-    count = 2 + (part == "family") + attempt // 4
+    count = 2 + (part == "family") + attempt // 4 + more
     name = "".join(consonants[draw.below(len(consonants))] + vowels[draw.below(len(vowels))] for _ in range(count))
     end = ends[gender][draw.below(len(ends[gender]))]
     return (name[:-1] if end[0] in vowels else name) + end
@@ -226,11 +252,12 @@ def written(kind: str, original: str, new: str) -> str:
         return new.upper() if original.isupper() and len(original) > 1 else new.capitalize()
     if kind in ("card", "ssn", "phone", "iban", "mac"):
         it = iter(new.lstrip("+"))
-        out = "".join(next(it, "") if c.isalnum() else c for c in original)
+        out = "".join(next(it, "") if c.isalnum() else c for c in original) + "".join(it)
         return out.upper() if kind == "mac" and original.upper() == original else out
     if kind == "email":
-        it = [n.upper() if o.isupper() else n for o, n in zip(original, new, strict=True)]
-        return "".join(it)
+        # Case by place on either side of the sign; what is longer stays lower case.
+        pairs = zip(original.split("@"), new.split("@"), strict=True)
+        return "@".join("".join(n.upper() if o.isupper() else n for o, n in zip_longest(old[: len(x)], x, fillvalue="")) for old, x in pairs)
     return new
 
 
@@ -264,7 +291,7 @@ def settled_attempts(values: DataFrame, key: bytes) -> DataFrame:
     schema = "kind string, value string, attempt int, new string"
     state = durable(values.withColumn("attempt", F.lit(0)).mapInArrow(candidates(key), schema), "op1-values")
     later = None
-    for _ in range(ROUNDS):
+    while True:  # ends: later surrogates are ever longer
         # One value of each surrogate keeps it: the one with the earliest attempt. None keeps a detected value.
         keeper = state.groupBy("kind", "new").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "value")).alias("keeper")).where("n > 1")
         shared = state.join(keeper, ["kind", "new"]).where(F.col("value") != F.col("keeper.value")).select("kind", "value")
@@ -277,7 +304,6 @@ def settled_attempts(values: DataFrame, key: bytes) -> DataFrame:
             state.join(losers, ["kind", "value"], "left_anti").unionAll(moved.mapInArrow(candidates(key), schema)), "op1-values"
         )
         later = state.where("attempt > 0").select("kind", "value", "attempt")
-    raise ValueError("more values of one shape than it has surrogates")
 
 
 def replaced(key: bytes, sent, columns: list[str]):

@@ -87,6 +87,30 @@ def test_distinct_values_stay_distinct_in_a_crowded_shape(spark):
     assert not {next(iter(v)) for v in new.values()} & {f"{i + 10}@x.com" for i in range(60)}
 
 
+def test_values_that_a_shape_has_no_room_for(spark):
+    """Secrets without letters, a key on one line, all one-letter addresses of a domain, case that changes length."""
+    secrets = ["********", "!!!!!!", "-----BEGIN PRIVATE KEY-----\\nMIIEvQIBADANBgkqh\\nkiG9w0BAQ==\\n-----END PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----\n\n-----END PRIVATE KEY-----", "sk-" + "-" * 20]
+    texts = [f'password = "{x}"' if i < 2 else x for i, x in enumerate(secrets)]
+    mails = [f"{c}@x.com" for c in "abcdefghijklmnopqrstuvwxyz"] + ["%%%@x.com", "İA@x.com"]
+    rows = list(enumerate(texts + mails))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in op1_surrogates.replace_personal_data(frame, KEY).collect()}
+    assert len(found) == len(rows) and all(found[i].entities for i, _ in rows)
+    assert all(x not in found[i].text for i, x in enumerate(secrets))
+    assert "MIIEvQ" not in found[2].text and found[2].text.count("\\n") == 3
+    new = {found[i].text for i, _ in rows[len(texts) :]}
+    assert len(new) == len(mails) and not new & {m.lower() for m in mails}
+
+
+def test_later_attempts_have_room():
+    values = {"ip": "1.2.3.4", "mac": "001a2b3c4d5e", "card": "4539148803436467", "iban": "DE89370400440532013000", "phone": "+15235551055", "ssn": "123456789", "given-f-latin": "anna"}
+    for kind, value in values.items():
+        later = op1_surrogates.surrogate(KEY, kind, value, 9)
+        assert len(later) > len(value) and len({op1_surrogates.surrogate(KEY, kind, value, a) for a in range(40)}) == 40
+    assert op1_surrogates.luhn_sum(op1_surrogates.surrogate(KEY, "card", values["card"], 9)) == 0
+    assert op1_surrogates.written("ssn", "123-45-6789", "98765432199") == "987-65-432199"
+
+
 def test_surrogate_edge_cases(docs, none):
     out = op1_surrogates.replace_personal_data(docs.withColumn("entities", F.lit("old")), KEY)
     assert sorted((r.doc_id, r.text or "") for r in out.collect()) == sorted((r.doc_id, r.text or "") for r in docs.collect())
