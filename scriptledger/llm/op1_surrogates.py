@@ -13,11 +13,19 @@ that collide one keeps its surrogate and the others take the next attempt, until
 none collides. From attempt ``LIKE`` on a surrogate is a little longer each time (an
 IPv4 address has parts beyond 255), so every shape has room. Attempt 0 is recomputed where the texts are; only values with a
 later attempt are passed to them.
+
+Names are found after a title or as a listed given name before another name word;
+within a text, later mentions of either part alone are found from there, written as
+found, capitalised or in capitals. Not found: names that a text only has without a
+title and with an unlisted given name, mentions in other texts alone, in lower case,
+inflected or as nicknames; unquoted secrets without a digit; postal addresses, dates
+of birth and user names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
 from itertools import zip_longest
@@ -59,15 +67,18 @@ PATTERNS = [
     ("private_key", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", re.S), "-----BEGIN "),
     ("secret", re.compile(r"(?<![\w-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abpr]-[A-Za-z0-9-]{10,}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{5,})(?![\w-])"), None),
     ("secret", re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])"), None),
-    ("secret", re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']([^\s\"']{6,})[\"']"), None),
+    ("secret", re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s*[=:]\s*(?:[\"']([^\s\"']{6,})[\"']|((?=[^\s\"',;&<>()\[\]{}]*\d)[^\s\"',;&<>()\[\]{}]{6,})(?<![.:])(?![\w(\[]))"), None),
     ("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"), None),
     ("mac", re.compile(r"(?<![0-9A-Za-z:-])[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}(?![0-9A-Za-z:-])"), None),
+    ("ipv6", re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:|::)(?:[0-9A-Fa-f]{0,4}:){0,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d)"), ":"),
     ("ip", re.compile(r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)"), None),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), None),
     ("card", re.compile(r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)"), None),
     ("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{2,5}(?:[ .-]\d{2,5}){1,4}(?!\w|\.\d)"), None),
     ("phone", re.compile(r"(?<![\w.])\+\d{8,15}(?!\d)"), None),
 ]
+PART = re.compile(r"[^\W\d_]+")
+WHOLE_WORD = re.compile(r"(?<!\w)[^\W\d_]+(?:[-'’][^\W\d_]+)*(?!\w)")
 KEY_PARTS = re.compile(r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)(.*?)(-----END [A-Z ]*PRIVATE KEY-----)", re.S)
 KEY_BREAK = re.compile(r"(\\[nr]|\s+)")
 NUMERIC = re.compile(r"[0-9]")
@@ -114,11 +125,30 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
     for m in NAMED.finditer(text):
         found.append((*m.span(1), f"given-{GIVEN[m[1].lower()]}-{script_of(m[1])}", m[1].lower()))
         found.append((*m.span(2), f"family-{script_of(m[2])}", m[2].lower()))
-    kept, taken = [], []
-    for one in found:  # a text has few; earlier patterns come first
-        if all(one[1] <= a or one[0] >= b for a, b in taken):
-            kept.append(one)
-            taken.append((one[0], one[1]))
+    kept, taken = [], bytearray(len(text))
+
+    def keep(some) -> None:
+        for one in some:  # earlier ones win
+            if taken.find(1, one[0], one[1]) < 0:
+                kept.append(one)
+                taken[one[0] : one[1]] = b"\x01" * (one[1] - one[0])
+
+    keep(found)
+    # Later or earlier mentions of a name alone.
+    forms: dict[str, tuple[str, str]] = {}
+    for start, end, kind, value in sorted(kept):
+        if kind.startswith(("given", "family")):
+            for form in (text[start:end], value.capitalize(), value.upper()):
+                if len(form) > 1:
+                    forms.setdefault(form, (kind, value))
+    if forms:
+        mentions = []
+        for m in WHOLE_WORD.finditer(text):
+            # A compound as it is, else its parts.
+            for part in [m] if m[0] in forms else PART.finditer(text, *m.span()):
+                if part[0] in forms:
+                    mentions.append((*part.span(), *forms[part[0]]))
+        keep(mentions)
     return sorted(kept)
 
 
@@ -128,6 +158,14 @@ def canonical_value(kind: str, value: str) -> str | None:
     if kind == "ip":
         parts = [int(p) for p in value.split(".")]
         return ".".join(map(str, parts)) if max(parts) < 256 else None
+    if kind == "ipv6":
+        # Words with colons are not addresses: two groups, five digits, one of them decimal.
+        if len(re.findall("[0-9A-Fa-f]+", value)) < 2 or sum(c.isalnum() for c in value) < 5 or not NUMERIC.search(value):
+            return None
+        try:
+            return ipaddress.IPv6Address(value).exploded
+        except ValueError:
+            return None
     if kind == "iban":
         compact = value.replace(" ", "")
         return compact if 15 <= len(compact) <= 34 and iban_rest(compact) == 1 else None
@@ -208,6 +246,8 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         return f"{local}@{'.'.join(same_shape(x, host) for x in labels[:-1])}.{labels[-1]}"
     if kind == "ip":
         return ".".join(str(256 + draw.below(744) if more else 1 + draw.below(254)) for _ in range(4))
+    if kind == "ipv6":
+        return ":".join(drawn(HEX, 4, draw) for _ in range(8 + more))
     if kind == "mac":
         return drawn(HEX, len(value) + more, draw)
     if kind == "secret" and re.fullmatch("[0-9a-f]+|[0-9A-F]+", value):
@@ -254,6 +294,8 @@ def written(kind: str, original: str, new: str) -> str:
         it = iter(new.lstrip("+"))
         out = "".join(next(it, "") if c.isalnum() else c for c in original) + "".join(it)
         return out.upper() if kind == "mac" and original.upper() == original else out
+    if kind == "ipv6":
+        return new.upper() if original.upper() == original and original.lower() != original else new
     if kind == "email":
         # Case by place on either side of the sign; what is longer stays lower case.
         pairs = zip(original.split("@"), new.split("@"), strict=True)

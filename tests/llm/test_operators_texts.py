@@ -102,6 +102,37 @@ def test_values_that_a_shape_has_no_room_for(spark):
     assert len(new) == len(mails) and not new & {m.lower() for m in mails}
 
 
+def test_bare_mentions_of_a_name_get_its_surrogates(spark):
+    text = "Mr. John Smith came. Smith said so, SMITH'S way; John left with a smith and Smithson."
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    new = op1_surrogates.replace_personal_data(frame, KEY).first().text
+    john, smith = re.match(r"Mr\. (\w+) (\w+) came", new).groups()
+    assert new == f"Mr. {john} {smith} came. {smith} said so, {smith.upper()}'S way; {john} left with a smith and Smithson."
+    assert "John" not in (john, smith) and "Smith" not in (john, smith)
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "value"),
+    [
+        ("set password=hunter22 now", "secret", "hunter22"),
+        ("api_key: k3y-abcdef.", "secret", "k3y-abcdef"),
+        ('{"api_key": "abcdefgh"}', "secret", "abcdefgh"),
+        ("from 2001:db8::8A2e:370:7334 in", "ipv6", "2001:0db8:0000:0000:0000:8a2e:0370:7334"),
+        ("at fe80::12a.", "ipv6", "fe80:0000:0000:0000:0000:0000:0000:012a"),
+    ],
+)
+def test_unquoted_secrets_and_long_addresses(text, kind, value):
+    (start, end, found, canonical), *more = op1_surrogates.find_entities(text)
+    assert (found, canonical, more) == (kind, value, [])
+    new = op1_surrogates.written(kind, text[start:end], op1_surrogates.surrogate(KEY, kind, canonical, 0))
+    assert new != text[start:end] and value not in new
+
+
+@pytest.mark.parametrize("text", ["at 12:34:56", "std::vector a::b", "token = get_token2(x)", "the secret: everything", "ratio 3:4::"])
+def test_code_and_times_stay(text):
+    assert op1_surrogates.find_entities(text) == []
+
+
 def test_later_attempts_have_room():
     values = {"ip": "1.2.3.4", "mac": "001a2b3c4d5e", "card": "4539148803436467", "iban": "DE89370400440532013000", "phone": "+15235551055", "ssn": "123456789", "given-f-latin": "anna"}
     for kind, value in values.items():
