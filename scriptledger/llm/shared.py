@@ -15,13 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Folders made for applications whose cluster names none.
+OWN_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests,
-    local runs) a temporary one is made and set for the session."""
+    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests, local
+    runs) a temporary one, the same for the whole application."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="scriptledger-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        application = spark.sparkContext.applicationId
+        folder = OWN_FOLDERS.get(application) or OWN_FOLDERS.setdefault(application, tempfile.mkdtemp(prefix="scriptledger-"))
     return folder.rstrip("/")
 
 
