@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptledger import schemas
+from scriptledger.sources.csv_splits import read_csv_records
 
 # Fixed value: name pattern of the extracted payments file, for one year or any.
 OPEN_PAYMENTS_GLOB = "OP_DTL_GNRL_PGYR{year}*.csv"
@@ -51,11 +52,18 @@ def read_text_columns(
     ``paths``: a file, a directory, or several of them. Each file is read by its
     own header, so their columns may stand in different orders. A line with more
     fields than the header keeps the first ones and a shorter one is padded with
-    NULL; no line is dropped. Quoted fields may hold line breaks; since such a
-    file cannot be split, it is read by one task. Files known to have none may be
-    read with ``multi_line=False`` and are then split.
+    NULL; no line is dropped. Quoted fields may hold line breaks. Files are read in
+    parallel either way; ``multi_line=False`` saves the scan that looks for open
+    quotes, for files known to have no line breaks within quotes. ``encoding`` must
+    write ASCII as single bytes.
     """
-    options = {"header": True, "encoding": encoding, "escape": '"', "multiLine": multi_line}
+    given = [paths] if isinstance(paths, str) else list(paths)
+    each = [file for path in given for file in list_files(spark, path)]
+    if not each:
+        raise FileNotFoundError(f"no file in {given}")
+    if multi_line:
+        return read_csv_records(spark, each, header, encoding)
+    options = {"header": True, "encoding": encoding, "escape": '"'}
 
     def one(path: str) -> DataFrame:
         found = spark.read.options(**options).csv(path).columns
@@ -70,10 +78,6 @@ def read_text_columns(
             .select([F.col(f"`{name}`").alias(column) for name, column in header.items()])
         )
 
-    given = [paths] if isinstance(paths, str) else list(paths)
-    each = [file for path in given for file in list_files(spark, path)]
-    if not each:
-        raise FileNotFoundError(f"no file in {given}")
     return reduce(DataFrame.unionByName, map(one, each))
 
 
