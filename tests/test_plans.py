@@ -85,8 +85,9 @@ def test_rows_below_the_cut_are_dropped_before_a_class_meets(mart):
     ],
 )
 def test_company_views_scan_the_bridge_and_no_payments(mart, view):
-    plan = physical(view(mart))
-    assert "bridge_physician_company_payments" in plan and "fact_payments" not in plan
+    # Plans cut long paths; the list of files does not.
+    read = {file.split("/")[-2] for file in view(mart).inputFiles()}
+    assert "bridge_physician_company_payments" in read and "fact_payments" not in read
 
 
 def test_the_outer_join_reuses_the_partitioning_of_its_inputs(small, no_auto_broadcast):
