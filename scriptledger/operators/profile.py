@@ -8,42 +8,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptledger.operators.percentiles import grouped_percentiles
 from scriptledger.operators.ranking import top_ranked
+from scriptledger.operators.selection import quantiles
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+PROFILE = "column_name string, count long, mean double, std double, min double, p25 double, p50 double, p75 double, max double"
 
 
 def numeric_profile(rows: DataFrame, digits: int = 2) -> DataFrame:
-    """Per numeric column: count, mean, std, min, quartiles, max."""
-    numeric = [
-        field.name for field in rows.schema if isinstance(field.dataType, T.NumericType)
-    ]
-    long = rows.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(name).alias("column_name"),
-                        F.col(name).cast("double").alias("value"),
-                    )
-                    for name in numeric
-                ]
-            )
-        ).alias("cell")
-    ).select("cell.*")
-    moments = long.groupBy("column_name").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    quartiles = grouped_percentiles(long, ["column_name"], "value", QUARTILES)
-    statistics = ["mean", "std", "min", *QUARTILES, "max"]
-    return moments.join(quartiles, "column_name", "left").select(
-        "column_name", "count", *[F.round(name, digits).alias(name) for name in statistics]
-    )
+    """Per numeric column: count, mean, std, min, quartiles, max; nothing for a result
+    without rows.
+
+    Quartiles are exact and found when this is called, by a few reads of ``rows`` that
+    move counts only: pass a written table where ``rows`` is dear. The rest is one
+    aggregate over all columns.
+    """
+    numeric = [field.name for field in rows.schema if isinstance(field.dataType, T.NumericType)]
+    if not numeric:
+        return rows.sparkSession.createDataFrame([], PROFILE)
+    doubles = rows.select([F.col(f"`{name}`").cast("double").alias(name) for name in numeric])
+    quartiles = quantiles(doubles, numeric, list(QUARTILES.values()))
+
+    def line(name: str) -> Column:
+        value = F.col(f"`{name}`")
+        moments = {"mean": F.avg(value), "std": F.stddev_samp(value), "min": F.min(value)}
+        found = {point: F.lit(x).cast("double") for point, x in zip(QUARTILES, quartiles[name], strict=True)}
+        statistics = moments | found | {"max": F.max(value)}
+        return F.struct(
+            F.lit(name).alias("column_name"),
+            F.count(value).alias("count"),
+            *[F.round(column, digits).alias(statistic) for statistic, column in statistics.items()],
+        )
+
+    lines = doubles.agg(F.count(F.lit(1)).alias("_rows"), F.array(*[line(name) for name in numeric]).alias("_lines"))
+    return lines.where("_rows > 0").select(F.explode("_lines").alias("_line")).select("_line.*")
 
 
 def first_and_last(

@@ -7,17 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptledger.operators.prefix import Order, ordering, running
 
-def top_per_group(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str
-) -> DataFrame:
-    """The first ``k`` rows of each group, numbered from 1.
+
+#: Rows of a group that one task may rank.
+WINDOW_ROWS = 100_000
+
+
+def top_per_group(rows: DataFrame, keys: Sequence[str], order: Sequence[Order], k: int, rank: str) -> DataFrame:
+    """The first ``k`` rows of each group, numbered from 1. NULL comes last.
 
     Up to the planner's limit on k (1000 by default) the rank filter is applied
-    in each task before the shuffle too, if no other window stands beside it.
-    For a larger k, filter by ``rank_cut`` first.
+    in each task before the shuffle too, if no other window stands beside it. For a
+    larger k, filter by ``rank_cut`` first. Beyond ``WINDOW_ROWS`` a group is ranked by
+    many tasks (``prefix.running``).
     """
-    numbered = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    if k > WINDOW_ROWS:
+        return running(rows, keys, order, rank).where(F.col(rank) <= k)
+    numbered = F.row_number().over(Window.partitionBy(*keys).orderBy(*ordering(order)))
     return rows.withColumn(rank, numbered).where(F.col(rank) <= k)
 
 

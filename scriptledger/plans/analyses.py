@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from scriptledger.functions import columns as C
 from scriptledger.functions import rules
 from scriptledger.functions.ratios import double_ratio, money_sum, pearson, percentage, ratio
+from scriptledger.operators import ranking
 from scriptledger.operators.lookup import hinted
 from scriptledger.operators.percentiles import percentile_of_ranked, ranked_histogram
+from scriptledger.operators.prefix import running
 from scriptledger.operators.ranking import may_rank, rank_cut, top_per_group
 from scriptledger.plans.warehouse import Warehouse
 
@@ -24,9 +26,9 @@ def kol_identification(
     (its size, its volume, how many sit below them) comes from a frequency table
     of claim counts. That table also says from which claim count on a row can be
     among the first ``top``, so whatever ``top`` is, other rows are dropped where
-    they are and only these (and ties at the cut) meet in a class. Claims and
-    cost are summed once, before any join: a repeated physician is listed again
-    but multiplies no sum.
+    they are and only these (and ties at the cut) meet in a class; many of them
+    are ranked by many tasks. Claims and cost are summed once, before any join: a
+    repeated physician is listed again but multiplies no sum.
     """
     pair = ["physician_npi", "therapeutic_class"]
     same_value = ["therapeutic_class", "class_claim_count"]
@@ -48,28 +50,28 @@ def kol_identification(
         F.sum(F.when(claims.isNotNull(), F.col("ties"))).alias("with_volume"),
         F.sum(claims * F.col("ties")).alias("class_volume"),
     )
-    leaders = top_per_group(
-        volume.join(
-            hinted(rank_cut(frequencies, ["therapeutic_class"], "class_claim_count", "ties", top), warehouse.lookup_is_small),
-            "therapeutic_class",
-        ).where(may_rank("class_claim_count")),
-        ["therapeutic_class"],
-        [claims.desc_nulls_last(), F.col("physician_npi").asc()],
-        top,
-        "rank_in_class",
-    )
-    so_far = (
-        Window.partitionBy("therapeutic_class")
-        .orderBy("rank_in_class")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    equals = Window.partitionBy(*same_value)
-    placed = (
-        leaders.withColumn("running_volume", F.sum(claims).over(so_far))
-        .withColumn("ahead", F.min("rank_in_class").over(equals) - 1)
-        .join(frequencies, same_value, "left")
-        .join(classes, "therapeutic_class")
-    )
+    reachable = volume.join(
+        hinted(rank_cut(frequencies, ["therapeutic_class"], "class_claim_count", "ties", top), warehouse.lookup_is_small),
+        "therapeutic_class",
+    ).where(may_rank("class_claim_count"))
+    order = [("class_claim_count", False), ("physician_npi", True)]
+    if top > ranking.WINDOW_ROWS:
+        leaders = running(
+            reachable, ["therapeutic_class"], order, "rank_in_class", {"running_volume": "class_claim_count"}, rank="first_equal"
+        ).where(F.col("rank_in_class") <= top)
+        leaders = leaders.withColumn("ahead", F.col("first_equal") - 1)
+    else:
+        leaders = top_per_group(reachable, ["therapeutic_class"], order, top, "rank_in_class")
+        so_far = (
+            Window.partitionBy("therapeutic_class")
+            .orderBy("rank_in_class")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
+        equals = Window.partitionBy(*same_value)
+        leaders = leaders.withColumn("running_volume", F.sum(claims).over(so_far)).withColumn(
+            "ahead", F.min("rank_in_class").over(equals) - 1
+        )
+    placed = leaders.join(frequencies, same_value, "left").join(classes, "therapeutic_class")
     # A physician without volume ranks after all that have some.
     below = F.when(
         claims.isNotNull(), F.col("with_volume") - F.col("ahead") - F.col("ties")
