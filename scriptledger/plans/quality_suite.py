@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import time
+import uuid
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from scriptledger.functions import rules
@@ -22,6 +24,14 @@ class Check:
     test: str
     arguments: dict[str, Any] = field(default_factory=dict)
 
+    @property
+    def name(self) -> str:
+        return f"{self.table}.{self.column}.{self.test}"
+
+
+#: Tests that compare rows by a key; the others look at one row at a time.
+BY_KEY = ("unique", "relationships")
+
 
 def _all_not_null(table: str, *columns: str) -> list[Check]:
     return [Check(table, column, "not_null") for column in columns]
@@ -108,59 +118,110 @@ def violations(warehouse: Warehouse, check: Check) -> DataFrame:
     return getattr(checks, check.test)(rows, check.column, **arguments)
 
 
-def _failures_in_one_pass(rows: DataFrame, suite: list[Check]) -> DataFrame:
-    """Checks that look at a row at a time, all from one scan of the table."""
+def _breaks(check: Check) -> Column:
+    """Whether the row at hand breaks a check that looks at one row at a time."""
+    column = F.col(check.column)
+    if check.test == "not_null":
+        return column.isNull()
+    if check.test == "between":
+        return checks.is_outside(column, **check.arguments)
+    return checks.is_unexpected(column, **check.arguments)
+
+
+def _cells(table: str, suite: Sequence[Check]) -> list[Column]:
+    """What a row of ``table`` has to say: (check, value, rows, parents), or NULL."""
 
-    def failures(check: Check):
+    def cell(place: int, value: Column, rows: int, parents: int, where: Column) -> Column:
+        parts = [F.lit(place).alias("place"), value.cast("string").alias("value"), F.lit(rows).alias("rows"), F.lit(parents).alias("parents")]
+        return F.when(where, F.struct(*parts))
+
+    cells = []
+    for place, check in enumerate(suite):
         column = F.col(check.column)
-        if check.test == "not_null":
-            return F.count_if(column.isNull())
-        if check.test == "between":
-            return F.count_if(checks.is_outside(column, **check.arguments))
-        unexpected = checks.is_unexpected(column, **check.arguments)
-        return F.count_distinct(F.when(unexpected, column))
-
-    counted = rows.agg(
-        *[failures(check).alias(f"check_{place}") for place, check in enumerate(suite)]
-    )
-    lines = [
-        F.struct(
-            F.lit(check.table).alias("table_name"),
-            F.lit(check.column).alias("column_name"),
-            F.lit(check.test).alias("test"),
-            F.col(f"check_{place}").alias("failures"),
-        )
-        for place, check in enumerate(suite)
-    ]
-    return counted.select(F.explode(F.array(*lines)).alias("line")).select("line.*")
-
-
-def _failures_by_key(warehouse: Warehouse, check: Check) -> DataFrame:
-    """Repeated values are counted once, orphan rows each."""
-    broken = violations(warehouse, check)
-    failures = (
-        F.count(F.lit(1))
-        if check.test == "unique"
-        else F.coalesce(F.sum(checks.ROWS), F.lit(0))
-    )
-    return broken.agg(failures.alias("failures")).select(
-        F.lit(check.table).alias("table_name"),
-        F.lit(check.column).alias("column_name"),
-        F.lit(check.test).alias("test"),
-        "failures",
+        if check.table == table and check.test in BY_KEY:
+            cells.append(cell(place, column, 1, 0, column.isNotNull()))
+        elif check.table == table:
+            value = column if check.test == "accepted_values" else F.lit(None)
+            cells.append(cell(place, value, 1, 0, F.coalesce(_breaks(check), F.lit(False))))
+        if check.arguments.get("parent") == table:
+            key = F.col(check.arguments["parent_column"])
+            cells.append(cell(place, key, 0, 1, key.isNotNull()))
+    return cells
+
+
+def _failures(place: Column, rows: Column, parents: Column, suite: Sequence[Check]) -> Column:
+    """Failures among the rows with one value: a repeated or unexpected value counts once,
+    orphan and other rows each."""
+    of = {test: [i for i, check in enumerate(suite) if check.test == test] for test in ("unique", "accepted_values", "relationships")}
+    return (
+        F.when(place.isin(of["unique"]), F.when(rows > 1, 1).otherwise(0))
+        .when(place.isin(of["accepted_values"]), F.lit(1))
+        .when(place.isin(of["relationships"]), F.when(parents == 0, rows).otherwise(0))
+        .otherwise(rows)
     )
 
 
 def report(warehouse: Warehouse, suite: Iterable[Check] = tuple(SUITE)) -> DataFrame:
-    """One line per check: table, column, test, failures, passed."""
-    by_key, by_table = [], {}
-    for check in suite:
-        if check.test in ("unique", "relationships"):
-            by_key.append(check)
-        else:
-            by_table.setdefault(check.table, []).append(check)
-    parts = [
-        _failures_in_one_pass(warehouse.table(table), listed)
-        for table, listed in by_table.items()
-    ] + [_failures_by_key(warehouse, check) for check in by_key]
-    return reduce(DataFrame.unionByName, parts).withColumn("passed", F.col("failures") == 0)
+    """One line per check: table, column, test, failures, passed.
+
+    Every table is read once, for all that its rows say of any check: breaches, keys that
+    have to be unique, keys that refer and keys that are referred to. Counts by check
+    and value then settle all checks together, in one shuffle that combines first.
+    Checks that were seen to pass when a table was written (``warehouse.passed``) read
+    nothing.
+    """
+    suite = list(suite)
+    spark = next(iter(warehouse.tables.values())).sparkSession
+    listed = spark.createDataFrame(
+        [(i, c.table, c.column, c.test) for i, c in enumerate(suite)], "place int, table_name string, column_name string, test string"
+    )
+    asked = [check if check.name not in warehouse.passed else Check("", check.column, "") for check in suite]
+    parts = []
+    for table in dict.fromkeys(t for c in asked for t in (c.table, c.arguments.get("parent")) if t):
+        cells = _cells(table, asked)
+        said = F.filter(F.array(*cells), lambda c: c.isNotNull())
+        parts.append(warehouse.table(table).select(F.explode(said).alias("cell")).select("cell.*"))
+    lines = ["table_name", "column_name", "test"]
+    if not parts:
+        return listed.select(*lines, F.lit(0).cast("long").alias("failures"), F.lit(True).alias("passed"))
+    counted = reduce(DataFrame.unionAll, parts).groupBy("place", "value").agg(F.sum("rows").alias("rows"), F.sum("parents").alias("parents"))
+    failures = _failures(F.col("place"), F.col("rows"), F.col("parents"), asked)
+    found = counted.groupBy("place").agg(F.sum(failures).alias("failures"))
+    failed = F.coalesce("failures", F.lit(0))
+    # At most a row per check on either side.
+    return listed.join(F.broadcast(found), "place", "left").select(*lines, failed.alias("failures"), (failed == 0).alias("passed"))
+
+
+class Watch:
+    """Counts breaches while tables are written, so that a check that finds none needs no
+    look at the table. Wrapped around a model, it adds metrics to its plan."""
+
+    def __init__(self, suite: Iterable[Check] = tuple(SUITE)):
+        self.suite = [check for check in suite if check.test not in BY_KEY]
+        self.observed: list[tuple[list[Check], Observation]] = []
+
+    def __call__(self, table: str, rows: DataFrame) -> DataFrame:
+        mine = [check for check in self.suite if check.table == table]
+        if not mine:
+            return rows
+        observation = Observation(f"{table}-{uuid.uuid4().hex}")
+        self.observed.append((mine, observation))
+        return rows.observe(observation, *[F.count_if(_breaks(check)).alias(f"check_{i}") for i, check in enumerate(mine)])
+
+    def passed(self, patience: float = 10.0) -> set[str]:
+        """Names of the checks that found nothing, once what was wrapped has been written.
+
+        A plan may run some of its parts twice (sampling does), so that counts are
+        too high; zero is zero. A part that the planner left out says nothing.
+        """
+        found = set()
+        for mine, observation in self.observed:
+            end = time.monotonic() + patience
+            done = observation._jo.future()
+            while not done.isCompleted() and time.monotonic() < end:
+                time.sleep(0.05)
+            if done.isCompleted():
+                counts = observation.get
+                found |= {check.name for i, check in enumerate(mine) if counts[f"check_{i}"] == 0}
+        self.observed.clear()
+        return found

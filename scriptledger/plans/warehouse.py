@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Collection, Mapping
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -33,19 +33,28 @@ class Warehouse:
     ``tables`` maps table names to frames. The raw tables have to be there
     unless every model asked for is; any model found in it (because it was
     written out) is used as it is, the others are composed on demand.
+
+    ``passed`` names checks that these very tables are known to pass; ``watch`` is
+    wrapped around each model that is composed.
     """
 
     def __init__(
-        self, tables: Mapping[str, DataFrame], lookup_row_limit: int = LOOKUP_ROW_LIMIT
+        self,
+        tables: Mapping[str, DataFrame],
+        lookup_row_limit: int = LOOKUP_ROW_LIMIT,
+        passed: Collection[str] = (),
+        watch: Callable[[str, DataFrame], DataFrame] | None = None,
     ):
         self.tables = dict(tables)
         self.lookup_row_limit = lookup_row_limit
+        self.passed = frozenset(passed)
+        self.watch = watch or (lambda name, model: model)
 
     def table(self, name: str) -> DataFrame:
         if name not in self.tables:
             if name in RAW:
                 raise KeyError(f"raw table {name} was not given")
-            self.tables[name] = getattr(self, f"_{name}")()
+            self.tables[name] = self.watch(name, getattr(self, f"_{name}")())
         return self.tables[name]
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -125,8 +134,6 @@ class Warehouse:
         return mart.bridge_physician_company_payments(self.int_physician_payments_agg)
 
     def _fact_payment_prescribing(self) -> DataFrame:
-        return mart.fact_payment_prescribing(
-            self.bridge_physician_company_payments,
-            intermediate.prescribing_totals(self.fact_prescriptions),
-            self.dim_physician,
-        )
+        # The same pairs and claims as the model with the names of the brands.
+        totals = self.watch("int_physician_drug_prescribing", intermediate.prescribing_totals(self.fact_prescriptions))
+        return mart.fact_payment_prescribing(self.bridge_physician_company_payments, totals, self.dim_physician)

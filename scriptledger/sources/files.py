@@ -81,12 +81,17 @@ def read_text_columns(
     return reduce(DataFrame.unionByName, map(one, each))
 
 
+def payment_files(spark: SparkSession, directory: str, years: Sequence[int] | None = None) -> list[str]:
+    """The payments file in ``directory``, or one file for each of ``years``."""
+    wanted = ["*"] if years is None else [str(year) for year in years]
+    return [pick_file(spark, directory, OPEN_PAYMENTS_GLOB.format(year=year)) for year in wanted]
+
+
 def read_open_payments(
     spark: SparkSession, directory: str, years: Sequence[int] | None = None, multi_line: bool = True
 ) -> DataFrame:
-    """The payments file in ``directory``, or one file for each of ``years``."""
-    wanted = ["*"] if years is None else [str(year) for year in years]
-    paths = [pick_file(spark, directory, OPEN_PAYMENTS_GLOB.format(year=year)) for year in wanted]
+    """The files of ``payment_files``."""
+    paths = payment_files(spark, directory, years)
     return read_text_columns(spark, paths, schemas.OPEN_PAYMENTS_HEADER, multi_line=multi_line)
 
 

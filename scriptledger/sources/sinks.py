@@ -9,7 +9,12 @@ from pyspark.sql import types as T
 
 
 def replace_parquet(
-    frame: DataFrame, path: str, partition_by: Sequence[str] = (), cluster_by: Sequence[str] = ()
+    frame: DataFrame,
+    path: str,
+    partition_by: Sequence[str] = (),
+    cluster_by: Sequence[str] = (),
+    find_by: Sequence[str] = (),
+    **options: str,
 ) -> DataFrame:
     """Overwrite ``path`` and hand back a frame that reads it.
 
@@ -19,12 +24,19 @@ def replace_parquet(
 
     With ``cluster_by``, files hold ranges of those columns and are sorted by
     them, so that a filter on the first skips most files and row groups by their
-    statistics. A second column spreads a hot value of the first over files.
+    statistics. A second column spreads a hot value of the first over files; where the
+    first is in ``partition_by`` too, a filter on the second skips within each directory.
+
+    Row groups get a Bloom filter for each column of ``find_by``: a look-up of one value
+    that is not in the order of the files skips the groups that lack it.
     """
     rows = frame.hint("rebalance", *partition_by) if partition_by else frame
     if cluster_by:
         rows = frame.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
-    rows.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    for column in find_by:
+        # Sized to the values that a row group turns out to have.
+        options |= {f"parquet.bloom.filter.enabled#{column}": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+    rows.write.mode("overwrite").options(**options).partitionBy(*partition_by).parquet(path)
     return read_parquet(frame.sparkSession, path, frame.schema)
 
 
