@@ -71,6 +71,8 @@ CARRIES = {
     "bridge_physician_company_payments": ["int_physician_payments_agg"],
     "fact_payment_prescribing": ["int_physician_drug_prescribing"],
 }
+# Of these, models whose very columns the table has: their checks are counted on it.
+CARRIED = {"stg_open_payments": "fact_payments", "int_physician_payments_agg": "bridge_physician_company_payments"}
 LAYOUT_VERSION = 1
 CODE = [columns, ratios, rules, load, files, csv_splits, staging, intermediate, mart, schemas]
 
@@ -203,13 +205,14 @@ def _write_steps(
     prints: Mapping[str, str | None],
     frame: Callable[[str], DataFrame],
     resume: bool = True,
-    write: Callable[[str, DataFrame, str], DataFrame] = lambda name, rows, path: sinks.replace_parquet(rows, path),
+    write: Callable | None = None,
     watch: quality_suite.Watch | None = None,
 ) -> Built:
     """Write independent tables side by side, but for those that the store has.
     ``prints``: what each is made from, or None where that is not known. Each
     table is recorded as soon as it is whole."""
     watch = watch or quality_suite.Watch()
+    write = write or (lambda name, rows, path: sinks.replace_parquet(rows, path, watch=lambda last: watch(name, last)))
     known = store.made_from({p for p in prints.values() if p}) if resume else {}
     built = Built(Warehouse({}))
     for name, print_ in prints.items():
@@ -219,8 +222,6 @@ def _write_steps(
     # composed here, one after another; only the writing is concurrent
     paths = {name: store.new_path(layer, name) for name in prints if name not in built.written}
     frames = {name: frame(name) for name in paths}
-    if layer == "raw":
-        frames = {name: watch(name, rows) for name, rows in frames.items()}
     done = {}
     try:
         write_together(
@@ -229,7 +230,7 @@ def _write_steps(
     finally:  # one that fails costs the others nothing
         passed = watch.passed() if done else set()
         fresh = [Written(name, paths[name], prints[name], rows, _about(name, passed)) for name, rows in done.items()]
-        store.record(fresh)
+        store.record(w for w in fresh if w.fingerprint)
     built.written |= {w.table: w for w in fresh}
     built.counts = {name: built.written[name].rows for name in prints}
     return built
@@ -261,12 +262,6 @@ def build_mart(
     built = Built(raw)
     code = code_fingerprint(CODE)
 
-    def write(name: str, model: DataFrame, path: str) -> DataFrame:
-        if bucket_schema and name in BUCKETED:
-            table = f"{bucket_schema}.{name}"
-            return sinks.replace_bucketed(model, table, BUCKETED[name], buckets, path)
-        return sinks.replace_parquet(model, path, PARTITIONED.get(name, ()), CLUSTERED.get(name, ()), FOUND_BY.get(name, ()))
-
     def print_of(name: str) -> str | None:
         inputs = [versions.get(n) for n in MADE_FROM[name]]
         if bucket_schema or any(v is None or v.fingerprint is None for v in inputs):
@@ -275,8 +270,16 @@ def build_mart(
         return fingerprint(LAYOUT_VERSION, code, name, layout, [v.fingerprint for v in inputs])
 
     for wave in MART_WAVES:
-        watch = quality_suite.Watch()
-        models = Warehouse(tables, raw.lookup_row_limit, watch=watch)
+        watch = quality_suite.Watch(carried=CARRIED)
+
+        def write(name: str, model: DataFrame, path: str, watch=watch) -> DataFrame:
+            if bucket_schema and name in BUCKETED:
+                return sinks.replace_bucketed(watch(name, model), f"{bucket_schema}.{name}", BUCKETED[name], buckets, path)
+            layout = [options.get(name, ()) for options in (PARTITIONED, CLUSTERED, FOUND_BY)]
+            return sinks.replace_parquet(model, path, *layout, watch=lambda rows: watch(name, rows))
+
+        # Tables are watched as they are written, models within them as they are composed.
+        models = Warehouse(tables, raw.lookup_row_limit, watch=lambda name, model, watch=watch: model if name in MART else watch(name, model))
         prints = {name: print_of(name) for name in wave if name in materialized}
         done = _write_steps(store, "mart", prints, models.table, resume, write, watch)
         for name, version in done.written.items():

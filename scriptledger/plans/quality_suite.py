@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -194,19 +194,26 @@ def report(warehouse: Warehouse, suite: Iterable[Check] = tuple(SUITE)) -> DataF
 
 class Watch:
     """Counts breaches while tables are written, so that a check that finds none needs no
-    look at the table. Wrapped around a model, it adds metrics to its plan."""
+    look at the table. Wrapped around a model, it adds metrics to its plan. ``carried``: models
+    whose rows and columns another has, which is asked in their place."""
 
-    def __init__(self, suite: Iterable[Check] = tuple(SUITE)):
+    def __init__(self, suite: Iterable[Check] = tuple(SUITE), carried: Mapping[str, str] | None = None):
         self.suite = [check for check in suite if check.test not in BY_KEY]
-        self.observed: list[tuple[list[Check], Observation]] = []
+        self.carried = dict(carried or {})
+        self.observed: list[tuple[list[list[Check]], Observation]] = []
 
     def __call__(self, table: str, rows: DataFrame) -> DataFrame:
-        mine = [check for check in self.suite if check.table == table]
+        mine = [check for check in self.suite if self.carried.get(check.table, check.table) == table]
         if not mine:
             return rows
+        # One metric for equal checks of the table and of those it carries.
+        alike: dict[str, list[Check]] = {}
+        for check in mine:
+            alike.setdefault(repr((check.column, check.test, check.arguments)), []).append(check)
+        groups = list(alike.values())
         observation = Observation(f"{table}-{uuid.uuid4().hex}")
-        self.observed.append((mine, observation))
-        return rows.observe(observation, *[F.count_if(_breaks(check)).alias(f"check_{i}") for i, check in enumerate(mine)])
+        self.observed.append((groups, observation))
+        return rows.observe(observation, *[F.count_if(_breaks(group[0])).alias(f"check_{i}") for i, group in enumerate(groups)])
 
     def passed(self, patience: float = 10.0) -> set[str]:
         """Names of the checks that found nothing, once what was wrapped has been written.
@@ -215,13 +222,13 @@ class Watch:
         too high; zero is zero. A part that the planner left out says nothing.
         """
         found = set()
-        for mine, observation in self.observed:
+        for groups, observation in self.observed:
             end = time.monotonic() + patience
             done = observation._jo.future()
             while not done.isCompleted() and time.monotonic() < end:
                 time.sleep(0.05)
             if done.isCompleted():
                 counts = observation.get
-                found |= {check.name for i, check in enumerate(mine) if counts[f"check_{i}"] == 0}
+                found |= {check.name for i, group in enumerate(groups) if counts[f"check_{i}"] == 0 for check in group}
         self.observed.clear()
         return found

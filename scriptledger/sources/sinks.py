@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -14,6 +14,7 @@ def replace_parquet(
     partition_by: Sequence[str] = (),
     cluster_by: Sequence[str] = (),
     find_by: Sequence[str] = (),
+    watch: Callable[[DataFrame], DataFrame] = lambda rows: rows,
     **options: str,
 ) -> DataFrame:
     """Overwrite ``path`` and hand back a frame that reads it.
@@ -29,6 +30,8 @@ def replace_parquet(
 
     Row groups get a Bloom filter for each column of ``find_by``: a look-up of one value
     that is not in the order of the files skips the groups that lack it.
+
+    ``watch`` gets the rows as they are written, after all that moves them.
     """
     rows = frame.hint("rebalance", *partition_by) if partition_by else frame
     if cluster_by:
@@ -36,7 +39,7 @@ def replace_parquet(
     for column in find_by:
         # Sized to the values that a row group turns out to have.
         options |= {f"parquet.bloom.filter.enabled#{column}": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
-    rows.write.mode("overwrite").options(**options).partitionBy(*partition_by).parquet(path)
+    watch(rows).write.mode("overwrite").options(**options).partitionBy(*partition_by).parquet(path)
     return read_parquet(frame.sparkSession, path, frame.schema)
 
 

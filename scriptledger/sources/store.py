@@ -128,7 +128,7 @@ class Store:
         context = self.spark.sparkContext
         hadoop = context._jvm.org.apache.hadoop.fs.Path
         removed = []
-        for path in dict.fromkeys(row.path for row in self._lines("step")):
+        for path in dict.fromkeys(row.path for kind in ("step", "build") for row in self._lines(kind)):
             place = hadoop(self.at(path))
             system = place.getFileSystem(context._jsc.hadoopConfiguration())
             if path not in named and system.exists(place):

@@ -40,7 +40,7 @@ def same(a, b):
     return sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
 
 
-@pytest.mark.parametrize("ranges", [1, 2, 7, 60])
+@pytest.mark.parametrize("ranges", [1, 9])
 def test_equals_windows(spark, ranges):
     frame = made(spark, drawn(ranges))
     got = prefix.running(frame, KEYS, ORDER, "n", {"s": "v", "t": "id"}, "r", "all", ranges)
@@ -92,7 +92,7 @@ def test_top_of_a_group_by_many_tasks(spark, monkeypatch):
     assert same(few.withColumn("n", F.col("n").cast("long")), many)
 
 
-@pytest.mark.parametrize("top", [3, 50, 10**6])
+@pytest.mark.parametrize("top", [50, 10**6])
 def test_leaders_of_a_class_by_many_tasks(small, monkeypatch, top):
     before = analyses.kol_identification(small, top=min(top, 99_999)).collect()
     monkeypatch.setattr(ranking, "WINDOW_ROWS", 1)

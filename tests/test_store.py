@@ -15,10 +15,10 @@ def failing(monkeypatch, table):
     """Writes of ``table`` break off."""
     before = sinks.replace_parquet
 
-    def write(frame, path, *more):
+    def write(frame, path, *more, **options):
         if f"/{table}/" in path:
             raise OSError(f"no more room for {table}")
-        return before(frame, path, *more)
+        return before(frame, path, *more, **options)
 
     monkeypatch.setattr(sinks, "replace_parquet", write)
     return before
@@ -58,7 +58,7 @@ def test_a_build_that_fails_leaves_the_one_before_and_is_taken_up_again(spark, p
     assert {name: rows(pipeline.open_mart(spark, out).table(name)) for name in MART} == before
     written = []
     replace = sinks.replace_parquet
-    monkeypatch.setattr(sinks, "replace_parquet", lambda frame, path, *options: written.append(path.split("/")[-2]) or replace(frame, path, *options))
+    monkeypatch.setattr(sinks, "replace_parquet", lambda frame, path, *more, **options: written.append(path.split("/")[-2]) or replace(frame, path, *more, **options))
     after = pipeline.build(spark, paths, out, keep=more)
     assert written == ["fact_payment_prescribing"]
     assert set(after.reused) == {*pipeline.LOAD_STEPS, *MART} - {"fact_payment_prescribing"}
