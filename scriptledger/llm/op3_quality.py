@@ -74,9 +74,9 @@ def frequencies(features: int):
     return run
 
 
-def projected(texts: pa.Array, weight: np.ndarray, axes: np.ndarray) -> np.ndarray:
-    """Unit vectors in the space of ``axes``; zero for texts without words."""
-    text, feature, count, n = counted(texts, len(weight))
+def projected(found: tuple[np.ndarray, np.ndarray, np.ndarray, int], weight: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Unit vectors in the space of ``axes`` from ``counted``; zero for texts without words."""
+    text, feature, count, n = found
     out = np.zeros((n, axes.shape[1]), np.float64)
     for a in range(0, n, BLOCK):
         i, j = np.searchsorted(text, [a, a + BLOCK])
@@ -90,15 +90,45 @@ def projected(texts: pa.Array, weight: np.ndarray, axes: np.ndarray) -> np.ndarr
     return np.divide(out, length, out=np.zeros_like(out), where=length > 0)
 
 
-def latent_axes(matrix: np.ndarray, dimensions: int, seed: int = 5) -> np.ndarray:
-    """Right singular vectors by subspace iteration from a fixed start; rows scaled to unit length first."""
-    k = min(dimensions, *matrix.shape)
-    basis = np.random.Generator(np.random.PCG64(seed)).standard_normal((matrix.shape[1], min(k + 8, matrix.shape[1])))
+def latent_axes(found: tuple[np.ndarray, np.ndarray, np.ndarray, int], weight: np.ndarray, dimensions: int, seed: int = 5) -> np.ndarray:
+    """Right singular vectors by subspace iteration from a fixed start, of rows scaled to
+    unit length. Rows are dense a block at a time only."""
+    text, feature, count, n = found
+    value = ((1 + np.log(count)) * weight[feature]).astype(np.float32)
+    length = np.sqrt(np.bincount(text, value.astype(np.float64) ** 2, minlength=n))
+    value /= length[text].astype(np.float32)
+    k = min(dimensions, n, len(weight))
+    basis = np.random.Generator(np.random.PCG64(seed)).standard_normal((len(weight), min(k + 8, len(weight)))).astype(np.float32)
+
+    def blocks() -> Iterator[np.ndarray]:
+        for a in range(0, n, BLOCK):
+            i, j = np.searchsorted(text, [a, a + BLOCK])
+            dense = np.zeros((min(BLOCK, n - a), len(weight)), np.float32)
+            dense[text[i:j] - a, feature[i:j]] = value[i:j]
+            yield dense
+
     for _ in range(5):
-        basis, _ = np.linalg.qr(matrix.T @ (matrix @ basis))
-    small = matrix @ basis
+        grown = np.zeros_like(basis)
+        for dense in blocks():
+            grown += dense.T @ (dense @ basis)
+        basis, _ = np.linalg.qr(grown)
+    small = np.concatenate([dense @ basis for dense in blocks()])
     _, _, turn = np.linalg.svd(small, full_matrices=False)
-    return basis @ turn[:k].T
+    return (basis @ turn[:k].T).astype(np.float64)
+
+
+def sample_features(features: int):
+    """label, and the features and counts of the text, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            text, feature, count, n = counted(batch.column("text"), features)
+            cuts = np.searchsorted(text, np.arange(n + 1))
+            cells = lambda x: pa.array([x[i:j].astype("<i4").tobytes() for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())
+            columns = [batch.column("doc_id"), batch.column("label"), cells(feature), cells(count)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "features", "counts"])
+
+    return run
 
 
 class Model:
@@ -109,7 +139,7 @@ class Model:
         self.prior = float(labels.mean()) if len(labels) else 0.5
 
     def scores(self, texts: pa.Array, neighbours: int) -> np.ndarray:
-        unit = projected(texts, self.weight, self.axes)
+        unit = projected(counted(texts, len(self.weight)), self.weight, self.axes)
         out = np.full(len(unit), self.prior)
         k = min(neighbours, len(self.labels))
         for a in range(0, len(unit), BLOCK):
@@ -118,7 +148,7 @@ class Model:
                 break
             # Rounded, so that equal texts score alike wherever they stand in a block.
             cosine = np.round(block @ self.vectors.T, 9)
-            # Ties go to the first sample rows, whose order is fixed.
+            # Which of equal cosines at the edge vote is settled by the row's values alone.
             near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
             vote = np.maximum(np.take_along_axis(cosine, near, 1), 0) ** 4
             weight = vote.sum(1)
@@ -153,7 +183,7 @@ def learnable(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     drawn = [usable.where(F.col("label") == label).orderBy("draw", "doc_id").limit(sample // 2) for label in (0, 1)]
     # At most SAMPLE rows of two columns.
     ids = F.broadcast(drawn[0].unionAll(drawn[1]))
-    return docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), F.min("text").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"), F.min("text").alias("text"))
 
 
 def fold(column: str):
@@ -171,16 +201,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     total = np.zeros(features + 1, np.int64)
     total[found.column("feature").to_numpy() + 1] = found.column("documents").to_numpy()
     weight = np.log((1 + total[0]) / (1 + total[1:])) + 0.1
-    drawn = learnable(docs, labels, sample).orderBy("doc_id").toArrow()
+    # Texts stay on the executors: a row has at most ``features`` numbers twice.
+    drawn = learnable(docs, labels, sample).mapInArrow(sample_features(features), "doc_id long, label int, features binary, counts binary").orderBy("doc_id").toArrow()
     label = drawn.column("label").to_numpy().astype(np.float64)
     if not len(label):
         return Model(weight, np.zeros((features, 1)), np.zeros((0, 1)), label)
-    text, feature, count, n = counted(drawn.column("text"), features)
-    matrix = np.zeros((n, features), np.float32)
-    matrix[text, feature] = (1 + np.log(count)) * weight[feature]
-    length = np.linalg.norm(matrix, axis=1, keepdims=True)
-    axes = latent_axes(np.divide(matrix, length, out=matrix, where=length > 0), dimensions)
-    return Model(weight, axes, projected(drawn.column("text"), weight, axes), label)
+    cells = [np.frombuffer(b"".join(drawn.column(c).to_pylist()), "<i4").astype(np.int64) for c in ("features", "counts")]
+    sizes = np.array([len(x) // 4 for x in drawn.column("features").to_pylist()])
+    counts = (np.repeat(np.arange(len(label)), sizes), *cells, len(label))
+    axes = latent_axes(counts, weight, dimensions)
+    return Model(weight, axes, projected(counts, weight, axes), label)
 
 
 def score_quality(
@@ -206,4 +236,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return score_quality(docs, labels).select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", "predicted")
+    held_out = F.coalesce(fold("doc_id") == 0, F.lit(False))  # a row without an id is in no fold
+    return score_quality(docs, labels).select("doc_id", held_out.alias("held_out"), "score", "predicted")

@@ -406,3 +406,21 @@ def test_pipeline(spark):
     last = pipeline.STAGES[-1][1](spark, mixed, folder)
     decoded = {(r.doc_id, r.decoded_sha256) for r in last.collect()}
     assert decoded == {(r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in mixed.collect()}
+
+
+def test_quality_of_rows_without_an_id_and_of_sample_texts_in_blocks(spark, tmp_path, monkeypatch):
+    """held_out is never null, and axes do not depend on how many rows are dense at a time."""
+    rows = [(i if i % 10 else None, ("good plain words here " if i % 2 else "## $$ !! 99 ") * (1 + i % 4) + str(i % 7)) for i in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, i % 2) for i in range(120) if i % 10]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    found = op3_quality.query(spark, str(tmp_path)).collect()
+    assert len(found) == 120 and all(r.held_out is not None for r in found)
+    held = [r for r in found if r.held_out]
+    assert held and all(r.predicted == r.doc_id % 2 for r in held)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    labelled = spark.read.parquet(str(tmp_path / "labels.parquet"))
+    whole = op3_quality.fit(docs, labelled).vectors
+    monkeypatch.setattr(op3_quality, "BLOCK", 7)
+    parts = op3_quality.fit(docs, labelled).vectors
+    assert np.allclose(whole @ whole.T, parts @ parts.T, atol=1e-3)
