@@ -283,7 +283,10 @@ def build_mart(
         prints = {name: print_of(name) for name in wave if name in materialized}
         done = _write_steps(store, "mart", prints, models.table, resume, write, watch)
         for name, version in done.written.items():
-            tables[name] = sinks.read_parquet(spark, store.at(version.path), DECLARED.get(name))
+            if bucket_schema and name in BUCKETED:  # the catalog knows the buckets
+                tables[name] = spark.table(f"{bucket_schema}.{name}")
+            else:
+                tables[name] = sinks.read_parquet(spark, store.at(version.path), DECLARED.get(name))
         versions |= done.written
         built.written |= done.written
         built.reused += done.reused
