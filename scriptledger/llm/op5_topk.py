@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptledger.llm.op12_negatives import length_of
 from scriptledger.llm.shared import durable
 
 #: Queries of a block, on average; what is broadcast at a time.
@@ -38,7 +39,7 @@ EXACT = 2.0**53
 
 
 def scaled_integers(scale: int):
-    """(id, dim, length, vector as int64 bytes) of the vectors that take part."""
+    """(id, dim, length, vector) of the vectors that take part, whole numbers in doubles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,13 +53,14 @@ def scaled_integers(scale: int):
                 v = values[offsets[i] : offsets[i + 1]]
                 if not np.isfinite(v).all():
                     continue
-                v = np.floor(scale * v)
-                if len(v) and np.abs(v).max() >= 2.0**62:
-                    continue
+                with np.errstate(over="ignore"):
+                    v = np.floor(scale * v) + 0.0  # no negative zero: equal vectors have equal bytes
+                if not np.isfinite(v).all():
+                    raise OverflowError(f"a component of vector {key} times {scale} is beyond a double")
                 ids.append(key)
                 dims.append(len(v))
-                lengths.append(float(np.sqrt((v * v).sum())))
-                blobs.append(v.astype("<i8").tobytes())
+                lengths.append(length_of(v))
+                blobs.append(v.tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(lengths, pa.float64()), pa.array(blobs, pa.binary())],
                 ["id", "dim", "length", "vector"],
@@ -68,26 +70,41 @@ def scaled_integers(scale: int):
 
 
 def stacked(blobs: list[bytes], dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), "<i8").reshape(len(blobs), dim)
+    return np.frombuffer(b"".join(blobs), "<f8").reshape(len(blobs), dim)
 
 
 class Best:
     """The k best (score, id) so far of each query of a block with one dimension."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
-        self.ids, self.vectors, self.k = ids, vectors, k
-        self.real = vectors.astype(np.float64)
-        self.length = np.sqrt((self.real**2).sum(1))
+        self.ids, self.real, self.k = ids, vectors, k
+        self.length = np.array([length_of(v) for v in vectors])
         self.axis = np.abs(self.real).argmax(1) if vectors.shape[1] else np.zeros(len(ids), int)
         self.score = np.full((len(ids), 0), 0, np.int64)
         self.found = np.zeros((0, 3), np.int64)  # query's number, score, id
         self.threshold = np.full(len(ids), -np.inf)
 
-    def products(self, rows: np.ndarray, vectors: np.ndarray, longest: float) -> np.ndarray:
-        """Exact: doubles while all sums stay below 2^53, else 64-bit integers."""
-        if longest * (self.length[rows].max() if len(rows) else 0) < EXACT:
-            return (self.real[rows] @ vectors.astype(np.float64).T).astype(np.int64)
-        return self.vectors[rows] @ vectors.T
+    def products(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, longest: float) -> np.ndarray:
+        """Exact: doubles while all sums stay below 2^53, 64-bit integers below 2^62, else
+        Python's integers. A score beyond a long is an error."""
+        with np.errstate(over="ignore"):
+            most = longest * (self.length[rows].max() if len(rows) else 0)
+        if most < EXACT:
+            return (self.real[rows] @ vectors.T).astype(np.int64)
+        # Of two vectors that are not zero, neither is longer than the product.
+        if most < 2.0**62 and self.length[rows].max() < 2.0**62 and longest < 2.0**62:
+            return self.real[rows].astype(np.int64) @ vectors.T.astype(np.int64)
+        wide = [[[int(x) for x in v] for v in side] for side in (self.real[rows], vectors)]
+        out = np.empty((len(rows), len(vectors)), np.int64)
+        for i, x in enumerate(wide[0]):
+            for j, y in enumerate(wide[1]):
+                score = sum(p * q for p, q in zip(x, y, strict=True))
+                if not -(2**63) <= score < 2**63:
+                    if self.ids[rows[i]] != ids[j]:
+                        raise OverflowError(f"the score of vectors {self.ids[rows[i]]} and {ids[j]} is beyond a long: {score}")
+                    score = 0  # a query's own row, which is no candidate
+                out[i, j] = score
+        return out
 
     def add(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         keep = (scores >= self.threshold[rows]) & (self.ids[rows] != ids)
@@ -122,7 +139,7 @@ class Best:
             n = int(reach[part].max()) if len(part) else 0
             if not n:
                 continue
-            scores = self.products(rows[part], vectors[:n], longest)
+            scores = self.products(rows[part], ids[:n], vectors[:n], longest)
             at, column = np.nonzero(scores >= np.maximum(self.threshold[rows[part]], -(2.0**63))[:, None])
             self.add(rows[part][at], ids[:n][column], scores[at, column])
 
@@ -140,7 +157,7 @@ class Best:
             chosen = order[a : max(a, b)]
             if len(chosen):
                 one = np.array([row])
-                self.add(np.full(len(chosen), row), ids[chosen], self.products(one, vectors[chosen], longest)[0])
+                self.add(np.full(len(chosen), row), ids[chosen], self.products(one, ids[chosen], vectors[chosen], longest)[0])
 
 
 def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -180,8 +197,8 @@ def top_products(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024) -
 
     ``vectors``: id, vector; other columns are ignored. ``is_query``: a condition
     on id. Components become floor(scale * x). Vectors that are null, hold a null
-    or a non-finite component or one beyond a long, or have no id take no part;
-    only vectors of one dimension meet. A zero vector scores 0 with all. Rows that
+    or a non-finite component, or have no id take no part; a score beyond a long
+    raises OverflowError. Only vectors of one dimension meet. A zero vector scores 0 with all. Rows that
     repeat an id and vector count once; a query never meets its own id. An empty
     table gives an empty result.
     """

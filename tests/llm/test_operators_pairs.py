@@ -247,3 +247,22 @@ def test_fingerprint_edge_cases(spark, docs, none):
     assert op4_fingerprints.fingerprint_neighbours(none).count() == 0
     alone = op4_fingerprints.fingerprint_neighbours(spark.createDataFrame([(None, "a lone text of some words")], "doc_id long, text string")).collect()
     assert alone[0].near_next == 1.0
+
+
+def test_topk_of_large_components_is_exact_or_an_error(spark):
+    """Scores beyond doubles, finite components beyond longs, and scores beyond longs."""
+    draw = np.random.default_rng(6)
+    rows = [(i * 10, [float(x) for x in draw.uniform(-1e6, 1e6, 3)]) for i in range(60)]
+    schema = "id long, vector array<double>"
+    whole = {i: [int(np.floor(1024 * x)) for x in v] for i, v in rows}
+    found = op5_topk.top_products(spark.createDataFrame(rows, schema).repartition(3), F.pmod("id", F.lit(100)) == 0).collect()
+    for query in (i for i in whole if i % 100 == 0):
+        scores = sorted(((-sum(a * b for a, b in zip(whole[query], v, strict=True)), i) for i, v in whole.items() if i != query))[:10]
+        assert [(-r.score, r.vec_id) for r in sorted((r for r in found if r.query_id == query), key=lambda r: r.rank)] == scores
+    assert max(r.score for r in found) > 2**53
+    wide = [(100, [0.0, 5.0]), (1, [1e17, 1.0]), (2, [-1e17, 2.0]), (3, [1.0, 1.0])]
+    got = op5_topk.top_products(spark.createDataFrame(wide, schema), F.col("id") == 100).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(2, 5120 * 2048), (1, 5120 * 1024), (3, 5120 * 1024)]
+    for beyond in ([(100, [3e12, 1.0]), (1, [3e12, 2.0])], [(100, [1e308]), (1, [1.0])]):
+        with pytest.raises(Exception, match="beyond a"):
+            op5_topk.top_products(spark.createDataFrame(beyond, schema), F.col("id") == 100).collect()
