@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 PARTITIONS = 1024
 #: Rows a logical partition is meant to have, until there are PARTITIONS of them.
 PARTITION_ROWS = 1 << 15
+#: numpy draws from fewer rows than this.
+NUMPY_LIMIT = 10**9
 #: Rows of a block at most.
 BLOCK_ROWS = 1 << 18
 
@@ -48,11 +50,44 @@ def communication_matrix(sent: list[int], received: list[int], seed: int) -> np.
     left = np.array(received, np.int64)
     matrix = np.zeros((len(sent), len(received)), np.int64)
     for p, n in enumerate(sent):
-        matrix[p] = draw.multivariate_hypergeometric(left, n, method="marginals")
+        matrix[p] = spread(draw, left, n)
         left -= matrix[p]
     return matrix
 
 
+def spread(draw: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
+    """How many of ``n`` rows each column gets, by halves of the columns until a half is
+    small enough for numpy."""
+    total = int(left.sum())
+    if total < NUMPY_LIMIT:
+        return draw.multivariate_hypergeometric(left, n, method="marginals")
+    if len(left) == 1:
+        return np.array([n], np.int64)
+    middle = len(left) // 2
+    first = int(left[:middle].sum())
+    taken = hypergeometric(draw, first, total - first, n)
+    return np.concatenate([spread(draw, left[:middle], taken), spread(draw, left[middle:], n - taken)])
+
+
+def hypergeometric(draw: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` drawn rows are among ``good``, for numbers of any size: ratios of
+    neighbouring probabilities, summed within 12 deviations of the mean and 60 more, beyond
+    which less is left than a double can tell."""
+    low, high = max(0, n - bad), min(good, n)
+    total = good + bad
+    mean = n * (good / total)
+    deviation = (mean * (bad / total) * ((total - n) / max(1, total - 1))) ** 0.5
+    reach = 12 * deviation + 60
+    low, high = max(low, int(mean - reach)), min(high, int(mean + reach) + 1)
+    if low >= high:
+        return low
+    k = np.arange(low, high, dtype=np.float64)
+    steps = np.log((good - k) / (k + 1)) + np.log((n - k) / (bad - n + k + 1))
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    through = np.cumsum(np.exp(logs - logs.max()))
+    return low + min(int(np.searchsorted(through, draw.random() * through[-1], side="right")), high - low)
+
+
 def shuffle_into_shards(
     rows: DataFrame, identity: list[str] | list[Column], shards: int = 40, seed: int = 7, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:

@@ -424,3 +424,30 @@ def test_quality_of_rows_without_an_id_and_of_sample_texts_in_blocks(spark, tmp_
     monkeypatch.setattr(op3_quality, "BLOCK", 7)
     parts = op3_quality.fit(docs, labelled).vectors
     assert np.allclose(whole @ whole.T, parts @ parts.T, atol=1e-3)
+
+
+def test_shard_counts_beyond_a_billion_rows():
+    """Margins of 3 billion rows, and of more than 32 bits in one block."""
+    for sent, received in (([700_000_001] * 4 + [199_999_996], [75_000_000] * 40), ([5 * 10**9, 3, 0], [4 * 10**9, 10**9 + 3]), ([10**12], [10**12])):
+        matrix = op10_sharding.communication_matrix(sent, received, 3)
+        assert matrix.sum(1).tolist() == sent and matrix.sum(0).tolist() == received and (matrix >= 0).all()
+
+
+@pytest.mark.parametrize(("good", "bad", "n"), [(30, 50, 20), (1000, 10, 500), (3, 10**6, 4), (10**8, 8 * 10**8, 10**6), (7, 0, 3), (0, 7, 3), (5, 5, 10)])
+def test_large_draws_follow_the_law(good, bad, n):
+    """Against numpy's where it draws too."""
+    mine, theirs = np.random.default_rng(1), np.random.default_rng(2)
+    a = np.array([op10_sharding.hypergeometric(mine, good, bad, n) for _ in range(1500)], float)
+    b = theirs.hypergeometric(good, bad, n, 1500).astype(float)
+    assert ((a >= max(0, n - bad)) & (a <= min(good, n))).all()
+    error = (a.var() / len(a) + b.var() / len(b)) ** 0.5
+    assert abs(a.mean() - b.mean()) <= 5 * error
+    assert a.std() == pytest.approx(b.std(), rel=0.15, abs=0.02)
+
+
+def test_small_numbers_are_drawn_as_large_ones(monkeypatch):
+    monkeypatch.setattr(op10_sharding, "NUMPY_LIMIT", 1)
+    sent, received = [40, 25, 35], [30, 30, 40]
+    draws = np.array([op10_sharding.communication_matrix(sent, received, seed) for seed in range(1500)])
+    assert (draws.sum(2) == sent).all() and (draws.sum(1) == received).all()
+    assert np.allclose(draws.mean(0), np.outer(sent, received) / 100, atol=0.3)
