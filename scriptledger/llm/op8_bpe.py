@@ -1,13 +1,18 @@
 """Byte-level BPE: encoding by a fold of ranked merges in Spark, and decoding.
 
-Spark splits texts by the pattern. Each chunk of a partition becomes one row with
-its distinct pieces and every text as numbers of them, so that a piece is encoded
-once a chunk. The encoding is a Spark expression: a piece is an array of its
-bytes, and a fold merges, one step at a time, the first of the adjacent pairs of
-lowest rank, until no pair has a rank. Ranks come from a literal: maps in an
-array, so that a lookup compares a handful of keys. Nothing is shuffled.
-
-Bytes stand in strings as characters U+0000 to U+00FF.
+Spark splits texts by the pattern. The encoding is a Spark expression: a piece is an
+array of its bytes, and a fold merges, one step at a time, the first of the adjacent
+pairs of lowest rank, until no pair has a rank. Ranks come from a literal: maps in an
+array, so that a lookup compares a handful of keys.
+
+A first pass over the texts counts in how many chunks each distinct piece stands; the
+up to ``HEAD`` pieces that most chunks share are folded once for the whole corpus and
+sent to all tasks. The second pass makes one row of each chunk: every text as numbers of
+pieces, and the distinct pieces that are not sent, which are folded there. Only
+distinct pieces are shuffled, never texts.
+
+Decoding is a Spark expression too: ids pick the bytes of their tokens out of a literal,
+and these are joined. Bytes stand in strings as characters U+0000 to U+00FF.
 """
 
 from __future__ import annotations
@@ -23,10 +28,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptledger.llm.shared import durable
+
 #: Maps of the rank literal.
 BUCKETS = 1 << 14
 #: Pieces of a chunk, after which it ends.
-CHUNK_PIECES = 3 << 19
+CHUNK_PIECES = 1 << 20
+#: Pieces sent to all tasks with their ids, each of at most LONG bytes and ids: about
+#: 30 MB for usual words, 320 MB if every piece were LONG and without a merge.
+HEAD = 1 << 20
+LONG = 64
+#: Pieces whose ids are put together at a time, cut between texts.
+STEP = 1 << 17
 NONE = 2**31 - 1
 #: Stands at both ends of a piece; no byte is written so, hence no pair with it has a rank.
 EDGE = "Ā"
@@ -106,8 +119,8 @@ def encoded(piece: Column, literal: Column) -> Column:
     return let(rank_of(piece, literal), lambda own: F.when(own != NONE, F.array(own)).otherwise(folded))
 
 
-def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per chunk: ids of its rows, their piece numbers, and the distinct pieces."""
+def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of up to CHUNK_PIECES pieces together; a text of more stands alone."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -116,31 +129,79 @@ def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, n in enumerate(counts):
             if size and size + n > CHUNK_PIECES:
                 held.append(batch.slice(start, i - start))
-                yield chunk_row(held)
+                yield pa.Table.from_batches(held).combine_chunks()
                 held, size, start = [], 0, i
             size += int(n)
         held.append(batch.slice(start))
     if held:
-        yield chunk_row(held)
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
-def chunk_row(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-    table = pa.Table.from_batches(held).combine_chunks()
+def piece_lists(table: pa.Table) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """The number of pieces of each row, and all pieces as numbers of distinct ones."""
     lists = table.column("pieces").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    flat = lists.flatten().dictionary_encode()
-    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype("<i8")
-    pieces = [p.encode().decode("latin-1") for p in flat.dictionary.to_pylist()]
-    one = lambda values, kind: pa.ListArray.from_arrays([0, len(values)], pa.array(values, kind))
-    return pa.RecordBatch.from_arrays(
-        [
-            one(table.column("doc_id").to_pylist(), pa.int64()),
-            pa.array([counts.tobytes()], pa.binary()),
-            pa.array([flat.indices.to_numpy().astype("<i4").tobytes()], pa.binary()),
-            one(pieces, pa.string()),
-        ],
-        ["doc_ids", "counts", "codes", "pieces"],
+    return pc.list_value_length(lists).to_numpy(zero_copy_only=False), lists.flatten().dictionary_encode()
+
+
+def distinct_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for table in chunked(batches):
+        yield pa.RecordBatch.from_arrays([piece_lists(table)[1].dictionary], ["piece"])
+
+
+def head_of(pieces: DataFrame, literal: Column) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Pieces that stand in at least two chunks, the most shared ones first as far as HEAD
+    goes: the pieces, the first id of each (one more than pieces), and all ids."""
+    counted = (
+        pieces.select("pieces")
+        .mapInArrow(distinct_pieces, "piece string")
+        .groupBy("piece")
+        .agg(F.count("*").alias("chunks"))
+        .where((F.col("chunks") > 1) & (F.octet_length("piece") <= LONG))
+        # Eighths of powers of two: few whatever the corpus.
+        .withColumn("level", F.floor(8 * F.log2("chunks")).cast("int"))
     )
+    counted = durable(counted.select("piece", "level"), "op8-pieces")
+    least, room = 1 << 20, HEAD
+    for level, n in sorted(((r["level"], r["n"]) for r in counted.groupBy("level").agg(F.count("*").alias("n")).collect()), reverse=True):
+        if n > room:
+            break
+        least, room = level, room - n
+    head = durable(counted.where(F.col("level") >= least).repartition("piece").select("piece", encoded(latin("piece"), literal).alias("ids")), "op8-head")
+    found = head.toArrow().combine_chunks()
+    names, lists = (pa.concat_arrays(found.column(c).chunks or [pa.array([], found.column(c).type)]) for c in ("piece", "ids"))
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    return names, np.concatenate([[0], np.cumsum(sizes)]), lists.flatten().to_numpy().astype("<u4")
+
+
+def latin(piece) -> Column:
+    """A string's UTF-8 bytes as characters U+0000 to U+00FF."""
+    return F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1")
+
+
+def coded(head):
+    """One row per chunk: ids of its rows, their piece counts, the place of each piece in
+    the head or, below zero, among the distinct pieces that are not there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = head.value[0]
+        for table in chunked(batches):
+            counts, flat = piece_lists(table)
+            place = pc.fill_null(pc.index_in(flat.dictionary, value_set=names), -1).to_numpy(zero_copy_only=False).astype("<i4")
+            rare = np.flatnonzero(place < 0)
+            place[rare] = -1 - np.arange(len(rare))
+            one = lambda values: pa.ListArray.from_arrays([0, len(values)], values)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    one(table.column("doc_id").combine_chunks()),
+                    pa.array([counts.astype("<i8").tobytes()], pa.binary()),
+                    pa.array([place[flat.indices.to_numpy()].tobytes()], pa.binary()),
+                    one(flat.dictionary.take(pa.array(rare))),
+                ],
+                ["doc_ids", "counts", "places", "pieces"],
+            )
+
+    return run
 
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -149,44 +210,56 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(lengths.sum())
 
 
-def assembled(tokens):
-    """Rows of texts again: their ids, and the bytes the ids stand for."""
+def assembled(head):
+    """Rows of texts again, with their ids as bytes and as a list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat_bytes, starts_of, lengths_of = tokens.value
+        _, firsts, ids_of = head.value
         for batch in batches:
             for row in range(batch.num_rows):
                 doc_ids = batch.column("doc_ids")[row].values
                 counts = np.frombuffer(batch.column("counts")[row].as_py(), "<i8")
-                codes = np.frombuffer(batch.column("codes")[row].as_py(), "<i4")
-                lists = batch.column("encoded")[row].values
-                flat = lists.flatten().to_numpy().astype("<u4")
-                first = lists.offsets.to_numpy().astype(np.int64)
-                first -= first[0]
+                places = np.frombuffer(batch.column("places")[row].as_py(), "<i4")
+                rare = batch.column("encoded")[row].values
+                own = rare.offsets.to_numpy().astype(np.int64)
+                own = own - own[0] + len(ids_of)
+                # The head's ids, then the chunk's own; -1 is the first of these.
+                flat = np.concatenate([ids_of, rare.flatten().to_numpy().astype("<u4")])
                 ends = np.cumsum(counts)
-                step = 1 << 19  # pieces at a time, cut between texts
                 a = 0
                 while a < len(counts):
                     base = ends[a] - counts[a]
-                    b = max(a + 1, int(np.searchsorted(ends, base + step, side="right")))
-                    mine = codes[base : ends[b - 1]]
-                    sizes = (first[1:] - first[:-1])[mine]
-                    ids = flat[spread(first[:-1][mine], sizes)]
-                    text = flat_bytes[spread(starts_of[ids], lengths_of[ids])].tobytes()
+                    b = max(a + 1, int(np.searchsorted(ends, base + STEP, side="right")))
+                    mine = places[base : ends[b - 1]].astype(np.int64)
+                    known = mine >= 0
+                    start, sizes = np.empty_like(mine), np.empty_like(mine)
+                    for here, bounds, at in ((known, firsts, mine[known]), (~known, own, -1 - mine[~known])):
+                        start[here] = bounds[at]
+                        sizes[here] = bounds[at + 1] - bounds[at]
+                    ids = flat[spread(start, sizes)]
                     id_ends = np.concatenate([[0], np.cumsum(sizes)])[ends[a:b] - base]
-                    byte_ends = np.concatenate([[0], np.cumsum(lengths_of[ids])])[id_ends]
                     raw = ids.tobytes()
-                    id_list = [raw[4 * x : 4 * y] for x, y in zip([0, *id_ends[:-1]], id_ends, strict=True)]
-                    text_list = [text[x:y] for x, y in zip([0, *byte_ends[:-1]], byte_ends, strict=True)]
+                    bounds = np.concatenate([[0], id_ends])
+                    id_list = [raw[4 * x : 4 * y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+                    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.view("<i4")))
                     yield pa.RecordBatch.from_arrays(
-                        [doc_ids.slice(a, b - a), pa.array(np.diff(id_ends, prepend=0)), pa.array(id_list, pa.binary()), pa.array(text_list, pa.binary())],
-                        ["doc_id", "n_tokens", "ids", "decoded"],
+                        [doc_ids.slice(a, b - a), pa.array(np.diff(bounds), pa.int64()), pa.array(id_list, pa.binary()), lists],
+                        ["doc_id", "n_tokens", "ids", "list"],
                     )
                     a = b
 
     return run
 
 
+def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
+    """The bytes of a list of ids: their tokens' bytes, joined."""
+    tokens = [""] * (1 + max(ranks.values(), default=-1))
+    for token, rank in ranks.items():
+        tokens[rank] = token.decode("latin-1")
+    literal = F.from_json(F.lit(json.dumps(tokens)), "array<string>")
+    return F.encode(F.array_join(F.transform(ids, lambda i: F.get(literal, i)), ""), "ISO-8859-1")
+
+
 def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids (unsigned 32-bit little-endian, one after the other) and
     decoded (UTF-8) for every row of ``docs``.
@@ -197,18 +270,16 @@ def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) ->
     classes. A piece of n bytes takes up to n merges of arrays of n parts, so a
     run of very many letters without a break is slow, but encoded whole.
     """
-    spark = docs.sparkSession
-    by_rank = sorted(ranks, key=ranks.get)
-    lengths = np.array([len(t) for t in by_rank], np.int64)
-    sent = spark.sparkContext.broadcast((np.frombuffer(b"".join(by_rank), np.uint8), np.cumsum(lengths) - lengths, lengths))
     literal = rank_literal(ranks)
     pieces = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"(?U){pattern}"), F.lit(0)).alias("pieces"),
     )
-    rows = pieces.mapInArrow(chunked, "doc_ids array<long>, counts binary, codes binary, pieces array<string>")
-    rows = rows.select("doc_ids", "counts", "codes", F.transform("pieces", lambda p: encoded(p, literal)).alias("encoded"))
-    return rows.mapInArrow(assembled(sent), "doc_id long, n_tokens long, ids binary, decoded binary")
+    head = docs.sparkSession.sparkContext.broadcast(head_of(pieces, literal))
+    rows = pieces.mapInArrow(coded(head), "doc_ids array<long>, counts binary, places binary, pieces array<string>")
+    rows = rows.select("doc_ids", "counts", "places", F.transform("pieces", lambda p: encoded(latin(p), literal)).alias("encoded"))
+    found = rows.mapInArrow(assembled(head), "doc_id long, n_tokens long, ids binary, list array<int>")
+    return found.select("doc_id", "n_tokens", "ids", decoded(F.col("list"), ranks).alias("decoded"))
 
 
 def smaller_batches(spark) -> None:
