@@ -34,7 +34,7 @@ MAX_CELLS = 1 << 30
 #: Cells of a segment, the unit in which sketches are merged.
 SEGMENT = 1 << 18
 #: Bytes of text of one chunk's sketch: the more, the closer its cells and the smaller their gaps.
-SKETCH_BYTES = 16 << 20
+SKETCH_BYTES = 4 << 20
 #: Bytes of text in which copies are settled without a shuffle.
 LOCAL_BYTES = 8 << 20
 LAST_ID = (1 << 63) - 1
