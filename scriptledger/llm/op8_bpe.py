@@ -35,8 +35,8 @@ BUCKETS = 1 << 14
 #: Pieces of a chunk, after which it ends.
 CHUNK_PIECES = 1 << 20
 #: Pieces sent to all tasks with their ids, each of at most LONG bytes and ids: about
-#: 30 MB for usual words, 320 MB if every piece were LONG and without a merge.
-HEAD = 1 << 20
+#: 15 MB for usual words, 170 MB if every piece were LONG and without a merge.
+HEAD = 1 << 19
 LONG = 64
 #: Pieces whose ids are put together at a time, cut between texts.
 STEP = 1 << 17
@@ -76,8 +76,11 @@ def let(value: Column, use) -> Column:
 
 def encoded(piece: Column, literal: Column) -> Column:
     """Ids of a piece: its own rank if it has one, else what the merges leave."""
+    return let(piece, lambda p: let(rank_of(p, literal), lambda own: F.when(own != NONE, F.array(own)).otherwise(folded(p, literal))))
 
-    def merged(state: Column) -> Column:
+
+def folded(piece: Column, literal: Column) -> Column:
+    def merged(state: Column, least: Column) -> Column:
         parts, ranks = state["parts"], state["ranks"]
 
         def at(m: Column) -> Column:
@@ -97,7 +100,7 @@ def encoded(piece: Column, literal: Column) -> Column:
                 ),
             )
 
-        return let(F.array_position(ranks, F.array_min(ranks)).cast("int"), at)
+        return let(F.array_position(ranks, least).cast("int"), at)
 
     bytes_ = F.split(piece, "")
     parts = F.concat(F.array(F.lit(EDGE)), bytes_, F.array(F.lit(EDGE)))
@@ -110,13 +113,12 @@ def encoded(piece: Column, literal: Column) -> Column:
             ).alias("ranks"),
         ),
     )
-    folded = F.aggregate(
+    return F.aggregate(
         F.sequence(F.lit(1), F.length(piece)),
         start,
-        lambda state, _: F.when(F.array_min(state["ranks"]) == NONE, state).otherwise(merged(state)),
+        lambda state, _: let(F.array_min(state["ranks"]), lambda least: F.when(least == NONE, state).otherwise(merged(state, least))),
         lambda state: F.transform(F.slice(state["parts"], F.lit(2), F.size(state["parts"]) - 2), lambda p: rank_of(p, literal)),
     )
-    return let(rank_of(piece, literal), lambda own: F.when(own != NONE, F.array(own)).otherwise(folded))
 
 
 def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -171,7 +173,7 @@ def head_of(pieces: DataFrame, literal: Column) -> tuple[pa.Array, np.ndarray, n
     found = head.toArrow().combine_chunks()
     names, lists = (pa.concat_arrays(found.column(c).chunks or [pa.array([], found.column(c).type)]) for c in ("piece", "ids"))
     sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    return names, np.concatenate([[0], np.cumsum(sizes)]), lists.flatten().to_numpy().astype("<u4")
+    return names, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), lists.flatten().to_numpy().astype("<u4")
 
 
 def latin(piece) -> Column:
@@ -179,12 +181,12 @@ def latin(piece) -> Column:
     return F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1")
 
 
-def coded(head):
+def coded(names_sent):
     """One row per chunk: ids of its rows, their piece counts, the place of each piece in
     the head or, below zero, among the distinct pieces that are not there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = head.value[0]
+        names = names_sent.value
         for table in chunked(batches):
             counts, flat = piece_lists(table)
             place = pc.fill_null(pc.index_in(flat.dictionary, value_set=names), -1).to_numpy(zero_copy_only=False).astype("<i4")
@@ -214,7 +216,7 @@ def assembled(head):
     """Rows of texts again, with their ids as bytes and as a list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, firsts, ids_of = head.value
+        firsts, ids_of = head.value
         for batch in batches:
             for row in range(batch.num_rows):
                 doc_ids = batch.column("doc_ids")[row].values
@@ -275,17 +277,21 @@ def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) ->
         F.col("doc_id").cast("long").alias("doc_id"),
         F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"(?U){pattern}"), F.lit(0)).alias("pieces"),
     )
-    head = docs.sparkSession.sparkContext.broadcast(head_of(pieces, literal))
-    rows = pieces.mapInArrow(coded(head), "doc_ids array<long>, counts binary, places binary, pieces array<string>")
+    send = docs.sparkSession.sparkContext.broadcast
+    names, *ids = head_of(pieces, literal)
+    names, ids = send(names), send(tuple(ids))
+    rows = pieces.mapInArrow(coded(names), "doc_ids array<long>, counts binary, places binary, pieces array<string>")
     rows = rows.select("doc_ids", "counts", "places", F.transform("pieces", lambda p: encoded(latin(p), literal)).alias("encoded"))
-    found = rows.mapInArrow(assembled(head), "doc_id long, n_tokens long, ids binary, list array<int>")
+    found = rows.mapInArrow(assembled(ids), "doc_id long, n_tokens long, ids binary, list array<int>")
     return found.select("doc_id", "n_tokens", "ids", decoded(F.col("list"), ranks).alias("decoded"))
 
 
 def smaller_batches(spark) -> None:
-    """Hundreds of pieces stand in each row sent to Python; this setting of the session
-    keeps a batch of them to a few megabytes. Results do not depend on it."""
+    """Hundreds of pieces stand in each row sent to Python; these settings of the session
+    keep a batch of them to a few megabytes. Results do not depend on them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    # A row of a chunk is some megabytes; without this all of a partition's are one batch.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
