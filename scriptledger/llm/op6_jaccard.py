@@ -15,10 +15,12 @@ in, one has more bits than either leaves out.
 Candidates are verified with exact set sizes. Components need no pair inside one
 already linked group: first each class is verified against one class, the first
 of its buckets; then the pairs of a bucket that still lie in different components
-are compared. Those are many where near copies stay just below the similarity,
-so they are compared in blocks of bounded size, by the Hamming distance of one
-more parity sketch of SKETCH_BITS bits, and only the pairs this cannot rule out
-become rows and are verified.
+are compared. Those are many where near copies stay just below the similarity, so
+no pair becomes a row: blocks of bounded size are compared within tasks, first by
+the Hamming distance of one more parity sketch of SKETCH_BITS bits, bucket by
+bucket, then, for the classes this cannot rule out, by whole sets, which go to the
+groups that may be linked and are sent once for each block they meet. Tasks return
+a spanning forest of the components they join, no more rows than they read.
 """
 
 from __future__ import annotations
@@ -44,8 +46,11 @@ BAND = 1.5
 GOLDEN = 0x9E3779B97F4A7C15
 #: Bits of the sketch by which the classes of a bucket are compared.
 SKETCH_BITS = 1024
-#: Classes of a block of such comparisons.
+#: Classes of a block of such comparisons, and bytes of sets of a block, a longer set alone.
 BLOCK = 1024
+BLOCK_BYTES = 16 << 20
+#: Bytes of a shingle in a packed set.
+SET_BYTES = 6
 #: Bits of a sketch's word: so many that two sets of a few shingles hardly meet by chance.
 WORD_BITS = 1 << 16
 
@@ -282,85 +287,137 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return left.join(right, "b").mapInArrow(similar(percent), "a long, b long, linked boolean").distinct()
 
 
+def parities(found: np.ndarray) -> bytes:
+    at = (mix(found) & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes()
+
+
 def sketches(bits):
     """Parity sketch of each class a bitmap lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in passing(bits, "node")(batches):
-            found = []
-            for blob in batch.column("shingles").to_pylist():
-                at = (mix(unpacked(blob)) & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
-                found.append(np.packbits(np.bincount(at, minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes())
+            found = [parities(unpacked(blob)) for blob in batch.column("shingles").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "sketch"])
 
     return run
 
 
-def block_pairs(percent: int):
-    """Pairs of a bucket's two blocks, of different components, that may be similar.
-    Rows come sorted by block pair, at most 2 x BLOCK or so of each."""
-
-    def compared(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        own, low, high, node, n, root, sketch = zip(*rows, strict=True)
-        own, node, n, root = (np.array(x, np.int64) for x in (own, node, n, root))
-        bits = np.frombuffer(b"".join(sketch), np.uint64).reshape(len(rows), -1)
-        left, right = np.flatnonzero(own == low[0]), np.flatnonzero(own == high[0])
-        for a in range(0, len(left), 128):
-            one = left[a : a + 128]
-            far = np.zeros((len(one), len(right)), np.int64)
-            for word in range(bits.shape[1]):
-                far += np.bitwise_count(bits[one, word][:, None] ^ bits[right, word][None, :])
-            size = n[one][:, None], n[right][None, :]
-            close = far <= (size[0] + size[1]) * (100 - percent) // (100 + percent)
-            close &= 100 * np.minimum(*size) >= percent * np.maximum(*size)
-            close &= root[one][:, None] != root[right][None, :]
-            i, j = np.nonzero(close)
-            x, y = node[one[i]], node[right[j]]
-            yield np.minimum(x, y), np.maximum(x, y)
+def close_rows(n: np.ndarray, bits: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row of ``left`` with the rows of ``right`` that sizes and sketches do not rule out."""
+    for a in range(0, len(left), 128):
+        one = left[a : a + 128]
+        far = np.zeros((len(one), len(right)), np.int64)
+        for word in range(bits.shape[1]):
+            far += np.bitwise_count(bits[one, word][:, None] ^ bits[right, word][None, :])
+        size = n[one][:, None], n[right][None, :]
+        close = far <= (size[0] + size[1]) * (100 - percent) // (100 + percent)
+        close &= 100 * np.minimum(*size) >= percent * np.maximum(*size)
+        for i, row in zip(one.tolist(), close, strict=True):
+            yield i, right[row]
+
+
+def grouped_blocks(use, names: list[str], types: list[pa.DataType]):
+    """``use(columns)`` on the rows of each two blocks, which come sorted by the first three
+    columns (group, low, high). Its rows, of distinct values, are what is returned."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        at = None
-        seen: set[tuple[int, int]] = set()
-
-        def flush():
-            out = []
-            for x, y in compared(held):
-                out += zip(x.tolist(), y.tolist(), strict=True)
-            fresh = {p for p in out if p not in seen and p[0] != p[1]}
-            if len(seen) > 1 << 17:
-                seen.clear()
-            seen.update(fresh)
-            if fresh:
-                x, y = zip(*sorted(fresh), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            out = sorted(set(use(*zip(*held, strict=True))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
         for batch in batches:
-            for key, low, high, own, node, n, root, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at != (key, low, high):
-                    if held:
-                        yield from flush()
-                    held, at = [], (key, low, high)
-                held.append((own, low, high, node, n, root, sketch))
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[-1][:3] != row[:3]:
+                    yield from flush()
+                    held = []
+                held.append(row)
         if held:
             yield from flush()
 
     return run
 
 
+def may_link(percent: int):
+    """(node, n, root, other) for classes of a bucket's two blocks that may be similar to one
+    of another component. Pairs (root, other) that differ are a spanning forest of what may
+    be linked, so there are at most two rows for a row read."""
+
+    def use(key, low, high, own, node, n, root, sketch) -> Iterator[tuple]:
+        size, blocks = np.array(n, np.int64), np.array(own)
+        bits = np.frombuffer(b"".join(sketch), np.uint64).reshape(len(node), -1)
+        own_root = np.unique(np.array(root, np.int64), return_inverse=True)[1]
+        label, open_ = own_root.copy(), np.zeros(len(node), bool)
+        for i, js in close_rows(size, bits, np.flatnonzero(blocks == low[0]), np.flatnonzero(blocks == high[0]), percent):
+            js = js[own_root[js] != own_root[i]]
+            open_[js] = True
+            open_[i] |= len(js) > 0
+            for j in js[np.unique(label[js], return_index=True)[1]].tolist():
+                if label[j] != label[i]:
+                    yield node[i], n[i], root[i], root[j]
+                    label[label == label[j]] = label[i]
+        for i in np.flatnonzero(open_).tolist():
+            yield node[i], n[i], root[i], root[i]
+
+    return grouped_blocks(use, ["node", "n", "root", "other"], [pa.int64(), pa.int32(), pa.int64(), pa.int64()])
+
+
+def block_links(percent: int):
+    """(a, b) for classes of two blocks whose whole sets are similar, as a spanning forest of
+    the components they join: at most a row for each row read, whatever the pairs."""
+
+    def use(group, low, high, own, node, root, shingles) -> Iterator[tuple]:
+        sets = [unpacked(x) for x in shingles]
+        blocks, size = np.array(own), np.array([len(x) for x in sets], np.int64)
+        bits = np.frombuffer(b"".join(map(parities, sets)), np.uint64).reshape(len(node), -1)
+        known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum(size)
+        starts = ends - size
+        label = np.unique(np.array(root, np.int64), return_inverse=True)[1]
+        mine = np.zeros(len(known), np.int32)
+        for i, js in close_rows(size, bits, np.flatnonzero(blocks == low[0]), np.flatnonzero(blocks == high[0]), percent):
+            js = js[label[js] != label[i]]
+            if not len(js):
+                continue
+            mine[flat[starts[i] : ends[i]]] = 1
+            before = np.cumsum(size[js]) - size[js]
+            places = np.repeat(starts[js] - before, size[js]) + np.arange(size[js].sum())
+            common = np.add.reduceat(mine[flat[places]], before).astype(np.int64)
+            mine[flat[starts[i] : ends[i]]] = 0
+            js = js[100 * common >= percent * (size[i] + size[js] - common)]
+            for j in js[np.unique(label[js], return_index=True)[1]].tolist():
+                if label[j] != label[i]:
+                    yield min(node[i], node[j]), max(node[i], node[j])
+                    label[label == label[j]] = label[i]
+
+    return grouped_blocks(use, ["a", "b"], [pa.int64(), pa.int64()])
+
+
+def in_block_pairs(frame: DataFrame, group: str, *columns: str) -> DataFrame:
+    """Rows of ``frame`` (node, blocks and more) once for each two blocks of their group."""
+    return (
+        frame.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("another", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(group, F.least("own", "another").alias("low"), F.greatest("own", "another").alias("high"), "own", *columns)
+        .repartition(group, "low", "high")
+        .sortWithinPartitions(group, "low", "high")
+    )
+
+
 def class_links(texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, root) of every class linked with another."""
     send = texts.sparkSession.sparkContext.broadcast
-    key = Window.partitionBy("key")
-    members = durable(
-        texts.mapInArrow(keyed(k, percent), "key long, node long, n int")
-        .withColumn("first", F.min("node").over(key))
-        .withColumn("last", F.max("node").over(key))
-        .where("first <> last")
-        .select("key", "node", "n")
-        .distinct(),
-        "op6-members",
+    every = durable(texts.mapInArrow(keyed(k, percent), "key long, node long, n int"), "op6-keys")
+    shared = durable(
+        every.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("key"), "op6-shared"
     )
+    # Few keys are shared: the rest need not be shuffled again.
+    bits = send(filter_of(shared.select(F.col("key").alias("node"))))
+    few = every.mapInArrow(passing(bits, "key"), "key long, node long, n int")
+    members = durable(few.join(shared, "key").distinct(), "op6-members")
     wanted = send(filter_of(members.select("node")))
     sets = durable(texts.mapInArrow(packed_sets(k, wanted), "node long, shingles binary"), "op6-sets")
 
@@ -373,7 +430,7 @@ def class_links(texts: DataFrame, k: int, percent: int) -> DataFrame:
     links = checked.where("linked").select("a", "b")
     roots = connected(links)
 
-    # Then what still lies in different components.
+    # Then, by sketches, which classes of different components may be linked.
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
     open_ = durable(
@@ -381,21 +438,25 @@ def class_links(texts: DataFrame, k: int, percent: int) -> DataFrame:
     )
     bits = send(filter_of(open_.select("node")))
     shapes = sets.mapInArrow(sketches(bits), "node long, sketch binary").dropDuplicates(["node"])
-    dealt = (
-        open_.join(shapes, "node")
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "n", "root", "sketch")
+    maybe = in_block_pairs(open_.join(shapes, "node"), "key", "node", "n", "root", "sketch").mapInArrow(
+        may_link(percent), "node long, n int, root long, other long"
+    )
+    maybe = durable(maybe.distinct(), "op6-maybe")
+
+    # Last, whole sets of what may be linked, a set once for each block it is compared with.
+    groups = connected(maybe.select(F.col("root").alias("a"), F.col("other").alias("b"))).select(
+        F.col("node").alias("root"), F.col("root").alias("group")
+    )
+    left = durable(maybe.select("node", "n", "root").distinct().join(groups, "root"), "op6-left")
+    blocks = left.groupBy("group").agg(
+        F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.col("n").cast("long")) * SET_BYTES / BLOCK_BYTES)).cast("int").alias("blocks")
     )
-    pairs = (
-        dealt.repartition("key", "low", "high")
-        .sortWithinPartitions("key", "low", "high")
-        .mapInArrow(block_pairs(percent), "a long, b long")
-        .distinct()
+    bits = send(filter_of(left.select("node")))
+    whole = sets.mapInArrow(passing(bits, "node"), "node long, shingles binary").dropDuplicates(["node"])
+    more = in_block_pairs(left.join(blocks, "group").join(whole, "node"), "group", "node", "root", "shingles").mapInArrow(
+        block_links(percent), "a long, b long"
     )
-    pairs = durable(pairs, "op6-pairs")
-    more = durable(verified(pairs, sets, percent), "op6-checked")
-    return connected(links.unionAll(more.where("linked").select("a", "b")))
+    return connected(links.unionAll(durable(more, "op6-more")))
 
 
 def near_in_size(frame: DataFrame, a, b, percent: int) -> DataFrame:

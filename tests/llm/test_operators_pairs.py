@@ -266,3 +266,45 @@ def test_topk_of_large_components_is_exact_or_an_error(spark):
     for beyond in ([(100, [3e12, 1.0]), (1, [3e12, 2.0])], [(100, [1e308]), (1, [1.0])]):
         with pytest.raises(Exception, match="beyond a"):
             op5_topk.top_products(spark.createDataFrame(beyond, schema), F.col("id") == 100).collect()
+
+
+def just_below(n, words=60):
+    """Texts of one base with every tenth word, at a place of its own, exchanged: alike, yet below 85 %."""
+    base = [f"b{i}" for i in range(words)]
+    found = []
+    for i in range(n):
+        copy = list(base)
+        for place in (7, 23, 39, 55):
+            copy[place] = f"own{i}x{place}"
+        found.append(" ".join(copy))
+    return found
+
+
+def test_rows_stay_linear_in_near_copies_below_the_similarity(spark, monkeypatch):
+    texts = just_below(3000) + [t + " tail" for t in just_below(3)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    written = {}
+
+    def counting(frame, name):
+        table = op6_jaccard_durable(frame, name)
+        written[name] = max(written.get(name, 0), table.count())
+        return table
+
+    op6_jaccard_durable = op6_jaccard.durable
+    monkeypatch.setattr(op6_jaccard, "durable", counting)
+    found = {r.doc_id: r.component_id for r in op6_jaccard.jaccard_components(frame, 4, 85).collect()}
+    assert all(found[i] == i for i in range(3000))
+    assert [found[3000 + i] for i in range(3)] == [0, 1, 2]
+    classes = len(texts)
+    assert written["op6-maybe"] > 0
+    assert all(written[name] <= 4 * classes for name in ("op6-maybe", "op6-left", "op6-more", "op6-checked"))
+
+
+@pytest.mark.parametrize("block, size", [(4, 16 << 20), (1024, 2000)])
+def test_small_blocks_find_the_same_links(spark, monkeypatch, block, size):
+    monkeypatch.setattr(op6_jaccard, "BLOCK", block)
+    monkeypatch.setattr(op6_jaccard, "BLOCK_BYTES", size)
+    rows = near_copies(25, 3, seed=7)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in op6_jaccard.jaccard_components(frame, 4, 85).collect()}
+    assert found == brute_components(rows, 4, 85)
