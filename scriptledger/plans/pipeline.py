@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scriptledger import schemas
 from scriptledger.functions import columns, ratios, rules
+from scriptledger.operators.distinct_rules import NameLimit
 from scriptledger.operators.lookup import fits_broadcast, hinted
 from scriptledger.plans import intermediate, mart, quality_suite, staging
 from scriptledger.plans.warehouse import MART, MART_WAVES, RAW, Warehouse
@@ -279,7 +280,9 @@ def build_mart(
             return sinks.replace_parquet(model, path, *layout, watch=lambda rows: watch(name, rows))
 
         # Tables are watched as they are written, models within them as they are composed.
-        models = Warehouse(tables, raw.lookup_row_limit, watch=lambda name, model, watch=watch: model if name in MART else watch(name, model))
+        models = Warehouse(
+            tables, raw.lookup_row_limit, watch=lambda name, model, watch=watch: model if name in MART else watch(name, model), names=raw.names
+        )
         prints = {name: print_of(name) for name in wave if name in materialized}
         done = _write_steps(store, "mart", prints, models.table, resume, write, watch)
         for name, version in done.written.items():
@@ -333,13 +336,15 @@ def build(
     skip: Collection[str] = (),
     keep: LoadFilters = LoadFilters(),
     resume: bool = True,
+    names: NameLimit | None = None,
 ) -> Built:
     """Extracts to mart in one call, with the counts of every step.
 
     Readers keep the tables of the build before until all are written. After a failure,
-    the same call goes on with the steps that are missing.
+    the same call goes on with the steps that are missing. ``names``: see ``Warehouse``.
     """
     loaded = load_raw(spark, paths, out, skip, keep, resume, publish=False)
+    loaded.warehouse.names = names
     models = build_mart(loaded.warehouse, out, made_from=loaded.written, resume=resume, publish=False)
     written = {name: w for name, w in loaded.written.items() if name in LOAD_STEPS} | models.written
     Store(spark, out).publish(written)

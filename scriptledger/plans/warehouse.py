@@ -7,6 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
+from scriptledger.operators.distinct_rules import NameLimit
 from scriptledger.operators.lookup import LOOKUP_ROW_LIMIT, hinted, rows_up_to
 from scriptledger.plans import intermediate, mart, staging
 
@@ -35,7 +36,9 @@ class Warehouse:
     written out) is used as it is, the others are composed on demand.
 
     ``passed`` names checks that these very tables are known to pass; ``watch`` is
-    wrapped around each model that is composed.
+    wrapped around each model that is composed. ``names``: staging applies its rules
+    for companies, categories and specialties once per distinct name, if these are
+    no more than that; it counts them when a staging model is first composed.
     """
 
     def __init__(
@@ -44,10 +47,12 @@ class Warehouse:
         lookup_row_limit: int = LOOKUP_ROW_LIMIT,
         passed: Collection[str] = (),
         watch: Callable[[str, DataFrame], DataFrame] | None = None,
+        names: NameLimit | None = None,
     ):
         self.tables = dict(tables)
         self.lookup_row_limit = lookup_row_limit
         self.passed = frozenset(passed)
+        self.names = names
         self.watch = watch or (lambda name, model: model)
 
     def table(self, name: str) -> DataFrame:
@@ -91,10 +96,10 @@ class Warehouse:
     # One method per model; ``table`` calls them.
 
     def _stg_open_payments(self) -> DataFrame:
-        return staging.stg_open_payments(self.open_payments)
+        return staging.stg_open_payments(self.open_payments, self.names)
 
     def _stg_part_d_prescribers(self) -> DataFrame:
-        return staging.stg_part_d_prescribers(self.part_d_prescribers)
+        return staging.stg_part_d_prescribers(self.part_d_prescribers, self.names)
 
     def _stg_part_d_by_drug(self) -> DataFrame:
         return staging.stg_part_d_by_drug(self.part_d_by_drug)
