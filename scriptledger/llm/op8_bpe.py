@@ -1,18 +1,15 @@
-"""Byte-level BPE: encoding by a fold of ranked merges in Spark, and decoding.
+"""Byte-level BPE: encoding by ranked merges of distinct pieces, and decoding in Spark.
 
-Spark splits texts by the pattern. The encoding is a Spark expression: a piece is an
-array of its bytes, and a fold merges, one step at a time, the first of the adjacent
-pairs of lowest rank, until no pair has a rank. Ranks come from a literal: maps in an
-array, so that a lookup compares a handful of keys.
+Spark splits texts by the pattern. A piece is its bytes, of which the first of the
+adjacent pairs of lowest rank is merged until no pair has a rank.
 
 A first pass over the texts counts in how many chunks each distinct piece stands; the
-up to ``HEAD`` pieces that most chunks share are folded once for the whole corpus and
-sent to all tasks. The second pass makes one row of each chunk: every text as numbers of
-pieces, and the distinct pieces that are not sent, which are folded there. Only
-distinct pieces are shuffled, never texts.
+up to ``HEAD`` pieces that most chunks share are merged once for the whole corpus and
+sent to all tasks. In the second pass each chunk merges its distinct pieces that are not
+sent, and puts the ids of its texts together. Only distinct pieces are shuffled, never texts.
 
-Decoding is a Spark expression too: ids pick the bytes of their tokens out of a literal,
-and these are joined. Bytes stand in strings as characters U+0000 to U+00FF.
+Decoding is a Spark expression: ids pick the bytes of their tokens out of a literal,
+and these are joined. Bytes stand there in strings as characters U+0000 to U+00FF.
 """
 
 from __future__ import annotations
@@ -20,18 +17,16 @@ from __future__ import annotations
 import base64
 import json
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptledger.llm.shared import durable
 
-#: Maps of the rank literal.
-BUCKETS = 1 << 14
 #: Pieces of a chunk, after which it ends.
 CHUNK_PIECES = 1 << 20
 #: Pieces sent to all tasks with their ids, each of at most LONG bytes and ids: about
@@ -40,9 +35,10 @@ HEAD = 1 << 19
 LONG = 64
 #: Pieces whose ids are put together at a time, cut between texts.
 STEP = 1 << 17
+#: Bytes of a piece up to which it is merged in arrays, BLOCK pieces at a time.
+SCAN = 128
+BLOCK = 1 << 15
 NONE = 2**31 - 1
-#: Stands at both ends of a piece; no byte is written so, hence no pair with it has a rank.
-EDGE = "Ā"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -51,74 +47,125 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """An array of maps; a key's map is chosen by its hash. Parsed once, when the plan is optimised."""
-    maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for token, rank in ranks.items():
-        key = token.decode("latin-1")
-        maps[xxhash.xxh64_intdigest(key.encode(), 42) % BUCKETS][key] = rank
-    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
-
-
-def bucket(key: Column) -> Column:
-    # Low bits of the hash: the same for its signed and unsigned form.
-    return F.xxhash64(key).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
-
-
-def rank_of(key: Column, literal: Column) -> Column:
-    return F.coalesce(F.try_element_at(F.get(literal, bucket(key)), key), F.lit(NONE))
-
-
-def let(value: Column, use) -> Column:
-    """``use(value)`` with value computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
-def encoded(piece: Column, literal: Column) -> Column:
-    """Ids of a piece: its own rank if it has one, else what the merges leave."""
-    return let(piece, lambda p: let(rank_of(p, literal), lambda own: F.when(own != NONE, F.array(own)).otherwise(folded(p, literal))))
-
-
-def folded(piece: Column, literal: Column) -> Column:
-    def merged(state: Column, least: Column) -> Column:
-        parts, ranks = state["parts"], state["ranks"]
-
-        def at(m: Column) -> Column:
-            pair = F.concat(F.get(parts, m - 1), F.get(parts, m))
-            return let(
-                pair,
-                lambda new: F.struct(
-                    F.concat(F.slice(parts, F.lit(1), m - 1), F.array(new), F.slice(parts, m + 2, F.size(parts))).alias("parts"),
-                    F.concat(
-                        F.slice(ranks, F.lit(1), m - 2),
-                        F.array(
-                            rank_of(F.concat(F.get(parts, m - 2), new), literal),
-                            rank_of(F.concat(new, F.get(parts, m + 1)), literal),
-                        ),
-                        F.slice(ranks, m + 2, F.size(ranks)),
-                    ).alias("ranks"),
-                ),
-            )
-
-        return let(F.array_position(ranks, least).cast("int"), at)
-
-    bytes_ = F.split(piece, "")
-    parts = F.concat(F.array(F.lit(EDGE)), bytes_, F.array(F.lit(EDGE)))
-    start = let(
-        parts,
-        lambda p: F.struct(
-            p.alias("parts"),
-            F.transform(
-                F.sequence(F.lit(0), F.size(p) - 2), lambda i: rank_of(F.concat(F.get(p, i), F.get(p, i + 1)), literal)
-            ).alias("ranks"),
-        ),
-    )
-    return F.aggregate(
-        F.sequence(F.lit(1), F.length(piece)),
-        start,
-        lambda state, _: let(F.array_min(state["ranks"]), lambda least: F.when(least == NONE, state).otherwise(merged(state, least))),
-        lambda state: F.transform(F.slice(state["parts"], F.lit(2), F.size(state["parts"]) - 2), lambda p: rank_of(p, literal)),
-    )
+class Merges:
+    """Ranks as arrays, and the merges of pieces by them."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.tokens, self.ids = pa.array(list(ranks), pa.binary()), np.array(list(ranks.values()), np.int64)
+        self.byte = np.array([ranks.get(bytes([b]), NONE) for b in range(256)], np.int64)
+        made = {-1: NONE}  # two ids as one number, and the id of both together
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                if token[:i] in ranks and token[i:] in ranks:
+                    made[ranks[token[:i]] << 32 | ranks[token[i:]]] = rank
+        self.pairs = np.array(sorted(made), np.int64)
+        self.made = np.array([made[pair] for pair in self.pairs.tolist()], np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pairs = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pairs, self.made[at], NONE)
+
+    def of(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each piece start (one more than pieces), and all ids."""
+        pieces = pieces.cast(pa.binary())
+        own = pc.fill_null(pc.index_in(pieces, value_set=self.tokens), -1).to_numpy(zero_copy_only=False)
+        lengths = pc.binary_length(pieces).to_numpy(zero_copy_only=False)
+        sizes = np.ones(len(pieces), np.int64)
+        parts = []  # numbers of pieces, and their ids
+        whole = np.flatnonzero(own >= 0)
+        parts.append((whole, self.ids[own[whole]]))
+        some = np.flatnonzero((own < 0) & (lengths <= SCAN))
+        for a in range(0, len(some), BLOCK):
+            mine = some[a : a + BLOCK]
+            sizes[mine], ids = self.short(pieces.take(pa.array(mine)))
+            parts.append((mine, ids))
+        for i in np.flatnonzero((own < 0) & (lengths > SCAN)):
+            ids = self.long(pieces[int(i)].as_py())
+            sizes[i] = len(ids)
+            parts.append((np.array([i]), ids))
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        out = np.empty(ends[-1], "<u4")
+        for mine, ids in parts:
+            out[spread(ends[mine], sizes[mine])] = ids
+        return ends, out
+
+    def short(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each piece, and all ids; one merge a piece and step."""
+        lengths = pc.binary_length(pieces).to_numpy(zero_copy_only=False)
+        ids = self.byte[np.frombuffer(b"".join(pieces.to_pylist()), np.uint8)]
+        owner = np.repeat(np.arange(len(pieces)), lengths)
+        ranks = np.full(len(ids), NONE, np.int64)  # of each part with the next one
+        next_too = np.flatnonzero(owner[1:] == owner[:-1])
+        ranks[next_too] = self.rank(ids[next_too], ids[next_too + 1])
+        over = [(owner[:0], ids[:0])]
+        while len(ids):
+            starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            least = np.repeat(np.minimum.reduceat(ranks, starts), np.diff(starts, append=len(ids)))
+            on = least != NONE
+            if not on.all():
+                over.append((owner[~on], ids[~on]))
+                ids, owner, ranks, least = ids[on], owner[on], ranks[on], least[on]
+            at = np.flatnonzero(ranks == least)
+            at = at[np.diff(owner[at], prepend=-1) != 0]  # the first of each piece
+            ids[at] = ranks[at]
+            kept = np.ones(len(ids), bool)
+            kept[at + 1] = False
+            ids, owner, ranks = ids[kept], owner[kept], ranks[kept]
+            at -= np.arange(len(at))
+            ranks[at] = NONE
+            for left in (at[at > 0] - 1, at[at < len(ids) - 1]):
+                left = left[owner[left] == owner[left + 1]]
+                ranks[left] = self.rank(ids[left], ids[left + 1])
+        owner, ids = (np.concatenate(x) for x in zip(*over, strict=True))
+        order = np.argsort(owner, kind="stable")
+        return np.bincount(owner, minlength=len(pieces)), ids[order]
+
+    def long(self, piece: bytes) -> list[int]:
+        """The same merges in n log n steps. A part is known by its first byte; the heap holds
+        pairs as rank and first byte in one number, the current ones and some of earlier."""
+        n, ranks = len(piece), self.ranks
+        ends, before = list(range(1, n + 1)), list(range(-1, n))
+
+        def rank(a: int) -> int:
+            b = ends[a]
+            return ranks.get(piece[a : ends[b]], NONE) if b < n else NONE
+
+        rank_at = [rank(a) for a in range(n)]
+        heap = [r << 32 | a for a, r in enumerate(rank_at) if r != NONE]
+        heapify(heap)
+        while heap:
+            least = heappop(heap)
+            a = least & 0xFFFFFFFF
+            if rank_at[a] != least >> 32:
+                continue
+            b = ends[a]
+            ends[a] = ends[b]
+            rank_at[b] = NONE
+            before[ends[a]] = a
+            for x in (before[a], a):
+                if x >= 0:
+                    rank_at[x] = rank(x)
+                    if rank_at[x] != NONE:
+                        heappush(heap, rank_at[x] << 32 | x)
+        out, a = [], 0
+        while a < n:
+            out.append(ranks.get(piece[a : ends[a]], NONE))
+            a = ends[a]
+        return out
+
+
+def merged_pieces(sent):
+    """Pieces with their ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, ids = sent.value.of(batch.column("piece"))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view("<i4")))
+            yield pa.RecordBatch.from_arrays([batch.column("piece"), lists], ["piece", "ids"])
+
+    return run
 
 
 def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -151,7 +198,7 @@ def distinct_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([piece_lists(table)[1].dictionary], ["piece"])
 
 
-def head_of(pieces: DataFrame, literal: Column) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def head_of(pieces: DataFrame, sent) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Pieces that stand in at least two chunks, the most shared ones first as far as HEAD
     goes: the pieces, the first id of each (one more than pieces), and all ids."""
     counted = (
@@ -169,86 +216,53 @@ def head_of(pieces: DataFrame, literal: Column) -> tuple[pa.Array, np.ndarray, n
         if n > room:
             break
         least, room = level, room - n
-    head = durable(counted.where(F.col("level") >= least).repartition("piece").select("piece", encoded(latin("piece"), literal).alias("ids")), "op8-head")
+    shared = counted.where(F.col("level") >= least).select("piece").repartition("piece")
+    head = durable(shared.mapInArrow(merged_pieces(sent), "piece string, ids array<int>"), "op8-head")
     found = head.toArrow().combine_chunks()
     names, lists = (pa.concat_arrays(found.column(c).chunks or [pa.array([], found.column(c).type)]) for c in ("piece", "ids"))
     sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     return names, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), lists.flatten().to_numpy().astype("<u4")
 
 
-def latin(piece) -> Column:
-    """A string's UTF-8 bytes as characters U+0000 to U+00FF."""
-    return F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1")
-
-
-def coded(names_sent):
-    """One row per chunk: ids of its rows, their piece counts, the place of each piece in
-    the head or, below zero, among the distinct pieces that are not there."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = names_sent.value
-        for table in chunked(batches):
-            counts, flat = piece_lists(table)
-            place = pc.fill_null(pc.index_in(flat.dictionary, value_set=names), -1).to_numpy(zero_copy_only=False).astype("<i4")
-            rare = np.flatnonzero(place < 0)
-            place[rare] = -1 - np.arange(len(rare))
-            one = lambda values: pa.ListArray.from_arrays([0, len(values)], values)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    one(table.column("doc_id").combine_chunks()),
-                    pa.array([counts.astype("<i8").tobytes()], pa.binary()),
-                    pa.array([place[flat.indices.to_numpy()].tobytes()], pa.binary()),
-                    one(flat.dictionary.take(pa.array(rare))),
-                ],
-                ["doc_ids", "counts", "places", "pieces"],
-            )
-
-    return run
-
-
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Places start, start + 1, ... of every run one after the other."""
     before = np.cumsum(lengths) - lengths
     return np.repeat(starts - before, lengths) + np.arange(lengths.sum())
 
 
-def assembled(head):
-    """Rows of texts again, with their ids as bytes and as a list."""
+def encoded(sent, head_sent):
+    """Rows of texts with their ids as bytes and as a list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        firsts, ids_of = head.value
-        for batch in batches:
-            for row in range(batch.num_rows):
-                doc_ids = batch.column("doc_ids")[row].values
-                counts = np.frombuffer(batch.column("counts")[row].as_py(), "<i8")
-                places = np.frombuffer(batch.column("places")[row].as_py(), "<i4")
-                rare = batch.column("encoded")[row].values
-                own = rare.offsets.to_numpy().astype(np.int64)
-                own = own - own[0] + len(ids_of)
-                # The head's ids, then the chunk's own; -1 is the first of these.
-                flat = np.concatenate([ids_of, rare.flatten().to_numpy().astype("<u4")])
-                ends = np.cumsum(counts)
-                a = 0
-                while a < len(counts):
-                    base = ends[a] - counts[a]
-                    b = max(a + 1, int(np.searchsorted(ends, base + STEP, side="right")))
-                    mine = places[base : ends[b - 1]].astype(np.int64)
-                    known = mine >= 0
-                    start, sizes = np.empty_like(mine), np.empty_like(mine)
-                    for here, bounds, at in ((known, firsts, mine[known]), (~known, own, -1 - mine[~known])):
-                        start[here] = bounds[at]
-                        sizes[here] = bounds[at + 1] - bounds[at]
-                    ids = flat[spread(start, sizes)]
-                    id_ends = np.concatenate([[0], np.cumsum(sizes)])[ends[a:b] - base]
-                    raw = ids.tobytes()
-                    bounds = np.concatenate([[0], id_ends])
-                    id_list = [raw[4 * x : 4 * y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-                    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.view("<i4")))
-                    yield pa.RecordBatch.from_arrays(
-                        [doc_ids.slice(a, b - a), pa.array(np.diff(bounds), pa.int64()), pa.array(id_list, pa.binary()), lists],
-                        ["doc_id", "n_tokens", "ids", "list"],
-                    )
-                    a = b
+        merges, (names, firsts, ids_of) = sent.value, head_sent.value
+        for table in chunked(batches):
+            counts, flat = piece_lists(table)
+            # Each distinct piece's first id and their number, in the head's ids or, behind them, the chunk's own.
+            place = pc.fill_null(pc.index_in(flat.dictionary, value_set=names), -1).to_numpy(zero_copy_only=False)
+            rare = np.flatnonzero(place < 0)
+            own, own_ids = merges.of(flat.dictionary.take(pa.array(rare)))
+            first, size = firsts[place].astype(np.int64), (firsts[place + 1] - firsts[place]).astype(np.int64)
+            first[rare], size[rare] = own[:-1] + len(ids_of), np.diff(own)
+            known = np.concatenate([ids_of, own_ids])
+            pieces = flat.indices.to_numpy()
+            doc_ids = table.column("doc_id").combine_chunks()
+            ends = np.cumsum(counts, dtype=np.int64)
+            a = 0
+            while a < len(counts):
+                base = ends[a] - counts[a]
+                b = max(a + 1, int(np.searchsorted(ends, base + STEP, side="right")))
+                mine = pieces[base : ends[b - 1]]
+                sizes = size[mine]
+                ids = known[spread(first[mine], sizes)]
+                bounds = np.concatenate([[0], np.concatenate([[0], np.cumsum(sizes)])[ends[a:b] - base]])
+                raw = ids.tobytes()
+                id_list = [raw[4 * x : 4 * y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.view("<i4")))
+                yield pa.RecordBatch.from_arrays(
+                    [doc_ids.slice(a, b - a), pa.array(np.diff(bounds), pa.int64()), pa.array(id_list, pa.binary()), lists],
+                    ["doc_id", "n_tokens", "ids", "list"],
+                )
+                a = b
 
     return run
 
@@ -269,20 +283,17 @@ def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) ->
     Needs doc_id and text; other columns are ignored. A null or empty text has no
     ids. Repeated rows are encoded each time; an empty table gives an empty
     result. Every byte must have a rank. The pattern is matched with Unicode
-    classes. A piece of n bytes takes up to n merges of arrays of n parts, so a
-    run of very many letters without a break is slow, but encoded whole.
+    classes. A piece of n bytes takes up to n merges, n log n steps in all; it is
+    held whole by one task.
     """
-    literal = rank_literal(ranks)
     pieces = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"(?U){pattern}"), F.lit(0)).alias("pieces"),
     )
     send = docs.sparkSession.sparkContext.broadcast
-    names, *ids = head_of(pieces, literal)
-    names, ids = send(names), send(tuple(ids))
-    rows = pieces.mapInArrow(coded(names), "doc_ids array<long>, counts binary, places binary, pieces array<string>")
-    rows = rows.select("doc_ids", "counts", "places", F.transform("pieces", lambda p: encoded(latin(p), literal)).alias("encoded"))
-    found = rows.mapInArrow(assembled(ids), "doc_id long, n_tokens long, ids binary, list array<int>")
+    sent = send(Merges(ranks))
+    head = send(head_of(pieces, sent))
+    found = pieces.mapInArrow(encoded(sent, head), "doc_id long, n_tokens long, ids binary, list array<int>")
     return found.select("doc_id", "n_tokens", "ids", decoded(F.col("list"), ranks).alias("decoded"))
 
 
@@ -290,7 +301,6 @@ def smaller_batches(spark) -> None:
     """Hundreds of pieces stand in each row sent to Python; these settings of the session
     keep a batch of them to a few megabytes. Results do not depend on them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    # A row of a chunk is some megabytes; without this all of a partition's are one batch.
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 

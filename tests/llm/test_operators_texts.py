@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -354,6 +355,26 @@ def test_ids_equal_the_library(spark, docs, none, vocabulary):
     assert op8_bpe.encode_and_decode(none, ranks, pattern).count() == 0
 
 
+def test_merges_equal_the_library_for_pieces_of_any_length(vocabulary):
+    ranks, _, library = vocabulary
+    draw = np.random.default_rng(8)
+    pieces = [bytes(draw.choice(list(letters), n)) for letters in (b"ab", b"etaoin shr", bytes(range(256))) for n in (1, 2, 3, 9, 40, op8_bpe.SCAN, op8_bpe.SCAN + 1, 3000)]
+    merges = op8_bpe.Merges(ranks)
+    ends, ids = merges.of(pa.array([*pieces, b""], pa.binary()))
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [*map(library._encode_single_piece, pieces), []]
+    assert all(merges.long(piece) == library._encode_single_piece(piece) for piece in pieces if piece not in ranks)
+
+
+def test_a_long_run_of_letters_is_encoded_whole(spark, vocabulary):
+    ranks, pattern, library = vocabulary
+    text = "etaoinshrdlu" * 20_000
+    found = op8_bpe.encode_and_decode(spark.createDataFrame([(1, text)], "doc_id long, text string"), ranks, pattern)
+    # Ranks stand in no plan, which the driver holds several times.
+    assert "map<string,int>" not in found._jdf.queryExecution().logical().toString()
+    row = found.first()
+    assert np.frombuffer(row.ids, "<u4").tolist() == library.encode_ordinary(text) and bytes(row.decoded).decode() == text
+
+
 # --- shards
 
 
