@@ -328,6 +328,21 @@ def test_mix_edge_cases(docs, none):
     assert op7_mixing.mix_sources(none, op7_mixing.word_count(), identity).count() == 0
 
 
+def test_texts_without_what_a_match_needs_are_passed_over():
+    needs = [(pattern, may_match) for kind, pattern, may_match in op1_surrogates.PATTERNS if kind == "secret"]
+    prose = "The secretary wrote a word or two about tokens and passwords\nin an entirely ordinary way " * 20
+    assert not any(may_match(prose) for _, may_match in needs)
+    secrets = [
+        "AKIA" + "A1" * 8, *(f"gh{c}_" + "a1B2" * 10 for c in "pousr"), "sk-" + "x" * 25, "xoxb-1234567890ab", "eyJ" + "a" * 12 + "." + "b" * 12 + ".cccccc",
+        "(" + "abcdef" * 6 + ")", "ABCDEF12" * 4, "password = 'hunter22'", "pa\u017f\u017fword: abc123xyz", "toKen:q1w2e3r4",
+    ]
+    for secret in secrets:
+        text = f"before {secret} after"
+        assert any(pattern.search(text) for pattern, _ in needs), secret
+        assert all(may_match(text) for pattern, may_match in needs if pattern.search(text)), secret
+        assert [kind for _, _, kind, _ in op1_surrogates.find_entities(text)] == ["secret"], secret
+
+
 # --- tokens
 
 
