@@ -35,8 +35,8 @@ MAX_CELLS = 1 << 30
 SEGMENT = 1 << 18
 #: Bytes of text of one chunk's sketch: the more, the closer its cells and the smaller their gaps.
 SKETCH_BYTES = 4 << 20
-#: Bytes of text in which copies are settled without a shuffle.
-LOCAL_BYTES = 8 << 20
+#: Bytes of text in which copies are settled without a shuffle; a task holds some thirty times as many.
+LOCAL_BYTES = 4 << 20
 LAST_ID = (1 << 63) - 1
 
 
