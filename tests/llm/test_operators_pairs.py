@@ -2,7 +2,10 @@
 
 import hashlib
 import random
+import tracemalloc
+import zlib
 from functools import reduce
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -145,6 +148,26 @@ def test_substring_edge_cases(docs, none):
     assert op9_substrings.remove_repeated_windows(none).count() == 0
 
 
+def test_windows_of_a_chunk_are_sent_in_the_order_of_texts_within_bounded_memory():
+    draw = np.random.default_rng(9)
+    words = np.array([f"w{i}" for i in range(50_000)])
+    texts = [" ".join(draw.choice(words, 2_000)) for _ in range(800)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(800), pa.int64()), "text": texts, "crc": pa.array(range(800), pa.int64())})
+    width = op9_substrings.SEGMENT
+    full = np.full(op9_substrings.ROWS * width // 8, 255, np.uint8)
+    run = op9_substrings.repeated_windows(13, width, SimpleNamespace(value=zlib.compress(full.tobytes(), 1)))
+    tracemalloc.start()
+    rows = sent = 0
+    for out in run(iter([batch])):
+        spot = out.column("spot").to_numpy()
+        assert (np.diff(spot) > 0).all()
+        rows, sent = rows + len(spot), sent + 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 800 * (2_000 - 12)
+    assert sent > 1 and peak < 40 * (4 << 20)
+
+
 def test_sketch_never_estimates_too_little():
     """Cells hit twice are set wherever a window is repeated, also across chunks."""
     width = 1 << 18
