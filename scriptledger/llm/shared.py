@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,33 +9,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from scriptledger.sources.scratch import durable as durable
+from scriptledger.sources.scratch import shared_folder as shared_folder
+
 #: ASCII white space separates words, here and in ``bytes.split``.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Folders made for applications whose cluster names none.
-OWN_FOLDERS: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests, local
-    runs) a temporary one, the same for the whole application."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        application = spark.sparkContext.applicationId
-        folder = OWN_FOLDERS.get(application) or OWN_FOLDERS.setdefault(application, tempfile.mkdtemp(prefix="scriptledger-"))
-    return folder.rstrip("/")
-
-
-def durable(frame: DataFrame, name: str) -> DataFrame:
-    """``frame`` written as Parquet in the shared folder and read again: lineage
-    ends there, and a lost executor costs a reread instead of a recomputation."""
-    spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
-
-
 class Words:
     """The words of an Arrow column of texts, as places in its bytes: ``data``,
     ``starts`` and ``ends`` of words, and ``offsets``, the first word of each text

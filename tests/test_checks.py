@@ -1,8 +1,10 @@
 import random
 from collections import Counter
 
+from conftest import SMALL
 from frames import rows, warehouse
 
+from scriptledger import registry
 from scriptledger.operators import checks
 from scriptledger.plans import quality_suite
 
@@ -81,3 +83,17 @@ def test_orphan_rows_are_counted_each(spark):
         {"parent": "dim_physician", "parent_column": "physician_npi"},
     )
     assert report(w, [check]).first().failures == sum(n != "known" for n in npis)
+
+
+def test_the_registered_report_joins_its_raw_tables_once(spark, small):
+    """What the checks read are written raw tables, without the joins below them."""
+    found = registry.QUERIES["dq_report"](spark, SMALL)
+    assert not [file for file in found.inputFiles() if "/lineitem" in file or "/orders" in file]
+    assert rows(found) == rows(quality_suite.report(small))
+
+
+def test_a_model_is_checked_in_the_one_that_carries_it(spark):
+    w = warehouse(spark, paid=[("1", "Pfizer", 3, "Gift", "NY"), ("2", " ", 4, None, None)], lookup=[("Alpha", "g", "PFIZER", "Oncology")])
+    carried = quality_suite.report(w, carried={"stg_open_payments": "fact_payments"})
+    assert rows(carried) == rows(quality_suite.report(w))
+    assert {r.table_name for r in carried.collect()} == {check.table for check in quality_suite.SUITE}
