@@ -27,6 +27,8 @@ NEIGHBOURS = 25
 THRESHOLD = 0.3
 #: Documents of a block of products.
 BLOCK = 512
+#: Bytes of text that a task works on at a time; its arrays take some 20 times as much.
+TEXT_BYTES = 1 << 19
 
 #: Kinds of bytes: none, small letters and bytes of other scripts, capitals, digits, then each mark.
 KINDS = np.ones(256, np.int64)
@@ -63,7 +65,7 @@ def frequencies(features: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows = np.zeros(features, np.int64), 0
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=TEXT_BYTES):
             _, feature, _, n = counted(batch.column("text"), features)
             total += np.bincount(feature, minlength=features)
             rows += n
@@ -121,7 +123,7 @@ def sample_features(features: int):
     """label, and the features and counts of the text, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=TEXT_BYTES):
             text, feature, count, n = counted(batch.column("text"), features)
             cuts = np.searchsorted(text, np.arange(n + 1))
             cells = lambda x: pa.array([x[i:j].astype("<i4").tobytes() for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())
@@ -162,7 +164,7 @@ class Model:
 def scored(sent, neighbours: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*sent.value)
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=TEXT_BYTES):
             score = model.scores(batch.column("text"), neighbours)
             out = {name: batch.column(name) for name in batch.schema.names}
             out |= {"score": pa.array(score), "predicted": pa.array((score >= threshold).astype(np.int32))}

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -287,6 +288,21 @@ def test_quality_edge_cases(spark, docs, none):
     assert op3_quality.score_quality(none, labels).count() == 0
 
 
+def test_quality_memory_and_scores_do_not_depend_on_the_batch():
+    """Texts are worked on in small runs: the arrays of eight megabytes of words would not fit
+    beside those of other workers."""
+    texts = [" ".join(f"w{(i * 31 + j) % 5000}" for j in range(1000)) for i in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    tracemalloc.start()
+    (whole,) = op3_quality.frequencies(op3_quality.FEATURES)(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    parts = [batch.slice(a, 100) for a in range(0, 1000, 100)]
+    (cut,) = op3_quality.frequencies(op3_quality.FEATURES)(iter(parts))
+    assert cut.equals(whole)
+
+
 # --- mixing
 
 
