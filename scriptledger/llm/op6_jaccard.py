@@ -17,10 +17,13 @@ already linked group: first each class is verified against one class, the first
 of its buckets; then the pairs of a bucket that still lie in different components
 are compared. Those are many where near copies stay just below the similarity, so
 no pair becomes a row: blocks of bounded size are compared within tasks, first by
-the Hamming distance of one more parity sketch of SKETCH_BITS bits, bucket by
-bucket, then, for the classes this cannot rule out, by whole sets, which go to the
-groups that may be linked and are sent once for each block they meet. Tasks return
-a spanning forest of the components they join, no more rows than they read.
+the Hamming distance of one more parity sketch, bucket by bucket, then, for the
+classes this cannot rule out, by whole sets, which go to the groups that may be
+linked and are sent once for each block they meet. Tasks return a spanning forest
+of the components they join, no more rows than they read. That sketch has at least
+a bit per shingle: a distance never exceeds half the bits, and the difference that
+linked sets may have grows with them, so fewer bits would rule out no large sets.
+Whole sets are made only of the classes that sketches leave.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptledger.llm.components import connected
-from scriptledger.llm.shared import Words, chunks, durable, mix, signed, window_hashes
+from scriptledger.llm.shared import Words, chunks, discard, durable, joined, mix, signed, window_hashes
 
 #: Words beyond d + 1, which let classes leave out their weak words: at least so many,
 #: and a share of d that a similarity of at least so many hundredths pays for.
@@ -44,8 +47,10 @@ WEAK = 2
 #: Upper ends of size bands grow by this factor.
 BAND = 1.5
 GOLDEN = 0x9E3779B97F4A7C15
-#: Bits of the sketch by which the classes of a bucket are compared.
+#: Least bits of the sketch by which the classes of a bucket are compared.
 SKETCH_BITS = 1024
+#: Rows of a bucket up to which buckets are first compared many at a time, and bytes of sketches then.
+SMALL_BUCKET, PAIR_BYTES = 32, 16 << 20
 #: Classes of a block of such comparisons, and bytes of sets of a block, a longer set alone.
 BLOCK = 1024
 BLOCK_BYTES = 16 << 20
@@ -156,11 +161,11 @@ def describe(k: int):
 
 
 def keyed(k: int, percent: int):
-    """Keys of each class, once per chunk however many copies it has."""
+    """Keys of each class, once per chunk however many copies it has, its sketch beside the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            seen, keys, nodes, sizes = set(), [], [], []
+            seen, keys, nodes, sizes, sketched = set(), [], [], [], []
             for found in shingle_sets(batch.column("text"), k):
                 node = class_of(found)
                 if len(found) and node not in seen:
@@ -170,6 +175,8 @@ def keyed(k: int, percent: int):
                         keys.append(join_keys(found, percent))
                         nodes.append(node)
                         sizes.append(len(found))
+                        if len(keys[-1]):
+                            sketched += [parities(found), *[None] * (len(keys[-1]) - 1)]
             if keys:
                 each = [len(x) for x in keys]
                 yield pa.RecordBatch.from_arrays(
@@ -177,8 +184,9 @@ def keyed(k: int, percent: int):
                         signed(np.concatenate(keys)),
                         pa.array(np.repeat(np.array(nodes, np.int64), each)),
                         pa.array(np.repeat(np.array(sizes, np.int32), each)),
+                        pa.array(sketched, pa.binary()),
                     ],
-                    ["key", "node", "n"],
+                    ["key", "node", "n", "sketch"],
                 )
 
     return run
@@ -288,33 +296,143 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def parities(found: np.ndarray) -> bytes:
-    at = (mix(found) & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes()
+    """Sketch of a power of two of bits, at least one for each shingle. The xor of its halves is the one of half the bits."""
+    size = max(SKETCH_BITS, 1 << (len(found) - 1).bit_length())
+    at = (mix(found) & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=size).astype(np.uint8) & 1).tobytes()
+
+
+class Sketches:
+    """Sketches of several sizes, and their Hamming distances at the smaller size of each two."""
+
+    def __init__(self, blobs: list[bytes]):
+        self.words = np.array([len(x) // 8 for x in blobs], np.int64)
+        self.rows, self.at = {}, np.zeros(len(blobs), np.int64)
+        for size in np.unique(self.words).tolist():
+            mine = np.flatnonzero(self.words == size)
+            self.at[mine] = np.arange(len(mine))
+            self.rows[size] = np.frombuffer(b"".join(blobs[i] for i in mine.tolist()), np.uint64).reshape(-1, size)
+
+    def folded(self, rows: np.ndarray, size: int, to: int) -> np.ndarray:
+        found = self.rows[size][self.at[rows]]
+        while found.shape[1] > to:
+            found = found[:, : found.shape[1] // 2] ^ found[:, found.shape[1] // 2 :]
+        return found
+
+    def far(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), np.int64)
+        kinds = self.words[i] * (1 << 31) + self.words[j]
+        for kind in np.unique(kinds).tolist():
+            a, b = kind >> 31, kind & (1 << 31) - 1
+            mine = np.flatnonzero(kinds == kind)
+            step = max(1, PAIR_BYTES // (8 * max(a, b)))
+            for x in range(0, len(mine), step):
+                part = mine[x : x + step]
+                differ = self.folded(i[part], a, min(a, b)) ^ self.folded(j[part], b, min(a, b))
+                out[part] = np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def not_ruled_out(n: np.ndarray, bits: Sketches, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs may be similar by sizes and sketches."""
+    ok = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+    i, j = i[ok], j[ok]
+    ok[ok] = bits.far(i, j) <= (n[i] + n[j]) * (100 - percent) // (100 + percent)
+    return ok
+
+
+def close_rows(n: np.ndarray, bits: Sketches, left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row of ``left`` with the rows of ``right`` that sizes and sketches do not rule out."""
+    for a in range(0, len(left), 128):
+        one = left[a : a + 128]
+        close = not_ruled_out(n, bits, np.repeat(one, len(right)), np.tile(right, len(one)), percent)
+        for i, row in zip(one.tolist(), close.reshape(len(one), -1), strict=True):
+            yield i, right[row]
 
 
-def sketches(bits):
-    """Parity sketch of each class a bitmap lets through."""
+def close_stars(percent: int):
+    """Pairs that sketches do not rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in passing(bits, "node")(batches):
-            found = [parities(unpacked(blob)) for blob in batch.column("shingles").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "sketch"])
+        for batch in batches:
+            rows = batch.num_rows
+            n = np.concatenate([batch.column(c).to_numpy() for c in ("n", "m")]).astype(np.int64)
+            bits = Sketches(batch.column("left").to_pylist() + batch.column("right").to_pylist())
+            near = not_ruled_out(n, bits, np.arange(rows), np.arange(rows, 2 * rows), percent)
+            yield batch.select(["a", "b"]).filter(pa.array(near))
 
     return run
 
 
-def close_rows(n: np.ndarray, bits: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each row of ``left`` with the rows of ``right`` that sizes and sketches do not rule out."""
-    for a in range(0, len(left), 128):
-        one = left[a : a + 128]
-        far = np.zeros((len(one), len(right)), np.int64)
-        for word in range(bits.shape[1]):
-            far += np.bitwise_count(bits[one, word][:, None] ^ bits[right, word][None, :])
-        size = n[one][:, None], n[right][None, :]
-        close = far <= (size[0] + size[1]) * (100 - percent) // (100 + percent)
-        close &= 100 * np.minimum(*size) >= percent * np.maximum(*size)
-        for i, row in zip(one.tolist(), close, strict=True):
-            yield i, right[row]
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows cut where the first three columns change, and where such groups start."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = batch if held is None else joined([held, batch])
+        new = np.zeros(held.num_rows, bool)
+        new[:1] = True
+        for column in held.columns[:3]:
+            values = column.to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        starts = np.flatnonzero(new)
+        if len(starts) > 1:
+            yield held.slice(0, starts[-1]), starts[:-1]
+            held = held.slice(starts[-1])
+    if held is not None:
+        yield held, np.zeros(1, np.int64)
+
+
+def bucket_links(percent: int, use):
+    """``use`` on the rows of large buckets and of blocks. Small buckets, which most are, are compared
+    many at a time and two classes once, however many buckets they share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in whole_groups(batches):
+            node, n, root = (rows.column(c).to_numpy().astype(np.int64) for c in ("node", "n", "root"))
+            sizes = np.diff(starts, append=rows.num_rows)
+            small = sizes <= SMALL_BUCKET
+            small &= rows.column("low").to_numpy()[starts] == rows.column("high").to_numpy()[starts]
+            _, place, number = np.unique(node, return_index=True, return_inverse=True)
+            pairs = [np.zeros(0, np.int64)]
+            for size in np.unique(sizes[small]).tolist():
+                first = starts[small & (sizes == size)][:, None]
+                i, j = (number[first + x].ravel() for x in np.triu_indices(size, 1))
+                pairs.append(np.unique(np.minimum(i, j) * len(place) + np.maximum(i, j)))
+            i, j = (place[x] for x in np.divmod(np.unique(np.concatenate(pairs)), len(place)))
+            apart = root[i] != root[j]
+            i, j = i[apart], j[apart]
+            near = not_ruled_out(n, Sketches(rows.column("sketch").to_pylist()), i, j, percent) if len(i) else np.zeros(0, bool)
+            i, j = i[near], j[near]
+            found = list(may_link_rows(node, n, root, i, j))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), MAY_LINK.values(), strict=True)], list(MAY_LINK))
+            if not small.all():
+                yield from use(iter([rows.filter(pa.array(np.repeat(~small, sizes)))]))
+
+    return run
+
+
+def may_link_rows(node, n, root, i: np.ndarray, j: np.ndarray) -> Iterator[tuple]:
+    """may_link()'s rows of the pairs (i, j), as a spanning forest of their roots."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        one, other = top(int(root[a])), top(int(root[b]))
+        if one != other:
+            parent[one] = other
+            yield int(node[a]), int(n[a]), int(root[a]), int(root[b])
+    for a in np.unique(np.concatenate([i, j])).tolist():
+        yield int(node[a]), int(n[a]), int(root[a]), int(root[a])
+
+
+MAY_LINK = {"node": pa.int64(), "n": pa.int32(), "root": pa.int64(), "other": pa.int64()}
 
 
 def grouped_blocks(use, names: list[str], types: list[pa.DataType]):
@@ -348,7 +466,7 @@ def may_link(percent: int):
 
     def use(key, low, high, own, node, n, root, sketch) -> Iterator[tuple]:
         size, blocks = np.array(n, np.int64), np.array(own)
-        bits = np.frombuffer(b"".join(sketch), np.uint64).reshape(len(node), -1)
+        bits = Sketches(list(sketch))
         own_root = np.unique(np.array(root, np.int64), return_inverse=True)[1]
         label, open_ = own_root.copy(), np.zeros(len(node), bool)
         for i, js in close_rows(size, bits, np.flatnonzero(blocks == low[0]), np.flatnonzero(blocks == high[0]), percent):
@@ -362,7 +480,7 @@ def may_link(percent: int):
         for i in np.flatnonzero(open_).tolist():
             yield node[i], n[i], root[i], root[i]
 
-    return grouped_blocks(use, ["node", "n", "root", "other"], [pa.int64(), pa.int32(), pa.int64(), pa.int64()])
+    return bucket_links(percent, grouped_blocks(use, list(MAY_LINK), list(MAY_LINK.values())))
 
 
 def block_links(percent: int):
@@ -372,7 +490,7 @@ def block_links(percent: int):
     def use(group, low, high, own, node, root, shingles) -> Iterator[tuple]:
         sets = [unpacked(x) for x in shingles]
         blocks, size = np.array(own), np.array([len(x) for x in sets], np.int64)
-        bits = np.frombuffer(b"".join(map(parities, sets)), np.uint64).reshape(len(node), -1)
+        bits = Sketches([parities(x) for x in sets])
         known, flat = np.unique(np.concatenate(sets), return_inverse=True)
         ends = np.cumsum(size)
         starts = ends - size
@@ -410,22 +528,31 @@ def in_block_pairs(frame: DataFrame, group: str, *columns: str) -> DataFrame:
 def class_links(texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, root) of every class linked with another."""
     send = texts.sparkSession.sparkContext.broadcast
-    every = durable(texts.mapInArrow(keyed(k, percent), "key long, node long, n int"), "op6-keys")
+    every = durable(texts.mapInArrow(keyed(k, percent), "key long, node long, n int, sketch binary"), "op6-keys")
     shared = durable(
         every.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("key"), "op6-shared"
     )
     # Few keys are shared: the rest need not be shuffled again.
     bits = send(filter_of(shared.select(F.col("key").alias("node"))))
-    few = every.mapInArrow(passing(bits, "key"), "key long, node long, n int")
+    few = every.drop("sketch").mapInArrow(passing(bits, "key"), "key long, node long, n int")
     members = durable(few.join(shared, "key").distinct(), "op6-members")
-    wanted = send(filter_of(members.select("node")))
-    sets = durable(texts.mapInArrow(packed_sets(k, wanted), "node long, shingles binary"), "op6-sets")
+    bits = send(filter_of(members.select("node")))
+    shapes = every.where("sketch IS NOT NULL").select("node", "n", "sketch").mapInArrow(passing(bits, "node"), "node long, n int, sketch binary")
+    shapes = durable(shapes.dropDuplicates(["node"]), "op6-sketches")
+    discard(every, shared)
+
+    def whole_sets(nodes: DataFrame) -> DataFrame:
+        return texts.mapInArrow(packed_sets(k, send(filter_of(nodes))), "node long, shingles binary")
 
     # Each class against the first class of its buckets that is not itself.
     first = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"))
     stars = members.join(first, "key").where(F.col("node") != F.col("first.node"))
     stars = near_in_size(stars, F.col("n"), F.col("first.n"), percent)
     stars = durable(stars.groupBy("node").agg(F.min("first.node").alias("b")).select(F.col("node").alias("a"), "b"), "op6-stars")
+    stars = stars.join(shapes.select(F.col("node").alias("a"), "n", F.col("sketch").alias("left")), "a")
+    stars = stars.join(shapes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("right")), "b")
+    stars = durable(stars.mapInArrow(close_stars(percent), "a long, b long"), "op6-close")
+    sets = durable(whole_sets(stars.select(F.col("a").alias("node")).unionAll(stars.select("b"))), "op6-sets")
     checked = durable(verified(stars, sets, percent), "op6-checked")
     links = checked.where("linked").select("a", "b")
     roots = connected(links)
@@ -436,9 +563,7 @@ def class_links(texts: DataFrame, k: int, percent: int) -> DataFrame:
     open_ = durable(
         placed.join(mixed.where("low <> high").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key"), "op6-open"
     )
-    bits = send(filter_of(open_.select("node")))
-    shapes = sets.mapInArrow(sketches(bits), "node long, sketch binary").dropDuplicates(["node"])
-    maybe = in_block_pairs(open_.join(shapes, "node"), "key", "node", "n", "root", "sketch").mapInArrow(
+    maybe = in_block_pairs(open_.join(shapes.select("node", "sketch"), "node"), "key", "node", "n", "root", "sketch").mapInArrow(
         may_link(percent), "node long, n int, root long, other long"
     )
     maybe = durable(maybe.distinct(), "op6-maybe")
@@ -451,8 +576,7 @@ def class_links(texts: DataFrame, k: int, percent: int) -> DataFrame:
     blocks = left.groupBy("group").agg(
         F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.col("n").cast("long")) * SET_BYTES / BLOCK_BYTES)).cast("int").alias("blocks")
     )
-    bits = send(filter_of(left.select("node")))
-    whole = sets.mapInArrow(passing(bits, "node"), "node long, shingles binary").dropDuplicates(["node"])
+    whole = whole_sets(left.select("node")).dropDuplicates(["node"])
     more = in_block_pairs(left.join(blocks, "group").join(whole, "node"), "group", "node", "root", "shingles").mapInArrow(
         block_links(percent), "a long, b long"
     )

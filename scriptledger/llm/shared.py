@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from scriptledger.sources.scratch import discard as discard
 from scriptledger.sources.scratch import durable as durable
 from scriptledger.sources.scratch import shared_folder as shared_folder
 

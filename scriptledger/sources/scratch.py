@@ -21,10 +21,32 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Has Spark remove the shuffle files of a job when it ends, not when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def durable(frame: DataFrame, name: str) -> DataFrame:
     """``frame`` written as Parquet in the shared folder and read again: lineage
-    ends there, and a lost executor costs a reread instead of a recomputation."""
+    ends there, and a lost executor costs a reread instead of a recomputation.
+    The shuffle files of the write are needed by nothing else and go with it."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``durable``: those of which all that is read later has been written."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        for folder in {path.rsplit("/", 1)[0] for path in table.inputFiles()}:
+            place = context._jvm.org.apache.hadoop.fs.Path(folder)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)

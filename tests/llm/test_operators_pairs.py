@@ -1,7 +1,9 @@
 """Jaccard join, substring removal, top-k and fingerprints against brute force."""
 
 import hashlib
+import os
 import random
+import time
 import tracemalloc
 import zlib
 from functools import reduce
@@ -331,3 +333,46 @@ def test_small_blocks_find_the_same_links(spark, monkeypatch, block, size):
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in op6_jaccard.jaccard_components(frame, 4, 85).collect()}
     assert found == brute_components(rows, 4, 85)
+
+
+def test_sketches_rule_out_large_sets_too(spark):
+    """Sets of 4,000 shingles without a common one may differ in 888 at 80 %, more than half of 1,024 bits."""
+    rng = np.random.default_rng(5)
+    sets = [rng.integers(0, 1 << 48, 4000, np.uint64) for _ in range(3)]
+    sets.append(np.concatenate([sets[0][:3900], rng.integers(0, 1 << 48, 200, np.uint64)]))  # another size of sketch
+    n = [len(x) for x in sets]
+    zero = pa.array([0] * 4, pa.int32())
+    rows = [pa.array([1] * 4), zero, zero, zero, pa.array([10, 11, 12, 13]), pa.array(n, pa.int32()), pa.array([10, 11, 12, 13]), pa.array([op6_jaccard.parities(x) for x in sets])]
+    batch = pa.RecordBatch.from_arrays(rows, ["key", "low", "high", "own", "node", "n", "root", "sketch"])
+    found = [r for b in op6_jaccard.may_link(80)(iter([batch])) for r in b.to_pylist()]
+    assert {r["node"] for r in found} == {10, 13} and {(r["root"], r["other"]) for r in found} >= {(10, 13)}
+
+
+def test_texts_whose_sketches_differ_in_size_link(spark):
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(1030)]
+    rows = [(i, " ".join(words[:n])) for i, n in enumerate((1030, 1000, 930, 860))] + [(9, "other " * 3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in op6_jaccard.jaccard_components(frame, 5, 80).collect()}
+    assert found == brute_components(rows, 5, 80)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from scriptledger.sources.scratch import CLEANUP, discard, durable
+
+    def files():
+        held = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("|")
+        return {x for x in held.split("|") if "/shuffle_" in x}
+
+    before, setting = files(), spark.conf.get(CLEANUP)
+    table = durable(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "test")
+    for _ in range(50):
+        left = files() - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(CLEANUP) == setting
+    assert table.count() == 7
+    (folder,) = {x.rsplit("/", 1)[0].removeprefix("file://") for x in table.inputFiles()}
+    discard(table)
+    assert not os.path.exists(folder)
