@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptledger.llm.bitmaps import collect_bitmap
-from scriptledger.llm.shared import Words, chunks, combine, durable, mix, signed
+from scriptledger.llm.shared import Words, chunks, combine, discard, durable, mix, signed
 
 #: Times that a context, or a pair of context and follower, must occur to be in the tree.
 LEAST = 2
@@ -376,24 +376,34 @@ def tree_values(training: DataFrame, counted: DataFrame, n_texts: int, size: flo
             F.col("word").alias("key"), F.log10(F.col("n") + 1.0).alias("base"), F.lit(1.0).alias("known"), F.lit(0.0).alias("extra"), "n"
         )
     ]
-    zero, longer = F.lit(0.0), None
+    zero, longer, written = F.lit(0.0), None, [counted]
     for rows, states in reversed(levels):
         # A kept context keeps its suffixes.
         if longer is not None:
             forced = longer.select(F.col("shorter").alias("context"), F.lit(True).alias("forced")).distinct()
-            states = states.join(forced, "context", "left").where(F.col("kept") | F.col("forced"))
+            found = states.join(forced, "context", "left").where(F.col("kept") | F.col("forced"))
         else:
-            states = states.where("kept")
-        longer = states = durable(states.select("context", "shorter", "n", "share"), "op2-states")
+            found = states.where("kept")
+        longer = found = durable(found.select("context", "shorter", "n", "share"), "op2-states")
+        # A level at a time, so that disk holds neither all joins nor a level's grams beside their values.
+        discard(states)
+        states = found
         values.append(states.select(F.col("context").alias("key"), zero, zero, F.log10("share"), "n"))
         gain = F.log10(1 + F.col("own") / (F.col("share") * F.col("below")))
-        values.append(rows.join(states.select("context", "share"), "context").select(F.col("gram").alias("key"), zero, zero, gain, "n"))
-    return durable(
+        gains = rows.join(states.select("context", "share"), "context").select(
+            F.col("gram").alias("key"), zero.alias("base"), zero.alias("known"), gain.alias("extra"), "n"
+        )
+        values.append(durable(gains, "op2-gains"))
+        discard(rows)
+        written += [states, values[-1]]
+    found = durable(
         reduce(DataFrame.unionAll, values)
         .groupBy("key")
         .agg(F.sum("base").alias("base"), F.sum("known").alias("known"), F.sum("extra").alias("extra"), F.max("n").alias("n")),
         "op2-values",
     )
+    discard(*written)
+    return found
 
 
 def score_texts(docs: DataFrame, training, depth: int = DEPTH, p_min: float = 0.0) -> DataFrame:

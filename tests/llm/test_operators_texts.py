@@ -7,6 +7,7 @@ import re
 import tracemalloc
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from corpus_frames import docs, none, small_documents  # noqa: F401  fixtures
 
 from scriptledger.llm import op1_surrogates, op2_suffix_tree, op3_quality, op7_mixing, op8_bpe, op10_sharding
+from scriptledger.llm.shared import shared_folder
 
 KEY = b"test key"
 
@@ -257,6 +259,15 @@ def test_a_passage_seen_twice_is_kept_at_any_size(spark):
     assert found[6000].score > found[6000].base_score + 30
 
 
+def test_only_values_stay_on_disk(spark, small_documents):
+    tables = Path(shared_folder(spark).removeprefix("file://"), "tables")
+    before = {x.name for x in tables.glob("op2-*")}
+    found = op2_suffix_tree.score_texts(small_documents, op2_suffix_tree.is_training())
+    left = {x.name for x in tables.glob("op2-*")} - before
+    assert {x.rsplit("-", 1)[0] for x in left} == {"op2-values"}
+    assert found.count() == small_documents.count()
+
+
 def test_language_model_edge_cases(docs, none):
     found = op2_suffix_tree.score_texts(docs.withColumn("row", F.lit(1)), F.lit(True)).collect()
     assert len(found) == 10 and all(r.score <= 0 for r in found)
