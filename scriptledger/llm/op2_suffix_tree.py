@@ -114,7 +114,11 @@ def bitmap_of(keys: DataFrame):
         .repartition("segment")
         .mapInArrow(segment_bits, "segment int, bits binary")
     )
-    return keys.sparkSession.sparkContext.broadcast(collect_bitmap(segments, bits // SEGMENT_BITS, SEGMENT_BITS // 8))
+    # Written, so that the shuffle's files go before the bitmap is used.
+    segments = durable(segments, "op2-bitmap")
+    found = collect_bitmap(segments, bits // SEGMENT_BITS, SEGMENT_BITS // 8)
+    discard(segments)
+    return keys.sparkSession.sparkContext.broadcast(found)
 
 
 def counted_grams(length: int, sent):
