@@ -376,3 +376,22 @@ def test_written_tables_leave_no_shuffle_files(spark):
     (folder,) = {x.rsplit("/", 1)[0].removeprefix("file://") for x in table.inputFiles()}
     discard(table)
     assert not os.path.exists(folder)
+
+
+def test_a_filter_takes_as_few_jobs_with_many_partitions(spark):
+    """A job for each partition took most of a run on tables dealt over many."""
+    nodes = spark.range(5000).select((F.col("id") * 7919).alias("node"))
+    context, before = spark.sparkContext, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    context.setJobGroup("op6-filter", "")
+    try:
+        bits = op6_jaccard.filter_of(nodes)
+        jobs = len(context.statusTracker().getJobIdsForGroup("op6-filter"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert jobs < 10
+    at = np.flatnonzero(np.unpackbits(bits))
+    assert at.tolist() == sorted({7919 * i % op6_jaccard.FILTER_BITS for i in range(5000)})
