@@ -8,6 +8,7 @@ import tracemalloc
 import zlib
 from collections import Counter
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -268,6 +269,29 @@ def test_only_values_stay_on_disk(spark, small_documents):
     assert found.count() == small_documents.count()
 
 
+def test_language_model_works_on_little_text_at_a_time():
+    """A task's arrays have room beside the JVM's heap, whatever the length of its partition."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 50_000, 2000)) for _ in range(700)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(700), pa.int64()), pa.array([True] * 700), pa.array(range(700), pa.int64()), pa.array(texts)], ["doc_id", "training", "row", "text"]
+    )
+    sent, head = SimpleNamespace(value=np.full(1 << 17, 255, np.uint8)), SimpleNamespace(value=[np.zeros(1, np.int64)] + [np.zeros(1)] * 3)
+    for run in (op2_suffix_tree.word_counts, op2_suffix_tree.counted_grams(3, sent), op2_suffix_tree.scored(4, head, sent)):
+        list(run(iter([batch.slice(0, 5)])))
+        tracemalloc.start()
+        for _ in run(iter([batch])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 100 << 20
+
+
+def test_scores_are_summed_without_a_sort_by_row(small_documents):
+    scores = op2_suffix_tree.score_texts(small_documents, op2_suffix_tree.is_training())
+    assert "SortAggregate" not in scores._jdf.queryExecution().toString()
+
+
 def test_language_model_edge_cases(docs, none):
     found = op2_suffix_tree.score_texts(docs.withColumn("row", F.lit(1)), F.lit(True)).collect()
     assert len(found) == 10 and all(r.score <= 0 for r in found)
