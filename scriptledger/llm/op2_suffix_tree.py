@@ -23,11 +23,12 @@ out grams that cannot be in a table; one too many costs a row and nothing else.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptledger.llm.bitmaps import collect_bitmap
@@ -41,6 +42,8 @@ DEPTH = 3
 DISCOUNT = 0.5
 #: Bytes of text that a task works on at a time; its arrays take about 30 times as many.
 TEXT_BYTES = 1 << 20
+#: Texts that the JVM sends a task at a time while the tree grows, and the setting for it.
+BATCH_ROWS, BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Hashes of the token before a text and of the one after it.
 BEGIN, AFTER = np.uint64(0xB5E1A9C40D2F7731), np.uint64(0x5D1F03E86C9A42B7)
 #: Bits of a bitmap for each gram in it, of a bitmap at most, and of a segment.
@@ -50,6 +53,20 @@ END = 0
 SHIFT = np.int64(1 << 23)
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """For tables written meanwhile: a batch of whole texts takes several times its size in the JVM, and again in the worker."""
+    before = spark.conf.get(BATCH_SETTING, None)
+    spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH_SETTING)
+        else:
+            spark.conf.set(BATCH_SETTING, before)
+
+
 def is_training(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(7)) != 2
 
@@ -423,12 +440,15 @@ def score_texts(docs: DataFrame, training, depth: int = DEPTH, p_min: float = 0.
     spark = docs.sparkSession
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", training.alias("training"))
     learned = read.where("training").select("text")
-    counted = durable(learned.mapInArrow(word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "op2-words")
+    counts = learned.mapInArrow(word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    with small_batches(spark):
+        counted = durable(counts, "op2-words")
     n_texts = learned.count()
     sums = counted.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens, vocabulary = (sums["n"] or 0) + n_texts, sums["v"] + (n_texts > 0)
     size = float(tokens + vocabulary + 1)
-    values = tree_values(learned, counted, n_texts, size, depth, max(float(LEAST), p_min * tokens))
+    with small_batches(spark):
+        values = tree_values(learned, counted, n_texts, size, depth, max(float(LEAST), p_min * tokens))
     # At most 1 / HEAD_MIN of each length, and the marks around texts.
     top = values.where(F.col("n") >= HEAD_MIN * tokens).drop("n").toArrow()
     arrays = [top.column(c).to_numpy() for c in ("key", "base", "known", "extra")]

@@ -287,6 +287,21 @@ def test_language_model_works_on_little_text_at_a_time():
         assert peak < 100 << 20
 
 
+def test_tree_reads_few_texts_at_a_time(spark):
+    def rows(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    def largest():
+        return spark.range(0, 5000, 1, 1).mapInArrow(rows, "n long").agg(F.max("n")).first()[0]
+
+    before = spark.conf.get(op2_suffix_tree.BATCH_SETTING, None)
+    with op2_suffix_tree.small_batches(spark):
+        assert largest() <= op2_suffix_tree.BATCH_ROWS
+    assert spark.conf.get(op2_suffix_tree.BATCH_SETTING, None) == before
+    assert largest() > op2_suffix_tree.BATCH_ROWS
+
+
 def test_scores_are_summed_without_a_sort_by_row(small_documents):
     scores = op2_suffix_tree.score_texts(small_documents, op2_suffix_tree.is_training())
     assert "SortAggregate" not in scores._jdf.queryExecution().toString()
