@@ -24,7 +24,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptledger.llm.bitmaps import collect_bitmap
-from scriptledger.llm.shared import Words, chunks, combine, discard, durable, mix, signed
+from scriptledger.llm.parcels import (
+    BYTES,
+    HELD,
+    PARCEL,
+    UNITS,
+    Parcels,
+    content,
+    dealt,
+    fixed,
+    grouped,
+    meet,
+    of_kind,
+    packed,
+    rows,
+    run_starts,
+    summed,
+    taken,
+    units,
+)
+from scriptledger.llm.shared import Words, chunks, combine, discard, mix, uncombine, unmix
 
 #: Times that a context, or a pair of context and follower, must occur to be in the tree.
 LEAST = 2
@@ -42,12 +60,17 @@ DEPTH = 3
 DISCOUNT = 0.5
 #: Bytes of text that a task works on at a time; its arrays take about 30 times as many.
 TEXT_BYTES = 1 << 20
-#: Texts that the JVM sends a task at a time while the tree grows, and the setting for it.
-BATCH_ROWS, BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Texts or parcels that the JVM sends a task at a time, and the setting for it.
+BATCH_ROWS, BATCH_SETTING = 200, "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Hashes of the token before a text and of the one after it.
 BEGIN, AFTER = np.uint64(0xB5E1A9C40D2F7731), np.uint64(0x5D1F03E86C9A42B7)
 #: Bits of a bitmap for each gram in it, of a bitmap at most, and of a segment.
 GRAM_BITS, MOST_BITS, SEGMENT_BITS = 8, 1 << 28, 1 << 20
+#: What parcels hold. Bits of the words' parts, of all others' at least and at most, and tokens of a part between these.
+WORD, COUNT, GRAM, BELOW, ROW, TOTAL, FORCED, VALUE, HEAD, REQUEST, TOP, ANSWER = range(12)
+WORD_BITS, LEAST_BITS, MOST_PART_BITS, PART_TOKENS = 10, 6, 16, 1 << 20
+#: Texts of a source at most, whose places have two bytes; parts of the texts that are scored one after the other.
+SOURCE_TEXTS, SLICES = 1 << 16, 3
 #: For the tree on one machine: code of the end token, and the factor of codes in a gram's number.
 END = 0
 SHIFT = np.int64(1 << 23)
@@ -72,10 +95,54 @@ def is_training(doc_id: str = "doc_id"):
 
 
 def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, count) per chunk; words by 64-bit hash."""
-    for batch in chunks(batches, limit=TEXT_BYTES):
-        found, n = np.unique(Words(batch.column("text")).hashes(lower=True), return_counts=True)
-        yield pa.RecordBatch.from_arrays([signed(found), pa.array(n)], ["word", "n"])
+    """Words with their counts, those of the marks around texts too; by 64-bit hash."""
+
+    def found():
+        for batch in chunks(batches, limit=TEXT_BYTES):
+            (tokens,), _, _ = gram_hashes(Words(batch.column("text")), 1)
+            yield np.unique(tokens, return_counts=True)
+
+    for words, n in gathered(found()):
+        words, _, n = summed(words, n)
+        yield counted_parcels(words, [], n, WORD_BITS)
+
+
+def gathered(found: Iterator[tuple]) -> Iterator[tuple]:
+    """Tuples of arrays joined, up to ``HELD`` rows or one tuple's."""
+    held, size = [], 0
+
+    def taken_out() -> tuple:
+        whole = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        return whole
+
+    for arrays in found:
+        if size and size + len(arrays[0]) > HELD:
+            yield taken_out()
+            size = 0
+        held.append(arrays)
+        size += len(arrays[0])
+    if size:
+        yield taken_out()
+
+
+def counted_parcels(keys: np.ndarray, columns: list[np.ndarray], n: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Counts of a byte; a key with more than 255 stands several times."""
+    if len(n) and n.max() > 255:
+        times = (n + 254) // 255
+        last = n - 255 * (times - 1)
+        at = np.repeat(np.arange(len(keys)), times)
+        n = np.full(len(at), 255)
+        n[np.cumsum(times) - 1] = last
+        keys, columns = keys[at], [x[at] for x in columns]
+    return packed(COUNT, keys, [*columns, n.astype(np.uint8)], bits)
+
+
+def summed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for parcels in grouped(batches):
+        words, n = parcels.take(COUNT, "u1")
+        words, _, n = summed(words, n.astype(np.int64))
+        yield packed(WORD, words, [n], WORD_BITS, weight=n)
 
 
 def gram_hashes(words: Words, longest: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -102,63 +169,236 @@ def joined_hash(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
     return mix(combine(context, suffix))
 
 
+def second_of(grams: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """The suffix, of the gram's hash and its context's: every step of ``joined_hash`` can be undone."""
+    return uncombine(unmix(grams), context)
+
+
 def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = (keys & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
+    at = (keys >> np.uint64(64 - (len(bits) * 8).bit_length() + 1)).astype(np.int64)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
-def segment_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        segments, places = (batch.column(c).to_numpy() for c in ("segment", "place"))
-        for segment in np.unique(segments):
-            held.setdefault(int(segment), np.zeros(SEGMENT_BITS, np.uint8))[places[segments == segment]] = 1
-    for segment, bits in held.items():
-        packed = np.packbits(bits, bitorder="little").tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([packed], pa.binary())], ["segment", "bits"])
-
-
-def bitmap_of(keys: DataFrame):
-    """Broadcast bitmap of a table's hashes (one column)."""
-    key = keys.columns[0]
-    bits = SEGMENT_BITS
-    n = keys.count()
-    while bits < min(MOST_BITS, GRAM_BITS * n):
-        bits *= 2
-    at = F.col(key).bitwiseAND(F.lit(bits - 1))
-    segments = (
-        keys.select((at / SEGMENT_BITS).cast("int").alias("segment"), (at % SEGMENT_BITS).cast("int").alias("place"))
-        .repartition("segment")
-        .mapInArrow(segment_bits, "segment int, bits binary")
-    )
+def part_bits(size: int, bits: int):
+    """For each part the piece of the bitmap of ``size`` bits that its keys set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece = size >> bits
+        for parcels in grouped(batches):
+            (keys,) = taken(parcels.table)
+            at = np.unique(keys >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64)
+            starts = run_starts(at // piece)
+            found = []
+            for a, b in zip(starts, np.append(starts[1:], len(at)), strict=True):
+                flags = np.zeros(piece, np.uint8)
+                flags[at[a:b] % piece] = 1
+                found.append(np.packbits(flags, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array((at // piece)[starts], pa.int32()), pa.array(found, pa.binary())], ["segment", "bits"])
+
+    return run
+
+
+def bitmap_of(tables: list[DataFrame], bits: int):
+    """Broadcast bitmap of the keys of parcels."""
+    keys = [table.withColumns({c: F.lit(None).cast("binary") for c in BYTES[2:]}) for table in tables]
+    n = sum(table.agg(F.sum("size")).first()[0] or 0 for table in tables)
+    size = max(SEGMENT_BITS, 8 << bits)
+    while size < min(MOST_BITS, GRAM_BITS * n):
+        size *= 2
     # Written, so that the shuffle's files go before the bitmap is used.
-    segments = durable(segments, "op2-bitmap")
-    found = collect_bitmap(segments, bits // SEGMENT_BITS, SEGMENT_BITS // 8)
+    segments = meet(keys, part_bits(size, bits), "op2-bitmap", "segment int, bits binary")
+    found = collect_bitmap(segments, 1 << bits, size >> bits >> 3)
     discard(segments)
-    return keys.sparkSession.sparkContext.broadcast(found)
+    return tables[0].sparkSession.sparkContext.broadcast(found)
+
+
+def least_words(least: float, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, n = Parcels([batch]).take(WORD, "i8")
+            if (n >= least).any():
+                yield packed(WORD, words[n >= least], [], bits)
+
+    return run
 
 
-def counted_grams(length: int, sent):
-    """(context, suffix, count) per chunk of the grams whose parts may both be frequent."""
+def counted_grams(length: int, sent, bits: int = WORD_BITS):
+    """Grams whose parts may both be frequent, with their contexts and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
-        for batch in chunks(batches, limit=TEXT_BYTES):
-            grams, _, place = gram_hashes(Words(batch.column("text")), length - 1)
-            parts = grams[-1]
-            maybe = in_bitmap(bits, parts)
-            at = np.flatnonzero((place[1:] >= length - 1) & maybe[1:] & maybe[:-1])
-            context, suffix = parts[at], parts[at + 1]
-            _, first, n = np.unique(joined_hash(context, suffix), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([signed(context[first]), signed(suffix[first]), pa.array(n)], ["context", "suffix", "n"])
+        bitmap = sent.value
+
+        def found():
+            for batch in chunks(batches, limit=TEXT_BYTES):
+                grams, _, place = gram_hashes(Words(batch.column("text")), length - 1)
+                parts = grams[-1]
+                maybe = in_bitmap(bitmap, parts)
+                at = np.flatnonzero((place[1:] >= length - 1) & maybe[1:] & maybe[:-1])
+                context = parts[at]
+                yield joined_hash(context, parts[at + 1]), context
+
+        for grams, context in gathered(found()):
+            order = np.argsort(grams)
+            grams = grams[order]
+            starts, size = run_starts(grams), len(grams)
+            grams, context = grams[starts], context[order[starts]]
+            del order
+            yield counted_parcels(grams, [context], np.diff(starts, append=size), bits)
+            # Not held while the next texts are read.
+            del grams, context
+
+    return run
+
+
+def frequent_grams(least: float, bits: int):
+    """Grams of at least ``least`` occurrences, dealt by their suffixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found():
+            for parcels in grouped(batches):
+                grams, context, n = parcels.take(COUNT, "u8", "u1")
+                grams, at, n = summed(grams, n.astype(np.int64))
+                kept = n >= least
+                context = context[at[kept]]
+                yield GRAM, second_of(grams[kept], context), [context, n[kept]]
+
+        return dealt(found(), bits)
+
+    return run
+
+
+def recut(bits: int):
+    """Words in parts of ``bits`` bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found():
+            for batch in batches:
+                words, n = Parcels([batch]).take(WORD, "i8")
+                yield WORD, words, [n]
+
+        return dealt(found(), bits)
+
+    return run
+
+
+def with_below(size: float, bits: int):
+    """Grams with the probability of their last token at their suffix, dealt by their contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found():
+            for parcels in grouped(batches):
+                words, n = parcels.take(WORD, "i8")
+                known, below = parcels.take(BELOW, "f8")
+                known, below = np.concatenate([words, known]), np.concatenate([(n + 1) / size, below])
+                order = np.argsort(known)
+                suffix, context, n = parcels.take(GRAM, "u8", "i8")
+                at = lookup(known[order], suffix)
+                ok = at >= 0
+                yield ROW, context[ok], [suffix[ok], n[ok], below[order][at[ok]]]
+
+        return dealt(found(), bits)
 
     return run
 
 
-def with_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        context, suffix = (batch.column(c).to_numpy().view(np.uint64) for c in ("context", "suffix"))
-        yield batch.append_column("gram", signed(joined_hash(context, suffix)))
+def as_contexts(bits: int):
+    """Grams as what the next length's contexts are: their count and their own suffix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found():
+            for batch in batches:
+                context, suffix, n = Parcels([batch]).take(ROW, "u8", "i8")
+                yield TOTAL, joined_hash(context, suffix), [n, suffix]
+
+        return dealt(found(), bits)
+
+    return run
+
+
+class Contexts:
+    """Contexts of some parts with their followers: ``keys`` ascending, per context its
+    count, its own suffix and its share for that, and the grams' places among them."""
+
+    def __init__(self, parcels: Parcels):
+        words, counts = parcels.take(WORD, "i8")
+        keys, n, shorter = parcels.take(TOTAL, "i8", "u8")
+        keys, n, shorter = np.concatenate([words, keys]), np.concatenate([counts, n]), np.concatenate([np.zeros(len(words), np.uint64), shorter])
+        order = np.argsort(keys)
+        self.keys, self.n, self.shorter = keys[order], n[order], shorter[order]
+        context, suffix, followed, below = parcels.take(ROW, "u8", "i8", "f8")
+        at = lookup(self.keys, context)
+        ok = at >= 0
+        self.at, self.suffix, self.count, self.below = at[ok], suffix[ok], followed[ok], below[ok]
+        self.context = context[ok]
+        self.total = np.maximum(self.n[self.at], self.count)
+        np.maximum.at(self.n, self.at, self.count)
+        self.own = (self.count - DISCOUNT) / self.total
+        self.share = 1 - self.sums(self.own)
+
+    def sums(self, values: np.ndarray | None = None) -> np.ndarray:
+        # Of no rows, bincount gives integers.
+        return np.bincount(self.at, values, minlength=len(self.keys)).astype(np.float64)
+
+    def kept(self) -> np.ndarray:
+        """Divergence of what the counts say from the suffix's distribution, the other
+        followers lumped into one, against half a logarithm of the count per follower."""
+        plain = self.count / self.total
+        rest, rest_below = np.maximum(1 - self.sums(plain), 0), np.clip(1 - self.sums(self.below), 1e-12, 1)
+        kl = self.sums(plain * np.log(plain / self.below))
+        kl += np.where(rest > 0, rest * np.log(np.where(rest > 0, rest, 1) / rest_below), 0)
+        followers = self.sums()
+        return (followers > 0) & (self.n * kl > 0.5 * followers * np.log(np.maximum(self.n, 2)))
+
+
+def probabilities(bits: int):
+    """Each gram's probability of its last token, which is that of a suffix for longer grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found():
+            for x in map(Contexts, grouped(batches)):
+                yield BELOW, joined_hash(x.context, x.suffix), [x.own + x.share[x.at] * x.below]
+
+        return dealt(found(), bits)
+
+    return run
+
+
+def state_values(length: int, head_min: float, bits: int):
+    """What an occurrence of each state, and of each gram that a state has seen, adds to a
+    text's score; those of at least ``head_min`` occurrences apart. Also the states' suffixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found():
+            for parcels in grouped(batches):
+                x = Contexts(parcels)
+                (forced,) = parcels.take(FORCED)
+                states = (x.kept() | (lookup(np.unique(forced), x.keys) >= 0)) & (x.sums() > 0)
+                if length > 2:
+                    yield FORCED, x.shorter[states], []
+                seen = states[x.at]
+                gains = np.log10(1 + x.own[seen] / (x.share[x.at[seen]] * x.below[seen]))
+                for keys, n, value in (
+                    (x.keys[states], x.n[states], np.log10(x.share[states])),
+                    (joined_hash(x.context[seen], x.suffix[seen]), x.count[seen], gains),
+                ):
+                    top = n >= head_min
+                    yield HEAD, keys[top], [value[top]]
+                    yield VALUE, keys[~top], [fixed(value[~top])]
+
+        return dealt(found(), bits)
+
+    return run
+
+
+def frequent_words(head_min: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, n = Parcels([batch]).take(WORD, "i8")
+            top = n >= head_min
+            if top.any():
+                yield packed(HEAD, words[top], [np.log10(n[top] + 1.0)], WORD_BITS)
+
+    return run
 
 
 def lookup(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -169,6 +409,33 @@ def lookup(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
+class Index:
+    """``lookup`` of hashes in any order: where each value of their first bits begins among
+    the keys is known, so a look-up touches a key or two and none for most that are absent."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.bits = min(22, max(4, len(keys).bit_length() + 2))
+        bounds = np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)
+        self.first = np.append(np.searchsorted(keys, bounds), len(keys)).astype(np.int32)
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the wanted hashes are keys, and their places."""
+        bucket = (wanted >> np.uint64(64 - self.bits)).astype(np.int32)
+        at, end = self.first[bucket], self.first[bucket + 1]
+        live = np.flatnonzero(at < end)
+        at, end = at[live], end[live]
+        which, places = [live[:0]], [at[:0]]
+        while len(live):
+            hit = self.keys[at] == wanted[live]
+            which.append(live[hit])
+            places.append(at[hit])
+            at = at + 1
+            more = ~hit & (at < end)
+            live, at, end = live[more], at[more], end[more]
+        return np.concatenate(which), np.concatenate(places)
+
+
 def pick(values: np.ndarray, at: np.ndarray, otherwise: float) -> np.ndarray:
     """Values at the given places, ``otherwise`` where the place is -1."""
     out = np.full(len(at), otherwise)
@@ -279,152 +546,195 @@ def grow(counts: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]], n_texts
     return Tree(root, 1 / (tokens + vocabulary + 1), levels, states, shares, probabilities)
 
 
-def scored(longest: int, head, sent):
-    """Per row one with its head (what broadcast values add up to), and one per gram
-    whose value is in the table, with how often the text has it."""
+def scored(longest: int, head, sent, bits: int = WORD_BITS):
+    """Requests for the values that are not broadcast, each with its text's place among those of a source,
+    and per source the texts with what the broadcast values add up to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, *values = head.value
-        bits = sent.value
-        for batch in chunks(batches, limit=TEXT_BYTES):
+        order = np.argsort(keys.view(np.uint64))
+        index, values = Index(keys.view(np.uint64)[order]), [x[order] for x in values]
+        bitmap = sent.value
+
+        def texts():
+            for batch in chunks(batches, limit=TEXT_BYTES):
+                for a in range(0, batch.num_rows, SOURCE_TEXTS):
+                    yield batch.slice(a, SOURCE_TEXTS)
+
+        def source(held):
+            asked, owner, tops = zip(*held, strict=True)
+            held.clear()
+            asked, owner = np.concatenate(asked), np.concatenate(owner)
+            order = np.argsort(asked)
+            asked, owner = asked[order], owner[order]
+            ids, doc_ids, flags, n_tokens, sums = (np.concatenate(x) for x in zip(*tops, strict=True))
+            yield packed(REQUEST, asked, [owner], bits, int(ids[0]))
+            part = int(mix(ids[:1].astype(np.uint64) + BEGIN)[0] >> np.uint64(64 - bits))
+            yield rows(TOP, part, int(ids[0]), np.zeros(1, np.int64), len(ids), [sums, None, doc_ids, flags, n_tokens])
+
+        held, size, n_texts = [], 0, 0
+        for batch in texts():
             words, n = Words(batch.column("text")), batch.num_rows
+            if held and (size >= HELD or n_texts + n > SOURCE_TEXTS):
+                yield from source(held)
+                size, n_texts = 0, 0
             grams, owner, place = gram_hashes(words, longest)
-            sums, rows, others = [np.zeros(n) for _ in values], [], []
+            sums, asked, owners = np.zeros((n, len(values))), [], []
             for length, found in enumerate(grams, 1):
-                own, found = owner[place >= length - 1], found[place >= length - 1]
-                at = lookup(keys, found.view(np.int64))
-                for total, value in zip(sums, values, strict=True):
-                    total += np.bincount(own[at >= 0], value[at[at >= 0]], minlength=n)
-                rest = (at < 0) & in_bitmap(bits, found)
-                rows.append(own[rest])
-                others.append(found[rest])
-            row, other = np.concatenate(rows), np.concatenate(others)
-            order = np.lexsort((other, row))
-            row, other = row[order], other[order]
-            new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (other[1:] != other[:-1])])) if len(row) else np.zeros(0, int)
-            times = np.diff(new, append=len(row))
+                known = np.flatnonzero((place >= length - 1) & in_bitmap(bitmap, found))
+                own, found = owner[known], found[known]
+                top, at = index.find(found)
+                # Only words add to the base score and are known.
+                for i in range(0 if length == 1 else 2, len(values)):
+                    sums[:, i] += np.bincount(own[top], values[i][at], minlength=n)
+                rest = np.ones(len(found), bool)
+                rest[top] = False
+                asked.append(found[rest])
+                owners.append((own[rest] + n_texts).astype(np.uint16))
+            asked, owners = np.concatenate(asked), np.concatenate(owners)
+            doc_ids, training = batch.column("doc_id"), batch.column("training")
+            flags = np.array(training.fill_null(False)).astype(np.uint8) + 2 * np.array(training.is_null()) + 4 * np.array(doc_ids.is_null())
             ids = batch.column("row").to_numpy()
-            yield from request_rows(ids[row[new]], other[new], times, None)
-            tops = pa.StructArray.from_arrays(
-                [batch.column("doc_id"), batch.column("training"), pa.array(np.diff(words.offsets) + 1), *(pa.array(x) for x in sums)],
-                ["doc_id", "training", "n_tokens", "base", "known", "extra"],
-            )
-            # A key of its own, so that these rows are dealt evenly; times 0 whatever it meets.
-            yield from request_rows(ids, mix(ids.astype(np.uint64) + BEGIN), np.zeros(n, np.int64), tops)
+            tops = (ids, np.array(doc_ids.fill_null(0)), flags.astype(np.uint8), np.diff(words.offsets) + 1, sums)
+            held.append((asked, owners, tops))
+            size += len(asked)
+            n_texts += n
+        if held:
+            yield from source(held)
 
     return run
 
 
-TOP = "struct<doc_id: long, training: boolean, n_tokens: long, base: double, known: double, extra: double>"
+class RowSums:
+    """Sums for texts, by the number of their source and their place in it."""
+
+    def __init__(self):
+        self.sources: dict[int, int] = {}
+        self.held: list[tuple] = []
+        self.size = 0
+
+    def add(self, sources: np.ndarray, sizes: np.ndarray, place: np.ndarray, at: np.ndarray, values) -> None:
+        """Of requests (sources of parcels, their sizes, texts) those that have a value."""
+        number = np.array([self.sources.setdefault(int(x), len(self.sources)) for x in sources], np.int64)
+        ok = at >= 0
+        code = (np.repeat(number, sizes) * SOURCE_TEXTS + place)[ok]
+        code, _, *sums = summed(code, *(x[at[ok]] for x in values))
+        self.held.append((code, *sums))
+        self.size += len(code)
+        if self.size >= HELD:
+            self.merge()
+
+    def merge(self) -> None:
+        code, *sums = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        code, _, *sums = summed(code, *sums)
+        self.held, self.size = [(code, *sums)], len(code)
+
+    def parcels(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        self.merge()
+        code, *sums = self.held[0]
+        number = code // SOURCE_TEXTS
+        starts = run_starts(number)
+        sources = np.array(list(self.sources), np.int64)[number[starts]]
+        yield rows(ANSWER, 0, sources, starts, len(code), [(code % SOURCE_TEXTS).astype(np.uint16), None, *sums])
+        self.held, self.size = [], 0
+
+
+def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the requested values add up to for each text, and the sources' texts."""
+    sums = RowSums()
+    for parcels in grouped(batches):
+        yield from parcels.of(TOP).to_batches()
+        words, n = parcels.take(WORD, "i8")
+        # The mark before a text is a context and no token.
+        words, n = words[words != BEGIN], n[words != BEGIN]
+        keys, extra = parcels.take(VALUE, "s6")
+        nothing, none = np.zeros(len(words), np.int64), np.zeros(len(keys), np.int64)
+        base = units(fixed(np.log10(n + 1.0)))
+        found = summed(
+            np.concatenate([words, keys]),
+            np.concatenate([nothing, units(extra)]),
+            np.concatenate([base, none]),
+            np.concatenate([nothing + 1, none]),
+        )
+        asked = parcels.of(REQUEST)
+        wanted, place = taken(asked, "u2")
+        if len(wanted):
+            sizes = asked.column("size").to_numpy()
+            sums.add(asked.column("source").to_numpy(), sizes, place, lookup(found[0], wanted), found[2:])
+        if sums.size >= HELD:
+            yield from sums.parcels()
+    yield from sums.parcels()
+
 
+SCORES = "doc_id long, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-def request_rows(ids, keys, times, tops) -> Iterator[pa.RecordBatch]:
-    none = pa.StructArray.from_arrays(
-        [pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.float64())],
-        ["doc_id", "training", "n_tokens", "base", "known", "extra"],
-    )
-    for a in range(0, len(ids), REQUEST_ROWS):
-        part = slice(a, a + REQUEST_ROWS)
-        top = tops[part] if tops is not None else pa.nulls(len(ids[part]), none.type)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[part]), signed(keys[part]), pa.array(times[part].astype(np.int32)), top], ["row", "key", "times", "top"])
 
+def totals(tokens: int, size: float):
+    """A row per text: what broadcast and requested values add up to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parcels in grouped(batches, "source"):
+            sources = parcels.table.column("source").to_numpy()
+            starts = run_starts(sources)
+            for a, b in zip(starts, np.append(starts[1:], len(sources)), strict=True):
+                own = parcels.table.slice(a, b - a)
+                top, found = (own.filter(pa.array(parcels.kinds[a:b] == kind)) for kind in (TOP, ANSWER))
+                base, known, extra = content(top.column("c0"), "f8").reshape(-1, 3).T
+                place, more = content(found.column("c0"), "u2"), [content(found.column(c), "i8") for c in ("c2", "c3", "c4")]
+                sums = [np.zeros(len(base), np.int64) for _ in more]
+                for total, value in zip(sums, more, strict=True):
+                    np.add.at(total, place, value)
+                flags, n_tokens = content(top.column("c3"), "u1"), content(top.column("c4"), "i8")
+                base = base + sums[1] / UNITS - n_tokens * np.log10(size)
+                fields = [
+                    pa.array(content(top.column("c2"), "i8"), mask=flags & 4 > 0),
+                    pa.array(flags & 1 > 0, mask=flags & 2 > 0),
+                    pa.array(n_tokens),
+                    pa.array(np.rint(known).astype(np.int64) + sums[2]),
+                    pa.array(np.full(len(base), tokens, np.int64)),
+                    pa.array(base),
+                    pa.array(base + extra + sums[0] / UNITS),
+                ]
+                yield pa.RecordBatch.from_arrays(fields, [x.split()[0] for x in SCORES.split(", ")])
 
-#: Rows of an Arrow batch that go back to the JVM at a time.
-REQUEST_ROWS = 1 << 16
+    return run
 
 
-def tree_values(training: DataFrame, counted: DataFrame, n_texts: int, size: float, depth: int, least: float) -> DataFrame:
-    """(key, base, known, extra, n): what an occurrence of each word, context and gram adds
-    to a text's base score, known words and score, and its count."""
-    spark = training.sparkSession
-    ends = spark.createDataFrame(
-        [(int(np.array(x).view(np.int64)), n_texts) for x in (BEGIN, AFTER)] if n_texts else [], "word long, n long"
-    )
-    words = counted.select("word", "n").unionAll(ends)
-    start = int(np.array(BEGIN).view(np.int64))
-    # What a gram is as a context (count, and its own suffix), and as a suffix (probability of its last token).
-    contexts = words.select(F.col("word").alias("context"), F.col("n").alias("total"), F.lit(None).cast("long").alias("shorter"))
-    suffixes = words.select(F.col("word").alias("suffix"), ((F.col("n") + 1) / F.lit(size)).alias("below"))
-    frequent = words.where(F.col("n") >= least).select("word")
-    levels = []
+def tree_values(training: DataFrame, words: DataFrame, size: float, depth: int, least: float, head_min: float, bits: int) -> list[DataFrame]:
+    """Tables of the values that an occurrence of each context and gram adds to a text's
+    score (``VALUE``), and of those that are broadcast (``HEAD``)."""
+    levels, contexts, below = [], words, words
     for length in range(2, depth + 2):
-        grams = (
-            training.mapInArrow(counted_grams(length, bitmap_of(frequent)), "context long, suffix long, n long")
-            .groupBy("context", "suffix")
-            .agg(F.sum("n").alias("n"))
-            .where(F.col("n") >= least)
-            .mapInArrow(with_hash, "context long, suffix long, n long, gram long")
-        )
-        total = F.greatest("total", "n")
-        rows = durable(
-            grams.join(contexts, "context")
-            .join(suffixes, "suffix")
-            .select("context", "shorter", "suffix", "gram", "n", total.alias("total"), ((F.col("n") - DISCOUNT) / total).alias("own"), "below"),
-            f"op2-grams{length}",
-        )
-        # Divergence of what the counts say from the suffix's distribution, the other
-        # followers lumped into one, against half a logarithm of the count per follower.
-        plain = F.col("n") / F.col("total")
-        rest, rest_below = F.greatest(F.lit(0.0), 1 - F.col("plain")), F.least(F.lit(1.0), F.greatest(F.lit(1e-12), 1 - F.col("lower")))
-        kl = F.col("kl") + F.when(rest > 0, rest * F.log(rest / rest_below)).otherwise(0.0)
-        states = durable(
-            rows.groupBy("context")
-            .agg(
-                F.first("shorter").alias("shorter"),
-                F.max("total").alias("n"),
-                F.count("*").alias("followers"),
-                F.sum("own").alias("own"),
-                F.sum(plain).alias("plain"),
-                F.sum("below").alias("lower"),
-                F.sum(plain * F.log(plain / F.col("below"))).alias("kl"),
-            )
-            .select(
-                "context",
-                "shorter",
-                "n",
-                (1 - F.col("own")).alias("share"),
-                (F.col("n") * kl > 0.5 * F.col("followers") * F.log(F.greatest(F.col("n"), F.lit(2)))).alias("kept"),
-            ),
-            f"op2-contexts{length}",
-        )
-        levels.append((rows, states))
-        contexts = rows.select(F.col("gram").alias("context"), F.col("n").alias("total"), F.col("suffix").alias("shorter"))
-        below = (F.col("own") + F.col("share") * F.col("below")).alias("below")
-        suffixes = rows.join(states.select("context", "share"), "context").select(F.col("gram").alias("suffix"), below)
-        frequent = rows.select("gram")
-    values = [
-        counted.unionAll(ends.where(F.col("word") != start)).select(
-            F.col("word").alias("key"), F.log10(F.col("n") + 1.0).alias("base"), F.lit(1.0).alias("known"), F.lit(0.0).alias("extra"), "n"
-        )
-    ]
-    zero, longer, written = F.lit(0.0), None, [counted]
-    for rows, states in reversed(levels):
-        # A kept context keeps its suffixes.
-        if longer is not None:
-            forced = longer.select(F.col("shorter").alias("context"), F.lit(True).alias("forced")).distinct()
-            found = states.join(forced, "context", "left").where(F.col("kept") | F.col("forced"))
-        else:
-            found = states.where("kept")
-        longer = found = durable(found.select("context", "shorter", "n", "share"), "op2-states")
-        # A level at a time, so that disk holds neither all joins nor a level's grams beside their values.
-        discard(states)
-        states = found
-        values.append(states.select(F.col("context").alias("key"), zero, zero, F.log10("share"), "n"))
-        gain = F.log10(1 + F.col("own") / (F.col("share") * F.col("below")))
-        gains = rows.join(states.select("context", "share"), "context").select(
-            F.col("gram").alias("key"), zero.alias("base"), zero.alias("known"), gain.alias("extra"), "n"
-        )
-        values.append(durable(gains, "op2-gains"))
-        discard(rows)
-        written += [states, values[-1]]
-    found = durable(
-        reduce(DataFrame.unionAll, values)
-        .groupBy("key")
-        .agg(F.sum("base").alias("base"), F.sum("known").alias("known"), F.sum("extra").alias("extra"), F.max("n").alias("n")),
-        "op2-values",
-    )
-    discard(*written)
-    return found
+        frequent = words.mapInArrow(least_words(least, bits), PARCEL) if length == 2 else below
+        counts = training.mapInArrow(counted_grams(length, bitmap_of([frequent], bits), bits), PARCEL)
+        grams = meet([counts], frequent_grams(least, bits), f"op2-grams{length}")
+        found = meet([grams, below], with_below(size, bits), f"op2-rows{length}")
+        discard(grams, *([below] if length > 2 else []))
+        if length <= depth:
+            below = meet([found, contexts], probabilities(bits), f"op2-below{length}")
+        levels.append((contexts, found))
+        contexts = found.mapInArrow(as_contexts(bits), PARCEL)
+    values: list[DataFrame] = []
+    # The longest first: a kept context keeps its suffixes.
+    for length, (contexts, found) in reversed([*enumerate(levels, 2)]):
+        forced = [of_kind(values[-1], FORCED)] if values else []
+        values.append(meet([found, contexts, *forced], state_values(length, head_min, bits), "op2-gains"))
+        discard(found)
+    return values
+
+
+def head_of(words: DataFrame, values: list[DataFrame], head_min: float) -> list[np.ndarray]:
+    """Keys in ascending order, and what each adds to a text's base score, known words and score."""
+    word, base = taken(words.mapInArrow(frequent_words(head_min), PARCEL).toArrow(), "f8")
+    word, base = word[word != BEGIN], base[word != BEGIN]
+    found = [taken(of_kind(table, HEAD).toArrow(), "f8") for table in values]
+    keys = np.concatenate([word, *(x for x, _ in found)])
+    extra = np.concatenate([np.zeros(len(word)), *(x for _, x in found)])
+    none = np.zeros(len(keys) - len(word))
+    keys, _, *sums = summed(keys.view(np.int64), np.concatenate([base, none]), np.concatenate([np.ones(len(word)), none]), extra)
+    return [keys, *sums]
 
 
 def score_texts(docs: DataFrame, training, depth: int = DEPTH, p_min: float = 0.0) -> DataFrame:
@@ -440,44 +750,37 @@ def score_texts(docs: DataFrame, training, depth: int = DEPTH, p_min: float = 0.
     spark = docs.sparkSession
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", training.alias("training"))
     learned = read.where("training").select("text")
-    counts = learned.mapInArrow(word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    with small_batches(spark):
-        counted = durable(counts, "op2-words")
-    n_texts = learned.count()
-    sums = counted.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    tokens, vocabulary = (sums["n"] or 0) + n_texts, sums["v"] + (n_texts > 0)
-    size = float(tokens + vocabulary + 1)
     with small_batches(spark):
-        values = tree_values(learned, counted, n_texts, size, depth, max(float(LEAST), p_min * tokens))
-    # At most 1 / HEAD_MIN of each length, and the marks around texts.
-    top = values.where(F.col("n") >= HEAD_MIN * tokens).drop("n").toArrow()
-    arrays = [top.column(c).to_numpy() for c in ("key", "base", "known", "extra")]
-    order = np.argsort(arrays[0])
-    head = spark.sparkContext.broadcast([x[order] for x in arrays])
-    others = values.where(F.col("n") < HEAD_MIN * tokens).select("key", "base", "known", "extra")
-    asked = read.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
-        scored(depth + 1, head, bitmap_of(others.select("key"))), f"row long, key long, times int, top {TOP}"
-    )
-    # A row has one top. Its fields are taken one by one, as the maximum of a struct would sort all requests by row.
-    summed = (
-        asked.join(others, "key", "left")
-        .groupBy("row")
-        .agg(
-            *(F.max(f"top.{c}").alias(c) for c in ("doc_id", "training", "n_tokens")),
-            *(F.max(f"top.{c}").alias(f"top_{c}") for c in ("base", "known", "extra")),
-            *(F.sum(F.col("times") * F.coalesce(c, F.lit(0.0))).alias(c) for c in ("base", "known", "extra")),
-        )
-    )
-    base = F.col("top_base") + F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(size)))
-    return summed.select(
-        "doc_id",
-        "training",
-        "n_tokens",
-        F.round(F.col("top_known") + F.col("known")).cast("long").alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
-        base.alias("base_score"),
-        (base + F.col("top_extra") + F.col("extra")).alias("score"),
-    )
+        words = meet([learned.mapInArrow(word_counts, PARCEL)], summed_words, "op2-words")
+        n_texts = learned.count()
+        sums = words.agg(F.sum("weight").alias("n"), F.sum("size").alias("v")).first()
+        # Both marks are among the words; one is a token.
+        tokens, vocabulary = (sums["n"] or 0) - n_texts, (sums["v"] or 0) - (n_texts > 0)
+        size = float(tokens + vocabulary + 1)
+        bits = min(MOST_PART_BITS, max(LEAST_BITS, (tokens // PART_TOKENS).bit_length()))
+        dealt_words = words if bits == WORD_BITS else words.mapInArrow(recut(bits), PARCEL)
+        head_min = HEAD_MIN * tokens
+        values = tree_values(learned, dealt_words, size, depth, max(float(LEAST), p_min * tokens), head_min, bits)
+        # At most 1 / HEAD_MIN of each length, and the marks around texts.
+        head = spark.sparkContext.broadcast(head_of(words, values, head_min))
+        others = [dealt_words, *(of_kind(table, VALUE) for table in values)]
+        known = bitmap_of([*others, *(of_kind(table, HEAD) for table in values)], bits)
+        request = scored(depth + 1, head, known, bits)
+        # A slice of the texts at a time, so that disk holds neither all requests nor all answers beside the values.
+        slice_of = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SLICES))
+        answers = [
+            meet([*others, read.where(slice_of == i).withColumn("row", F.monotonically_increasing_id()).mapInArrow(request, PARCEL)], answered, "op2-answers")
+            for i in range(SLICES)
+        ]
+        discard(words, *values)
+        found = meet(with_own_sources(answers), totals(tokens, size), "op2-values", SCORES, "source")
+        discard(*answers)
+    return found
+
+
+def with_own_sources(answers: list[DataFrame]) -> list[DataFrame]:
+    """Sources of several slices told apart."""
+    return [table.withColumn("source", F.col("source") * len(answers) + i) for i, table in enumerate(answers)]
 
 
 def query(spark, sf_dir: str) -> DataFrame:

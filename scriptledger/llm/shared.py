@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +60,8 @@ class Words:
             b = max(a + 1, int(np.searchsorted(self.ends, low + HASH_BLOCK, side="right")))
             high = self.ends[b - 1]
             if high - low > len(power):
-                power, inverse = (powers(x, max(HASH_BLOCK, high - low)) for x in (base, pow(base, -1, 1 << 64)))
+                both = base, pow(base, -1, 1 << 64)
+                power, inverse = (block_powers(x) if high - low <= HASH_BLOCK else powers(x, high - low) for x in both)
             sums = table[self.data[low:high]]
             sums *= power[: high - low]
             np.cumsum(sums, out=sums)
@@ -75,6 +77,12 @@ class Words:
 HASH_BLOCK = 1 << 20
 
 
+@lru_cache(maxsize=4)
+def block_powers(base: int) -> np.ndarray:
+    """Of a block, computed once a process; read only."""
+    return powers(base, HASH_BLOCK)
+
+
 def powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1
@@ -101,6 +109,22 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
+def unmix(x: np.ndarray) -> np.ndarray:
+    """What ``mix`` made ``x`` of."""
+    for factor in (0xC4CEB9FE1A85EC53, 0xFF51AFD7ED558CCD):
+        x = x ^ (x >> np.uint64(33))
+        x = x * np.uint64(pow(factor, -1, 1 << 64))
+    return x ^ (x >> np.uint64(33))
+
+
+def uncombine(x: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """The second hash of ``combine``, of its result and the first one."""
+    x = x ^ (x >> np.uint64(29)) ^ (x >> np.uint64(58))
+    x = x * np.uint64(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
+    first = a * np.uint64(0x9E3779B97F4A7C15)
+    return x - (first ^ (first >> np.uint64(32)))
+
+
 def window_hashes(hashed: np.ndarray, k: int) -> np.ndarray:
     """Order-sensitive hash of each run of ``k`` word hashes, put together from runs
     of 1, 2, 4, ... words."""
