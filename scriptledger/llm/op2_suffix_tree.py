@@ -50,7 +50,7 @@ from scriptledger.llm.parcels import (
     taken,
     units,
 )
-from scriptledger.llm.shared import Words, chunks, combine, discard, mix, uncombine, unmix
+from scriptledger.llm.shared import Words, chunks, combine, discard, durable, mix, uncombine, unmix
 
 #: Times that a context, or a pair of context and follower, must occur to be in the tree.
 LEAST = 2
@@ -59,16 +59,16 @@ HEAD_MIN = 2.0**-20
 DEPTH = 3
 DISCOUNT = 0.5
 #: Bytes of text that a task works on at a time; its arrays take about 30 times as many.
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 1 << 18
 #: Texts or parcels that the JVM sends a task at a time, and the setting for it.
-BATCH_ROWS, BATCH_SETTING = 200, "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS, BATCH_SETTING = 50, "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Hashes of the token before a text and of the one after it.
 BEGIN, AFTER = np.uint64(0xB5E1A9C40D2F7731), np.uint64(0x5D1F03E86C9A42B7)
 #: Bits of a bitmap for each gram in it, of a bitmap at most, and of a segment.
 GRAM_BITS, MOST_BITS, SEGMENT_BITS = 8, 1 << 28, 1 << 20
-#: What parcels hold. Bits of the words' parts, of all others' at least and at most, and tokens of a part between these.
-WORD, COUNT, GRAM, BELOW, ROW, TOTAL, FORCED, VALUE, HEAD, REQUEST, TOP, ANSWER = range(12)
-WORD_BITS, LEAST_BITS, MOST_PART_BITS, PART_TOKENS = 10, 6, 16, 1 << 20
+#: What parcels hold. Bits of a part's number at least and at most, and bytes of text for a part between these.
+WORD_COUNT, COUNT, WORD, GRAM, BELOW, ROW, TOTAL, FORCED, VALUE, HEAD, REQUEST, TOP, ANSWER = range(13)
+LEAST_BITS, MOST_PART_BITS, PART_BYTES = 6, 16, 6 << 20
 #: Texts of a source at most, whose places have two bytes; parts of the texts that are scored one after the other.
 SOURCE_TEXTS, SLICES = 1 << 16, 3
 #: For the tree on one machine: code of the end token, and the factor of codes in a gram's number.
@@ -94,17 +94,35 @@ def is_training(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(7)) != 2
 
 
-def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words with their counts, those of the marks around texts too; by 64-bit hash."""
+def word_counts(batches: Iterator[pa.RecordBatch], bits: int = LEAST_BITS) -> Iterator[pa.RecordBatch]:
+    """Words and pairs of words with their counts, the marks around texts among them; by
+    64-bit hash. A pair that is frequent has frequent words, so it can be counted before they are known."""
 
     def found():
         for batch in chunks(batches, limit=TEXT_BYTES):
-            (tokens,), _, _ = gram_hashes(Words(batch.column("text")), 1)
-            yield np.unique(tokens, return_counts=True)
+            (tokens,), _, place = gram_hashes(Words(batch.column("text")), 1)
+            words, n = np.unique(tokens, return_counts=True)
+            words_held.append((words, n))
+            context = tokens[np.flatnonzero(place[1:] >= 1)]
+            yield joined_hash(context, tokens[1:][place[1:] >= 1]), context
 
-    for words, n in gathered(found()):
-        words, _, n = summed(words, n)
-        yield counted_parcels(words, [], n, WORD_BITS)
+    def words_of(least: int) -> Iterator[pa.RecordBatch]:
+        if sum(len(words) for words, _ in words_held) >= least:
+            words, _, n = summed(*(np.concatenate(x) for x in zip(*words_held, strict=True)))
+            words_held.clear()
+            yield counted_parcels(WORD_COUNT, words, [], n, bits)
+
+    words_held: list[tuple] = []
+    for pairs, context in gathered(found()):
+        yield grams_counted(pairs, context, bits)
+        # Not held while the next texts are read.
+        del pairs, context
+        yield from words_of(HELD)
+    yield from words_of(1)
+
+
+def with_bits(run, bits: int):
+    return lambda batches: run(batches, bits)
 
 
 def gathered(found: Iterator[tuple]) -> Iterator[tuple]:
@@ -126,7 +144,7 @@ def gathered(found: Iterator[tuple]) -> Iterator[tuple]:
         yield taken_out()
 
 
-def counted_parcels(keys: np.ndarray, columns: list[np.ndarray], n: np.ndarray, bits: int) -> pa.RecordBatch:
+def counted_parcels(kind: int, keys: np.ndarray, columns: list[np.ndarray], n: np.ndarray, bits: int) -> pa.RecordBatch:
     """Counts of a byte; a key with more than 255 stands several times."""
     if len(n) and n.max() > 255:
         times = (n + 254) // 255
@@ -135,14 +153,16 @@ def counted_parcels(keys: np.ndarray, columns: list[np.ndarray], n: np.ndarray,
         n = np.full(len(at), 255)
         n[np.cumsum(times) - 1] = last
         keys, columns = keys[at], [x[at] for x in columns]
-    return packed(COUNT, keys, [*columns, n.astype(np.uint8)], bits)
+    return packed(kind, keys, [*columns, n.astype(np.uint8)], bits)
 
 
-def summed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for parcels in grouped(batches):
-        words, n = parcels.take(COUNT, "u1")
-        words, _, n = summed(words, n.astype(np.int64))
-        yield packed(WORD, words, [n], WORD_BITS, weight=n)
+def grams_counted(grams: np.ndarray, context: np.ndarray, bits: int) -> pa.RecordBatch:
+    order = np.argsort(grams)
+    grams = grams[order]
+    starts, size = run_starts(grams), len(grams)
+    grams, context = grams[starts], context[order[starts]]
+    del order
+    return counted_parcels(COUNT, grams, [context], np.diff(starts, append=size), bits)
 
 
 def gram_hashes(words: Words, longest: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -186,7 +206,7 @@ def part_bits(size: int, bits: int):
         piece = size >> bits
         for parcels in grouped(batches):
             (keys,) = taken(parcels.table)
-            at = np.unique(keys >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64)
+            at = np.sort(keys >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64)
             starts = run_starts(at // piece)
             found = []
             for a, b in zip(starts, np.append(starts[1:], len(at)), strict=True):
@@ -212,17 +232,7 @@ def bitmap_of(tables: list[DataFrame], bits: int):
     return tables[0].sparkSession.sparkContext.broadcast(found)
 
 
-def least_words(least: float, bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, n = Parcels([batch]).take(WORD, "i8")
-            if (n >= least).any():
-                yield packed(WORD, words[n >= least], [], bits)
-
-    return run
-
-
-def counted_grams(length: int, sent, bits: int = WORD_BITS):
+def counted_grams(length: int, sent, bits: int = LEAST_BITS):
     """Grams whose parts may both be frequent, with their contexts and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,12 +248,7 @@ def counted_grams(length: int, sent, bits: int = WORD_BITS):
                 yield joined_hash(context, parts[at + 1]), context
 
         for grams, context in gathered(found()):
-            order = np.argsort(grams)
-            grams = grams[order]
-            starts, size = run_starts(grams), len(grams)
-            grams, context = grams[starts], context[order[starts]]
-            del order
-            yield counted_parcels(grams, [context], np.diff(starts, append=size), bits)
+            yield grams_counted(grams, context, bits)
             # Not held while the next texts are read.
             del grams, context
 
@@ -251,49 +256,45 @@ def counted_grams(length: int, sent, bits: int = WORD_BITS):
 
 
 def frequent_grams(least: float, bits: int):
-    """Grams of at least ``least`` occurrences, dealt by their suffixes."""
+    """Grams of at least ``least`` occurrences, dealt by their suffixes, and all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: list[pa.RecordBatch] = []
+
         def found():
             for parcels in grouped(batches):
+                keys, n = parcels.take(WORD_COUNT, "u1")
+                if len(keys):
+                    keys, _, n = summed(keys, n.astype(np.int64))
+                    words.append(packed(WORD, keys, [n], bits, weight=n))
                 grams, context, n = parcels.take(COUNT, "u8", "u1")
                 grams, at, n = summed(grams, n.astype(np.int64))
                 kept = n >= least
                 context = context[at[kept]]
                 yield GRAM, second_of(grams[kept], context), [context, n[kept]]
 
-        return dealt(found(), bits)
-
-    return run
-
-
-def recut(bits: int):
-    """Words in parts of ``bits`` bits."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found():
-            for batch in batches:
-                words, n = Parcels([batch]).take(WORD, "i8")
-                yield WORD, words, [n]
-
-        return dealt(found(), bits)
+        for batch in dealt(found(), bits):
+            yield batch
+            yield from words
+            words.clear()
+        yield from words
 
     return run
 
 
-def with_below(size: float, bits: int):
+def with_below(size: float, least: float, bits: int):
     """Grams with the probability of their last token at their suffix, dealt by their contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
             for parcels in grouped(batches):
-                words, n = parcels.take(WORD, "i8")
+                words, counts = parcels.take(WORD, "i8")
                 known, below = parcels.take(BELOW, "f8")
-                known, below = np.concatenate([words, known]), np.concatenate([(n + 1) / size, below])
+                known, below = np.concatenate([words, known]), np.concatenate([(counts + 1) / size, below])
                 order = np.argsort(known)
                 suffix, context, n = parcels.take(GRAM, "u8", "i8")
                 at = lookup(known[order], suffix)
-                ok = at >= 0
+                ok = (at >= 0) & (n >= least)
                 yield ROW, context[ok], [suffix[ok], n[ok], below[order][at[ok]]]
 
         return dealt(found(), bits)
@@ -390,13 +391,13 @@ def state_values(length: int, head_min: float, bits: int):
     return run
 
 
-def frequent_words(head_min: float):
+def frequent_words(head_min: float, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, n = Parcels([batch]).take(WORD, "i8")
             top = n >= head_min
             if top.any():
-                yield packed(HEAD, words[top], [np.log10(n[top] + 1.0)], WORD_BITS)
+                yield packed(HEAD, words[top], [np.log10(n[top] + 1.0)], bits)
 
     return run
 
@@ -415,7 +416,7 @@ class Index:
 
     def __init__(self, keys: np.ndarray):
         self.keys = keys
-        self.bits = min(22, max(4, len(keys).bit_length() + 2))
+        self.bits = min(22, max(4, len(keys).bit_length() + 1))
         bounds = np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)
         self.first = np.append(np.searchsorted(keys, bounds), len(keys)).astype(np.int32)
 
@@ -546,7 +547,7 @@ def grow(counts: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]], n_texts
     return Tree(root, 1 / (tokens + vocabulary + 1), levels, states, shares, probabilities)
 
 
-def scored(longest: int, head, sent, bits: int = WORD_BITS):
+def scored(longest: int, head, sent, bits: int = LEAST_BITS):
     """Requests for the values that are not broadcast, each with its text's place among those of a source,
     and per source the texts with what the broadcast values add up to."""
 
@@ -702,15 +703,17 @@ def totals(tokens: int, size: float):
     return run
 
 
-def tree_values(training: DataFrame, words: DataFrame, size: float, depth: int, least: float, head_min: float, bits: int) -> list[DataFrame]:
+def tree_values(
+    training: DataFrame, words: DataFrame, pairs: DataFrame, size: float, depth: int, least: float, head_min: float, bits: int
+) -> list[DataFrame]:
     """Tables of the values that an occurrence of each context and gram adds to a text's
     score (``VALUE``), and of those that are broadcast (``HEAD``)."""
-    levels, contexts, below = [], words, words
+    levels, contexts, below, grams = [], words, words, pairs
     for length in range(2, depth + 2):
-        frequent = words.mapInArrow(least_words(least, bits), PARCEL) if length == 2 else below
-        counts = training.mapInArrow(counted_grams(length, bitmap_of([frequent], bits), bits), PARCEL)
-        grams = meet([counts], frequent_grams(least, bits), f"op2-grams{length}")
-        found = meet([grams, below], with_below(size, bits), f"op2-rows{length}")
+        if length > 2:
+            counts = training.mapInArrow(counted_grams(length, bitmap_of([below], bits), bits), PARCEL)
+            grams = meet([counts], frequent_grams(least, bits), f"op2-grams{length}")
+        found = meet([of_kind(grams, GRAM), below], with_below(size, least, bits), f"op2-rows{length}")
         discard(grams, *([below] if length > 2 else []))
         if length <= depth:
             below = meet([found, contexts], probabilities(bits), f"op2-below{length}")
@@ -725,9 +728,9 @@ def tree_values(training: DataFrame, words: DataFrame, size: float, depth: int,
     return values
 
 
-def head_of(words: DataFrame, values: list[DataFrame], head_min: float) -> list[np.ndarray]:
+def head_of(words: DataFrame, values: list[DataFrame], head_min: float, bits: int) -> list[np.ndarray]:
     """Keys in ascending order, and what each adds to a text's base score, known words and score."""
-    word, base = taken(words.mapInArrow(frequent_words(head_min), PARCEL).toArrow(), "f8")
+    word, base = taken(words.mapInArrow(frequent_words(head_min, bits), PARCEL).toArrow(), "f8")
     word, base = word[word != BEGIN], base[word != BEGIN]
     found = [taken(of_kind(table, HEAD).toArrow(), "f8") for table in values]
     keys = np.concatenate([word, *(x for x, _ in found)])
@@ -751,19 +754,20 @@ def score_texts(docs: DataFrame, training, depth: int = DEPTH, p_min: float = 0.
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", training.alias("training"))
     learned = read.where("training").select("text")
     with small_batches(spark):
-        words = meet([learned.mapInArrow(word_counts, PARCEL)], summed_words, "op2-words")
-        n_texts = learned.count()
+        sums = learned.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+        n_texts = sums["n"]
+        bits = min(MOST_PART_BITS, max(LEAST_BITS, ((sums["bytes"] or 0) // PART_BYTES).bit_length()))
+        pairs = meet([learned.mapInArrow(with_bits(word_counts, bits), PARCEL)], frequent_grams(LEAST, bits), "op2-grams2")
+        words = durable(of_kind(pairs, WORD), "op2-words")
         sums = words.agg(F.sum("weight").alias("n"), F.sum("size").alias("v")).first()
         # Both marks are among the words; one is a token.
         tokens, vocabulary = (sums["n"] or 0) - n_texts, (sums["v"] or 0) - (n_texts > 0)
         size = float(tokens + vocabulary + 1)
-        bits = min(MOST_PART_BITS, max(LEAST_BITS, (tokens // PART_TOKENS).bit_length()))
-        dealt_words = words if bits == WORD_BITS else words.mapInArrow(recut(bits), PARCEL)
         head_min = HEAD_MIN * tokens
-        values = tree_values(learned, dealt_words, size, depth, max(float(LEAST), p_min * tokens), head_min, bits)
+        values = tree_values(learned, words, pairs, size, depth, max(float(LEAST), p_min * tokens), head_min, bits)
         # At most 1 / HEAD_MIN of each length, and the marks around texts.
-        head = spark.sparkContext.broadcast(head_of(words, values, head_min))
-        others = [dealt_words, *(of_kind(table, VALUE) for table in values)]
+        head = spark.sparkContext.broadcast(head_of(words, values, head_min, bits))
+        others = [words, *(of_kind(table, VALUE) for table in values)]
         known = bitmap_of([*others, *(of_kind(table, HEAD) for table in values)], bits)
         request = scored(depth + 1, head, known, bits)
         # A slice of the texts at a time, so that disk holds neither all requests nor all answers beside the values.
