@@ -17,7 +17,12 @@ state before it leaves to its suffix, and for each of these states that has seen
 token the gain over the suffix's part alone. So each gram has one value, and a text's
 score is the sum of the values of its grams: the most frequent grams' are broadcast
 (at most 1 / ``HEAD_MIN`` a length), the others are joined. Broadcast bitmaps leave
-out grams that cannot be in a table; one too many costs a row and nothing else.
+out grams that cannot be in a table; one too many costs a request and nothing else.
+
+Tables are parcels of keys (``parcels``), written after each shuffle: grams meet by their
+hash to be counted, by their suffix for its probability, by their context for the
+divergence test, and last with the requests of texts. Words and pairs are counted
+together. Values in tables are fixed-point numbers, units of 2^-41.
 """
 
 from __future__ import annotations
@@ -581,8 +586,11 @@ def scored(longest: int, head, sent, bits: int = LEAST_BITS):
                 size, n_texts = 0, 0
             grams, owner, place = gram_hashes(words, longest)
             sums, asked, owners = np.zeros((n, len(values))), [], []
+            known = np.arange(len(place))
             for length, found in enumerate(grams, 1):
-                known = np.flatnonzero((place >= length - 1) & in_bitmap(bitmap, found))
+                # A gram with a value has a suffix with one: states are closed under suffixes, and so is what they have seen.
+                known = known[place[known] >= length - 1]
+                known = known[in_bitmap(bitmap, found[known])]
                 own, found = owner[known], found[known]
                 top, at = index.find(found)
                 # Only words add to the base score and are known.
@@ -711,8 +719,11 @@ def tree_values(
     levels, contexts, below, grams = [], words, words, pairs
     for length in range(2, depth + 2):
         if length > 2:
-            counts = training.mapInArrow(counted_grams(length, bitmap_of([below], bits), bits), PARCEL)
+            bitmap = bitmap_of([below], bits)
+            counts = training.mapInArrow(counted_grams(length, bitmap, bits), PARCEL)
             grams = meet([counts], frequent_grams(least, bits), f"op2-grams{length}")
+            # Its copies take disk on every executor.
+            bitmap.destroy()
         found = meet([of_kind(grams, GRAM), below], with_below(size, least, bits), f"op2-rows{length}")
         discard(grams, *([below] if length > 2 else []))
         if length <= depth:
@@ -777,6 +788,8 @@ def score_texts(docs: DataFrame, training, depth: int = DEPTH, p_min: float = 0.
             for i in range(SLICES)
         ]
         discard(words, *values)
+        head.destroy()
+        known.destroy()
         found = meet(with_own_sources(answers), totals(tokens, size), "op2-values", SCORES, "source")
         discard(*answers)
     return found
